@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package sent to the executors once per application."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="quillon-ship-")) / f"{root.name}.zip"  # the driver serves it
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        _shipped.add(sc.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder name below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

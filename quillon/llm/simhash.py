@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, map_arrow, slices, table
 from .components import connected_components
 
 SHINGLE = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` long, fp long")
+    return map_arrow(rows, run, f"`{id_col}` long, fp long")
 
 
 def _cells(fp) -> list:
@@ -181,7 +181,8 @@ def links(unique: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
         .withColumn("own", F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(own))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "pop")
     )
-    return tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "pop").select("key", "lo", "hi", "fp").mapInArrow(_compare(radius), "u long, v long")
+    dealt_out = tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "pop").select("key", "lo", "hi", "fp")
+    return map_arrow(dealt_out, _compare(radius), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
