@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
+from .exact import OP10_SQL, op10_exact_dedup
+from .langid import op7_langid
 from .simhash import op8_simhash
+from .sstable import op9_sstable
 
 QUERIES = {
+    "op5_bpe": op5_bpe,
+    "op7_langid": op7_langid,
     "op8_simhash": op8_simhash,
+    "op9_sstable": op9_sstable,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_exact_dedup": OP10_SQL,
+}
