@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .exact import OP10_SQL, op10_exact_dedup
+from .html import op6_html
 from .langid import op7_langid
+from .licenses import op2_licenses
+from .quality import OP4_SQL, op4_quality
 from .simhash import op8_simhash
 from .sstable import op9_sstable
 
 QUERIES = {
+    "op2_licenses": op2_licenses,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op6_html": op6_html,
     "op7_langid": op7_langid,
     "op8_simhash": op8_simhash,
     "op9_sstable": op9_sstable,
@@ -17,5 +23,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_quality": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
