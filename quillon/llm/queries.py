@@ -7,11 +7,13 @@ from .exact import OP10_SQL, op10_exact_dedup
 from .html import op6_html
 from .langid import op7_langid
 from .licenses import op2_licenses
+from .mixing import op1_mixing
 from .quality import OP4_SQL, op4_quality
 from .simhash import op8_simhash
 from .sstable import op9_sstable
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
