@@ -19,8 +19,12 @@ from .common import cut, scratch, table
 WHITE_SPACE = "\t\n\x0b\x0c\r "
 #: Locators (16 bytes each) are broadcast up to this number; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; without preallocation, which takes megabytes for each of many small stores.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -75,13 +79,15 @@ def stream_state(spark: SparkSession, ledger: str, files_per_batch: int | None =
         # one folder for each micro-batch: a batch that is run again replaces its own rows
         batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         run = state.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(state.schema.add("batch", "long")).parquet(changes).groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("digest", "s.keep", "s.group_size")
 
 
