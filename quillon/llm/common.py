@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Locators (16 bytes each) are broadcast up to this number; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,13 +72,26 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """Add a key that is unique per row, also where identifiers repeat or are null.
+def located(docs: DataFrame) -> DataFrame:
+    """docs with _file (text), _file_key and _row: where each row's content lies.
 
-    Uses partition number and position, so ``df`` must come straight from a scan
-    (or a checkpoint): then a recomputed task gives the same keys.
+    Needs the file metadata of a scan; rows from elsewhere are written to the
+    shared folder first.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.withColumns({"_file": meta["file_path"], "_row": meta["row_index"]}).withColumn("_file_key", F.xxhash64("_file"))
+    except Exception as e:
+        if "_metadata" not in str(e):
+            raise
+        path = scratch(docs.sparkSession, "rows")
+        docs.write.parquet(path)
+        return located(docs.sparkSession.read.parquet(path))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a table of locators if its counted size is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def slices(batch, columns: list[str], budget: int = 8 << 20, rows: int = 2048):

@@ -14,11 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table
+from .common import cut, located, scratch, sized, table
 
 WHITE_SPACE = "\t\n\x0b\x0c\r "
-#: Locators (16 bytes each) are broadcast up to this number; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
 #: State on disk; without preallocation, which takes megabytes for each of many small stores.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -36,28 +34,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """docs with _file (text), _file_key and _row: where each row's content lies.
-
-    Needs the file metadata of a scan; rows from elsewhere are written to the
-    shared folder first.
-    """
-    try:
-        meta = docs.metadataColumn("_metadata")
-        return docs.withColumns({"_file": meta["file_path"], "_row": meta["row_index"]}).withColumn("_file_key", F.xxhash64("_file"))
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
-        path = scratch(docs.sparkSession, "dedup-rows")
-        docs.write.parquet(path)
-        return _located(docs.sparkSession.read.parquet(path))
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a table of locators if its counted size is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _best() -> Column:
     """Smallest is best: most code points, then smallest identifier (null last), then place."""
     return F.struct((-F.col("n")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("file_key"), F.col("row"), F.col("file"))
@@ -101,11 +77,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other than the two named are not read.
     """
     spark = docs.sparkSession
-    rows = _located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) if {id_col, text_col} <= set(docs.columns) else docs)
+    rows = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) if {id_col, text_col} <= set(docs.columns) else docs)
     norm = normalised(F.col("text"))
     ledger = scratch(spark, "dedup-ledger")
     rows.select("id", digest(norm).alias("digest"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.col("_file").alias("file"), F.col("_file_key").alias("file_key"), F.col("_row").alias("row")).write.parquet(ledger)
-    state = stream_state(spark, ledger, files_per_batch)
+    state = cut(stream_state(spark, ledger, files_per_batch))  # so that the join below is one that can split hot digests
     entries = spark.read.parquet(ledger).select("id", "digest", "n", "file_key", "row")
     joined = cut(
         entries.join(state, "digest").select(
@@ -114,7 +90,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     # Full bytes on hits: the texts of digests met more than once, one copy of each per map task.
     hits = joined.filter("group_size > 1").select(F.col("file_key").alias("_file_key"), F.col("row").alias("_row"))
-    met = rows.join(_sized(hits), ["_file_key", "_row"], "left_semi").select(norm.alias("norm"))
+    met = rows.join(sized(hits), ["_file_key", "_row"], "left_semi").select(norm.alias("norm"))
     variants = met.groupBy("norm").agg(F.count(F.lit(1)).alias("rows")).select(digest(F.col("norm")).alias("digest"))
     clash = cut(variants.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"))
     if clash.isEmpty():
@@ -132,7 +108,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows that exact_groups drops."""
     gone = exact_groups(docs, id_col, text_col).filter("not kept").select("_file_key", "_row")
-    return _located(docs).join(_sized(gone), ["_file_key", "_row"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return located(docs).join(sized(gone), ["_file_key", "_row"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,7 +227,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     keep = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("lang_pred", "string").add("score", "double")
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_langid_text"))
+    at = keep.index(text_col) if text_col in keep else len(keep)  # a kept text is sent once
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])))
 
     def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
         m = shared.value
@@ -246,9 +247,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *kept, texts in slices(batch, batch.schema.names, 4 << 20):
-                langs, scores = judge(texts.to_pylist())
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            for columns in slices(batch, batch.schema.names, 4 << 20):
+                langs, scores = judge(columns[at].to_pylist())
+                yield pa.RecordBatch.from_arrays([*columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return map_arrow(rows, run, schema)
 

@@ -13,6 +13,7 @@ nothing per document ever reaches the driver.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -123,23 +124,60 @@ def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "
     """The columns ``keep``, tokens long (white-space words of the whole text), posterior array<double>."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [F.col(f"`{c}`") for c in keep]
+    at = keep.index(text_col) if text_col in keep else len(keep)  # a kept text is sent once
     schema = docs.select(*own).schema.add("tokens", "long").add("posterior", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         k = len(m.domains)
         for batch in batches:
-            for *kept, texts in slices(batch, batch.schema.names, 4 << 20):
-                split = [_words(t) for t in texts.to_pylist()]
+            for columns in slices(batch, batch.schema.names, 4 << 20):
+                kept, split = columns[: len(keep)], [_words(t) for t in columns[at].to_pylist()]
                 flat = np.concatenate([posterior(m, ws) for ws in split]) if split else np.zeros(0)
                 posteriors = pa.ListArray.from_arrays(pa.array(np.arange(len(split) + 1, dtype=np.int32) * k), pa.array(flat.astype(np.float64)))
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(list(map(len, split)), pa.int64()), posteriors], names=schema.names)
 
-    return map_arrow(docs.select(*own, F.col(text_col).alias("_mixing_text")), run, schema)
+    return map_arrow(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col]))), run, schema)
 
 
-def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float] = TARGETS, budget: float = BUDGET, steps: int = STEPS, ridge: float = RIDGE) -> tuple[DataFrame, dict]:
-    """Add ``rate`` to scored(tokens, posterior, ...); also the fit's totals by domain.
+@dataclass
+class Fit:
+    """Residuals of each step taken; a document's rate follows from them and its own posterior."""
+
+    domains: list[str]
+    pace: float
+    ridge: float
+    residuals: list[list[float]]
+    totals: dict[str, float]
+    targets: dict[str, float]
+
+    def step_on(self, rate: Column, steps: slice) -> Column:
+        """The rate after these steps, from rows with columns _p0, _p1, ... (posteriors, 0 without tokens)."""
+        for res in self.residuals[steps]:
+            grad = F.lit(-self.ridge)
+            for i, r in enumerate(res):
+                grad = grad + F.col(f"_p{i}") * F.lit(float(r))
+            # the rate stands once in its successor, so expressions stay small
+            rate = F.greatest(F.lit(0.0), rate * F.lit(1.0 - self.pace * self.ridge) - F.lit(self.pace) * grad)
+        return rate
+
+    def rate(self) -> Column:
+        """The rate after all steps, for rows with tokens and posterior; 1 without tokens."""
+        if not self.residuals:
+            return F.lit(1.0)
+
+        def step(rate: Column, res: Column) -> Column:
+            grad = F.lit(-self.ridge)
+            for i in range(len(self.domains)):
+                grad = grad + F.get("posterior", F.lit(i)) * F.get(res, F.lit(i))
+            return F.greatest(F.lit(0.0), rate * F.lit(1.0 - self.pace * self.ridge) - F.lit(self.pace) * grad)
+
+        history = F.from_json(F.lit(json.dumps(self.residuals)), "array<array<double>>")
+        return F.when(F.col("tokens") > 0, F.aggregate(history, F.lit(1.0), step)).otherwise(F.lit(1.0))
+
+
+def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float] = TARGETS, budget: float = BUDGET, steps: int = STEPS, ridge: float = RIDGE) -> Fit:
+    """Fit rates to scored(tokens, posterior); the table should be cut off, as every step reads it.
 
     A domain that no document can be in keeps a target that cannot be met; targets
     of domains the classifier doesn't know are left out and the others rescaled.
@@ -147,46 +185,36 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float] =
     """
     k = len(domains)
     known = {d: targets[d] for d in domains if targets.get(d, 0) > 0}
-    scored = cut(scored)
     mass = [(F.col("tokens") * F.col("posterior")[i]) for i in range(k)]
     first = scored.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), *(F.coalesce(F.sum(mass[i] * F.col("posterior")[j]), F.lit(0.0)).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    total = float(first.tokens)
-    share = sum(known.values())
+    total, share = float(first.tokens), sum(known.values())
     if not total or not share:
-        return scored.withColumn("rate", F.lit(1.0)), {"totals": {}, "targets": {}, "steps": 0}
+        return Fit(domains, 0.0, ridge, [], {}, {})
     target = np.array([known.get(d, 0.0) / share * budget * total for d in domains])
     unit = np.maximum(target, 1e-6 * total)
     # In that norm the Hessian has the nonzero eigenvalues of this K x K matrix, plus the ridge: they bound the step.
     gram = np.array([[first[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    pace = 1.0 / (np.linalg.eigvalsh(gram / np.sqrt(np.outer(unit, unit)))[-1] + ridge)
+    fit = Fit(domains, float(1.0 / (np.linalg.eigvalsh(gram / np.sqrt(np.outer(unit, unit)))[-1] + ridge)), ridge, [], {}, dict(zip(domains, target.tolist())))
     own = {f"_p{i}": F.when(F.col("tokens") > 0, F.col("posterior")[i]).otherwise(0.0) for i in range(k)}
-    rated, pending, residual = scored.withColumns({"rate": F.lit(1.0), **own}), [], None
-
-    def advanced(rate, residuals):
-        for res in residuals:
-            grad = F.lit(-ridge)
-            for i in range(k):
-                grad = grad + F.col(f"_p{i}") * F.lit(float(res[i]))
-            # the rate stands once in its successor, so expressions stay small
-            rate = F.greatest(F.lit(0.0), rate * F.lit(1.0 - pace * ridge) - F.lit(pace) * grad)
-        return rate
-
-    done = 0
-    for done in range(steps + 1):
-        now = advanced(F.col("rate"), pending)
+    rated, applied, before = cut(scored.select("tokens", F.lit(1.0).alias("rate"), *(c.alias(n) for n, c in own.items()))), 0, None
+    mass = [F.col("tokens") * F.col(n) for n in own]
+    for step in range(steps + 1):
+        now = fit.step_on(F.col("rate"), slice(applied, None))
         totals = np.array(rated.agg(*(F.coalesce(F.sum(m * now), F.lit(0.0)) for m in mass)).first(), float)
-        before, residual = residual, (totals - target) / unit
-        if done == steps or np.abs(residual).max() < TOLERANCE or before is not None and np.abs(residual - before).max() < TOLERANCE / 10:
+        fit.totals = dict(zip(domains, totals.tolist()))
+        residual = (totals - target) / unit
+        if step == steps or np.abs(residual).max() < TOLERANCE or before is not None and np.abs(residual - before).max() < TOLERANCE / 10:
             break
-        pending.append(residual)
-        if len(pending) == 8:
-            rated, pending = cut(rated.withColumn("rate", advanced(F.col("rate"), pending))), []
-    out = rated.withColumn("rate", advanced(F.col("rate"), pending)).drop(*own)
-    return out, {"totals": dict(zip(domains, totals.tolist())), "targets": dict(zip(domains, target.tolist())), "steps": done}
+        before = residual
+        fit.residuals.append(residual.tolist())
+        if len(fit.residuals) - applied == 8:
+            rated = cut(rated.withColumn("rate", fit.step_on(F.col("rate"), slice(applied, None))))
+            applied = len(fit.residuals)
+    return fit
 
 
-def mix(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> tuple[DataFrame, list[str], dict]:
-    """The columns ``keep`` with tokens, posterior and rate; the domains; the totals reached.
+def fit_mixture(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> tuple[Classifier, DataFrame, Fit]:
+    """The classifier; the columns ``keep`` with tokens and posterior of every row, cut off; the fitted rates.
 
     Null and empty texts have no tokens; the classifier's prior is their posterior
     and their rate stays 1. Repeated rows are rated alike. Labels without a
@@ -195,8 +223,8 @@ def mix(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str,
     """
     rows = training_rows(docs, labels)
     model = train([r.text for r in rows], [r.domain for r in rows]) if rows else Classifier(["good"], {}, np.zeros((1, 1), np.float32), np.zeros(0, np.float32))
-    rated, report = fit_rates(score(docs, model, keep), model.domains, targets, budget)
-    return rated, model.domains, report
+    scored = cut(score(docs, model, keep))
+    return model, scored, fit_rates(scored, model.domains, targets if rows else {}, budget)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -211,15 +239,20 @@ STAGE_BUDGET = 1.3
 
 
 def mix_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, each row as often as its rate says (none, once or more)."""
+    """docs, all columns, each row as often as its rate says (none, once or more).
+
+    The fit works on tokens and posteriors alone. Whole rows are then scored again
+    and the fit's steps replayed on them, which spares a shuffle of all texts.
+    """
     names = docs.columns
-    rated, _, _ = mix(docs, labels, names, STAGE_TARGETS, STAGE_BUDGET)
-    n = copies(F.col("rate"), F.coalesce(F.col("doc_id"), F.lit(-1)))
-    return rated.withColumn("_copies", n).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in names))
+    model, _, fit = fit_mixture(docs, labels, ["doc_id"], STAGE_TARGETS, STAGE_BUDGET)
+    n = copies(fit.rate(), F.coalesce(F.col("doc_id"), F.lit(-1)))
+    rows = score(docs, model, names).withColumn("_copies", n).filter("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in names))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, domain posteriors and fitted rate of every document."""
-    rated, domains, _ = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
-    shown = {d: F.col("posterior")[i] for i, d in enumerate(domains)}
-    return rated.select("doc_id", "tokens", *(shown.get(d, F.lit(0.0)).alias(f"p_{d}") for d in sorted(TARGETS)), "rate")
+    model, scored, fit = fit_mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    shown = {d: F.col("posterior")[i] for i, d in enumerate(model.domains)}
+    return scored.select("doc_id", "tokens", *(shown.get(d, F.lit(0.0)).alias(f"p_{d}") for d in sorted(TARGETS)), fit.rate().alias("rate"))

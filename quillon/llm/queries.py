@@ -11,10 +11,12 @@ from .mixing import op1_mixing
 from .quality import OP4_SQL, op4_quality
 from .simhash import op8_simhash
 from .sstable import op9_sstable
+from .token_counts import op3_token_counts
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
+    "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_html": op6_html,

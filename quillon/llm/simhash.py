@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices, table
+from .common import cut, located, map_arrow, sized, slices, table
 from .components import connected_components
 
 SHINGLE = 3
@@ -55,17 +55,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * counts > m, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id_col, fp long): one row per row of docs; whole texts."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The columns ``keep`` and fp long: one row per row of docs; whole texts."""
+    own = [F.col(f"`{c}`") for c in keep]
+    schema = docs.select(*own).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in slices(batch, [id_col, text_col]):
+            for *kept, texts in slices(batch, batch.schema.names):
                 fps = np.fromiter((fingerprint(t, shingle) for t in texts.to_pylist()), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], names=schema.names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
-    return map_arrow(rows, run, f"`{id_col}` long, fp long")
+    return map_arrow(docs.select(*own, F.col(text_col).alias("_simhash_text")), run, schema)
 
 
 def _cells(fp) -> list:
@@ -185,24 +186,46 @@ def links(unique: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return map_arrow(dealt_out, _compare(radius), "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row per row of docs: (id_col, fp long, component_id).
+def simhash_classes(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(keep..., fp) of every row of docs, and (fp, root) of every distinct fingerprint.
 
-    component_id is the smallest identifier reachable over links of fingerprints
-    that differ in at most ``radius`` (0 to 3) bits. Null, empty and wordless
-    texts have fingerprint 0 and link like others. Rows with the same text always
-    share a component; null identifiers take part and get the component of their
-    text. Other columns of docs are ignored; an empty table gives an empty result.
+    root is the smallest fingerprint reachable over links of at most ``radius``
+    (0 to 3) differing bits. Null, empty and wordless texts have fingerprint 0 and
+    link like others. An empty table gives empty results.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("radius must be 0 to 3")
-    prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    unique = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    found = cut(connected_components(links(unique.select("fp"), radius, tile)))
-    rooted = unique.join(found, unique.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    prints = cut(fingerprints(docs, keep, text_col, shingle))
+    unique = cut(prints.select("fp").distinct())
+    found = cut(connected_components(links(unique, radius, tile)))
+    return prints, unique.join(found, unique.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row per row of docs: (id_col, fp long, component_id).
+
+    component_id is the smallest identifier of the row's class (see
+    ``simhash_classes``). Rows with the same text always share a component; null
+    identifiers take part and get the component of their text. Columns other than
+    the two named are not read.
+    """
+    prints, classes = simhash_classes(docs, [id_col], text_col, shingle, radius, tile)
+    first = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")))
+    rooted = cut(classes.join(first, "fp"))
     low = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    classes = cut(rooted.join(low, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp", "left").select(id_col, "fp", "component_id")
+    named = cut(rooted.join(low, "root").select("fp", "component_id"))
+    return prints.join(named, "fp", "left").select(id_col, "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each class: that of the smallest identifier (null last), then of the first place."""
+    rows = located(docs)
+    prints, classes = simhash_classes(rows, [id_col, "_file_key", "_row"], text_col)
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_file_key"), F.col("_row"))
+    least = cut(prints.groupBy("fp").agg(F.min(order).alias("best")).join(classes, "fp").groupBy("root").agg(F.min("best").alias("best")))
+    stays = cut(classes.join(least, "root").select("fp", F.col("best._file_key").alias("k"), F.col("best._row").alias("r")))
+    gone = prints.join(stays, "fp").filter("NOT (k = _file_key AND r = _row)").select("_file_key", "_row")
+    return located(docs).join(sized(gone), ["_file_key", "_row"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
