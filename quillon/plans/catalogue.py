@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from quillon.plans import agreement_queries  # noqa: F401
