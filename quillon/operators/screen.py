@@ -16,7 +16,8 @@ def title_screen(rows: DataFrame, pattern: str, path: str = "path") -> DataFrame
 def term_counts(rows: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
     """(screen, term, n, rows): how often each matched term occurs, by screen."""
     low = F.lower(F.col(text))
-    parts = F.flatten(F.array(*(F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(0)), lambda t, s=s: F.struct(F.lit(s).alias("screen"), t.alias("term"))) for s, p in patterns.items())))
+    named = lambda screen: lambda t: F.struct(F.lit(screen).alias("screen"), t.alias("term"))
+    parts = F.flatten(F.array(*(F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(0)), named(s)) for s, p in patterns.items())))
     hits = rows.select(F.explode(parts).alias("h"))
     return hits.groupBy("h.screen", "h.term").agg(F.count(F.lit(1)).alias("n"))
 
