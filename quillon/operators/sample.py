@@ -166,3 +166,29 @@ def tiered(rows: DataFrame, tier: Column, order: list, group: str) -> DataFrame:
     """Adds tier and, within it, a round-robin position over the groups."""
     t = rows.withColumn("tier", tier)
     return t.withColumn("position", F.row_number().over(W.partitionBy("tier", group).orderBy(*order)))
+
+
+def stratified_sample(rows: DataFrame, label: str, creator: str, key: str, per_label: int, per_creator: int, uniform: int = 0, seed: int = 0) -> DataFrame:
+    """per_label rows of each class, at most per_creator of a creator in it, and a uniform slice of the others. Adds slice."""
+    h = hash_order(seed, F.col(key))
+    a = F.row_number().over(W.partitionBy(label, creator).orderBy(h, key))
+    b = F.row_number().over(W.partitionBy(label).orderBy(h, key))
+    strata = rows.withColumn("_a", a).filter(F.col("_a") <= per_creator).withColumn("_b", b).filter(F.col("_b") <= per_label).drop("_a", "_b").withColumn("slice", F.lit("stratum"))
+    rest = rows.join(strata.select(key), key, "left_anti").orderBy(hash_order(seed + 1, F.col(key)), key).limit(uniform).withColumn("slice", F.lit("uniform"))
+    return strata.unionByName(rest)
+
+
+def biggest_first(rows: DataFrame, label: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows taken round-robin over the classes, the biggest class first."""
+    size = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    position = F.row_number().over(W.partitionBy(label).orderBy(hash_order(seed, F.col(key)), key))
+    return rows.withColumn("_p", position).filter(F.col("_p") <= n).join(size, label).orderBy("_p", F.col("_n").desc(), label).limit(n).drop("_p", "_n")
+
+
+def voice_bank(rows: DataFrame, corpus: str, creator: str, kind: list[str], key: str, default: Column, n: int, seed: int = 0) -> DataFrame:
+    """One recording a creator, the default set first within each kind, corpora in turn; at most n of a kind."""
+    one = F.row_number().over(W.partitionBy(creator).orderBy(default.desc(), hash_order(seed, F.col(key)), key))
+    single = rows.withColumn("_d", default).withColumn("_o", one).filter("_o = 1")
+    turn = F.row_number().over(W.partitionBy(*kind, corpus).orderBy(F.col("_d").desc(), hash_order(seed, F.col(key)), key))
+    rank = F.row_number().over(W.partitionBy(*kind).orderBy(F.col("_d").desc(), "_t", corpus, key))
+    return single.withColumn("_t", turn).withColumn("rank", rank).filter(F.col("rank") <= n).drop("_d", "_o", "_t")

@@ -310,3 +310,80 @@ def word_error_rate(pairs: DataFrame, reference: str = "reference", heard: str =
     n = F.size(F.regexp_extract_all(F.lower(reference), F.lit("[a-z']+"), F.lit(0)))
     out = pairs.withColumn("_e", errors(reference, heard)).select("*", "_e.*").drop("_e")
     return out.withColumn("wer", (F.col("deletions") + F.col("insertions") + F.col("substitutions")) / F.greatest(n, F.lit(1)))
+
+
+def chapter_windows(chapters: DataFrame, size: float = 4.0, hop: float = 3.0, most: int = 20, seed: int = 0) -> DataFrame:
+    """chapters(id, start, end) -> (id, window_start): windows a hop apart that fit, at most ``most`` of a chapter by hash."""
+    n = F.floor((F.col("end") - F.col("start") - size) / hop)
+    w = chapters.filter(F.col("end") - F.col("start") >= size).select("id", (F.col("start") + F.explode(F.sequence(F.lit(0).cast("long"), n)) * hop).alias("window_start"))
+    r = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), "id", "window_start"), "window_start"))
+    return w.withColumn("_r", r).filter(F.col("_r") <= most).drop("_r")
+
+
+def plan_script(text: str, longest: float = 12.0, words_a_second: float = 2.2) -> list[str]:
+    """Sentences packed into chunks of at most this many predicted seconds; longer ones split at commas, then at words."""
+    limit = max(1, int(longest * words_a_second))
+    pieces: list[str] = []
+    for sentence in re.findall(r"[^.!?]+[.!?]*", text or ""):
+        parts = [sentence] if len(sentence.split()) <= limit else re.findall(r"[^,]+,?", sentence)
+        for part in parts:
+            words = part.split()
+            pieces += [" ".join(words[i : i + limit]) for i in range(0, len(words), limit)]
+    chunks: list[str] = []
+    for p in pieces:
+        if chunks and len(chunks[-1].split()) + len(p.split()) <= limit:
+            chunks[-1] += " " + p
+        else:
+            chunks.append(p)
+    return chunks
+
+
+def planned_scripts(scripts: DataFrame, text: str = "text", longest: float = 12.0) -> DataFrame:
+    """Adds chunks array<string>."""
+
+    @F.pandas_udf("array<string>")
+    def plan(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: plan_script(t, longest))
+
+    return scripts.withColumn("chunks", plan(text))
+
+
+def gap_plan(words: Column, tags: dict[str, float], sentence: float = 0.6, comma: float = 0.25) -> Column:
+    """Least silence after each word of an array: by its tag in brackets, a sentence's end or a comma, the largest of them."""
+    table = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])
+    return F.transform(
+        words,
+        lambda w: F.greatest(F.coalesce(F.try_element_at(table, F.regexp_extract(w, r"\[([^\]]+)\]", 1)), F.lit(0.0)), F.when(w.rlike(r"[.!?]$"), sentence).when(w.endswith(","), comma).otherwise(0.0)),
+    )
+
+
+def retag(windows: DataFrame, verdicts: DataFrame, least: float = 0.5) -> DataFrame:
+    """windows(uid, tag) and verdicts(uid, label, conf) -> uid, tag as judged and why: confirmed, changed, pause or dropped."""
+    j = windows.join(verdicts, "uid", "left")
+    sure = F.coalesce(F.col("conf") >= least, F.lit(False))
+    why = F.when(sure & (F.col("label") == F.col("tag")), "confirmed").when(sure & (F.col("label") == "other"), "dropped").when(sure, "changed").otherwise("pause")
+    return j.withColumn("why", why).select("uid", F.when(F.col("why") == "pause", "pause").when(F.col("why") != "dropped", F.col("label")).alias("tag"), "why")
+
+
+def take_scores(takes: DataFrame, script: str = "script", heard: str = "heard") -> DataFrame:
+    """Adds word_err (indices of script words that a diff replaced or deleted) and score: errors, and thrice each laugh."""
+    import difflib
+
+    @F.pandas_udf("array<int>")
+    def wrong(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            x, y = (re.findall(r"[a-z']+", (t or "").lower()) for t in (x, y))
+            ops = difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_opcodes()
+            return [i for op, i0, i1, _, _ in ops if op in ("replace", "delete") for i in range(i0, i1)]
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+    laughs = F.regexp_count(F.lower(F.coalesce(heard, F.lit(""))), F.lit(r"\bha(?:ha)+\b"))
+    return takes.withColumn("word_err", wrong(script, heard)).withColumn("score", (F.size("word_err") + 3 * laughs).cast("double"))
+
+
+def balance(left: Column, right: Column, parts: int = 2) -> Column:
+    """Stereo balance (-1 left to 1 right) of each part of two sample arrays, by their energies."""
+    n = F.floor(F.size(left) / parts).cast("int")
+    energy = lambda a, k: F.aggregate(F.slice(a, k * n + 1, n), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: (energy(right, k) - energy(left, k)) / F.greatest(energy(left, k) + energy(right, k), F.lit(1e-12)))
