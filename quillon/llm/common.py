@@ -73,14 +73,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with _file (text), _file_key and _row: where each row's content lies.
+    """docs with _quillon_file (text), _quillon_key and _quillon_row: where each row's content lies.
 
     Needs the file metadata of a scan; rows from elsewhere are written to the
     shared folder first.
     """
     try:
         meta = docs.metadataColumn("_metadata")
-        return docs.withColumns({"_file": meta["file_path"], "_row": meta["row_index"]}).withColumn("_file_key", F.xxhash64("_file"))
+        return docs.withColumns({"_quillon_file": meta["file_path"], "_quillon_row": meta["row_index"]}).withColumn("_quillon_key", F.xxhash64("_quillon_file"))
     except Exception as e:
         if "_metadata" not in str(e):
             raise

@@ -68,7 +68,7 @@ def stream_state(spark: SparkSession, ledger: str, files_per_batch: int | None =
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
-    """One row per row of docs: id, digest, keep_id, group_size, kept, _file_key, _row.
+    """One row per row of docs: id, digest, keep_id, group_size, kept, _quillon_key, _quillon_row.
 
     Texts are equal when identical without ASCII white space; null and empty are
     equal. The row with the most code points stays, then the smallest identifier
@@ -80,7 +80,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) if {id_col, text_col} <= set(docs.columns) else docs)
     norm = normalised(F.col("text"))
     ledger = scratch(spark, "dedup-ledger")
-    rows.select("id", digest(norm).alias("digest"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.col("_file").alias("file"), F.col("_file_key").alias("file_key"), F.col("_row").alias("row")).write.parquet(ledger)
+    rows.select("id", digest(norm).alias("digest"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.col("_quillon_file").alias("file"), F.col("_quillon_key").alias("file_key"), F.col("_quillon_row").alias("row")).write.parquet(ledger)
     state = cut(stream_state(spark, ledger, files_per_batch))  # so that the join below is one that can split hot digests
     entries = spark.read.parquet(ledger).select("id", "digest", "n", "file_key", "row")
     joined = cut(
@@ -89,26 +89,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
     )
     # Full bytes on hits: the texts of digests met more than once, one copy of each per map task.
-    hits = joined.filter("group_size > 1").select(F.col("file_key").alias("_file_key"), F.col("row").alias("_row"))
-    met = rows.join(sized(hits), ["_file_key", "_row"], "left_semi").select(norm.alias("norm"))
+    hits = joined.filter("group_size > 1").select(F.col("file_key").alias("_quillon_key"), F.col("row").alias("_quillon_row"))
+    met = rows.join(sized(hits), ["_quillon_key", "_quillon_row"], "left_semi").select(norm.alias("norm"))
     variants = met.groupBy("norm").agg(F.count(F.lit(1)).alias("rows")).select(digest(F.col("norm")).alias("digest"))
     clash = cut(variants.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"))
     if clash.isEmpty():
         out = joined
     else:
-        again = rows.select("id", digest(norm).alias("digest"), norm.alias("norm"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.col("_file").alias("file"), F.col("_file_key").alias("file_key"), F.col("_row").alias("row")).join(clash, "digest", "left_semi")
+        again = rows.select("id", digest(norm).alias("digest"), norm.alias("norm"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.col("_quillon_file").alias("file"), F.col("_quillon_key").alias("file_key"), F.col("_quillon_row").alias("row")).join(clash, "digest", "left_semi")
         groups = again.groupBy("norm").agg(F.min(_best()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         apart = again.join(groups, "norm").select(
             "id", "digest", "n", "file_key", "row", F.col("keep.id").alias("keep_id"), "group_size", ((F.col("keep.file_key") == F.col("file_key")) & (F.col("keep.row") == F.col("row"))).alias("kept")
         )
         out = joined.join(clash, "digest", "left_anti").unionByName(apart)
-    return out.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", "kept", F.col("file_key").alias("_file_key"), F.col("row").alias("_row"))
+    return out.select(F.col("id").alias(id_col), "digest", "keep_id", "group_size", "kept", F.col("file_key").alias("_quillon_key"), F.col("row").alias("_quillon_row"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows that exact_groups drops."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select("_file_key", "_row")
-    return located(docs).join(sized(gone), ["_file_key", "_row"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = exact_groups(docs, id_col, text_col).filter("not kept").select("_quillon_key", "_quillon_row")
+    return located(docs).join(sized(gone), ["_quillon_key", "_quillon_row"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

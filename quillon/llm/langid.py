@@ -216,8 +216,8 @@ def fit(docs: DataFrame) -> Model:
     return train([r.text for r in rows if r.text], [r.lang for r in rows if r.text])
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns ``keep`` (default: the id), lang_pred string, score double.
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns ``keep`` (default: the id), then the language (string) and its score (double) under ``names``.
 
     Whole texts. Null, empty and letterless texts give ``und`` with score 0, and so
     do all texts if the model has learned no language; with one language it is
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     keep = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add(names[0], "string").add(names[1], "double")
     at = keep.index(text_col) if text_col in keep else len(keep)  # a kept text is sent once
     rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])))
 
@@ -256,8 +256,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """docs, all columns, without rows whose language is ``und`` or scored below min_score."""
-    judged = predict(docs, fit(docs), keep=docs.columns)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    judged = predict(docs, fit(docs), keep=docs.columns, names=("_quillon_lang", "_quillon_score"))
+    return judged.filter((F.col("_quillon_lang") != UNKNOWN) & (F.col("_quillon_score") >= min_score)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,12 +120,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, buckets: int = SAMPLE_BUCK
     return sorted(rows.collect(), key=lambda r: (r.domain, r.doc_id, r.text))
 
 
-def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep``, tokens long (white-space words of the whole text), posterior array<double>."""
+def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("tokens", "posterior")) -> DataFrame:
+    """The columns ``keep``, then tokens (long: white-space words of the whole text) and posterior (array<double>) under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [F.col(f"`{c}`") for c in keep]
     at = keep.index(text_col) if text_col in keep else len(keep)  # a kept text is sent once
-    schema = docs.select(*own).schema.add("tokens", "long").add("posterior", T.ArrayType(T.DoubleType()))
+    schema = docs.select(*own).schema.add(names[0], "long").add(names[1], T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -161,7 +161,7 @@ class Fit:
             rate = F.greatest(F.lit(0.0), rate * F.lit(1.0 - self.pace * self.ridge) - F.lit(self.pace) * grad)
         return rate
 
-    def rate(self) -> Column:
+    def rate(self, tokens: str = "tokens", posterior: str = "posterior") -> Column:
         """The rate after all steps, for rows with tokens and posterior; 1 without tokens."""
         if not self.residuals:
             return F.lit(1.0)
@@ -169,11 +169,11 @@ class Fit:
         def step(rate: Column, res: Column) -> Column:
             grad = F.lit(-self.ridge)
             for i in range(len(self.domains)):
-                grad = grad + F.get("posterior", F.lit(i)) * F.get(res, F.lit(i))
+                grad = grad + F.get(posterior, F.lit(i)) * F.get(res, F.lit(i))
             return F.greatest(F.lit(0.0), rate * F.lit(1.0 - self.pace * self.ridge) - F.lit(self.pace) * grad)
 
         history = F.from_json(F.lit(json.dumps(self.residuals)), "array<array<double>>")
-        return F.when(F.col("tokens") > 0, F.aggregate(history, F.lit(1.0), step)).otherwise(F.lit(1.0))
+        return F.when(F.col(tokens) > 0, F.aggregate(history, F.lit(1.0), step)).otherwise(F.lit(1.0))
 
 
 def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float] = TARGETS, budget: float = BUDGET, steps: int = STEPS, ridge: float = RIDGE) -> Fit:
@@ -246,9 +246,10 @@ def mix_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     names = docs.columns
     model, _, fit = fit_mixture(docs, labels, ["doc_id"], STAGE_TARGETS, STAGE_BUDGET)
-    n = copies(fit.rate(), F.coalesce(F.col("doc_id"), F.lit(-1)))
-    rows = score(docs, model, names).withColumn("_copies", n).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in names))
+    own = ("_quillon_tokens", "_quillon_posterior")
+    n = copies(fit.rate(*own), F.coalesce(F.col("doc_id"), F.lit(-1)))
+    rows = score(docs, model, names, names=own).withColumn("_quillon_copies", n).filter("_quillon_copies > 0")
+    return rows.withColumn("_quillon_copy", F.explode(F.sequence(F.lit(1), F.col("_quillon_copies")))).select(*(F.col(f"`{c}`") for c in names))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

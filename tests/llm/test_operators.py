@@ -400,3 +400,22 @@ def test_mixing_without_labels_or_rows(spark, docs, nothing):
 def test_mixing_training_is_bounded(spark, docs):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 11)], "doc_id long, quality int, toxic int")
     assert len(mixing.training_rows(docs, labels, buckets=2)) <= 3
+
+
+# -- stages keep all columns, whatever their names
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "d.parquet")
+    docs = spark.createDataFrame([(i, ENGLISH + f"number {i} {'x' * i}", "en" if i % 2 else "de") for i in range(12)], "doc_id long, text string, lang string")
+    for c in ("tokens", "posterior", "rate", "score", "lang_pred", "fp", "root", "digest", "id", "n", "_row", "_file", "_copies", "norm", "keep_id"):
+        docs = docs.withColumn(c, F.lit(c))
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    for out in (langid.keep_known(docs), exact.drop_exact_copies(docs), simhash.drop_near_copies(docs), mixing.mix_stage(docs, labels)):
+        assert out.columns == docs.columns
+        first = out.first()
+        assert first is not None and all(first[c] == c for c in docs.columns[3:])
