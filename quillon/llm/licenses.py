@@ -21,8 +21,6 @@ from .common import table
 
 #: Lower-cased, a word is a run of digits, letters a to z and characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same runs before lower-casing.
-WORD_RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE: dict[str, str] = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -139,12 +137,18 @@ RULES = _rules()
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def gate_pattern(rules: tuple[Rule, ...] = RULES) -> str:
-    """Matches every raw text in which a base phrase or a rule's keyword can occur."""
-    phrases = sorted({r.keyword for r in rules} | {"license"} | {p for p in BASE if "license" not in p})
-    # a keyword may begin or end inside a word, as contains() lets it; between its words anything that separates
-    covered = [p for p in phrases if not any(q != p and q in p for q in phrases)]
-    return "(?i)" + "|".join(p.replace(" ", _GAP) for p in covered)
+#: Every rule's matches hold one of these, and so does every base phrase but "cc by".
+GATE = ("licen", "gpl", "apache", "cc0", "commons", "domain", "reserved", "rail", "0bsd", "attribution")
+
+
+def gate(text: Column) -> Column:
+    """Whether a raw text can hold a base phrase or a rule's match: plain substring searches, and "cc by" with any gap.
+
+    Lower-casing beyond ASCII can only add candidates.
+    """
+    low = F.lower(text)
+    plain = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in GATE])
+    return plain | (F.contains(low, F.lit("cc")) & text.rlike(f"(?i)cc{_GAP}by"))
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -158,8 +162,8 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     text = F.coalesce(F.col(text_col), F.lit(""))
     gated = docs.select(
         *own,
-        F.regexp_count(text, F.lit(WORD_RAW)).cast("long").alias("n_words"),
-        F.when(text.rlike(gate_pattern(rules)), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("_w"),
+        F.size(F.array_remove(F.split(text, _GAP), "")).cast("long").alias("n_words"),
+        F.when(gate(text), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("_w"),
     )
     joined = gated.select(*own, "n_words", "_w", F.when(F.col("_w").isNotNull(), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))).alias("_s"))
 
