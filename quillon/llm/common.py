@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
 _shipped: set[str] = set()
 
 
+#: Of an Arrow batch sent to Python: rows, so that a batch of very long texts stays small.
+ARROW_ROWS = 500
+
+
+def _trim() -> None:
+    """Give freed memory back to the system: a worker process outlives its task and serves later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package sent to the executors once per application."""
-    sc = df.sparkSession.sparkContext
+    """``df.mapInArrow`` over small batches, with this package sent to the executors once per application."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="quillon-ship-")) / f"{root.name}.zip"  # the driver serves it
@@ -51,7 +69,13 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(str(archive))
         _shipped.add(sc.applicationId)
-    return df.mapInArrow(function, schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+    def trimmed(batches):
+        yield from function(batches)
+        _trim()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def scratch(spark: SparkSession, what: str) -> str:
