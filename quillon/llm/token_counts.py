@@ -102,15 +102,15 @@ def build(texts: list[str], bpe) -> list[SegmentTree]:
     return out
 
 
-def edit(tree: SegmentTree, at: int, remove: int, insert: str, bpe) -> tuple[SegmentTree, int]:
-    """Replace ``remove`` characters from ``at`` on by ``insert``; the tree and how many characters were encoded.
+def touched(tree: SegmentTree, at: int, remove: int, insert: str) -> tuple[int, int, str] | None:
+    """First and last segment that an edit touches, boundary context included, and their text after it; None if it changes nothing.
 
-    Places beyond the text count as its end.
+    The edit replaces ``remove`` characters from ``at`` on by ``insert``; places beyond the text count as its end.
     """
     at = max(0, min(at, tree.length))
     remove = max(0, min(remove, tree.length - at))
     if not remove and not insert:
-        return tree, 0
+        return None
     first, inside = tree.find(at)
     last = first if not remove else max(first, tree.find(at + remove - 1)[0])
     region = "".join(tree.leaves[first : last + 1])
@@ -121,17 +121,38 @@ def edit(tree: SegmentTree, at: int, remove: int, insert: str, bpe) -> tuple[Seg
         region = tree.leaves[first] + region
         if tree.leaves[first] and _SPACE.match(tree.leaves[first]):
             break
-    if len(region) > LARGEST:
-        leaves = tree.leaves[:first] + segments(region) + tree.leaves[last + 1 :]
-        pieces = segments(region)
-        _, ends = bpe.encode(pieces)
-        own = tree.tokens[tree.size : tree.size + len(tree.leaves)]
-        return SegmentTree(leaves, own[:first] + (ends[1:] - ends[:-1]).tolist() + own[last + 1 :]), len(region)
-    _, ends = bpe.encode([region])
-    tree.put(first, region, int(ends[1]))
-    for leaf in range(first + 1, last + 1):
-        tree.put(leaf, "", 0)
-    return tree, len(region)
+    return first, last, region
+
+
+def replaced(tree: SegmentTree, first: int, last: int, pieces: list[str], counts: list[int]) -> SegmentTree:
+    """The tree with the touched segments replaced: their text in the first of them, or, if it was cut anew, a new tree."""
+    if len(pieces) == 1:
+        tree.put(first, pieces[0], counts[0])
+        for leaf in range(first + 1, last + 1):
+            tree.put(leaf, "", 0)
+        return tree
+    own = tree.tokens[tree.size : tree.size + len(tree.leaves)]
+    return SegmentTree(tree.leaves[:first] + pieces + tree.leaves[last + 1 :], own[:first] + counts + own[last + 1 :])
+
+
+def edit_together(trees: list[SegmentTree], edits: list[tuple[int, int, str] | None], bpe) -> list[int]:
+    """Apply one edit (at, remove, insert) to each tree that has one, in place; the touched regions of all are encoded
+    in one call. How many characters each had encoded."""
+    found = [None if e is None else touched(t, *e) for t, e in zip(trees, edits)]
+    pieces = [[] if f is None else segments(f[2]) if len(f[2]) > LARGEST else [f[2]] for f in found]
+    _, ends = bpe.encode([p for ps in pieces for p in ps])
+    counts, k = (ends[1:] - ends[:-1]).tolist(), 0
+    for i, (f, ps) in enumerate(zip(found, pieces)):
+        if f is not None:
+            trees[i] = replaced(trees[i], f[0], f[1], ps, counts[k : k + len(ps)])
+            k += len(ps)
+    return [0 if f is None else len(f[2]) for f in found]
+
+
+def edit(tree: SegmentTree, at: int, remove: int, insert: str, bpe) -> tuple[SegmentTree, int]:
+    """One edit of one tree: the tree and how many characters were encoded."""
+    trees = [tree]
+    return (n := edit_together(trees, [(at, remove, insert)], bpe)) and (trees[0], n[0])
 
 
 def count_with_edits(docs: DataFrame, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep_text: bool = False) -> DataFrame:
@@ -151,11 +172,12 @@ def count_with_edits(docs: DataFrame, edits_col: str = "edits", id_col: str = "d
             for keys, texts, edits in slices(batch, ["id", "text", "edits"], 4 << 20):
                 trees = build([t or "" for t in texts.to_pylist()], bpe)
                 before, encoded = [t.total for t in trees], [0] * len(trees)
-                for k, wanted in enumerate(edits.to_pylist()):
-                    for e in wanted or []:
-                        if e is not None:
-                            trees[k], n = edit(trees[k], e["at"] or 0, e["remove"] or 0, e["insert"] or "", bpe)
-                            encoded[k] += n
+                wanted = [w or [] for w in edits.to_pylist()]
+                # edits of a text come one after another; the n-th of all texts are taken together
+                for number in range(max(map(len, wanted), default=0)):
+                    now = [(e["at"] or 0, e["remove"] or 0, e["insert"] or "") if number < len(w) and (e := w[number]) is not None else None for w in wanted]
+                    for k, n in enumerate(edit_together(trees, now, bpe)):
+                        encoded[k] += n
                 out = [keys, pa.array(before, pa.int64()), pa.array([t.total for t in trees], pa.int64()), pa.array([t.length for t in trees], pa.int64()), pa.array(encoded, pa.int64())]
                 if keep_text:
                     out.append(pa.array([t.text() for t in trees], pa.string()))
