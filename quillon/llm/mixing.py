@@ -5,15 +5,17 @@ domains. Nonnegative document rates r then minimise
 
     sum_k (sum_d tokens_d p_dk r_d - target_k)^2 / (2 target_k) + RIDGE / 2 sum_d tokens_d (r_d - 1)^2
 
-by projected gradient steps in the norm weighted by tokens, in which long and short
-documents move alike. A step needs one sum of K numbers over all documents (a
-distributed aggregation) and changes each rate by its own posteriors alone, so
-nothing per document ever reaches the driver.
+to convergence. At the minimum r_d = max(0, 1 - sum_k p_dk m_k / RIDGE), where the
+multipliers m are the relative residuals: Newton steps with line search on the convex
+dual of these K numbers find them, until the projected gradient of the rates (weighted
+by tokens) is below TOLERANCE. A step needs one sum of K + K (K + 1) / 2 + 1 numbers
+over all documents (a distributed aggregation), and a rate follows from the K
+multipliers and the document's own posteriors, so nothing per document ever reaches
+the driver.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +36,10 @@ TARGETS: dict[str, float] = {"good": 0.85, "poor": 0.13, "toxic": 0.02}
 #: Tokens of the mixture, as a multiple of the corpus.
 BUDGET = 1.0
 RIDGE = 1e-3
-STEPS = 60
-TOLERANCE = 1e-4
+#: Largest projected gradient of a fit; a rate is within TOLERANCE / RIDGE of the minimum's.
+TOLERANCE = 1e-8
+#: Passes after which a fit that has not converged fails.
+STEPS = 200
 
 
 @dataclass
@@ -142,75 +146,80 @@ def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "
 
 @dataclass
 class Fit:
-    """Residuals of each step taken; a document's rate follows from them and its own posterior."""
+    """One multiplier a domain; a document's rate follows from them and its own posterior."""
 
     domains: list[str]
-    pace: float
     ridge: float
-    residuals: list[list[float]]
+    multipliers: list[float]
     totals: dict[str, float]
     targets: dict[str, float]
-
-    def step_on(self, rate: Column, steps: slice) -> Column:
-        """The rate after these steps, from rows with columns _p0, _p1, ... (posteriors, 0 without tokens)."""
-        for res in self.residuals[steps]:
-            grad = F.lit(-self.ridge)
-            for i, r in enumerate(res):
-                grad = grad + F.col(f"_p{i}") * F.lit(float(r))
-            # the rate stands once in its successor, so expressions stay small
-            rate = F.greatest(F.lit(0.0), rate * F.lit(1.0 - self.pace * self.ridge) - F.lit(self.pace) * grad)
-        return rate
+    steps: int = 0
+    #: Bound of the projected gradient at these rates.
+    gap: float = 0.0
 
     def rate(self, tokens: str = "tokens", posterior: str = "posterior") -> Column:
-        """The rate after all steps, for rows with tokens and posterior; 1 without tokens."""
-        if not self.residuals:
+        """The fitted rate, for rows with tokens and posterior; 1 without tokens."""
+        if not self.multipliers:
             return F.lit(1.0)
+        return F.when(F.col(tokens) > 0, _rate([F.get(posterior, F.lit(i)) for i in range(len(self.domains))], self.multipliers, self.ridge)).otherwise(F.lit(1.0))
 
-        def step(rate: Column, res: Column) -> Column:
-            grad = F.lit(-self.ridge)
-            for i in range(len(self.domains)):
-                grad = grad + F.get(posterior, F.lit(i)) * F.get(res, F.lit(i))
-            return F.greatest(F.lit(0.0), rate * F.lit(1.0 - self.pace * self.ridge) - F.lit(self.pace) * grad)
 
-        history = F.from_json(F.lit(json.dumps(self.residuals)), "array<array<double>>")
-        return F.when(F.col(tokens) > 0, F.aggregate(history, F.lit(1.0), step)).otherwise(F.lit(1.0))
+def _rate(posterior: list[Column], multipliers: list[float], ridge: float) -> Column:
+    rate = F.lit(1.0)
+    for p, m in zip(posterior, multipliers):
+        rate = rate - p * F.lit(float(m) / ridge)
+    return F.greatest(F.lit(0.0), rate)
 
 
-def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float] = TARGETS, budget: float = BUDGET, steps: int = STEPS, ridge: float = RIDGE) -> Fit:
+def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float] = TARGETS, budget: float = BUDGET, ridge: float = RIDGE) -> Fit:
     """Fit rates to scored(tokens, posterior); the table should be cut off, as every step reads it.
 
     A domain that no document can be in keeps a target that cannot be met; targets
     of domains the classifier doesn't know are left out and the others rescaled.
-    Documents without tokens keep rate 1.
+    Documents without tokens keep rate 1. Raises RuntimeError if the projected
+    gradient doesn't come below TOLERANCE.
     """
     k = len(domains)
     known = {d: targets[d] for d in domains if targets.get(d, 0) > 0}
-    mass = [(F.col("tokens") * F.col("posterior")[i]) for i in range(k)]
-    first = scored.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), *(F.coalesce(F.sum(mass[i] * F.col("posterior")[j]), F.lit(0.0)).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    total, share = float(first.tokens), sum(known.values())
+    total, share = float(scored.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]), sum(known.values())
     if not total or not share:
-        return Fit(domains, 0.0, ridge, [], {}, {})
-    target = np.array([known.get(d, 0.0) / share * budget * total for d in domains])
-    unit = np.maximum(target, 1e-6 * total)
-    # In that norm the Hessian has the nonzero eigenvalues of this K x K matrix, plus the ridge: they bound the step.
-    gram = np.array([[first[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    fit = Fit(domains, float(1.0 / (np.linalg.eigvalsh(gram / np.sqrt(np.outer(unit, unit)))[-1] + ridge)), ridge, [], {}, dict(zip(domains, target.tolist())))
-    own = {f"_p{i}": F.when(F.col("tokens") > 0, F.col("posterior")[i]).otherwise(0.0) for i in range(k)}
-    rated, applied, before = cut(scored.select("tokens", F.lit(1.0).alias("rate"), *(c.alias(n) for n, c in own.items()))), 0, None
-    mass = [F.col("tokens") * F.col(n) for n in own]
-    for step in range(steps + 1):
-        now = fit.step_on(F.col("rate"), slice(applied, None))
-        totals = np.array(rated.agg(*(F.coalesce(F.sum(m * now), F.lit(0.0)) for m in mass)).first(), float)
-        fit.totals = dict(zip(domains, totals.tolist()))
-        residual = (totals - target) / unit
-        if step == steps or np.abs(residual).max() < TOLERANCE or before is not None and np.abs(residual - before).max() < TOLERANCE / 10:
-            break
-        before = residual
-        fit.residuals.append(residual.tolist())
-        if len(fit.residuals) - applied == 8:
-            rated = cut(rated.withColumn("rate", fit.step_on(F.col("rate"), slice(applied, None))))
-            applied = len(fit.residuals)
-    return fit
+        return Fit(domains, ridge, [], {}, {})
+    target = np.array([known.get(d, 0.0) / share * budget for d in domains])  # as all sums below, in multiples of the corpus
+    unit = np.maximum(target, 1e-6)
+    own = scored.filter("tokens > 0").select((F.col("tokens") / F.lit(total)).alias("w"), *(F.col("posterior")[i].alias(f"p{i}") for i in range(k)))
+    posterior, upper = [F.col(f"p{i}") for i in range(k)], [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(multipliers: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+        """Totals at these multipliers; the dual function, its gradient and its generalised Hessian."""
+        rated = own.withColumn("rate", _rate(posterior, multipliers.tolist(), ridge))
+        rate, w = F.col("rate"), F.col("w")
+        moves = F.when(rate > 0, w).otherwise(0.0)
+        row = rated.agg(F.sum(w * rate * rate), *(F.sum(w * rate * p) for p in posterior), *(F.sum(moves * posterior[i] * posterior[j]) for i, j in upper)).first()
+        totals, gram = np.array(row[1 : k + 1], float), np.zeros((k, k))
+        for (i, j), q in zip(upper, row[k + 1 :]):
+            gram[i, j] = gram[j, i] = q
+        value = unit @ multipliers**2 / 2 + target @ multipliers + ridge / 2 * row[0]
+        return totals, float(value), unit * multipliers + target - totals, np.diag(unit) + gram / ridge
+
+    now, steps = np.zeros(k), 0
+    totals, value, grad, hessian = at(now)
+    # grad / unit is the multipliers less the residuals at their rates: no rate's projected gradient is larger
+    while (gap := float(np.abs(grad / unit).max())) > TOLERANCE:
+        root = np.sqrt(np.diag(hessian))  # scaled, as units may differ by a million
+        move = -np.linalg.solve(hessian / np.outer(root, root), grad / root) / root
+        size = 1.0
+        while True:
+            steps += 1
+            if steps > STEPS:
+                raise RuntimeError(f"rates not fitted after {STEPS} steps: projected gradient {gap:.1e}, tolerance {TOLERANCE:.0e}")
+            then = at(now + size * move)
+            # of a convex function; the last steps lower it by less than rounding
+            if then[1] <= value + 1e-4 * size * float(grad @ move) + 1e-12 * (1 + abs(value)):
+                break
+            size /= 2
+        now = now + size * move
+        totals, value, grad, hessian = then
+    return Fit(domains, ridge, now.tolist(), dict(zip(domains, (totals * total).tolist())), dict(zip(domains, (target * total).tolist())), steps, gap)
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> tuple[Classifier, DataFrame, Fit]:
@@ -242,7 +251,7 @@ def mix_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, each row as often as its rate says (none, once or more).
 
     The fit works on tokens and posteriors alone. Whole rows are then scored again
-    and the fit's steps replayed on them, which spares a shuffle of all texts.
+    and rated by the fit's multipliers, which spares a shuffle of all texts.
     """
     names = docs.columns
     model, _, fit = fit_mixture(docs, labels, ["doc_id"], STAGE_TARGETS, STAGE_BUDGET)

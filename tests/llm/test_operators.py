@@ -389,6 +389,32 @@ def test_mixing_meets_targets(spark, tmp_path):
     assert len(same) == 2 and same[0] == same[1]
 
 
+@pytest.mark.parametrize("shares", [(0.33, 0.33, 0.34), (0.5, 0.17, 0.33), (0.2, 0.1, 0.7)])
+def test_mixing_converges_on_skewed_corpora(spark, shares):
+    """Targets that can be met are, whatever share of the tokens a domain holds."""
+    names = ["good", "poor", "toxic"]
+    rows = [(50 + i % 7, [0.995 if k == d else 0.0025 for k in range(3)]) for d, share in enumerate(shares) for i in range(round(1000 * share))]
+    scored = spark.createDataFrame([*rows, (0, [0.3, 0.3, 0.4])], "tokens long, posterior array<double>")
+    fit = mixing.fit_rates(scored, names)
+    total = sum(t for t, _ in rows)
+    out = scored.withColumn("rate", fit.rate()).collect()
+    for k, d in enumerate(names):
+        assert abs(sum(r.tokens * r.posterior[k] * r.rate for r in out) - mixing.TARGETS[d] * total) < 0.01 * mixing.TARGETS[d] * total
+    # the minimum: no rate's gradient points below, none of a positive rate is left
+    residual = [(sum(r.tokens * r.posterior[k] * r.rate for r in out) / total - mixing.TARGETS[d]) / mixing.TARGETS[d] for k, d in enumerate(names)]
+    for r in out:
+        grad = sum(p * x for p, x in zip(r.posterior, residual)) + mixing.RIDGE * (r.rate - 1)
+        assert r.tokens == 0 or abs(grad) < 1e-7 or r.rate == 0 and grad > 0
+    assert {r.rate for r in out if not r.tokens} == {1.0}
+
+
+def test_mixing_says_when_it_does_not_converge(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    scored = spark.createDataFrame([(50, [0.9, 0.1]), (70, [0.2, 0.8]), (3, [0.01, 0.99])], "tokens long, posterior array<double>")
+    with pytest.raises(RuntimeError, match="not fitted"):
+        mixing.fit_rates(scored, ["good", "toxic"])
+
+
 def test_mixing_without_labels_or_rows(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     _, scored, fit = mixing.fit_mixture(docs, none, ["doc_id"])
