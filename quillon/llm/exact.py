@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, located, scratch, sized, table
 
+PLACE = ("_quillon_file", "_quillon_key", "_quillon_row")
 WHITE_SPACE = "\t\n\x0b\x0c\r "
 #: State on disk; without preallocation, which takes megabytes for each of many small stores.
 STATE_STORE = {
@@ -76,8 +77,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     separate rows of one group. An empty table gives an empty result; columns
     other than the two named are not read.
     """
-    spark = docs.sparkSession
-    rows = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) if {id_col, text_col} <= set(docs.columns) else docs)
+    return _groups(located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), id_col, digest, files_per_batch)
+
+
+def _groups(rows: DataFrame, id_col: str, digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
+    """exact_groups of located rows (id, text, PLACE)."""
+    spark = rows.sparkSession
     norm = normalised(F.col("text"))
     ledger = scratch(spark, "dedup-ledger")
     rows.select("id", digest(norm).alias("digest"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.col("_quillon_file").alias("file"), F.col("_quillon_key").alias("file_key"), F.col("_quillon_row").alias("row")).write.parquet(ledger)
@@ -107,8 +112,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows that exact_groups drops."""
-    gone = exact_groups(docs, id_col, text_col).filter("not kept").select("_quillon_key", "_quillon_row")
-    return located(docs).join(sized(gone), ["_quillon_key", "_quillon_row"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = located(docs)  # once: each call may write a copy with places of its own
+    gone = _groups(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *PLACE), id_col).filter("not kept").select("_quillon_key", "_quillon_row")
+    return rows.join(sized(gone), ["_quillon_key", "_quillon_row"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

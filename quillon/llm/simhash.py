@@ -219,13 +219,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one row of each class: that of the smallest identifier (null last), then of the first place."""
-    rows = located(docs)
+    rows = located(docs)  # once: each call may write a copy with places of its own
     prints, classes = simhash_classes(rows, [id_col, "_quillon_key", "_quillon_row"], text_col)
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_quillon_key"), F.col("_quillon_row"))
     least = cut(prints.groupBy("fp").agg(F.min(order).alias("best")).join(classes, "fp").groupBy("root").agg(F.min("best").alias("best")))
     stays = cut(classes.join(least, "root").select("fp", F.col("best._quillon_key").alias("k"), F.col("best._quillon_row").alias("r")))
     gone = prints.join(stays, "fp").filter("NOT (k = _quillon_key AND r = _quillon_row)").select("_quillon_key", "_quillon_row")
-    return located(docs).join(sized(gone), ["_quillon_key", "_quillon_row"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(sized(gone), ["_quillon_key", "_quillon_row"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from quillon.llm import bpe, components, exact, html, langid, licenses, mixing, quality, simhash, sstable, token_counts
 from quillon.llm.common import scratch
 
-from .conftest import ENGLISH, rows
+from .conftest import ENGLISH, GERMAN, rows
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -445,3 +445,18 @@ def test_stages_keep_clashing_columns(spark, tmp_path):
         assert out.columns == docs.columns
         first = out.first()
         assert first is not None and all(first[c] == c for c in docs.columns[3:])
+
+
+# -- rows without a place of their own: in memory, unions
+
+
+def test_copies_go_from_memory_and_unions(spark, docs):
+    rows = [(i, ENGLISH * 20 + ("" if i % 2 else GERMAN * 20)) for i in range(6)]
+    memory = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (memory, memory.unionByName(memory), memory.repartition(3)):
+        for drop in (exact.drop_exact_copies, simhash.drop_near_copies):
+            assert sorted(r.doc_id for r in drop(found).collect()) == [0, 1], drop.__name__
+    twice = docs.union(docs)
+    for drop in (exact.drop_exact_copies, simhash.drop_near_copies):
+        once = sorted(map(repr, drop(docs).select("doc_id", "text").collect()))
+        assert sorted(map(repr, drop(twice).select("doc_id", "text").collect())) == once, drop.__name__
