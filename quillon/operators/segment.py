@@ -221,30 +221,43 @@ INTENSITIES = {"soft": 0.5, "gentle": 0.55, "slow": 0.6, "firm": 0.75, "loud": 0
 PLAIN = 0.65
 
 
+#: White space of Python's str: Unicode's and four separators of ASCII.
+SPACE = r"[\s\x1c-\x1f]+"
+TAG = r"\[[^\[\]]+\]"
+
+
 def parse_script(transcript: Column) -> Column:
     """Speech and tags of a script: array<struct<kind, text, name, intensity, modifier>>.
 
     ``[word]`` is a trigger or, if a known intensity, binds to the next trigger;
-    speech between clears it and dangling ones go. One left-to-right fold in the JVM.
+    speech between clears it and dangling ones go. White space in speech is
+    collapsed, blank speech is none, and brackets that enclose no tag are speech.
+    Only the piece before matters to a piece, so the cost is linear in the text.
     """
-    pieces = F.regexp_extract_all(transcript, F.lit(r"\[[^\]]*\]|[^\[]+"), F.lit(0))
     table = F.create_map(*[F.lit(x) for kv in INTENSITIES.items() for x in kv])
-    kind = "array<struct<kind:string,text:string,name:string,intensity:double,modifier:string>>"
-    start = F.struct(F.lit(None).cast("string").alias("mod"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, raw: Column) -> Column:
-        tag = F.trim(F.lower(F.regexp_replace(raw, r"^\[|\]$", "")))
-        is_tag, is_mod = raw.startswith("["), F.map_contains_key(table, tag)
-        blank = F.trim(raw) == ""
-        trigger = F.struct(F.lit("trigger").alias("kind"), F.lit(None).cast("string").alias("text"), tag.alias("name"), F.coalesce(F.try_element_at(table, acc["mod"]), F.lit(PLAIN)).alias("intensity"), acc["mod"].alias("modifier"))
-        speech = F.struct(F.lit("speech").alias("kind"), F.trim(raw).alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("intensity"), F.lit(None).cast("string").alias("modifier"))
-        none = F.lit(None).cast("string")
-        return F.struct(
-            F.when(is_tag & is_mod, tag).when(~is_tag & blank, acc["mod"]).otherwise(none).alias("mod"),
-            F.when(is_tag & ~is_mod & (tag != ""), F.array_append(acc["out"], trigger)).when(~is_tag & ~blank, F.array_append(acc["out"], speech)).otherwise(acc["out"]).cast(kind).alias("out"),
-        )
-
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    none = F.lit(None).cast("string")
+
+    def pair(between: Column, raw: Column) -> Column:
+        tag = F.regexp_replace(F.lower(F.substring(raw, F.lit(2), F.length(raw) - 2)), f"(?U)^{SPACE}|{SPACE}$", "")
+        return F.array(F.struct(F.trim(F.regexp_replace(between, f"(?U){SPACE}", " ")).alias("text"), none.alias("tag")), F.struct(none.alias("text"), tag.alias("tag")))
+
+    def known(tag: Column) -> Column:
+        return F.map_contains_key(table, F.coalesce(tag, F.lit("")))
+
+    def segment(p: Column, before: Column) -> Column:
+        is_tag, modifier = p["tag"].isNotNull(), F.when(known(before["tag"]), before["tag"])
+        intensity = F.when(is_tag, F.coalesce(F.try_element_at(table, modifier), F.lit(PLAIN)))
+        return F.struct(F.when(is_tag, "trigger").otherwise("speech").alias("kind"), p["text"].alias("text"), p["tag"].alias("name"), intensity.alias("intensity"), F.when(is_tag, modifier).alias("modifier"))
+
+    def segments(pieces: Column) -> Column:
+        # one past the end, as the shifted array is longer: dropped with the intensities
+        paired = F.zip_with(pieces, F.concat(F.array(F.lit(None).cast("struct<text:string,tag:string>")), pieces), segment)
+        return F.filter(paired, lambda x: (x["text"].isNotNull() | x["name"].isNotNull()) & ~known(x["name"]))
+
+    pieces = F.flatten(F.zip_with(F.split(transcript, TAG, -1), F.regexp_extract_all(transcript, F.lit(TAG), F.lit(0)), pair))
+    spoken = F.filter(pieces, lambda p: p["tag"].isNotNull() | (p["text"] != ""))
+    # bound to a variable, so that it is made once
+    return F.element_at(F.transform(F.array(spoken), segments), 1)
 
 
 def vocabulary(scripts: DataFrame, transcript: str = "transcript") -> DataFrame:

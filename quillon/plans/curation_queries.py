@@ -87,7 +87,7 @@ def announcements(spark, d):
 @query("script_tags")
 def script_tags(spark, d):
     """Speech and triggers of scripts made from documents; golden cases are in the tests."""
-    t = F.concat(F.lit("[soft][brushing] "), F.substring("text", 1, 40), F.lit(" [vigorous] ok [tapping]"))
+    t = F.concat(F.lit("[soft][brushing] "), "text", F.lit(" [vigorous] ok [tapping]"))
     s = table(spark, d, "documents").select("doc_id", F.explode(segment.parse_script(t)).alias("s"))
     return s.select("doc_id", "s.*")
 

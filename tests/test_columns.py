@@ -68,6 +68,18 @@ def test_script_grammar(spark):
         assert [tuple(x) for x in one(spark, segment.parse_script(F.lit(text)))[0]] == want, text
 
 
+def test_script_tags_over_whole_texts(spark, tmp_path):
+    from quillon.plans import catalogue  # noqa: F401
+    from quillon.plans.registry import QUERIES
+
+    long = "word " * 30 + "[soft]\n[crinkling] late\n\nspeech [] [ open " + "[loud] [tapping] x " * 20000
+    spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r)[1:] for r in QUERIES["script_tags"](spark, str(tmp_path)).collect()]
+    want = [("trigger", None, "brushing", 0.5, "soft"), ("speech", ("word " * 30).strip(), None, None, None), ("trigger", None, "crinkling", 0.5, "soft"), ("speech", "late speech [] [ open", None, None, None)]
+    want += [("trigger", None, "tapping", 0.8, "loud"), ("speech", "x", None, None, None)] * 20000
+    assert got == [*want, ("speech", "ok", None, None, None), ("trigger", None, "tapping", 0.65, None)]
+
+
 def entry(kind, start, end, word=None):
     return {"type": kind, "start": start, "end": end, "word": word}
 
