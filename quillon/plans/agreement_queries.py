@@ -194,7 +194,7 @@ def fuse_labels(spark, d):
     """Binary Dawid-Skene over groups of labellers; two of the eight count as persons."""
     v = events(spark, d).groupBy("item", (F.col("who") % 8).cast("string").alias("who")).agg(F.collect_set("label").alias("labels"))
     people = spark.createDataFrame([("0", 10.0), ("1", 3.0)], "labeller string, k double")
-    post, _ = fusion.fuse(fusion.vote_cells(v, list(LABELS)), people, rounds=8)
+    post, _ = fusion.fuse(fusion.vote_cells(v, list(LABELS)), people, rounds=30)
     return post.select(F.col("uid").alias("item"), F.to_json("probs").alias("probs"), F.array_join("labels", ",").alias("labels"))
 
 
@@ -204,7 +204,7 @@ def fuse_judges(spark, d):
     e = events(spark, d)
     j = e.select(F.col("event_id").alias("uid"), F.element_at(F.array(*map(F.lit, LABELS)), F.col("item") % 5 + 1).alias("label"), F.col("label").alias("pred"))
     calibration = j.filter(F.col("uid") % 10 == 0).groupBy(F.col("label").alias("truth"), "pred").agg(F.count(F.lit(1)).alias("n"))
-    return fusion.anchored_em(j, calibration, list(LABELS), rounds=10)
+    return fusion.anchored_em(j, calibration, list(LABELS), rounds=50)
 
 
 @query("merge_votes", f"WITH {EV}, u AS (SELECT item AS uid, who % 50 AS labeller, label, tm, event_id, 0 AS o FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT item, who % 50, label, tm, event_id, 1 FROM ev WHERE event_id % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY uid, labeller ORDER BY o DESC, tm DESC, event_id DESC) AS r FROM u) SELECT uid, labeller, label FROM r WHERE r = 1")

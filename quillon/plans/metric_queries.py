@@ -56,7 +56,7 @@ def timing_errors(spark, d):
 
 @query("learnability")
 def learnability(spark, d):
-    return metrics.learnability(table(spark, d, "embeddings"), repeats=1)
+    return metrics.learnability(table(spark, d, "embeddings"), repeats=5)
 
 
 CLIPS = "c AS (SELECT p_partkey AS item, p_partkey % 9 > 0 AS active, p_partkey % 8 AS votes, 5 AS target, p_partkey % 50 = 0 AS gold, p_partkey % 7 = 0 AS boosted, p_retailprice / 2000 AS need FROM part)"

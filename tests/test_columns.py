@@ -80,6 +80,27 @@ def test_script_tags_over_whole_texts(spark, tmp_path):
     assert got == [*want, ("speech", "ok", None, None, None), ("trigger", None, "tapping", 0.65, None)]
 
 
+def test_registered_rounds_are_the_references(spark, monkeypatch):
+    from quillon.plans import agreement_queries, catalogue, metric_queries  # noqa: F401
+    from quillon.plans.registry import QUERIES
+
+    seen = {}
+
+    def note(name, argument):
+        def f(*a, **b):
+            seen[name] = b[argument]
+            return (spark.createDataFrame([(1, {"a": 0.5}, ["a"])], "uid int, probs map<string,double>, labels array<string>"), None) if name == "fuse_labels" else None
+
+        return f
+
+    monkeypatch.setattr(agreement_queries.fusion, "fuse", note("fuse_labels", "rounds"))
+    monkeypatch.setattr(agreement_queries.fusion, "anchored_em", note("fuse_judges", "rounds"))
+    monkeypatch.setattr(metric_queries.metrics, "learnability", note("learnability", "repeats"))
+    for name in ("fuse_labels", "fuse_judges", "learnability"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == {"fuse_labels": 30, "fuse_judges": 50, "learnability": 5}
+
+
 def entry(kind, start, end, word=None):
     return {"type": kind, "start": start, "end": end, "word": word}
 
