@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Locators (16 bytes each) are broadcast up to this number; beyond it they are joined by shuffle.
+#: Places (16 bytes each) are broadcast up to this number; beyond it each task reads those of its own files.
 BROADCAST_ROWS = 2_000_000
+#: Places in one folder of those written for tasks to read.
+FOLDER_ROWS = 1_000_000
+PLACE = ["_quillon_key", "_quillon_row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, one machine) a temporary folder is made
-    and registered as the session's checkpoint directory.
+    Where the setting is absent on one machine (tests), a temporary folder is made
+    and registered as the session's checkpoint directory; on a cluster that is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -97,25 +107,57 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with _quillon_file (text), _quillon_key and _quillon_row: where each row's content lies.
+    """docs with PLACE: a hash of the file's path and the row's number in it.
 
     Needs the file metadata of a scan; rows from elsewhere are written to the
     shared folder first.
     """
     try:
         meta = docs.metadataColumn("_metadata")
-        return docs.withColumns({"_quillon_file": meta["file_path"], "_quillon_row": meta["row_index"]}).withColumn("_quillon_key", F.xxhash64("_quillon_file"))
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
+    except AnalysisException:  # no scan of files: rows in memory, unions, joins
         path = scratch(docs.sparkSession, "rows")
         docs.write.parquet(path)
         return located(docs.sparkSession.read.parquet(path))
+    return docs.withColumns({"_quillon_key": F.xxhash64(meta["file_path"]), "_quillon_row": meta["row_index"]})
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a table of locators if its counted size is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a folder; plain paths and file: URIs are local or mounted ones."""
+    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+
+
+def at_places(rows: DataFrame, places: DataFrame, inside: bool) -> DataFrame:
+    """The located rows that are (inside) or are not (otherwise) at one of the places (PLACE); no row is shuffled.
+
+    ``places`` should be cut off, as it is counted. Few are broadcast. Many are
+    written to the shared folder, a folder for each range of file hashes, and each
+    task reads those of the files that its rows come from.
+    """
+    spark = rows.sparkSession
+    n = places.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(places), PLACE, "left_semi" if inside else "left_anti")
+    parts = -(-n // FOLDER_ROWS)
+    folder = scratch(spark, "places")
+    places.select(*PLACE, F.pmod("_quillon_key", F.lit(parts)).alias("part")).repartition("part").write.partitionBy("part").parquet(folder)
+    key_at, row_at = (rows.columns.index(c) for c in PLACE)
+
+    def run(batches):
+        fs, base = filesystem(folder)
+        known, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            keys, numbers = (batch.column(k).to_numpy(zero_copy_only=False) for k in (key_at, row_at))
+            found = np.zeros(len(keys), bool)
+            for key in np.unique(keys).tolist():
+                if key != known:
+                    part = f"{base}/part={key % parts}"
+                    there = fs.get_file_info(part).type != pafs.FileType.NotFound
+                    own = pq.read_table(part, filesystem=fs, columns=PLACE[1:], filters=[(PLACE[0], "=", key)], partitioning=None).column(0).to_numpy() if there else own[:0]
+                    known = key
+                found |= (keys == key) & np.isin(numbers, own)
+            yield batch.filter(pa.array(found if inside else ~found))
+
+    return map_arrow(rows, run, rows.schema)
 
 
 def slices(batch, columns: list[str], budget: int = 8 << 20, rows: int = 2048):

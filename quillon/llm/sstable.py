@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import coder, default_vocabulary
-from .common import map_arrow, scratch, slices, table
+from .common import filesystem, map_arrow, scratch, slices, table
 
 MAGIC = b"QSSTABL1"
 FOOTER = struct.Struct("<QIQIIQQI8s")
@@ -44,11 +44,6 @@ END_ID = 1
 _SIGN = 1 << 63
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The store of a folder; plain paths and file: URIs are local or mounted ones."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-
-
 def key_of(doc_id: int | None) -> bytes:
     return b"\0" if doc_id is None else b"\1" + ((doc_id + _SIGN) % (1 << 64)).to_bytes(8, "big")
 
