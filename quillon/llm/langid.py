@@ -24,11 +24,11 @@ WINDOW = 128
 HIDDEN = 8
 #: Labelled rows used for training: at most one for each language and hash bucket.
 SAMPLE_BUCKETS = 192
-#: Windows taken from a sampled text for training.
+#: Windows taken from a sampled text for training, one from each of as many equal parts of the whole text.
 WINDOWS_PER_TEXT = 4
 EPOCHS = 14
+#: Windows of a training step at most; a sixteenth of all where that is less, so that small samples get steps enough.
 BATCH = 256
-PAD = 0
 UNKNOWN = "und"
 #: Windows run through the network together.
 STRIP = 2048
@@ -56,10 +56,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def windows_of(raw: bytes, window: int = WINDOW) -> np.ndarray:
-    """The bytes as rows of one window each, the last one padded."""
+def windows_of(raw: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes as rows of one window each, the last one filled up with zeros; and how many bytes of the text each row has."""
     n = -(-len(raw) // window)
-    return np.frombuffer(raw.ljust(n * window, bytes([PAD])), np.uint8).reshape(n, window)
+    own = np.full(n, window, np.int64)
+    own[n - 1 :] -= n * window - len(raw)
+    return np.frombuffer(raw.ljust(n * window, b"\0"), np.uint8).reshape(n, window), own
 
 
 def _forward(m: Model, x: np.ndarray, keep: bool = False):
@@ -101,29 +103,67 @@ def _posteriors(m: Model, states: np.ndarray) -> np.ndarray:
     return logits
 
 
-def label_bytes(m: Model, windows: np.ndarray) -> np.ndarray:
-    """windows: N, T bytes -> N, K: sums over the bytes that aren't padding of the posteriors."""
+def label_bytes(m: Model, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """windows: N, T bytes, of which the first ``sizes`` count -> N, K: sums over these bytes of the posteriors."""
     out = np.empty((len(windows), len(m.languages)), np.float32)
     for i in range(0, len(windows), STRIP):
         x = np.ascontiguousarray(windows[i : i + STRIP].T)
         p = _posteriors(m, _forward(m, x)[0])
-        p *= (x != PAD)[:, None, :]
+        p *= (np.arange(len(x))[:, None] < sizes[None, i : i + STRIP])[:, None, :]
         out[i : i + STRIP] = p.sum(axis=0).T
     return out
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7, hidden: int = HIDDEN, epochs: int = EPOCHS) -> Model:
-    """Fit the network to texts and their languages by backpropagation through time and Adam."""
+def loss_and_gradient(m: Model, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Weighted mean cross-entropy of the labels at every byte of x (T, B bytes), and its gradient by backpropagation through time."""
+    (t, b), h, k = x.shape, m.recurrent.shape[2], len(m.languages)
+    states, tape = _forward(m, x, keep=True)
+    delta = _posteriors(m, states)
+    mask = (np.arange(t)[:, None] < sizes[None, :]).astype(np.float32) * weight
+    mask /= max(1e-9, float(mask.sum()))
+    loss = -float((np.log(np.maximum(delta[:, y, np.arange(b)], 1e-30)) * mask).sum())
+    delta[:, y, np.arange(b)] -= 1
+    delta *= mask[:, None, :]
+    flat = states.reshape(t, 2 * h, b)
+    g = {
+        "output": np.einsum("tkb,thb->kh", delta, flat, optimize=True),
+        "output_bias": delta.sum(axis=(0, 2))[:, None],
+        "recurrent": np.zeros_like(m.recurrent),
+        "candidate_bias": np.zeros_like(m.candidate_bias),
+        "inputs": np.zeros_like(m.inputs),
+    }
+    back = np.matmul(m.output.T, delta).reshape(t, 2, h, b)
+    carry = np.zeros((2, h, b), np.float32)
+    gates = np.empty((t, 2, 3 * h, b), np.float32)
+    for i in range(t - 1, -1, -1):
+        state, z, r, part, c = tape[i]
+        carry[0] += back[i, 0]
+        carry[1] += back[t - 1 - i, 1]
+        dc = carry * (1 - z) * (1 - c * c)
+        dz = carry * (state - c) * z * (1 - z)
+        dr = dc * part * r * (1 - r)
+        dpart = dc * r
+        gates[i, :, :h], gates[i, :, h : 2 * h], gates[i, :, 2 * h :] = dz, dr, dc
+        inner = np.concatenate([dz, dr, dpart], axis=1)
+        g["recurrent"] += np.matmul(inner, state.transpose(0, 2, 1))
+        g["candidate_bias"] += dpart.sum(axis=2, keepdims=True)
+        carry = carry * z + np.matmul(m.recurrent.transpose(0, 2, 1), inner)
+    for d, bytes_ in enumerate((x, x[::-1])):
+        onehot = np.zeros((256, t * b), np.float32)
+        onehot[bytes_.ravel(), np.arange(t * b)] = 1
+        g["inputs"][d] = gates[:, d].transpose(1, 0, 2).reshape(3 * h, -1) @ onehot.T
+    return loss, g
+
+
+def train(texts: list[str | bytes], labels: list[str], seed: int = 7, hidden: int = HIDDEN, epochs: int = EPOCHS) -> Model:
+    """Fit the network to all windows of the texts and their languages by backpropagation through time and Adam."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     k, h = len(languages), hidden
-    rows, target = [], []
-    for text, label in zip(texts, labels):
-        w = windows_of(text.encode())
-        for j in rng.permutation(len(w))[:WINDOWS_PER_TEXT]:
-            rows.append(w[j])
-            target.append(languages.index(label))
-    x, y = (np.stack(rows), np.array(target)) if rows else (np.zeros((0, WINDOW), np.uint8), np.zeros(0, int))
+    cut_up = [windows_of(t.encode() if isinstance(t, str) else t) for t in texts]
+    x = np.concatenate([w for w, _ in cut_up]) if cut_up else np.zeros((0, WINDOW), np.uint8)
+    sizes = np.concatenate([n for _, n in cut_up]) if cut_up else np.zeros(0, np.int64)
+    y = np.repeat([languages.index(l) for l in labels], [len(w) for w, _ in cut_up]).astype(int)
     f32 = np.float32
     p = {
         "inputs": rng.normal(0, 0.3, (2, 3 * h, 256)).astype(f32),
@@ -138,47 +178,13 @@ def train(texts: list[str], labels: list[str], seed: int = 7, hidden: int = HIDD
     first, second, step = {n: np.zeros_like(v) for n, v in p.items()}, {n: np.zeros_like(v) for n, v in p.items()}, 0
     share = np.bincount(y, minlength=k) / len(y)
     weight = (1 / np.maximum(share, 1e-9) / k)[y].astype(f32)
+    batch = min(BATCH, max(16, len(x) // 16))
     for epoch in range(epochs):
         rate = 0.02 * (1 - epoch / epochs) + 0.001
         order = rng.permutation(len(x))
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
-            xt = np.ascontiguousarray(x[own].T)
-            t, b = xt.shape
-            states, tape = _forward(m, xt, keep=True)
-            probs = _posteriors(m, states)
-            mask = (xt != PAD).astype(f32) * weight[own]
-            delta = probs
-            delta[:, y[own], np.arange(b)] -= 1
-            delta *= (mask / max(1.0, mask.sum()))[:, None, :]
-            flat = states.reshape(t, 2 * h, b)
-            g = {
-                "output": np.einsum("tkb,thb->kh", delta, flat, optimize=True),
-                "output_bias": delta.sum(axis=(0, 2))[:, None],
-                "recurrent": np.zeros_like(m.recurrent),
-                "candidate_bias": np.zeros_like(m.candidate_bias),
-                "inputs": np.zeros_like(m.inputs),
-            }
-            back = np.matmul(m.output.T, delta).reshape(t, 2, h, b)
-            carry = np.zeros((2, h, b), f32)
-            gates = np.empty((t, 2, 3 * h, b), f32)
-            for i in range(t - 1, -1, -1):
-                state, z, r, part, c = tape[i]
-                carry[0] += back[i, 0]
-                carry[1] += back[t - 1 - i, 1]
-                dc = carry * (1 - z) * (1 - c * c)
-                dz = carry * (state - c) * z * (1 - z)
-                dr = dc * part * r * (1 - r)
-                dpart = dc * r
-                gates[i, :, :h], gates[i, :, h : 2 * h], gates[i, :, 2 * h :] = dz, dr, dc
-                inner = np.concatenate([dz, dr, dpart], axis=1)
-                g["recurrent"] += np.matmul(inner, state.transpose(0, 2, 1))
-                g["candidate_bias"] += dpart.sum(axis=2, keepdims=True)
-                carry = carry * z + np.matmul(m.recurrent.transpose(0, 2, 1), inner)
-            for d, bytes_ in enumerate((xt, xt[::-1])):
-                onehot = np.zeros((256, t * b), f32)
-                onehot[bytes_.ravel(), np.arange(t * b)] = 1
-                g["inputs"][d] = gates[:, d].transpose(1, 0, 2).reshape(3 * h, -1) @ onehot.T
+        for at in range(0, len(order), batch):
+            own = order[at : at + batch]
+            _, g = loss_and_gradient(m, np.ascontiguousarray(x[own].T), sizes[own], y[own], weight[own])
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             step += 1
             for n, v in g.items():
@@ -196,24 +202,31 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, buckets: int = SAMPLE_BUCKETS) -> list:
-    """A bounded sample of labelled rows: for each language and hash bucket the row of least hash.
+    """A bounded sample of labelled rows, (lang, doc_id, pieces): for each language and hash bucket the row of least hash.
 
-    The ids are chosen by an aggregation that reads no text; then only the chosen
-    rows' texts come to the driver: at most ``buckets`` for each language.
+    The ids are chosen by an aggregation that reads no text; then only pieces of the
+    chosen rows' texts come to the driver, WINDOWS_PER_TEXT of WINDOW characters, one
+    from each equal part of the whole text: at most ``buckets`` rows for each language.
+    Of rows with one identifier and language the least pieces count.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     code = F.xxhash64("doc_id")
-    chosen = cut(labelled.groupBy("lang", F.pmod(code, F.lit(buckets)).alias("bucket")).agg(F.min(F.struct(code.alias("h"), "doc_id")).alias("least")).select(F.col("least.doc_id").alias("doc_id")))
+    chosen = cut(labelled.groupBy("lang", F.pmod(code, F.lit(buckets)).alias("bucket")).agg(F.min(F.struct(code.alias("h"), "doc_id")).alias("least")).select("lang", F.col("least.doc_id").alias("doc_id")))
     # bounded by languages x buckets
-    picked = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    spread = F.substring("text", 1, 1 << 15)  # of a training text, its windows come from the first 32,768 characters
-    return sorted(picked.select("doc_id", "lang", spread.alias("text")).collect(), key=lambda r: (r.lang, r.doc_id, r.text))
+    text = F.coalesce("text", F.lit(""))
+    part = F.greatest(F.lit(0), F.length(text) - WINDOW) / WINDOWS_PER_TEXT
+    draw = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
+    pieces = F.array_distinct(F.array(*(F.substr(text, (part * (k + draw(k))).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS_PER_TEXT))))
+    picked = labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", pieces.alias("pieces"))
+    return sorted(picked.groupBy("lang", "doc_id").agg(F.min("pieces").alias("pieces")).collect(), key=lambda r: (r.lang, r.doc_id))
 
 
 def fit(docs: DataFrame) -> Model:
     """Train on documents(doc_id, text, lang); without labelled rows every prediction is ``und``."""
-    rows = training_rows(docs)
-    return train([r.text for r in rows if r.text], [r.lang for r in rows if r.text])
+    # a window of inference may begin within a character: so does every second one of training
+    pieces = [(p.encode()[k % 2 :][:WINDOW], r.lang) for r in training_rows(docs) for k, p in enumerate(r.pieces)]
+    pieces = [(raw, lang) for raw, lang in pieces if raw]
+    return train([raw for raw, _ in pieces], [lang for _, lang in pieces])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -237,8 +250,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         if not own or not m.languages:
             return langs, scores
         parts = [windows_of(texts[i].encode()) for i in own]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        sums = np.add.reduceat(label_bytes(m, np.concatenate(parts)), np.r_[0, np.cumsum(counts)[:-1]], axis=0)
+        counts = np.fromiter((len(w) for w, _ in parts), np.int64, len(parts))
+        labelled = label_bytes(m, np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts]))
+        sums = np.add.reduceat(labelled, np.r_[0, np.cumsum(counts)[:-1]], axis=0)
         probs = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9)
         best = probs.argmax(axis=1)
         for i, b, p in zip(own, best.tolist(), probs.tolist()):
@@ -255,13 +269,24 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """docs, all columns, without rows whose language is ``und`` or scored below min_score."""
+    """docs, all columns, without rows whose language is ``und`` or scored below min_score.
+
+    With the default, null, empty and letterless texts go, and all texts if nothing is
+    labelled; a text with letters always gets a learned language and stays. Rows that
+    repeat are judged alike; columns of any name pass through; an empty table gives
+    an empty result.
+    """
     judged = predict(docs, fit(docs), keep=docs.columns, names=("_quillon_lang", "_quillon_score"))
     return judged.filter((F.col("_quillon_lang") != UNKNOWN) & (F.col("_quillon_score") >= min_score)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted language and score of every document."""
+    """Predicted language and score of every document: doc_id, held_out boolean, lang_pred string, score double.
+
+    Null and letterless texts are ``und`` with score 0; a null identifier is not held
+    out, and nothing is learned from it; repeated rows are predicted each; an empty
+    table gives an empty result; columns other than doc_id, text and lang are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     judged = predict(docs, fit(docs))
     return judged.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
