@@ -102,7 +102,7 @@ def test_exact_groups(docs, weak):
     from pyspark.sql import functions as F
 
     digest = (lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 1))) if weak else exact.sha256
-    got = exact.exact_groups(docs, digest=digest, files_per_batch=1).collect()
+    got = exact.exact_groups(docs, digest=digest, micro_batches=2).collect()
     groups = brute_groups([(r[0], r[1]) for r in rows()])
     texts = {r[0]: r[1] for r in rows()}
     assert len(got) == len(rows())
@@ -113,16 +113,53 @@ def test_exact_groups(docs, weak):
 
 
 def test_exact_state_goes_on(spark, tmp_path):
-    """A second run with the same checkpoint takes up new files only and keeps earlier state."""
+    """Later micro-batches take up new files only, meet earlier state and keep the content first met."""
     from pyspark.sql import functions as F
 
-    ledger = str(tmp_path / "ledger")
-    make = lambda lo, hi: spark.range(lo, hi).select(F.col("id"), F.unhex(F.lit("aa")).alias("digest"), F.col("id").cast("int").alias("n"), F.lit("f").alias("file"), F.lit(1).cast("long").alias("file_key"), F.col("id").alias("row"))
-    make(0, 5).write.parquet(ledger)
-    where = dict(checkpoint=str(tmp_path / "c"), changes=str(tmp_path / "s"))
-    assert [(r.keep.id, r.group_size) for r in exact.stream_state(spark, ledger, **where).collect()] == [(4, 5)]
-    make(5, 9).write.mode("append").parquet(ledger)
-    assert [(r.keep.id, r.group_size) for r in exact.stream_state(spark, ledger, **where).collect()] == [(8, 9)]
+    ledger, changes = str(tmp_path / "ledger"), str(tmp_path / "s")
+    make = lambda lo, hi, k: spark.range(lo, hi).select(F.col("id"), F.unhex(F.lit("aa")).alias("digest"), F.col("id").cast("int").alias("n"), F.lit(1).cast("long").alias("file_key"), F.col("id").alias("row"), F.lit(k).alias("slice"))
+    met = []
+    for k, (lo, hi) in enumerate(((3, 8), (0, 3), (8, 9))):
+        make(lo, hi, k).write.mode("append").parquet(ledger)
+        exact.stream_state(spark, ledger, str(tmp_path / "c"), changes, lambda batch: met.append([(r.keep.id, r.first.row, r.group_size) for r in batch.collect()]))
+    assert met == [[(7, 3, 5)], [(7, 3, 8)], [(8, 3, 9)]]
+    assert [(r.keep.id, r.group_size) for r in exact.last_state(spark, changes).collect()] == [(8, 9)]
+
+
+@pytest.mark.parametrize("inside", [True, False])
+def test_places_beyond_a_broadcast(spark, docs, monkeypatch, inside):
+    """Both ways of finding rows by place give the same rows; neither shuffles them."""
+    from quillon.llm import common
+
+    rows = common.located(docs)
+    some = common.cut(rows.filter("doc_id IS NULL OR doc_id IN (3, 5, 8)").select(*common.PLACE))
+    few = common.at_places(rows, some, inside)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "FOLDER_ROWS", 2)
+    many = common.at_places(rows, some, inside)
+    own = lambda df: sorted(map(repr, df.select("doc_id", "text", "_quillon_row").collect()))
+    assert own(many) == own(few) and len(own(many)) == (5 if inside else 7)
+    for df in (few, many):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_copies_go_beyond_a_broadcast(docs, monkeypatch):
+    from quillon.llm import common
+
+    want = [sorted(map(repr, drop(docs).collect())) for drop in (exact.drop_exact_copies, simhash.drop_near_copies)]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert want == [sorted(map(repr, drop(docs).collect())) for drop in (exact.drop_exact_copies, simhash.drop_near_copies)]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillon.llm import common
+
+    context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
 
 
 def test_exact_drop(docs, nothing):
@@ -179,7 +216,7 @@ def test_links_find_every_pair_across_tiles(spark):
     fps |= {int(x) for x in rng.integers(0, 2**63, 200, dtype=np.uint64)}
     fps = np.array(sorted(fps), np.uint64)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    found = components.connected_components(simhash.links(df, tile=16)).collect()
+    found = components.connected_components(simhash.links(df, strip=16)).collect()
     root = {r.node: r.root for r in found}
     label = simhash._forest(len(fps), *np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3))
     for i, f in enumerate(fps.view(np.int64).tolist()):
@@ -209,15 +246,76 @@ def test_langid_learns_and_rejects(docs, nothing, spark):
     assert langid.predict(docs, langid.train([], [])).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_langid_gradient():
-    """Backpropagation through time against differences: one step lowers the loss on a tiny set."""
+def test_tiles_find_every_pair():
+    """Tile pairs of several sizes of group and tile against all pairs."""
+    rng = np.random.default_rng(5)
+    fp, group = [], []
+    for g, n in enumerate((1, 2, 7, 8, 9, 30, 1, 200)):
+        base = int(rng.integers(0, 2**63))
+        own = np.array([base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(n)], np.uint64)
+        fp.append(own[np.argsort(np.bitwise_count(own), kind="stable")])
+        group += [g] * n
+    fp, group = np.concatenate(fp), np.array(group)
+    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if group[i] == group[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 3}
+    for tile in (1, 3, 8):
+        left, right = simhash._links(fp, group, 3, tile)
+        assert len(left) == len(want) and set(zip(left.tolist(), right.tolist())) == want
+
+
+def test_langid_learns():
     texts, labels = ["aaaa bbbb " * 9, "zzzz yyyy " * 9] * 8, ["a", "z"] * 8
     m = langid.train(texts, labels, epochs=12)
     for t, l in zip(texts[:2], labels[:2]):
-        sums = langid.label_bytes(m, langid.windows_of(t.encode())).sum(axis=0)
+        sums = langid.label_bytes(m, *langid.windows_of(t.encode())).sum(axis=0)
         assert m.languages[int(sums.argmax())] == l
 
 
+def test_langid_gradient():
+    """Backpropagation through time against differences of the loss, for every kind of weight."""
+    texts = [b"abca bca\x00cab", b"zyx zzy", b"mnop" * 5]
+    m = langid.train(texts, ["a", "z", "m"], epochs=1)
+    parts = [langid.windows_of(t, 20) for t in texts]
+    x, sizes = np.ascontiguousarray(np.concatenate([w for w, _ in parts]).T), np.concatenate([n for _, n in parts])
+    y, weight = np.array([0, 2, 1]), np.array([1, 0.5, 2], np.float32)
+    _, g = langid.loss_and_gradient(m, x, sizes, y, weight)
+    rng = np.random.default_rng(1)
+    for name, grad in g.items():
+        w = getattr(m, name)
+        way = rng.normal(size=w.shape).astype(np.float32)
+        way[grad == 0] = 0
+        before = w.copy()
+        loss = []
+        for step in (1e-2, -1e-2):
+            w[:] = before + step * way
+            loss.append(langid.loss_and_gradient(m, x, sizes, y, weight)[0])
+        w[:] = before
+        assert abs((loss[0] - loss[1]) / 2e-2 - float((grad * way).sum())) < 0.02 * max(0.05, abs(float((grad * way).sum()))), name
+
+
+def test_langid_labels_every_byte():
+    """Zero bytes of a text count, what fills up its last window doesn't."""
+    m = langid.train(["aaaa", "zzzz"] * 4, ["a", "z"] * 4, epochs=1)
+    for raw in (b"\0", b"a\0b" * 50, b"x" * 128, b"x" * 129):
+        assert abs(langid.label_bytes(m, *langid.windows_of(raw)).sum() - len(raw)) < 1e-2
+
+
+def test_training_is_bounded_and_reads_whole_texts(spark):
+    """5,000 repeated rows are one training row; of a text of a megabyte the last part counts too."""
+    from pyspark.sql import functions as F
+
+    free = [i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    long = "filler text " * 90_000 + "decisive ending " * 400
+    one = spark.createDataFrame([(free[0], long, "en")], "doc_id long, text string, lang string")
+    many = spark.range(5000).select(F.lit(free[1]).cast("long").alias("doc_id"), F.lit("again and again").alias("text"), F.lit("en").alias("lang"))
+    docs = one.union(many)
+    rows = langid.training_rows(docs)
+    assert [r.doc_id for r in rows] == free and max(len(p) for r in rows for p in r.pieces) <= langid.WINDOW
+    assert len(rows[0].pieces) > 1 and rows[1].pieces == ["again and again"]
+    labels = spark.createDataFrame([(i, 1, 0) for i in free], "doc_id long, quality int, toxic int")
+    rows = mixing.training_rows(docs, labels)
+    assert [r.doc_id for r in rows] == free and "decisive ending" in rows[0].text and len(rows[0].text) < 40_000
+
+
 def test_langid_never_learns_from_held_out(spark, tmp_path):
     path = str(tmp_path / "d.parquet")
     spark.createDataFrame([(i, "text %d" % i, "en" if zlib.crc32(str(i).encode()) % 4 != 2 else "held") for i in range(80)], "doc_id long, text string, lang string").write.parquet(path)
@@ -377,16 +475,34 @@ def test_mixing_meets_targets(spark, tmp_path):
     spark.createDataFrame(data, "doc_id long, text string").write.parquet(path)
     docs, table = spark.read.parquet(path), spark.createDataFrame(labels + [(9999, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     model, scored, fit = mixing.fit_mixture(docs, table, ["doc_id"])
-    out = scored.withColumn("rate", fit.rate())
-    totals = out.agg(*(F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("rate")) for i in range(3))).first()
-    total = sum(r.tokens for r in out.collect())
-    for d, t in zip(model.domains, totals):
-        assert abs(t - mixing.TARGETS[d] * total) < 0.03 * total
-    assert all(r.rate >= 0 for r in out.collect())
-    assert {r.rate for r in out.filter("tokens = 0").collect()} == {1.0}
-    assert abs(sum(fit.totals.values()) - total) < 0.03 * total
-    same = [r.rate for r in out.filter("doc_id = 5").collect()]
+    out = scored.withColumn("rate", fit.rate()).collect()
+    total = sum(r.tokens for r in out)
+    for k, d in enumerate(model.domains):
+        assert abs(sum(r.tokens * r.posterior[k] * r.rate for r in out) - mixing.TARGETS[d] * total) < 0.02 * mixing.TARGETS[d] * total
+    assert all(r.rate >= 0 for r in out)
+    assert {r.rate for r in out if not r.tokens} == {1.0}
+    same = [r.rate for r in out if r.doc_id == 5]
     assert len(same) == 2 and same[0] == same[1]
+    # the same problem by plain projected gradient steps over all rates
+    own = [r for r in out if r.tokens]
+    w, p, t = np.array([r.tokens for r in own]) / total, np.array([r.posterior for r in own]), np.array([mixing.TARGETS[d] for d in model.domains])
+    rate, size = np.ones(len(own)), 1 / (float((w[:, None] * p**2 / t).sum()) + mixing.RIDGE)
+    for _ in range(60_000):
+        rate = np.maximum(0, rate - size * (p @ ((p.T @ (w * rate) - t) / t) + mixing.RIDGE * (rate - 1)))
+    assert np.abs(rate - np.array([r.rate for r in own])).max() < 0.02
+
+
+def test_mixing_without_repeats(spark):
+    """With rates of at most 1 the scarcest domain stays whole and the shares are met."""
+    names = ["good", "poor", "toxic"]
+    rows = [(50, [1.0 if k == d else 0.0 for k in range(3)]) for d, n in enumerate((600, 300, 100)) for _ in range(n)]
+    scored = spark.createDataFrame(rows, "tokens long, posterior array<double>")
+    fit = mixing.fit_rates(scored, names, budget=None, cap=1.0)
+    out = scored.withColumn("rate", fit.rate()).collect()
+    kept = [sum(r.tokens * r.posterior[k] * r.rate for r in out) for k in range(3)]
+    assert all(0 <= r.rate <= 1 for r in out) and abs(kept[0] - 30_000) < 300
+    for k, d in enumerate(names):
+        assert abs(kept[k] / sum(kept) - mixing.TARGETS[d]) < 0.005
 
 
 @pytest.mark.parametrize("shares", [(0.33, 0.33, 0.34), (0.5, 0.17, 0.33), (0.2, 0.1, 0.7)])

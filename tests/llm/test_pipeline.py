@@ -1,6 +1,7 @@
 """The pipeline's stages against what they must keep and drop."""
 
 import pytest
+import regex
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -28,5 +29,13 @@ def test_stages(spark, tmp_path):
             assert sorted(r.doc_id for r in after.collect()) == sorted({r.component_id for r in simhash_components(docs).collect()})
         if name == "tokens":
             assert after.count() == docs.count()
+        if name == "language":
+            assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in docs.collect() if r.text and regex.search(r"\p{L}", r.text))
+        if name == "mixture":
+            kept, had = ({r.doc_id for r in d.collect()} for d in (after, docs))
+            assert after.count() == len(kept) and kept <= had
+            labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{base}/labels.parquet").collect()}
+            share = lambda own: sum(i in kept for i in own) / max(1, len(own))
+            assert share([i for i in had if labels.get(i) == (1, 0)]) > 0.85 > 0.6 > share([i for i in had if labels.get(i, (0, 0))[1] == 1])
         docs = after
-    assert 0 < docs.count() <= 3 * before
+    assert 0 < docs.count() <= before
