@@ -88,6 +88,11 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(trimmed, schema)
 
 
+def kept_columns(keep: list[str], results: list[str]) -> list[str]:
+    """The columns to keep, each once; those named like a result are left out, so that no name stands twice."""
+    return [c for c in dict.fromkeys(keep) if c not in results]
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder name below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

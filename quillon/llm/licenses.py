@@ -11,134 +11,30 @@ DataFrame and SQL functions only; no shuffle.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept_columns, table
+from .signatures import Rule, rules
 
 #: Lower-cased, a word is a run of digits, letters a to z and characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE: dict[str, str] = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-
-
-@dataclass(frozen=True)
-class Rule:
-    """A signature: its label, priority (0 to 100), keyword and pattern over words joined by single spaces."""
-
-    name: str
-    label: str
-    priority: int
-    keyword: str
-    pattern: str
-
-
-#: label, keyword, pattern of the name over lower-case words. Longer names stand before shorter ones.
-FAMILIES: tuple[tuple[str, str, str], ...] = (
-    ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v)?2(?: 0)?"),
-    ("apache-2.0", "apache", r"apache 2(?: 0)?(?: licen[sc]e)?"),
-    ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e (?:version |v)?1 1"),
-    ("apache", "apache", r"apache (?:software )?licen[sc]e"),
-    ("mit", "mit", r"mit licen[sc]e"),
-    ("mit", "expat", r"expat licen[sc]e"),
-    ("mit-0", "mit", r"mit no attribution(?: licen[sc]e)?"),
-    ("x11", "x11", r"x11 licen[sc]e"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|(?:bsd )?2 clause(?: bsd)?|bsd two clause) licen[sc]e"),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|(?:bsd )?3 clause(?: bsd)?|bsd three clause) licen[sc]e"),
-    ("bsd-4-clause", "bsd", r"(?:original bsd|(?:bsd )?4 clause(?: bsd)?|bsd four clause) licen[sc]e"),
-    ("bsd", "bsd", r"bsd(?: style)? licen[sc]e"),
-    ("0bsd", "0bsd", r"0bsd(?: licen[sc]e)?"),
-    ("isc", "isc", r"isc licen[sc]e"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e"),
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e(?: (?:version |v)?3(?: 0)?)?"),
-    ("agpl-3.0", "agpl", r"agpl(?: ?v?3(?: 0)?)?"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v)?2 1"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e (?:version |v)?3(?: 0)?"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public licen[sc]e"),
-    ("lgpl-2.0", "library", r"(?:gnu )?library general public licen[sc]e"),
-    ("lgpl-2.1", "lgpl", r"lgpl ?v?2 1"),
-    ("lgpl-3.0", "lgpl", r"lgpl ?v?3(?: 0)?"),
-    ("lgpl", "lgpl", r"lgpl"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:version |v)2(?: 0)?"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:version |v)3(?: 0)?"),
-    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e"),
-    ("gpl-2.0", "gpl", r"gpl ?v?2(?: 0)?"),
-    ("gpl-3.0", "gpl", r"gpl ?v?3(?: 0)?"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e(?: (?:version |v)?1 [123])?"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e (?:version |v)?2(?: 0)?"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e (?:version |v)?1 1"),
-    ("mpl", "mozilla", r"mozilla public licen[sc]e"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[sc]e (?:version |v)?2(?: 0)?"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[sc]e(?: (?:version |v)?1(?: 0)?)?"),
-    ("cddl", "common development", r"common development and distribution licen[sc]e(?: (?:version |v)?1 [01])?"),
-    ("cpl-1.0", "common public", r"common public licen[sc]e(?: (?:version |v)?1 0)?"),
-    ("eupl", "european union", r"european union public licen[sc]e(?: (?:version |v)?1 [12])?"),
-    ("osl-3.0", "open software", r"open software licen[sc]e(?: (?:version |v)?3 0)?"),
-    ("afl-3.0", "academic free", r"academic free licen[sc]e(?: (?:version |v)?3 0)?"),
-    ("artistic-2.0", "artistic", r"artistic licen[sc]e (?:version |v)?2(?: 0)?"),
-    ("artistic-1.0", "artistic", r"artistic licen[sc]e(?: (?:version |v)?1 0)?"),
-    ("boost-1.0", "boost", r"boost software licen[sc]e(?: (?:version |v)?1 0)?"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "what the fuck", r"do what the fuck you want to public licen[sc]e"),
-    ("postgresql", "postgresql", r"postgresql licen[sc]e"),
-    ("python-2.0", "python", r"(?:python software foundation|psf|python) licen[sc]e(?: (?:version |v)?2)?"),
-    ("php-3.01", "php", r"php licen[sc]e(?: (?:version |v)?3 01)?"),
-    ("ruby", "ruby", r"ruby licen[sc]e"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e(?: (?:version |v)?1 1)?"),
-    ("odbl-1.0", "open database", r"open (?:data commons open )?database licen[sc]e(?: (?:version |v)?1 0)?"),
-    ("odc-by", "open data", r"open data commons attribution licen[sc]e"),
-    ("ms-pl", "microsoft", r"microsoft public licen[sc]e"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e"),
-    ("bsl-1.1", "business source", r"business source licen[sc]e(?: (?:version |v)?1 1)?"),
-    ("sspl-1.0", "server side", r"server side public licen[sc]e(?: (?:version |v)?1)?"),
-    ("elastic-2.0", "elastic", r"elastic licen[sc]e(?: (?:version |v)?2(?: 0)?)?"),
-    ("openrail", "rail", r"(?:creativeml )?open ?rail(?: [ms])?(?: licen[sc]e)?"),
-    ("llama", "llama", r"llama(?: [23])? community licen[sc]e"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-sa", "by nc sa", r"(?:cc|creative commons) by nc sa(?: [1234] 0)?"),
-    ("cc-by-nc-nd", "by nc nd", r"(?:cc|creative commons) by nc nd(?: [1234] 0)?"),
-    ("cc-by-nc", "by nc", r"(?:cc|creative commons) by nc(?: [1234] 0)?"),
-    ("cc-by-sa", "by sa", r"(?:cc|creative commons) by sa(?: [1234] 0)?"),
-    ("cc-by-nd", "by nd", r"(?:cc|creative commons) by nd(?: [1234] 0)?"),
-    ("cc-by-4.0", "cc by", r"cc by 4 0"),
-    ("cc-by-3.0", "cc by", r"cc by 3 0"),
-    ("cc-by", "cc by", r"cc by"),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1234] 0)?"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1234] 0)?"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1234] 0)?"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: [1234] 0)?"),
-    ("creative-commons", "creative commons", r"creative commons licen[sc]e"),
-    ("public-domain", "public domain", r"public domain"),
-    ("proprietary", "rights reserved", r"all rights reserved"),
-)
-
-#: How a name is used: name of the form, priority, pattern around the name.
-FORMS: tuple[tuple[str, int, str], ...] = (
-    ("identifier", 95, r"spdx licen[sc]e identifier {}"),
-    ("licensed", 85, r"(?:dual )?licensed (?:to you )?under (?:the )?(?:terms of )?(?:the )?{}(?: the licen[sc]e)?"),
-    ("released", 80, r"(?:released|distributed|published|available|provided|covered|redistributed) (?:and modified )?under (?:the )?(?:terms of )?(?:the )?{}"),
-    ("subject", 70, r"(?:subject to|governed by|under the terms of|in accordance with|comply with) (?:the )?{}"),
-    ("named", 50, r"{}"),
-)
-
-
-def _rules() -> tuple[Rule, ...]:
-    out = []
-    for n, (label, keyword, name) in enumerate(FAMILIES):
-        for form, priority, around in FORMS:
-            out.append(Rule(f"{label}/{n}/{form}", label, priority, keyword, f"(?<= )(?:{around.format(f'(?:{name})')})(?= )"))
-    return tuple(out)
-
-
-RULES = _rules()
+RULES = rules()
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 #: Every rule's matches hold one of these, and so does every base phrase but "cc by".
-GATE = ("licen", "gpl", "apache", "cc0", "commons", "domain", "reserved", "rail", "0bsd", "attribution")
+GATE = (
+    "licen", "gpl", "apache", "cc0", "commons", "domain", "reserved", "rail", "0bsd", "attribution", "copyright", "llama", "gemma", "beer", "fuck",
+    "perl", "mpl", "commercial", "research", "secret", "wtfpl", "tivoization", "government", "confidential", "procurement", "negligence", "copyleft",
+    "invariant", "exception", "redistribut", "eclipse", "notices", "scripts", "endorse", "software", "definitions", "derivative", "odc",
+    "additional", "unauthorized", "reproduced", "material", "consortium",
+)
 
 
 def gate(text: Column) -> Column:
@@ -155,57 +51,86 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     """The columns ``keep``, then n_words long, base array<struct<label, at>>, found array<struct<start, end, priority, label, rule>>.
 
     Places count words from 0; end is exclusive. found holds what suppression
-    leaves, in order of place. Null counts as empty: no words, nothing found.
+    leaves, in order of place. Null counts as empty: no words, nothing found. Rows
+    that repeat are scanned each; an empty table gives an empty result; of ``keep``,
+    columns named like a result are left out.
     """
-    keep = keep or ["doc_id"]
+    keep = kept_columns(keep or ["doc_id"], ["n_words", "base", "found"])
     own = [F.col(f"`{c}`") for c in keep]
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     gated = docs.select(
         *own,
-        F.size(F.array_remove(F.split(text, _GAP), "")).cast("long").alias("n_words"),
-        F.when(gate(text), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("_w"),
+        F.size(F.array_remove(F.split(text, _GAP), "")).cast("long").alias("_quillon_n"),
+        F.when(gate(text), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("_quillon_w"),
     )
-    joined = gated.select(*own, "n_words", "_w", F.when(F.col("_w").isNotNull(), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))).alias("_s"))
+    words, line = F.col("_quillon_w"), F.col("_quillon_s")
+    joined = gated.select(*own, "_quillon_n", words, F.when(words.isNotNull(), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).alias("_quillon_s"))
 
     def places(phrase: str, label: str) -> Column:
         parts = phrase.split()
-        same = lambda i: reduce(lambda x, y: x & y, [F.get("_w", i + k) == p for k, p in enumerate(parts)])
-        starts = F.filter(F.sequence(F.lit(0), F.size("_w") - len(parts)), same)
-        return F.when(F.size("_w") >= len(parts), F.transform(starts, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("at")))).otherwise(F.array().cast("array<struct<label:string,at:bigint>>"))
+        same = lambda i: reduce(lambda x, y: x & y, [F.get(words, i + k) == p for k, p in enumerate(parts)])
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), same)
+        return F.when(F.size(words) >= len(parts), F.transform(starts, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("at")))).otherwise(F.array().cast(_BASE))
 
-    base = F.when(F.col("_w").isNotNull(), F.flatten(F.array(*(places(p, b) for p, b in BASE.items()))))
-    listed = [{"rule": i, "label": r.label, "priority": r.priority, "keyword": r.keyword, "pattern": r.pattern} for i, r in enumerate(rules)]
-    table_of_rules = F.from_json(F.lit(json.dumps(listed)), "array<struct<rule:int,label:string,priority:int,keyword:string,pattern:string>>")  # folded to a constant
-    tried = joined.select(*own, "n_words", base.alias("base"), "_s", F.when(F.col("_s").isNotNull(), F.filter(table_of_rules, lambda r: F.contains(F.col("_s"), r["keyword"]))).alias("_r"))
-    words = lambda s: F.size(F.array_remove(F.split(s, " "), "")).cast("long")
+    base = F.when(words.isNotNull(), F.flatten(F.array(*(places(p, b) for p, b in BASE.items()))))
+    levels = sorted({r.priority for r in rules})
+    listed = [{"rule": i, "label": r.label, "level": levels.index(r.priority), "keyword": r.keyword, "pattern": r.pattern} for i, r in enumerate(rules)]
+    table_of_rules = F.from_json(F.lit(json.dumps(listed)), "array<struct<rule:int,label:string,level:int,keyword:string,pattern:string>>")  # folded to a constant
+    tried = joined.select(*own, "_quillon_n", base.alias("_quillon_b"), line, F.when(line.isNotNull(), F.filter(table_of_rules, lambda r: F.contains(line, r["keyword"]))).alias("_quillon_r"))
+    count = lambda s: F.size(F.array_remove(F.split(s, " "), "")).cast("long")
 
     def intervals(r: Column) -> Column:
         """Word intervals of a rule's matches: the words of what lies before each, added up."""
-        pieces = F.split(F.col("_s"), r["pattern"], -1)
-        found = F.regexp_extract_all(F.col("_s"), r["pattern"], F.lit(0))
-        sized = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(words(p).alias("before"), words(m).alias("size")))
-        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
-        step = lambda acc, x: F.struct(
-            (acc["at"] + x["before"] + x["size"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["before"]).alias("start"), (acc["at"] + x["before"] + x["size"]).alias("end"))).alias("out"),
-        )
-        spans = F.when(F.size(found) > 0, F.aggregate(sized, first, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["rule"].alias("rule")))
+        found = F.regexp_extract_all(line, r["pattern"], F.lit(0))
+        sized = F.zip_with(F.slice(F.split(line, r["pattern"], -1), 1, F.size(found)), found, lambda p, m: F.struct(count(p).alias("before"), count(m).alias("size")))
+        end = lambda at, x: at + x["before"] + x["size"]
+        spans = _scan(sized, F.lit(0).cast("long"), end, lambda at, x: F.struct((at + x["before"]).alias("start"), end(at, x).alias("end")), "struct<start:bigint,end:bigint>")
+        return F.when(F.size(found) > 0, F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), (-r["level"]).alias("below"), r["rule"].alias("rule")))).otherwise(F.array().cast(_ORDERED))
+
+    # of two detections the one that can hold the other comes first: smaller start, larger end, higher level, earlier rule
+    ordered = tried.select(*own, "_quillon_n", "_quillon_b", F.array_sort(F.coalesce(F.flatten(F.transform("_quillon_r", intervals)).cast(_ORDERED), F.array().cast(_ORDERED))).alias("_quillon_d"))
+
+    # one sweep: of each level, how far detections of it or a higher one have reached
+    reached = F.array_repeat(F.lit(-1).cast("long"), len(levels))
+    reach = lambda far, d: F.transform(far, lambda e, k: F.when(k <= -d["below"], F.greatest(e, -d["less"])).otherwise(e))
+    left = _scan(F.col("_quillon_d"), reached, reach, lambda far, d: F.when(F.get(far, -d["below"]) < -d["less"], d), _ORDERED[6:-1])
+    by_rule = F.from_json(F.lit(json.dumps([{"priority": r.priority, "label": r.label} for r in rules])), "array<struct<priority:int,label:string>>")
+    shown = F.transform(
+        F.filter(left, lambda d: d.isNotNull()),
+        lambda d: F.struct(d["start"].alias("start"), (-d["less"]).alias("end"), F.get(by_rule, d["rule"])["priority"].alias("priority"), F.get(by_rule, d["rule"])["label"].alias("label"), d["rule"].alias("rule")),
+    )
+    return ordered.select(*own, F.col("_quillon_n").alias("n_words"), F.coalesce("_quillon_b", F.array().cast(_BASE)).alias("base"), F.array_sort(shown).alias("found"))
+
 
-    kind = "array<struct<start:bigint,end:bigint,priority:int,label:string,rule:int>>"
-    detected = tried.select(*own, "n_words", "base", F.coalesce(F.flatten(F.transform("_r", intervals)).cast(kind), F.array().cast(kind)).alias("_d"))
+_BASE = "array<struct<label:string,at:bigint>>"
+_ORDERED = "array<struct<start:bigint,less:bigint,below:int,rule:int>>"
+#: Results gathered before they are put away, so that a long fold doesn't copy all of them at each step.
+_CHUNK = 64
 
-    def suppressed(d: Column) -> Column:
-        length = lambda x: x["end"] - x["start"]
-        above = lambda e: (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & ((length(e) > length(d)) | ((length(e) == length(d)) & (e["rule"] < d["rule"]))))
-        return F.exists("_d", lambda e: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & above(e))
 
-    none = F.array().cast("array<struct<label:string,at:bigint>>")
-    return detected.select(*own, "n_words", F.coalesce("base", none).alias("base"), F.array_sort(F.filter("_d", lambda d: ~suppressed(d))).alias("found"))
+def _scan(items: Column, start: Column, step: Callable[[Column, Column], Column], result: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Of each item, in order, the result by the state before it; ``step`` leads from state to state. In linear time."""
+    some = lambda k: F.array().cast(k)
+    first = F.struct(start.alias("at"), some(f"array<{kind}>").alias("now"), some(f"array<array<{kind}>>").alias("put"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        full = F.size(acc["now"]) >= _CHUNK
+        now = F.when(full, some(f"array<{kind}>")).otherwise(acc["now"])
+        return F.struct(
+            step(acc["at"], x).alias("at"),
+            F.array_append(now, result(acc["at"], x).cast(kind)).cast(f"array<{kind}>").alias("now"),
+            F.when(full, F.array_append(acc["put"], acc["now"])).otherwise(acc["put"]).cast(f"array<array<{kind}>>").alias("put"),
+        )
+
+    return F.aggregate(items, first, fold, lambda acc: F.concat(F.flatten(acc["put"]), acc["now"]))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base places, labels and score of every document."""
+    """Of every document: doc_id, n_words, n_base, first_word, last_word long, base_labels, labels string, score double.
+
+    Null and empty texts have no words, labels or places and score 0; repeated rows are
+    scanned each; an empty table gives an empty result; other columns are not read.
+    """
     scanned = scan(table(spark, sf_dir, "documents"))
     at = F.transform("base", lambda b: b["at"])
     names = lambda column: F.transform(column, lambda x: x["label"])
@@ -220,3 +145,57 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.concat(names("base"), names("found"))).alias("labels"),
         F.greatest(F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.transform("found", lambda x: x["priority"])) / 100.0, F.lit(0.0))).alias("score"),
     )
+
+
+def _op2_sql() -> str:
+    """The same by joins: every rule against every text, word places by running sums, suppression by NOT EXISTS.
+
+    Words stand between two spaces here, so that matches side by side don't share one.
+    """
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    spaced = lambda p: " " + p.removeprefix("(?<= )").removesuffix("(?= )").replace(" ?", "(?:@)?").replace(" ", "  ").replace("@", "  ") + " "
+    listed = ", ".join(f"({n}, {quote(r.label)}, {r.priority}, {quote(r.keyword)}, {quote(spaced(r.pattern))})" for n, r in enumerate(RULES))
+    bases = " UNION ALL ".join(
+        f"SELECT rid, {quote(label)} AS label, unnest(list_filter(range(0, len(ws) - {len(p.split()) - 1}), lambda i: "
+        + " AND ".join(f"ws[i + {k + 1}] = {quote(w)}" for k, w in enumerate(p.split()))
+        + ")) AS place FROM w"
+        for p, label in BASE.items()
+    )
+    count = "len(list_filter(string_split({0}, ' '), lambda v: v <> ''))"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d
+), s AS (
+  SELECT rid, ' ' || array_to_string(ws, ' ') || ' ' AS line, ' ' || array_to_string(ws, '  ') || ' ' AS wide FROM w
+), base AS ({bases}), rules AS (
+  SELECT * FROM (VALUES {listed}) AS r(rule, label, priority, keyword, pattern)
+), tried AS (
+  SELECT rid, rule, label, priority, wide, pattern FROM s JOIN rules ON contains(line, keyword)
+), hit AS (
+  SELECT rid, rule, label, priority, regexp_extract_all(wide, pattern) AS m, regexp_split_to_array(wide, pattern) AS pieces FROM tried WHERE regexp_matches(wide, pattern)
+), one AS (
+  SELECT rid, rule, label, priority, unnest(m) AS x, unnest(pieces[1:len(m)]) AS before, unnest(range(1, len(m) + 1)) AS k FROM hit
+), placed AS (
+  SELECT rid, rule, label, priority, {count.format("x")} AS size, sum({count.format("before")} + {count.format("x")}) OVER (PARTITION BY rid, rule ORDER BY k) AS e FROM one
+), spans AS (
+  SELECT rid, rule, label, priority, e - size AS s, e FROM placed
+), found AS (
+  SELECT * FROM spans AS d WHERE NOT EXISTS (
+    SELECT 1 FROM spans AS o WHERE o.rid = d.rid AND o.s <= d.s AND o.e >= d.e
+    AND (o.priority > d.priority OR (o.priority = d.priority AND (o.e - o.s > d.e - d.s OR (o.e - o.s = d.e - d.s AND o.rule < d.rule)))))
+), by_base AS (
+  SELECT rid, count(*) AS n, min(place) AS low, max(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid
+), every AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION ALL SELECT rid, label FROM found) GROUP BY rid
+), top AS (
+  SELECT rid, max(priority) AS priority FROM found GROUP BY rid
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.low AS BIGINT) AS first_word, CAST(b.high AS BIGINT) AS last_word,
+       coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+       greatest(CASE WHEN b.n > 0 THEN 0.5 ELSE 0.0 END, coalesce(t.priority, 0) / 100.0)::DOUBLE AS score
+FROM w LEFT JOIN by_base AS b USING (rid) LEFT JOIN every AS a USING (rid) LEFT JOIN top AS t USING (rid)"""
+
+
+OP2_SQL = _op2_sql()

@@ -6,7 +6,7 @@ from .bpe import op5_bpe
 from .exact import OP10_SQL, op10_exact_dedup
 from .html import op6_html
 from .langid import op7_langid
-from .licenses import op2_licenses
+from .licenses import OP2_SQL, op2_licenses
 from .mixing import op1_mixing
 from .quality import OP4_SQL, op4_quality
 from .simhash import op8_simhash
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_licenses": OP2_SQL,
     "op4_quality": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
