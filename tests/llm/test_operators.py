@@ -363,10 +363,95 @@ def test_license_scan(spark):
     assert len(licenses.RULES) > 300
 
 
+LICENSE_TEXTS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "bsd-2-clause": "THIS SOFTWARE IS PROVIDED BY THE AUTHOR ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided",
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.',
+    "gpl-3.0-or-later": "it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.",
+    "gpl-2.0": "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991",
+    "lgpl": "See the GNU Lesser General Public License for more details.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "creative-commons": "The work (as defined below) is provided under the terms of this Creative Commons Public License",
+    "cc-by-sa-4.0": "see https://creativecommons.org/licenses/by-sa/4.0/ for it",
+    "bsd-3-clause-clear": "// SPDX-License-Identifier: BSD-3-Clause-Clear",
+    "mit-0": "SPDX-License-Identifier: MIT-0",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "python-2.0": "under the PSF License",
+}
+
+
+def test_license_texts_are_known(spark):
+    """Licenses by their texts, headers, identifiers and addresses."""
+    texts = [*LICENSE_TEXTS.values(), "SPDX-License-Identifier: MIT", "opensource.org/licenses/MIT", "no such words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {x.label for x in r.found} for r in licenses.scan(df).collect()}
+    for i, label in enumerate([*LICENSE_TEXTS, "mit", "mit"]):
+        assert label in got[i], (label, got[i])
+    assert not got[len(texts) - 1]
+
+
+def _expand(tree, most=4000):
+    """Strings of a pattern; repeats once and twice at most."""
+    out = [""]
+    for kind, value in tree:
+        kind = str(kind)
+        if kind == "LITERAL":
+            some = [chr(value)]
+        elif kind == "IN":
+            some = [chr(v) if str(k) == "LITERAL" else "w" if "SPACE" in str(v) else "3" for k, v in value]
+        elif kind == "SUBPATTERN":
+            some = _expand(value[3])
+        elif kind == "BRANCH":
+            some = [x for b in value[1] for x in _expand(b)]
+        elif kind == "MAX_REPEAT":
+            one = _expand(value[2])
+            some = [x for n in {value[0], min(value[0] + 1, value[1])} for x in ([""] if not n else one if n == 1 else [o * n for o in one])]
+        else:
+            some = [""]
+        out = [a + b for a in out for b in some][:most]
+    return out
+
+
+def test_license_rules_hold_keyword_and_gate():
+    """No rule is hidden by its own keyword or by the gate, whichever of its alternatives matches."""
+    from re import _parser
+
+    assert len(licenses.RULES) > 400
+    for r in licenses.RULES:
+        for text in _expand(_parser.parse(r.pattern)):
+            line = f" {text.strip()} "
+            assert re.search(r.pattern, line), (r.name, text)
+            assert r.keyword in line, (r.name, text)
+            assert any(g in line for g in licenses.GATE) or "cc by" in line, (r.name, text)
+
+
+def test_license_long_text(spark):
+    """Tens of thousands of detections in one text, more than a chunk of the fold at every level."""
+    text = "MIT License, released under the MIT License; all rights reserved. " * 4000
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(got.base) == 8000 and len(got.found) == 12000
+    assert [tuple(x)[:2] for x in got.found[:3]] == [(0, 2), (2, 7), (7, 10)] and got.found[-1].end == got.n_words
+
+
 def test_license_empty(nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_clashing_names(docs):
+    """Columns named like results give way to them; working names don't clash."""
+    from pyspark.sql import functions as F
+
+    wide = docs.withColumns({c: F.lit(c) for c in ("n_words", "kept", "base", "found", "_w", "host_failed", "_quillon_x", "fingerprint")})
+    assert licenses.scan(wide, keep=["doc_id", "n_words", "_w", "base", "_quillon_x"]).columns == ["doc_id", "_w", "_quillon_x", "n_words", "base", "found"]
+    judged = quality.judge(wide, keep=["n_words", "kept", "_w", "fingerprint"])
+    assert judged.columns == ["doc_id", "source", "_w", "fingerprint", *quality.MEASURES, "base_failed", "host_failed", "kept"]
+    assert {r._w for r in judged.collect()} == {"_w"} and judged.count() == len(rows())
+    assert quality.measure(wide, keep=["n_words"]).filter("n_words >= 0").count() == len(rows())
+
+
 # -- quality
 
 
@@ -396,6 +481,16 @@ def test_quality_hosts(spark):
     assert out[200].kept and out[201].kept and out[202].base_failed and not out[202].kept
 
 
+def test_quality_hosts_by_their_tail(spark):
+    """A host above the others fails a rule at a rate far below HOST_RATE; its documents that pass the rule stay."""
+    clean = " ".join(f"word{i}" for i in range(40))
+    signs = clean + " " + "# " * 6
+    data = [(100 * h + i, signs if i < (30 if h == 7 else 3) else clean, f"h{h}") for h in range(10) for i in range(100)]
+    out = quality.judge(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in out if not r.kept} == {700 + i for i in range(30)}
+    assert all(r.host_failed and not r.base_failed for r in out if not r.kept)
+
+
 # -- HTML
 
 
