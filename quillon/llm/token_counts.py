@@ -1,11 +1,12 @@
-"""Edit-aware token counts.
-
-A document is cut at white space into segments of pre-tokens. No token reaches
-across white space, so the segments' counts add up to the document's. Each
-document keeps a binary tree of sums over its segments: characters (to find where
-an edit falls) and tokens. An edit re-encodes the segments it touches, and the one
-before them if the edit took the white space that kept it apart; then only the
-sums above these segments change.
+"""Edit-aware token counts with segment trees that are kept.
+
+A document is cut at white space into segments, runs of pre-tokens. No token reaches
+across white space, so the segments' counts add up to the document's. Each document
+has a binary tree of sums over its segments: characters (to find where an edit
+falls) and tokens. A store keeps the trees, a folder for each version: the first holds
+all documents, each batch of edits adds the trees that it changed. An edit re-encodes the
+segments it touches, and the one before them if the edit took the white space that
+kept it apart; then only the sums above these segments change.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _SPACE, coder, default_vocabulary
-from .common import map_arrow, slices, table
+from .common import BROADCAST_ROWS, cut, delete, kept_columns, map_arrow, scratch, slices, table
 
 #: Characters after which a segment ends at the next white space.
-SEGMENT = 256
+SEGMENT = 128
 #: A segment that edits have grown beyond this is cut anew, with the whole tree.
 LARGEST = 8 * SEGMENT
 EDITS = "array<struct<at:int,remove:int,insert:string>>"
+#: A kept tree: segments, and the sums of characters and tokens as heaps (the root at place 1).
+TREE = ["leaves", "chars", "tokens"]
+_KINDS = {"leaves": pa.list_(pa.string()), "chars": pa.list_(pa.int32()), "tokens": pa.list_(pa.int32())}
 
 
 def segments(text: str, size: int = SEGMENT) -> list[str]:
@@ -52,6 +56,13 @@ class SegmentTree:
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
+    @classmethod
+    def kept(cls, leaves: list[str], chars: list[int], tokens: list[int]) -> SegmentTree:
+        """A tree as the store has it; nothing is counted."""
+        tree = cls.__new__(cls)
+        tree.leaves, tree.chars, tree.tokens, tree.size = leaves, chars, tokens, len(chars) // 2
+        return tree
+
     def _sum(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -155,53 +166,133 @@ def edit(tree: SegmentTree, at: int, remove: int, insert: str, bpe) -> tuple[Seg
     return (n := edit_together(trees, [(at, remove, insert)], bpe)) and (trees[0], n[0])
 
 
-def count_with_edits(docs: DataFrame, edits_col: str = "edits", id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep_text: bool = False) -> DataFrame:
-    """(id, n_tokens, n_tokens_edited, n_chars_edited, n_chars_encoded[, text_edited]) per row of docs.
+def _of_trees(trees: list[SegmentTree]) -> list[pa.Array]:
+    return [pa.array([getattr(t, c) for t in trees], k) for c, k in _KINDS.items()]
+
+
+def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(id, leaves, chars, tokens) per row of docs: whole texts, counted once.
+
+    Null texts count as empty. Rows that repeat have a tree each. Other columns are
+    not read; an empty table gives an empty result.
+    """
+    path = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path)
+        for batch in batches:
+            for keys, texts in slices(batch, ["id", "text"], 4 << 20):
+                yield pa.RecordBatch.from_arrays([keys, *_of_trees(build([t or "" for t in texts.to_pylist()], bpe))], names=["id", *TREE])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return map_arrow(rows, run, "id long, leaves array<string>, chars array<int>, tokens array<int>").withColumnRenamed("id", id_col)
+
+
+def edit_trees(trees: DataFrame, edits_col: str = "edits", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
+    """The columns ``keep`` (default: doc_id), n_before, n_after, n_chars_encoded (long), and the tree after the edits.
 
     ``edits_col`` is an array of struct(at, remove, insert), applied in order; null
-    or empty: no edit. Null texts count as empty, null parts of an edit as 0 or
-    empty. n_chars_encoded counts the characters that edits had encoded anew.
-    Other columns are not read; an empty table gives an empty result.
+    or empty: no edit. Null parts of an edit count as 0 or empty. n_chars_encoded
+    counts the characters that the edits had encoded anew; nothing else is. An empty
+    table gives an empty result; of ``keep``, columns named like a result are left out.
     """
     path = vocabulary or default_vocabulary()
-    names = ["id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"] + ["text_edited"] * keep_text
+    counts = ["n_before", "n_after", "n_chars_encoded"]
+    keep = kept_columns(keep or ["doc_id"], [*counts, *TREE])
+    own = [F.col(f"`{c}`") for c in keep]
+    rows = trees.select(*own, F.col(f"`{edits_col}`").cast(EDITS).alias("_quillon_edits"), *TREE)
+    schema = trees.select(*own, *(F.lit(0).cast("long").alias(c) for c in counts), *TREE).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            for keys, texts, edits in slices(batch, ["id", "text", "edits"], 4 << 20):
-                trees = build([t or "" for t in texts.to_pylist()], bpe)
-                before, encoded = [t.total for t in trees], [0] * len(trees)
+            for columns in slices(batch, batch.schema.names, 4 << 20):
+                *kept, edits, leaves, chars, tokens = columns
+                some = [SegmentTree.kept(*t) for t in zip(leaves.to_pylist(), chars.to_pylist(), tokens.to_pylist())]
+                before, encoded = [t.total for t in some], [0] * len(some)
                 wanted = [w or [] for w in edits.to_pylist()]
                 # edits of a text come one after another; the n-th of all texts are taken together
                 for number in range(max(map(len, wanted), default=0)):
                     now = [(e["at"] or 0, e["remove"] or 0, e["insert"] or "") if number < len(w) and (e := w[number]) is not None else None for w in wanted]
-                    for k, n in enumerate(edit_together(trees, now, bpe)):
+                    for k, n in enumerate(edit_together(some, now, bpe)):
                         encoded[k] += n
-                out = [keys, pa.array(before, pa.int64()), pa.array([t.total for t in trees], pa.int64()), pa.array([t.length for t in trees], pa.int64()), pa.array(encoded, pa.int64())]
-                if keep_text:
-                    out.append(pa.array([t.text() for t in trees], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, names=names)
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in (before, [t.total for t in some], encoded)), *_of_trees(some)], names=schema.names)
+
+    return map_arrow(rows, run, schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
-    return map_arrow(rows, run, "id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long" + ", text_edited string" * keep_text).withColumnRenamed("id", id_col)
 
+# -- the store: a folder of versions
 
-def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with the column ``edits``: those of a table (id, seq, at, remove, insert), in order of seq."""
+
+def write_version(trees: DataFrame, folder: str, version: int) -> None:
+    """One version; written again, it replaces what an attempt before has left."""
+    trees.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/version={version}")
+
+
+def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{folder}/version={version}")
+
+
+def latest_trees(spark: SparkSession, folder: str, versions: int, id_col: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
+    """(id, leaves, chars, tokens): of each identifier the rows of its last version of those before ``versions``.
+
+    With ``only`` (a table with the identifier), other documents' trees are not read
+    further than their identifiers.
+    """
+    out, later = None, None
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    wanted = None if only is None else few(cut(only.select(id_col).distinct()))
+    for version in reversed(range(versions)):
+        rows = read_version(spark, folder, version).select(id_col, *TREE)
+        own = rows.select(id_col)
+        if wanted is not None:
+            rows = rows.join(wanted, id_col, "left_semi")
+        if later is not None:
+            rows = rows.join(few(cut(later.distinct())), id_col, "left_anti")
+        out = rows if out is None else out.unionByName(rows)
+        later = own if later is None else later.unionByName(own)
+    return out
+
+
+def edit_batch(spark: SparkSession, folder: str, versions: int, edits: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
+    """Apply a table of edits (id, seq, at, remove, insert) to the store as its version number ``versions``; (id, n_before, n_after, n_chars_encoded) of the documents it changed.
+
+    Only trees of documents with edits are read and written. Edits of identifiers that
+    the store doesn't have, and of null ones, change nothing.
+    """
+    trees = with_edits(latest_trees(spark, folder, versions, id_col, only=edits), edits, id_col)
+    write_version(edit_trees(trees, keep=[id_col], vocabulary=vocabulary), folder, versions)
+    return read_version(spark, folder, versions).select(id_col, "n_before", "n_after", "n_chars_encoded")
+
+
+def with_edits(trees: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """trees with the column ``edits``: those of a table (id, seq, at, remove, insert), in order of seq."""
     grouped = edits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "remove", "insert"))).alias("_e"))
-    return docs.join(grouped.select(id_col, F.transform("_e", lambda e: F.struct(e["at"].alias("at"), e["remove"].alias("remove"), e["insert"].alias("insert"))).alias("edits")), id_col, "left")
+    return trees.join(grouped.select(id_col, F.transform("_e", lambda e: F.struct(e["at"].alias("at"), e["remove"].alias("remove"), e["insert"].alias("insert"))).alias("edits")), id_col, "left")
 
 
-def scripted_edits(text, doc_id):
-    """The query's edit script: a replacement, an insertion and a deletion, at places drawn from the id's hash."""
-    n = F.length(F.coalesce(text, F.lit("")))
-    place = lambda k: F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), F.lit(k)), n + 1).cast("int")
+def scripted_edits(n_chars, doc_id, first: bool):
+    """The query's edits: a replacement, an insertion and a deletion, then (a second batch) an insertion, at places drawn from the id's hash."""
+    place = lambda k: F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), F.lit(k)), n_chars + 1).cast("int")
     step = lambda k, remove, insert: F.struct(place(k).alias("at"), F.lit(remove).alias("remove"), F.lit(insert).alias("insert"))
-    return F.array(step(1, 12, "revised text"), step(2, 0, " an inserted passage, with punctuation."), step(3, 40, ""))
+    return F.array(step(1, 12, "revised text"), step(2, 0, " an inserted passage, with punctuation."), step(3, 40, "")) if first else F.array(step(4, 0, " and again,"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document before and after its edit script, and what the edits encoded anew."""
-    docs = table(spark, sf_dir, "documents")
-    return count_with_edits(docs.withColumn("edits", scripted_edits(F.col("text"), F.col("doc_id"))))
+    """Of every document: doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_chars_encoded, n_chars_encoded_again (long).
+
+    The trees of all documents are built and kept; two batches of edits follow, each
+    of which reads the trees that the one before has kept. n_tokens counts the text
+    itself, the edited columns what the batches have made of it, and the last two the
+    characters that each batch had encoded anew. Null texts count as empty; repeated
+    rows are edited alike; an empty table gives an empty result; columns other than
+    doc_id and text are not read.
+    """
+    store = scratch(spark, "token-trees")
+    size = F.get("chars", F.lit(1))
+    write_version(build_trees(table(spark, sf_dir, "documents")), store, 0)
+    write_version(edit_trees(read_version(spark, store, 0).withColumn("edits", scripted_edits(size, F.col("doc_id"), True))), store, 1)
+    delete(spark, f"{store}/version=0")  # every tree has a later version
+    again = read_version(spark, store, 1).withColumn("edits", scripted_edits(size, F.col("doc_id"), False)).withColumnsRenamed({"n_before": "n_tokens", "n_chars_encoded": "encoded"})
+    out = edit_trees(again, keep=["doc_id", "n_tokens", "encoded"])
+    return out.select("doc_id", "n_tokens", F.col("n_after").alias("n_tokens_edited"), size.cast("long").alias("n_chars_edited"), F.col("encoded").alias("n_chars_encoded"), F.col("n_chars_encoded").alias("n_chars_encoded_again"))
