@@ -521,35 +521,53 @@ def test_html_column(spark, tmp_path):
 # -- token counts
 
 
+SCRIPT = [(0, 3, "x y"), (5, 0, ""), (10**6, 5, " tail"), (20, 400, ""), (0, 0, "é<|endoftext|>"), (7, 1, "long " * 900), (3, 2000, "z")]
+
+
+def edited(text, script):
+    for a, n, new in script:
+        a = min(a, len(text))
+        text = text[:a] + new + text[a + n :]
+    return text
+
+
 def test_edits_equal_a_full_count(spark, docs, library):
     from pyspark.sql import functions as F
 
     count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
-    script = [(0, 3, "x y"), (5, 0, ""), (10**6, 5, " tail"), (20, 400, ""), (0, 0, "é<|endoftext|>"), (7, 1, "long " * 900), (3, 2000, "z")]
-    edits = F.array(*(F.struct(F.lit(a).alias("at"), F.lit(n).alias("remove"), F.lit(t).alias("insert")) for a, n, t in script))
-    got = token_counts.count_with_edits(docs.withColumn("edits", edits), keep_text=True).collect()
+    edits = F.array(*(F.struct(F.lit(a).alias("at"), F.lit(n).alias("remove"), F.lit(t).alias("insert")) for a, n, t in SCRIPT))
+    got = token_counts.edit_trees(token_counts.build_trees(docs).withColumn("edits", edits)).collect()
     want = []
     for i, t, *_ in rows():
-        u = t or ""
-        for a, n, new in script:
-            a = min(a, len(u))
-            u = u[:a] + new + u[a + n :]
-        want.append((i, count(t or ""), count(u), len(u), u))
-    assert sorted([(r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_chars_edited, r.text_edited) for r in got], key=repr) == sorted(want, key=repr)
-
-
-def test_edits_touch_little():
-    coder = bpe.coder(bpe.default_vocabulary())
-    tree = token_counts.build([ENGLISH * 200], coder)[0]
-    tree, n = token_counts.edit(tree, 9000, 4, "word", coder)
-    assert n < 1000 and tree.total == len(coder.encode([tree.text()])[0])
-
-
-def test_edits_from_a_table(spark, docs, nothing):
-    edits = spark.createDataFrame([(9, 2, 0, 0, "b"), (9, 1, 0, 5, "a ")], "doc_id long, seq int, at int, remove int, insert string")
-    got = token_counts.count_with_edits(token_counts.with_edits(docs.filter("doc_id = 9"), edits), keep_text=True).first()
-    assert got.text_edited == "ba  é text"
-    assert token_counts.count_with_edits(token_counts.with_edits(nothing, edits)).count() == 0
+        u = edited(t or "", SCRIPT)
+        want.append((i, count(t or ""), count(u), u))
+    assert sorted([(r.doc_id, r.n_before, r.n_after, "".join(r.leaves)) for r in got], key=repr) == sorted(want, key=repr)
+    for r in got:  # all sums, not the root's alone
+        tree = token_counts.SegmentTree(r.leaves, [count(x) for x in r.leaves])
+        assert (tree.chars, tree.tokens) == (r.chars, r.tokens)
+
+
+def test_kept_trees_are_edited_batch_by_batch(spark, docs, nothing, library):
+    """Each batch reads and writes the trees of its own documents only, and encodes little of them."""
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    folder = scratch(spark, "test-trees")
+    token_counts.write_version(token_counts.build_trees(docs), folder, 0)
+    kinds = "doc_id long, seq int, at int, remove int, insert string"
+    batches = [[(8, 1, 9000, 4, "word"), (9, 2, 0, 0, "b"), (9, 1, 0, 5, "a ")], [(8, 1, 100_000, 3, " x"), (77, 1, 0, 0, "z"), (None, 1, 0, 0, "z")]]
+    texts = {i: t or "" for i, t, *_ in rows()}
+    for version, batch in enumerate(batches, 1):
+        got = {r.doc_id: r for r in token_counts.edit_batch(spark, folder, version, spark.createDataFrame(batch, kinds)).collect()}
+        for i in got:
+            before, texts[i] = texts[i], edited(texts[i], [(a, n, t) for k, _, a, n, t in sorted(batch, key=lambda e: (e[0] or 0, e[1])) if k == i])
+            assert (got[i].n_before, got[i].n_after) == (count(before), count(texts[i]))
+        assert got.keys() == ({8, 9}, {8})[version - 1]
+        assert got[8].n_chars_encoded < 0.02 * len(texts[8])
+        assert token_counts.read_version(spark, folder, version).count() == len(got)
+    now = token_counts.latest_trees(spark, folder, 3).collect()
+    assert sorted([(r.doc_id, "".join(r.leaves), r.tokens[1]) for r in now], key=repr) == sorted([(i, texts[i], count(texts[i])) for i, *_ in rows()], key=repr)
+    empty = scratch(spark, "test-trees")
+    token_counts.write_version(token_counts.build_trees(nothing), empty, 0)
+    assert token_counts.edit_batch(spark, empty, 1, spark.createDataFrame(batches[0], kinds)).count() == 0
 
 
 # -- mixing
