@@ -9,8 +9,11 @@ have equal identifiers, so each is encoded once and then looked up.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -30,7 +33,8 @@ _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Cached fragments and their bytes, per Python worker; then the cache starts anew.
 CACHE_ENTRIES = 250_000
 CACHE_BYTES = 16 << 20
-#: Bytes of the longest fragment that is merged in rounds; its cost grows with the square of its length.
+#: Bytes of the longest fragment that is merged in rounds with others of its length, as the cost of that grows with
+#: the square of its length; longer ones are merged one by one with a queue. Both give the same identifiers.
 LONG = 48
 
 
@@ -47,6 +51,15 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
+def _unassigned() -> bytes:
+    """Of each code point whether Python's Unicode tables don't know it. The library's may know some of these, and the regex package's may know others."""
+    return bytes(unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1))
+
+
+#: Below this every character is assigned.
+_BEYOND = re.compile("[^\x00-\u0377]")
+
+
 class _Store(dict):
     """text -> its number; new texts wait in ``new``."""
 
@@ -112,6 +125,7 @@ class _Merges:
                 h = (h + 1) % len(self.keys)
             if self.keys[h] == -1:
                 self.keys[h], self.ranks[h] = key, rank
+        self.pairs: dict[int, tuple[int, int]] = {}
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
@@ -130,6 +144,27 @@ class _Merges:
             todo = todo[~hit & (found != -1)]
         return out.reshape(a.shape)
 
+    def queue(self, symbols: list[int]) -> list[int]:
+        """Merge one long fragment: the pair of lowest rank, leftmost first, by a queue of pairs over a linked list."""
+        if not self.pairs:
+            self.pairs = {int(k): (int(r), int(self.result[r])) for k, r in zip(self.keys, self.ranks) if k >= 0}
+        n, pairs = len(symbols), self.pairs
+        own, left, right = list(symbols), list(range(-1, n - 1)), list(range(1, n + 1))
+        todo = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(own, own[1:])) if (found := pairs.get(a << 20 | b))]
+        heapq.heapify(todo)
+        while todo:
+            rank, i, a, b = heapq.heappop(todo)
+            j = right[i]
+            if own[i] != a or j >= n or own[j] != b:
+                continue  # one of the two has gone into another symbol
+            own[i], own[j], right[i] = pairs[a << 20 | b][1], -1, right[j]
+            if right[j] < n:
+                left[right[j]] = i
+            for x, y in ((left[i], i), (i, right[i])):
+                if x >= 0 and y < n and (found := pairs.get(own[x] << 20 | own[y])):
+                    heapq.heappush(todo, (found[0], x, own[x], own[y]))
+        return [s for s in own if s >= 0]
+
     def run(self, rows: np.ndarray, at: np.ndarray, out: np.ndarray, valid: np.ndarray) -> None:
         """rows: one fragment each; its identifiers go to out from place at on."""
         ranks = self.rank(rows[:, :-1], rows[:, 1:])
@@ -163,7 +198,6 @@ class ForcedBoundaryBpe:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self._long_coders: dict = {}
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
@@ -185,7 +219,8 @@ class ForcedBoundaryBpe:
                 self.together[inner[:-1], inner[1:]] = True
         for token, i in self.special.items():
             self.pieces[i] = token
-        self.bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        self.path, self._library = path, None
+        self.unassigned = _unassigned()
         self.symbol = np.array([model["vocab"][c] for c in self.symbols], np.int64)
         self.final = np.array([model["vocab"][c + self.suffix] for c in self.symbols], np.int64)
         self.merges = _Merges(model["vocab"], model["merges"])
@@ -211,14 +246,15 @@ class ForcedBoundaryBpe:
             return [c for c in _SPACE.split(text) if c]
         return text.split()
 
-    def _long(self, word: bytes, last: bool) -> list[int]:
-        """Identifiers of a fragment too long for rounds over equal lengths, by the library's merge queue."""
-        from tokenizers import Tokenizer
+    def _by_library(self, text: str) -> np.ndarray:
+        """Identifiers of a text with characters that only the library can tell letters, numbers and others of."""
+        if self._library is None:
+            from tokenizers import Tokenizer
 
-        spec = self.bare if last else self.bare | {"model": self.bare["model"] | {"end_of_word_suffix": None}}
-        if last not in self._long_coders:
-            self._long_coders[last] = Tokenizer.from_str(json.dumps(spec))
-        return self._long_coders[last].encode("".join([self.symbols[b] for b in word]), add_special_tokens=False).ids
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of non-empty pre-tokens, cut into fragments where no token can reach across."""
@@ -237,9 +273,8 @@ class ForcedBoundaryBpe:
             if length <= LONG:
                 self.merges.run(symbols[at[:, None] + np.arange(length)], at, out, valid)
             else:
-                last = set(ends.tolist())
                 for a in at.tolist():
-                    ids = self._long(data[a : a + length].tobytes(), a + length in last)
+                    ids = self.merges.queue(symbols[a : a + length].tolist())
                     out[a : a + len(ids)], valid[a : a + len(ids)] = ids, True
         return out[valid].astype(np.uint32), np.add.reduceat(valid, ends - lengths, dtype=np.int64)
 
@@ -266,6 +301,13 @@ class ForcedBoundaryBpe:
         """Identifiers of all texts in one uint32 array, and where each text's begin (one more than texts)."""
         if len(self.chunk_numbers) > CACHE_ENTRIES or self.chunk_numbers.bytes + 4 * self.chunk_ids.used > CACHE_BYTES:
             self.reset()
+        odd = [i for i, t in enumerate(texts) if t and not t.isascii() and _BEYOND.search(t) and any(map(self.unassigned.__getitem__, map(ord, set(t))))]
+        if odd:
+            flat, at = self.encode([None if i in set(odd) else t for i, t in enumerate(texts)])
+            parts = np.split(flat, at[1:-1])
+            for i in odd:
+                parts[i] = self._by_library(texts[i])
+            return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
         special = self.special_at
         if special is None or not any(t and "<|" in t and special.search(t) for t in texts):
             return self._ids([self.chunks(t) if t else [] for t in texts])
@@ -340,6 +382,10 @@ def decode_column(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "id
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token count and digests of identifiers and decoded text of every document."""
+    """Of every document: doc_id, n_tokens long, ids_sha256, decoded_sha256 string.
+
+    Null and empty texts have no tokens and decode to an empty text; repeated rows are
+    encoded each; an empty table gives an empty result; other columns are not read.
+    """
     coded = encode_column(table(spark, sf_dir, "documents"), decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

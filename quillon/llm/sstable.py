@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import coder, default_vocabulary
@@ -115,6 +115,11 @@ class ShardWriter:
         self.blocks += 1
         self.block, self.size = [], 0
 
+    def drop(self) -> None:
+        """Give up: nothing stays."""
+        self.out.close()
+        self.fs.delete_file(self.temporary)
+
     def close(self) -> None:
         self._flush()
         bits = max(64, len(self.keys) * BLOOM_BITS_PER_KEY)
@@ -195,6 +200,9 @@ class ShardReader:
 
 
 MANIFEST = "shard string, part int, number int, documents long, tokens long, first_id long, last_id long"
+_MANIFEST = {"shard": pa.string(), "part": pa.int32(), "number": pa.int32(), "documents": pa.int64(), "tokens": pa.int64(), "first_id": pa.int64(), "last_id": pa.int64()}
+#: Tasks that read shards, for each core; a task may read several shards.
+READERS = 8
 
 
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int | None = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -202,9 +210,11 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     One row per shard; also written to ``folder``/_manifest. Null texts count as
     empty (then only the end identifier is stored). Rows without an identifier
-    come first, equal identifiers in order of their text. Other columns are not
-    read. An empty table gives no shard and an empty manifest. Attempts that are
-    repeated write the same shards under the same names.
+    come first; rows of one identifier, null included, lie in order of their texts'
+    hashes, and however many they are, any number of tasks shares them. Other columns
+    are not read. An empty table gives no shard and an empty manifest. Attempts that
+    are repeated write the same shards under the same names; what broken ones leave
+    is removed.
     """
     path = vocabulary or default_vocabulary()
     end = np.array([] if end_id is None else [end_id], np.uint32)
@@ -220,43 +230,60 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             rows.append((f"part-{part:06d}-{number:04d}.sst", part, number, out.documents, out.tokens, first, last))
             out, number, written = None, number + 1, 0
 
-        for batch in batches:
-            for keys, texts in slices(batch, ["id", "text"], 4 << 20):
-                ids, at = bpe.encode(texts.to_pylist())
-                for k, doc_id in enumerate(keys.to_pylist()):
-                    if out is None:
-                        fs.create_dir(base, recursive=True)
-                        out = ShardWriter(fs, f"{base}/part-{part:06d}-{number:04d}.sst", attempt)
-                        first = doc_id
-                    out.add(key_of(doc_id), np.concatenate([ids[at[k] : at[k + 1]], end]))
-                    last = doc_id
-                    written += 2 * int(at[k + 1] - at[k]) + 16
-                    if written >= shard_bytes:
-                        close()
-        if out is not None:
-            close()
-        yield pa.RecordBatch.from_pylist([dict(zip(("shard", "part", "number", "documents", "tokens", "first_id", "last_id"), r)) for r in rows], pa.schema([("shard", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+        try:
+            for batch in batches:
+                for keys, texts in slices(batch, ["id", "text"], 4 << 20):
+                    ids, at = bpe.encode(texts.to_pylist())
+                    for k, doc_id in enumerate(keys.to_pylist()):
+                        if out is None:
+                            fs.create_dir(base, recursive=True)
+                            out = ShardWriter(fs, f"{base}/part-{part:06d}-{number:04d}.sst", attempt)
+                            first = doc_id
+                        out.add(key_of(doc_id), np.concatenate([ids[at[k] : at[k + 1]], end]))
+                        last = doc_id
+                        written += 2 * int(at[k + 1] - at[k]) + 16
+                        if written >= shard_bytes:
+                            close()
+            if out is not None:
+                close()
+        except BaseException:
+            if out is not None:
+                out.drop()
+            raise
+        columns = list(zip(*rows)) or [()] * len(_MANIFEST)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _MANIFEST.values())], names=list(_MANIFEST))
+
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("k"))
+    order = [F.col("id").asc_nulls_first(), "h", "k"]  # k: rows that are the same in full can lie in several ranges, too
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     map_arrow(ordered, run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
+    fs, base = filesystem(folder)
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        for f in fs.get_file_info(pafs.FileSelector(base)):
+            if f.path.endswith(".tmp"):  # of attempts whose executor was lost
+                fs.delete_file(f.path)
     return docs.sparkSession.read.parquet(f"{folder}/_manifest")
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start long, n_tokens long, ids binary, ids_crc32 long) of every document, read from the shards.
 
-    start: number of identifiers of all documents before it. The driver holds the
-    manifest (one row per shard), nothing per document.
+    start: number of identifiers of all documents before it. The driver holds one
+    number per range partition, nothing per shard or document. Without shards the
+    result is empty.
     """
-    manifest = spark.read.parquet(f"{folder}/_manifest").orderBy("part", "number").collect()
-    todo, start = [], 0
-    for m in manifest:
-        todo.append((m.shard, start))
-        start += m.tokens
     schema = "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long"
-    if not todo:
+    manifest = spark.read.parquet(f"{folder}/_manifest")
+    parts, start = [], 0
+    for p in sorted(manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect(), key=lambda p: p.part):
+        parts.append((p.part, start))
+        start += p.tokens
+    if not parts:
         return spark.createDataFrame([], schema)
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = manifest.withColumn("before", before).join(F.broadcast(spark.createDataFrame(parts, "part int, base long")), "part").select("shard", (F.col("base") + F.col("before")).alias("start"))
+    tasks = min(manifest.count(), READERS * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
@@ -281,8 +308,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                     yield batch_of(rows)
                 reader.close()
 
-    listed = spark.createDataFrame(todo, "shard string, start long").repartition(len(todo))
-    return map_arrow(listed, run, schema)
+    return map_arrow(listed.repartition(tasks), run, schema)
 
 
 def lookup(folder: str, manifest: list, doc_id: int | None) -> list[np.ndarray]:
@@ -298,7 +324,12 @@ def lookup(folder: str, manifest: list, doc_id: int | None) -> list[np.ndarray]:
 
 
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start, length and checksum of every document's identifiers, read back from the shards."""
+    """Of every document, read back from the shards: doc_id, start, n_tokens, ids_crc32 (long).
+
+    Null texts count as empty and have the end identifier alone; documents without an
+    identifier come first, repeated rows one after another; an empty table gives an
+    empty result; other columns are not read.
+    """
     folder = scratch(spark, "token-shards")
     write_shards(table(spark, sf_dir, "documents"), folder)
     return read_shards(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
