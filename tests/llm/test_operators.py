@@ -36,6 +36,33 @@ def test_bpe_equals_the_library(library):
         assert coder.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_equals_the_library_on_every_character(library):
+    """All code points but surrogates, within words, after digits and alone."""
+    coder = bpe.ForcedBoundaryBpe(bpe.default_vocabulary())
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b 1{chr(c)} {chr(c)}\n" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for i in range(0, len(texts), 1024):
+        some = texts[i : i + 1024]
+        ids, at = coder.encode(some)
+        for k, want in enumerate(library.encode_batch(some, add_special_tokens=False)):
+            assert ids[at[k] : at[k + 1]].tolist() == want.ids, (i + k) * 64
+
+
+def test_bpe_long_fragments(library):
+    """Fragments without a certain cut, merged by rounds and by a queue."""
+    coder = bpe.ForcedBoundaryBpe(bpe.default_vocabulary())
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 47, 48, 49, 50, 300, 5000):
+        for _ in range(3):
+            text = "".join(rng.choice(list("aeinorst"), n))
+            assert coder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+            symbols = coder.symbol[np.frombuffer(text.encode(), np.uint8)]
+            if n > 1 and n <= 300:
+                out, valid = np.zeros(n, np.int64), np.zeros(n, bool)
+                coder.merges.run(symbols[None, :], np.array([0]), out, valid)
+                assert out[valid].tolist() == coder.merges.queue(symbols.tolist())
+
+
 def test_bpe_cuts_only_where_no_token_reaches():
     coder = bpe.ForcedBoundaryBpe(bpe.default_vocabulary())
     symbol = {c: b for b, c in enumerate(coder.symbols)}
@@ -75,6 +102,25 @@ def test_sstable_round_trip_and_lookup(spark, docs, library):
     assert sstable.lookup(folder, listed, 77) == []
 
 
+def test_sstable_shares_a_hot_identifier(spark, tmp_path):
+    """A third of the rows without an identifier, many of them the same, lie in several ranges; nothing is lost."""
+    from pyspark.sql import functions as F
+
+    path, folder = str(tmp_path / "d.parquet"), scratch(spark, "test-shards")
+    spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some text "), F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.col("id") % 2)).alias("text")).repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a small table would be one range
+    try:
+        manifest = sstable.write_shards(docs, folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({m.part for m in manifest if m.first_id is None}) > 1
+    got = sorted(sstable.read_shards(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 1000 + [i for i in range(3000) if i % 3]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    assert len(sstable.lookup(folder, [m.asDict() for m in manifest], None)) == 1000
+
+
 def test_sstable_of_no_rows(spark, nothing):
     folder = scratch(spark, "test-shards")
     assert sstable.write_shards(nothing, folder).count() == 0
