@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import kept_columns, map_arrow, slices, table
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag; a quoted value ends where white space, a slash or the tag's end follows its quote.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+)>")
+#: A tag with broken quotes ends at the next angle bracket.
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>?")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg".split())
@@ -70,46 +73,65 @@ def parse(page: str) -> list[Node]:
     """The page's elements in page order; the first is the root. Never fails: odd markup is text or ignored."""
     nodes = [Node("#root")]
     stack = [0]
-    at = 0
+    opened: dict[str, int] = {}  # how many elements of a tag are open
+    at, n, last = 0, len(page), page.rfind(">")
 
     def text(s: str) -> None:
         if s:
             nodes[stack[-1]].parts.append(_html.unescape(s) if "&" in s else s)
 
     def close(until: int) -> None:
+        for k in stack[until:]:
+            opened[nodes[k].tag] -= 1
         del stack[until:]
 
-    n = len(page)
+    def until(mark: str, begin: int) -> tuple[int, int]:
+        """Where a section ends and where the page goes on."""
+        end = page.find(mark, begin)
+        return (n, n) if end < 0 else (end, end + len(mark))
+
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+        begin = page.find("<", at) if at <= last else -1
+        if begin < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            text(m[1])
+        text(page[at:begin])
+        if page.startswith("<!--", begin):
+            at = until("-->", begin + 4)[1]
             continue
-        if m[3] is None:
+        if page.startswith("<![CDATA[", begin):
+            end, at = until("]]>", begin + 9)
+            text(page[begin + 9 : end])
             continue
-        name = m[3].lower()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == name:
-                    close(k)
-                    break
-                if name in _INLINE and nodes[stack[k]].tag not in _INLINE:
-                    break  # an inline end tag doesn't end a block
+        if page[begin + 1] in "!?":
+            at = until(">", begin)[1]
+            continue
+        m = _TAG.match(page, begin) or _BROKEN.match(page, begin)
+        if m is None:
+            text("<")
+            at = begin + 1
+            continue
+        at = m.end()
+        name = m[2].lower()
+        if m[1]:
+            if opened.get(name):
+                for k in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[k]].tag == name:
+                        close(k)
+                        break
+                    if name in _INLINE and nodes[stack[k]].tag not in _INLINE:
+                        break  # an inline end tag doesn't end a block
             continue
         if name in _ENDS:
             ended, within = _ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in within:
-                    break
-                if nodes[stack[k]].tag in ended:
-                    close(k)
-                    break
-        elif name in _ENDS_P:
+            if any(opened.get(t) for t in ended):
+                for k in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[k]].tag in within:
+                        break
+                    if nodes[stack[k]].tag in ended:
+                        close(k)
+                        break
+        elif name in _ENDS_P and opened.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 tag = nodes[stack[k]].tag
                 if tag == "p":
@@ -118,7 +140,7 @@ def parse(page: str) -> list[Node]:
                 if tag not in _INLINE:
                     break
         parent = stack[-1]
-        nodes.append(Node(name, m[4], parent, len(stack)))
+        nodes.append(Node(name, m[3], parent, len(stack)))
         me = len(nodes) - 1
         nodes[parent].children.append(me)
         nodes[parent].parts.append(me)
@@ -126,8 +148,9 @@ def parse(page: str) -> list[Node]:
             end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
             nodes[me].parts.append(page[at : end.start() if end else n])
             at = end.end() if end else n
-        elif name not in _VOID and not m[4].rstrip().endswith("/"):
+        elif name not in _VOID and not m[3].rstrip().endswith("/"):
             stack.append(me)
+            opened[name] = opened.get(name, 0) + 1
     return nodes
 
 
@@ -287,7 +310,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rat
 # -- training pages
 
 
-def training_pages(pages: int = 400, seed: int = 11) -> list[str]:
+def training_pages(pages: int = 500, seed: int = 11) -> list[str]:
     """Generated pages whose elements of the main text carry the attribute ``k="1"``, all others ``k="0"``.
 
     Layouts, tags and class names vary; some boilerplate is long prose and some
@@ -296,8 +319,11 @@ def training_pages(pages: int = 400, seed: int = 11) -> list[str]:
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[rng.integers(len(x))]
 
+    def word() -> str:
+        return "".join(pick("b", "k", "d", "f", "gl", "m", "p", "st", "v", "w") + pick("a", "e", "i", "o", "u", "ea", "ö") for _ in range(rng.integers(1, 4)))
+
     def words(lo: int, hi: int) -> str:
-        return " ".join("".join(pick("an", "er", "th", "ou", "en", "ti", "re", "la", "sch", "é", "os") for _ in range(rng.integers(1, 4))) + pick("", "", "", ",", ".") for _ in range(rng.integers(lo, hi)))
+        return " ".join(word() + pick("", "", "", "", "", "", ",", ".", "?", "&nbsp;") for _ in range(rng.integers(lo, hi)))
 
     def element(tag: str, inner: str, keep: int, attributes: str = "") -> str:
         return f'<{tag} k="{keep}"{attributes}>{inner}</{tag}>'
@@ -311,7 +337,7 @@ def training_pages(pages: int = 400, seed: int = 11) -> list[str]:
     def prose(keep: int) -> str:
         out = []
         for _ in range(rng.integers(1, 9) if keep else rng.integers(1, 4)):
-            inner = words(1, 120 if keep else 60)
+            inner = pick(words(1, 6), words(3, 25), words(1, 120 if keep else 60))
             if rng.random() < 0.3:
                 inner = element(pick("b", "em", "a", "span"), inner, keep) + " " + words(1, 20)
             out.append(element(pick("p", "p", "p", "p", "blockquote", "pre", "h2", "h3"), inner, keep))
@@ -341,7 +367,7 @@ def training_pages(pages: int = 400, seed: int = 11) -> list[str]:
 
     out = []
     for _ in range(pages):
-        body = element("h1", words(2, 12), 1) * int(rng.random() < 0.8) + prose(1)
+        body = element("h1", words(1, 12), 1) * int(rng.random() < 0.8) + prose(1)
         if rng.random() < 0.35:
             body += boilerplate() + (prose(1) if rng.random() < 0.5 else "")
         wrapper = rng.integers(4)
@@ -355,11 +381,15 @@ def training_pages(pages: int = 400, seed: int = 11) -> list[str]:
             main = element("main", element("div", body, 1, named("content", "post-body", "x")), 1)
         if rng.random() < 0.3:
             main = element("div", main + boilerplate() * int(rng.random() < 0.5), 1, named("wrapper", "container", "page", "row"))
-        before = "".join(boilerplate() for _ in range(rng.integers(0, 4)))
-        after = "".join(boilerplate() for _ in range(rng.integers(0, 4)))
+        bare = rng.random() < 0.15  # nothing but the article
+        before = "" if bare else "".join(boilerplate() for _ in range(rng.integers(0, 4)))
+        after = "" if bare else "".join(boilerplate() for _ in range(rng.integers(0, 4)))
         top = element(pick("header", "div"), words(1, 12) + links() * int(rng.random() < 0.5), 0, named("header", "masthead", "site-header", "banner")) * int(rng.random() < 0.5)
         low = (element("footer", words(2, 40), 0) if rng.random() < 0.6 else element("div", words(2, 40), 0, named("footer", "copyright", "legal"))) * int(rng.random() < 0.8)
-        head = element("head", element("title", words(1, 12), 0) + element("style", "p{margin:0}", 0) + element("script", "track(0);", 0), 0)
+        head = element("head", element("title", words(1, 12), 0) + element("style", f".{word()} {{ color: {word()} }}", 0) * int(rng.random() < 0.7) + element("script", f'var {word()} = "{words(1, 9)}"', 0) * int(rng.random() < 0.7), 0)
+        if bare and rng.random() < 0.5:  # a fragment of a page
+            out.append(main)
+            continue
         out.append(f'<!DOCTYPE html><html k="1">{head}<body k="1">{top}{before}{main}{after}{low}' + "</body></html>" * int(rng.random() < 0.9))
     return out
 
@@ -458,10 +488,11 @@ def extract(pages: list[str | None], trees: Trees | None = None) -> list[str]:
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default page_id, url), then text string: the main text of the whole page.
 
-    Null, empty and textless pages give an empty text. Other columns are not read;
-    an empty table gives an empty result.
+    Null, empty and textless pages give an empty text; rows that repeat are extracted
+    each. Other columns are not read; an empty table gives an empty result; of ``keep``,
+    a column named text is left out.
     """
-    keep = keep or ["page_id", "url"]
+    keep = kept_columns(keep or ["page_id", "url"], ["text"])
     shared = pages.sparkSession.sparkContext.broadcast(model())
     rows = pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html_col).alias("_page_html"))
     schema = pages.select(*(F.col(f"`{c}`") for c in keep)).schema.add("text", "string")
@@ -475,6 +506,10 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str]
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page: page_id, url, text string, n_chars long.
+
+    Null and empty pages have an empty text of 0 characters; repeated rows are
+    extracted each; an empty table gives an empty result; other columns are not read.
+    """
     texts = extract_main_text(table(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

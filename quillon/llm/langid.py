@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices, table
+from .common import cut, kept_columns, map_arrow, slices, table
 
 WINDOW = 128
 HIDDEN = 8
@@ -234,10 +234,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Whole texts. Null, empty and letterless texts give ``und`` with score 0, and so
     do all texts if the model has learned no language; with one language it is
-    predicted with score 1. Only the text is an input. An empty table gives an
-    empty result.
+    predicted with score 1. Only the text is an input. Rows that repeat are predicted
+    each; an empty table gives an empty result; of ``keep``, columns named like a
+    result are left out.
     """
-    keep = keep or [id_col]
+    keep = kept_columns(keep or [id_col], list(names))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add(names[0], "string").add(names[1], "double")
     at = keep.index(text_col) if text_col in keep else len(keep)  # a kept text is sent once

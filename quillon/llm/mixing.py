@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_arrow, slices, table
+from .common import cut, kept_columns, map_arrow, slices, table
 
 #: Labelled rows for training: at most one for each domain and hash bucket.
 SAMPLE_BUCKETS = 512
@@ -147,7 +147,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, buckets: int = SAMPLE_BUCK
 
 
 def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("tokens", "posterior")) -> DataFrame:
-    """The columns ``keep``, then tokens (long: white-space words of the whole text) and posterior (array<double>) under ``names``."""
+    """The columns ``keep``, then tokens (long: white-space words of the whole text) and posterior (array<double>) under ``names``.
+
+    Null and empty texts have no tokens and the prior as posterior; rows that repeat are
+    scored each; an empty table gives an empty result; of ``keep``, columns named like a
+    result are left out.
+    """
+    keep = kept_columns(keep, list(names))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [F.col(f"`{c}`") for c in keep]
     at = keep.index(text_col) if text_col in keep else len(keep)  # a kept text is sent once
