@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import max_run, title_words
+from quillon.sources.shared import cut
 
 
 def title_screen(rows: DataFrame, pattern: str, path: str = "path") -> DataFrame:
@@ -89,12 +90,37 @@ def licence_filter(rows: DataFrame, licence: str = "licence", evals: DataFrame |
     return free.join(evals.select(key).distinct(), key, "left_anti") if evals is not None else free
 
 
+#: Anchors of passages: so many words in a row, the first number that fits within a passage's inner words.
+ANCHORS = (8, 3, 1)
+#: Anchors and candidates up to this number may be broadcast; beyond it the planner chooses.
+BROADCAST_ROWS = 200_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_text: str = "text") -> DataFrame:
-    """Documents that hold a benchmark text in full, by matching lines: (doc_id, item_id).
+    """Documents that hold a benchmark text in full, line breaks included: (doc_id, item_id), each pair once.
 
-    An equi-join on whole trimmed lines; the benchmark is the small side and stays
-    unbroadcast unless its size lets the planner choose so.
+    An item's anchor is a run of its inner words (all but the first and last, which may be
+    cut out of longer words of a document). Documents' word windows are joined to the
+    anchors by hash, without their texts; then the candidates' whole texts are compared.
+    Items of fewer than three words, and null texts, match nothing.
     """
-    lines = docs.select("doc_id", F.explode(F.split(doc_text, "\n")).alias("l")).select("doc_id", F.trim("l").alias("l"))
-    items = benchmark.select("item_id", F.trim(item_text).alias("l"))
-    return lines.join(items, "l").select("doc_id", "item_id").distinct()
+    words = lambda t: F.array_remove(F.split(F.coalesce(t, F.lit("")), r"\s+"), "")
+    items = benchmark.select("item_id", F.col(item_text).alias("_item")).filter(F.size(words(F.col("_item"))) >= 3)
+    inner = F.slice(words(F.col("_item")), 2, F.size(words(F.col("_item"))) - 2)
+    size = F.coalesce(*(F.when(F.size(inner) >= k, F.lit(k)) for k in ANCHORS))
+    anchors = cut(items.select("item_id", F.xxhash64(F.array_join(F.slice(inner, F.lit(1), size), " ")).alias("_h"), size.alias("_k")))
+    sizes = [r._k for r in anchors.select("_k").distinct().collect()]  # at most as many as ANCHORS
+    own = docs.select("doc_id", words(F.col(doc_text)).alias("_w"))
+    window = lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(k)), " "))))
+    if not sizes:
+        return docs.select("doc_id").join(items.select("item_id"), F.lit(False)).distinct()
+    hashes = F.array_distinct(F.concat(*(F.coalesce(window(k), F.array().cast("array<bigint>")) for k in sizes)))
+    found = own.select("doc_id", F.explode(hashes).alias("_h")).join(_small(anchors.select("item_id", "_h")), "_h").select("doc_id", "item_id").distinct()
+    candidates = cut(found)
+    texts = docs.select("doc_id", F.col(doc_text).alias("_text")).join(_small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
+    pairs = texts.join(candidates, "doc_id").join(items, "item_id")
+    return pairs.filter(F.contains("_text", "_item")).select("doc_id", "item_id").distinct()

@@ -85,3 +85,35 @@ def latest(emitted: DataFrame, keys: list[str]) -> DataFrame:
     """The last emitted row of each key from update-mode output."""
     rest = [c for c in emitted.columns if c not in (*keys, "_batch")]
     return emitted.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
+
+
+def derived(changes: DataFrame, key: str, seq: str, columns: dict) -> DataFrame:
+    """Each key's latest row by seq with its derived columns, computed anew whenever the row changes (update mode)."""
+    rest = [c for c in changes.columns if c not in (key, seq)]
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(key, "_r.*").withColumns(columns)
+
+
+def device_slots(stream: DataFrame, who: str = "who", device: str = "device", at: str = "at", most: int = 2, days: int = 30) -> DataFrame:
+    """Requests with whether their device has a slot: (who, device, at, allowed), batch by batch in order of time.
+
+    A known device is allowed and seen anew. A new one first frees the slots of devices
+    not seen for ``days``, then takes a slot if one is free. The state of an account is
+    its slots, at most ``most``, however many requests it makes.
+    """
+    kind, thing = stream.schema[who].dataType.simpleString(), stream.schema[device].dataType.simpleString()
+
+    def admit(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        slots = dict(zip(*state.get)) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values([at, device])
+        out = []
+        for t, x in zip(rows[at], rows[device]):
+            if x not in slots:
+                slots = {k: seen for k, seen in slots.items() if pd.Timestamp(seen) >= t - pd.Timedelta(days=days)}
+            ok = x in slots or len(slots) < most
+            if ok:
+                slots[x] = t.to_pydatetime()
+            out.append((key[0], x, t, ok))
+        state.update((list(slots), list(slots.values())))
+        yield pd.DataFrame(out, columns=["who", "device", "at", "allowed"])
+
+    return stream.groupBy(who).applyInPandasWithState(admit, f"who {kind}, device {thing}, at timestamp, allowed boolean", f"devices array<{thing}>, seen array<timestamp>", "append", "NoTimeout")
