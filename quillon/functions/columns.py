@@ -173,6 +173,30 @@ def rms_db(samples) -> Column:
     return F.when(F.size(samples) > 0, 20 * F.log10(F.greatest(F.sqrt(mean), F.lit(1e-10))))
 
 
+def frame_db(samples, frame: int, share: float = 0.9) -> Column:
+    """The given percentile (by rank) of the loudness of a signal's whole frames, in decibels; null if it has none."""
+    n = F.floor(F.size(samples) / frame).cast("int")
+    frames = F.transform(F.sequence(F.lit(0), n - 1), lambda i: rms_db(F.slice(samples, i * frame + 1, F.lit(frame))))
+    return F.when(n > 0, F.get(F.array_sort(frames), F.floor((n - 1) * share).cast("int")))
+
+
+def is_silent(samples, frame: int, floor: float = -50.0) -> Column:
+    """Silence vote: even the loud frames stay under the floor."""
+    return F.coalesce(frame_db(samples, frame) < floor, F.lit(True))
+
+
+def loud_enough(level_db, floor: float = -50.0) -> Column:
+    """Loudness gate; an unknown level doesn't pass."""
+    return F.coalesce(level_db >= floor, F.lit(False))
+
+
+def margin_choice(scores, positives: Sequence[str], negatives: Sequence[str], margin: float) -> Column:
+    """The positive of the best score of a map if it leads the best negative by the margin, else null."""
+    best = lambda names: F.array_max(F.transform(F.filter(F.map_entries(scores), lambda e: e["key"].isin(*names)), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))
+    lead = best(positives)["v"] - F.coalesce(best(negatives)["v"], F.lit(0.0))
+    return F.when(lead >= margin, best(positives)["k"])
+
+
 def top_k_mean(scores, k: int) -> Column:
     """Mean of the k largest values of an array (of all, if fewer)."""
     best = F.slice(F.sort_array(scores, asc=False), 1, k)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.operators.order import running
+
 from quillon.functions.columns import clamp, jaccard, set_f1, smoothed_ratio
 
 
@@ -236,10 +238,9 @@ def class_gate(judged: DataFrame, admit: float = 0.5, doubt: float = 0.3, wrong:
 
 
 def average_precision(scored: DataFrame, label: str = "label", score: str = "score", positive: str = "positive", key: str = "id") -> DataFrame:
-    """(label, positives, ap): mean over positives of precision at their rank, best score first, ties by key."""
-    order = W.partitionBy(label).orderBy(F.col(score).desc(), F.col(key))
-    hit = F.col(positive).cast("int")
-    ranked = scored.withColumn("_r", F.row_number().over(order)).withColumn("_tp", F.sum(hit).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """(label, positives, ap): mean over positives of precision at their rank, best score first, ties by key; a class may span many tasks."""
+    hit = F.coalesce(F.col(positive).cast("int"), F.lit(0))
+    ranked = running(scored, [F.col(score).desc(), key], label, {"_r": F.lit(1).cast("long"), "_tp": hit})
     return ranked.groupBy(label).agg(F.sum(hit).alias("positives"), (F.sum(F.when(hit == 1, F.col("_tp") / F.col("_r")).otherwise(0.0)) / F.greatest(F.sum(hit), F.lit(1))).alias("ap"))
 
 

@@ -7,6 +7,7 @@ Lineage is cut with reliable checkpoints every few rounds.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,43 +78,52 @@ def fuse(cells: DataFrame, people: DataFrame | None = None, rounds: int = 30, sh
     return out.withColumn("labels", F.map_keys(F.map_filter("probs", lambda k, v: v > 0.5))), rates
 
 
-def anchored_em(judged: DataFrame, calibration: DataFrame, classes: list[str], anchor: float = 20.0, rounds: int = 50, every: int = 10) -> DataFrame:
+def anchored_em(judged: DataFrame, calibration: DataFrame, classes: list[str], anchor: float = 20.0, rounds: int = 50) -> DataFrame:
     """K-class Dawid-Skene with one anchored judge: (uid, label, pred, fused, conf, confident, hard_negative).
 
     judged(uid, label: weak label, pred: judge's answer); calibration(truth, pred, n).
-    Classes are a short list: the tables of rates have at most classes x answers rows.
+    Items with the same two answers have the same posterior, so the rounds run over the
+    counts of distinct answer pairs: at most (classes + 1) squared numbers, which are all
+    that reaches the driver; the result is joined back to the items.
     """
     other = "other"
     truths = [*classes, other]
-    spark = judged.sparkSession
-    grid = spark.createDataFrame([(t, p) for t in truths for p in truths], "k string, pred string")
-    known = calibration.select(F.col("truth").alias("k"), "pred", "n")
-    counts = grid.join(known, ["k", "pred"], "left").fillna(0, ["n"])
-    rows = counts.groupBy("k").agg(F.sum("n").alias("all"))
-    flat = counts.join(rows, "k").withColumn("n", F.when((F.col("k") == other) | (F.col("all") == 0), 1.0).otherwise(F.col("n").cast("double")))
-    norm = flat.groupBy("k").agg(F.sum("n").alias("total"))
-    g_prior = cut(flat.join(norm, "k").select("k", "pred", (F.col("n") / F.col("total") * anchor + 0.5).alias("g0")))
-    cell = judged.withColumn("pred", F.when(F.col("pred").isin(*truths), F.col("pred")).otherwise(other)).withColumn("label", F.when(F.col("label").isin(*truths), F.col("label")).otherwise(other))
-    # items with the same two answers have the same posterior: work on the table of distinct pairs
-    pairs = cut(cell.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("m")))
-    n = float(pairs.agg(F.sum("m")).first()[0] or 0)
-    labels = spark.createDataFrame([(t, w) for t in truths for w in truths], "k string, label string")
-    g = g_prior.select("k", "pred", "g0").join(g_prior.groupBy("k").agg(F.sum("g0").alias("t")), "k").select("k", "pred", (F.col("g0") / F.col("t")).alias("g"))
-    c = labels.select("k", "label", F.when(F.col("k") == F.col("label"), 0.6).otherwise(0.4 / max(1, len(truths) - 1)).alias("c"))
-    prior = spark.createDataFrame([(t, 1.0 / len(truths)) for t in truths], "k string, prior double")
-    post = None
-    for number in range(rounds):
-        raw = pairs.join(g, "pred").join(c, ["k", "label"]).join(prior, "k").withColumn("u", F.col("prior") * F.col("g") * F.col("c"))
-        total = raw.groupBy("label", "pred").agg(F.sum("u").alias("t"))
-        post = cut(raw.join(total, ["label", "pred"]).select("label", "pred", "m", "k", (F.col("u") / F.col("t")).alias("p")))
-        prior = post.groupBy("k").agg((F.sum(F.col("m") * F.col("p")) / n).alias("prior"))
-        gs = g_prior.join(post.groupBy("k", "pred").agg(F.sum(F.col("m") * F.col("p")).alias("s")), ["k", "pred"], "left").select("k", "pred", (F.coalesce("s", F.lit(0.0)) + F.col("g0")).alias("v"))
-        g = gs.join(gs.groupBy("k").agg(F.sum("v").alias("t")), "k").select("k", "pred", (F.col("v") / F.col("t")).alias("g"))
-        cs = labels.join(post.groupBy("k", "label").agg(F.sum(F.col("m") * F.col("p")).alias("s")), ["k", "label"], "left").select("k", "label", (F.coalesce("s", F.lit(0.0)) + 0.5).alias("v"))
-        c = cs.join(cs.groupBy("k").agg(F.sum("v").alias("t")), "k").select("k", "label", (F.col("v") / F.col("t")).alias("c"))
-    best = post.groupBy("label", "pred").agg(F.max_by(F.struct("k", "p"), F.struct("p", "k")).alias("b"), F.max(F.when(F.col("k") == F.col("label"), F.col("p"))).alias("weak"))
-    done = cell.join(best, ["label", "pred"])
-    return done.select("uid", "label", "pred", F.col("b.k").alias("fused"), F.col("b.p").alias("conf"), ((F.col("b.p") >= 0.8) & (F.col("b.k") != other)).alias("confident"), (F.coalesce("weak", F.lit(0.0)) <= 0.1).alias("hard_negative"))
+    size, place = len(truths), {t: i for i, t in enumerate(truths)}
+    known = lambda c: F.when(F.col(c).isin(*truths), F.col(c)).otherwise(other)
+    cell = judged.withColumns({"pred": known("pred"), "label": known("label")})
+
+    def counted(rows: DataFrame, first: str, n) -> np.ndarray:
+        out = np.zeros((size, size))
+        for r in rows.filter(F.col(first).isin(*truths) & F.col("pred").isin(*truths)).groupBy(first, "pred").agg(n.alias("n")).collect():
+            out[place[r[0]], place[r[1]]] = r.n or 0
+        return out
+
+    flat = counted(calibration, "truth", F.sum("n"))
+    flat[(flat.sum(axis=1) == 0) | (np.arange(size) == place[other])] = 1.0
+    g0 = flat / flat.sum(axis=1, keepdims=True) * anchor + 0.5  # truth, answer
+    pairs = counted(cell, "label", F.count(F.lit(1)))  # weak label, answer
+    n = max(1.0, pairs.sum())
+    g = g0 / g0.sum(axis=1, keepdims=True)
+    c = np.where(np.eye(size, dtype=bool), 0.6, 0.4 / max(1, size - 1))  # truth, weak label
+    prior = np.full(size, 1.0 / size)
+    post = np.full((size, size, size), 1.0 / size)  # truth, weak label, answer
+    for _ in range(rounds):
+        post = prior[:, None, None] * c[:, :, None] * g[:, None, :]
+        post /= post.sum(axis=0)
+        weighed = post * pairs
+        prior = weighed.sum(axis=(1, 2)) / n
+        g = weighed.sum(axis=1) + g0
+        g /= g.sum(axis=1, keepdims=True)
+        c = weighed.sum(axis=2) + 0.5
+        c /= c.sum(axis=1, keepdims=True)
+    best = [
+        (truths[l], truths[a], *max((float(post[k, l, a]), truths[k]) for k in range(size)), float(post[l, l, a]))
+        for l in range(size)
+        for a in range(size)
+    ]
+    table = judged.sparkSession.createDataFrame(best, "label string, pred string, conf double, fused string, weak double")
+    done = cell.join(F.broadcast(table), ["label", "pred"])
+    return done.select("uid", "label", "pred", "fused", "conf", ((F.col("conf") >= 0.8) & (F.col("fused") != other)).alias("confident"), (F.col("weak") <= 0.1).alias("hard_negative"))
 
 
 def merge_votes(ledgers: list[DataFrame], uid: str = "uid", labeller: str = "labeller") -> DataFrame:

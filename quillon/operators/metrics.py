@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.operators.order import percentiles
+
 
 def _one(n: Column) -> Column:
     return F.greatest(n, F.lit(1))
 
 
-def judge_calibration(judged: DataFrame, majority: DataFrame | None = None, cost: str | None = None) -> DataFrame:
+def judge_calibration(judged: DataFrame, cost: str | None = None) -> DataFrame:
     """judged(item, judge, truth, pred[, cost]) -> by judge and class: n, recall, precision and mean cost."""
     hit = F.col("pred") == F.col("truth")
     by_truth = judged.groupBy("judge", F.col("truth").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("int")).alias("recall"), *([F.avg(cost).alias("cost")] if cost else []))
@@ -65,11 +67,12 @@ def people_against_people(votes: DataFrame, item: str = "item") -> DataFrame:
 
 
 def timing_errors(found: DataFrame) -> DataFrame:
-    """found(truth_start, truth_end, start, end) -> median and 90th percentile of onset and offset errors, share that overlaps."""
-    on, off = F.abs(F.col("start") - F.col("truth_start")), F.abs(F.col("end") - F.col("truth_end"))
+    """found(truth_start, truth_end, start, end) -> one row: n, median and 90th percentile of onset and offset errors, share that overlaps."""
+    rows = found.select(F.abs(F.col("start") - F.col("truth_start")).alias("onset"), F.abs(F.col("end") - F.col("truth_end")).alias("offset"))
     over = (F.col("start") < F.col("truth_end")) & (F.col("truth_start") < F.col("end"))
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return found.agg(F.count(F.lit(1)).alias("n"), p(on, 0.5).alias("onset_median"), p(on, 0.9).alias("onset_p90"), p(off, 0.5).alias("offset_median"), p(off, 0.9).alias("offset_p90"), F.avg(over.cast("int")).alias("overlaps"))
+    ranked = {f"{c}_{n}": F.lit(x).cast("double") for c in ("onset", "offset") for n, x in zip(("median", "p90"), percentiles(rows, c, [0.5, 0.9]))}
+    sums = found.agg(F.count(F.lit(1)).alias("n"), F.avg(over.cast("int")).alias("overlaps"))
+    return sums.select("n", *(x.alias(n) for n, x in ranked.items()), "overlaps")
 
 
 def learnability(embeddings: DataFrame, cap: int = 200, folds: int = 4, repeats: int = 2, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import cut
+
 
 def interval_lookup(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, best: Column, tolerance: float = 0.05, bucket: float = 60.0) -> DataFrame:
     """Left join of points to the span of their key with start in [span start - tolerance, span end): the best one.
@@ -100,9 +102,20 @@ def merge_info(rows: DataFrame, patch: DataFrame, key: str, info: str = "info")
 
 
 def shared_peers(marks: DataFrame, who: str = "who") -> DataFrame:
-    """(who, peers): how many other accounts share any mark with an account; by members of marks, without pairs of accounts."""
-    groups = marks.select("kind", "value", who).distinct().groupBy("kind", "value").agg(F.collect_set(who).alias("m")).filter(F.size("m") > 1)
-    return groups.withColumn(who, F.explode("m")).groupBy(who).agg((F.size(F.array_distinct(F.flatten(F.collect_list("m")))) - 1).alias("peers"))
+    """(who, peers): how many other accounts share any mark with an account.
+
+    An account all of whose peers come from one mark has as many as that mark has other
+    members, so no pairs are formed for it. Accounts with several shared marks need
+    distinct peers: they alone are joined to the members of their marks, row by row.
+    """
+    held = marks.select(F.struct("kind", "value").alias("_m"), who).distinct()
+    shared = held.groupBy("_m").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    own = cut(held.join(shared, "_m"))
+    counts = own.groupBy(who).agg(F.count(F.lit(1)).alias("_marks"), (F.max("_n") - 1).alias("peers"))
+    one = counts.filter("_marks = 1").select(who, "peers")
+    several = own.join(counts.filter("_marks > 1").select(who), who, "left_semi").select(who, "_m")
+    pairs = several.join(own.select("_m", F.col(who).alias("_peer")), "_m").filter(F.col("_peer") != F.col(who)).select(who, "_peer").distinct()
+    return one.unionByName(pairs.groupBy(who).agg(F.count(F.lit(1)).alias("peers")))
 
 
 def vote_share(votes: DataFrame, menu: list[str], uid: str = "item") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.operators.order import running
+
 
 def hash_order(seed: int, *keys) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
@@ -75,9 +77,8 @@ def hash_split(rows: DataFrame, key: str, share: float, parts: int = 1000, name:
 
 def strided_split(rows: DataFrame, source: str, stride: int, name: str = "split") -> DataFrame:
     """Every stride-th source in sorted order is eval. Sources are numbered over their distinct table."""
-    sources = rows.select(source).distinct()
-    numbered = sources.withColumn("_i", F.row_number().over(W.orderBy(source)) - 1)
-    return rows.join(numbered.select(source, F.when(F.col("_i") % stride == 0, "eval").otherwise("train").alias(name)), source)
+    numbered = running(rows.select(source).distinct(), [source])
+    return rows.join(numbered.select(source, F.when((F.col("place") - 1) % stride == 0, "eval").otherwise("train").alias(name)), source)
 
 
 def creator_split(rows: DataFrame, creator: str, evals: int, seed: int = 0, pinned: list[str] = (), blocked: list[str] = (), name: str = "split") -> DataFrame:
@@ -115,9 +116,8 @@ def head_cap(rows: DataFrame, label: str, key: str, share: float, least: int, se
 
 
 def within_budget(rows: DataFrame, size: str, order: list, budget: int, parts: str | None = None) -> DataFrame:
-    """Longest prefix whose running size stays within the budget, in each part if one is named."""
-    w = (W.partitionBy(parts) if parts else W.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(w)).filter(F.col("running") <= budget)
+    """Longest prefix whose running size stays within the budget, in each part if one is named; a null size counts as 0."""
+    return running(rows, order, parts, {"running": F.coalesce(F.col(size), F.lit(0))}).filter(F.col("running") <= budget)
 
 
 def class_weights(rows: DataFrame, label: str, weight: str) -> DataFrame:

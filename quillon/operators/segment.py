@@ -78,13 +78,14 @@ def split_entries(entries: list, gap: float = 0.7, longest_run: float = 20.0, sh
     """Spans (start, end, kind, text) of one recording's entries.
 
     Malformed entries go, the others are sorted by start. Words merge into phrases
-    until a gap or the run's cap; silences after the first word (from the start in
-    recordings without words) become windows.
+    until a gap or the run's cap; a phrase ends where its last word does, and one without
+    text is none. Other entries are silences: those after the first word (from the
+    start in recordings without words) become windows.
     """
     good = []
     for e in entries or []:
         start, end = e["start"], e["end"]
-        if e["type"] in ("word", "silence") and start is not None and end is not None and not (math.isnan(start) or math.isnan(end)) and end > start:
+        if start is not None and end is not None and not (math.isnan(start) or math.isnan(end)) and end > start:
             good.append(e)
     good.sort(key=lambda e: e["start"])
     anchored = not any(e["type"] == "word" for e in good)
@@ -93,9 +94,9 @@ def split_entries(entries: list, gap: float = 0.7, longest_run: float = 20.0, sh
 
     def flush() -> None:
         if run:
-            start, end = run[0]["start"], max(e["end"] for e in run)
-            if shortest_phrase <= end - start <= longest_run:
-                out.append((start, end, "speech", " ".join(e["word"] or "" for e in run).strip()))
+            start, end, text = run[0]["start"], run[-1]["end"], " ".join(" ".join(e["word"] or "" for e in run).split())
+            if text and shortest_phrase <= end - start <= longest_run:
+                out.append((start, end, "speech", text))
             run.clear()
 
     for e in good:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from quillon.operators.order import running
+from quillon.sources.shared import cut
 
 
 def tier(votes: Column, target: Column, gold: Column, boosted: Column, gold_votes: int = 12) -> Column:
@@ -17,26 +19,27 @@ def tier(votes: Column, target: Column, gold: Column, boosted: Column, gold_vote
     return F.when(gold & (votes < gold_votes), 0).when(boosted & started, 1).when(boosted, 2).when(started, 3).otherwise(4)
 
 
-def next_items(clips: DataFrame, people: DataFrame, seen: DataFrame, open_leases: DataFrame | None = None, candidates: int = 300, each: int = 1, penalty: float = 0.15) -> DataFrame:
-    """(who, item, tier, score, rank): the best unseen active clips of every labeller.
+def next_items(clips: DataFrame, people: DataFrame, seen: DataFrame, open_leases: DataFrame | None = None, each: int = 1, penalty: float = 0.15) -> DataFrame:
+    """(who, item, tier, score, rank): the best unseen active clips of every labeller, as long as there are any.
 
     clips(item, active, votes, target, gold, boosted, need); people(who);
-    seen(who, item); open_leases(item). The candidates are a bounded list of the
-    neediest of each tier, which stands in one row and is laid out per labeller.
+    seen(who, item); open_leases(item). All active clips are numbered in serving order
+    once. A labeller who has seen n of them finds the best unseen ones among the first
+    n + each numbers, so the work is that of ``seen``, not of people times clips.
     """
     t = clips.filter("active").withColumn("tier", tier(F.col("votes"), F.col("target"), F.col("gold"), F.col("boosted")))
     if open_leases is not None:
-        busy = open_leases.groupBy("item").agg(F.count(F.lit(1)).alias("_open"))
-        t = t.join(busy, "item", "left")
+        t = t.join(open_leases.groupBy("item").agg(F.count(F.lit(1)).alias("_open")), "item", "left")
     else:
         t = t.withColumn("_open", F.lit(0))
-    t = t.withColumn("score", F.col("need") - penalty * F.coalesce("_open", F.lit(0)))
-    best = t.withColumn("_r", F.row_number().over(W.partitionBy("tier").orderBy(F.col("score").desc(), "item"))).filter(F.col("_r") <= candidates)
-    row = best.agg(F.collect_list(F.struct("item", "tier", "score")).alias("c"))  # at most five tiers of candidates
-    laid = people.join(row).select("who", F.explode("c").alias("c")).select("who", "c.*")
-    left = laid.join(seen.select("who", "item").distinct(), ["who", "item"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("who").orderBy("tier", F.col("score").desc(), "item"))
-    return left.withColumn("rank", rank).filter(F.col("rank") <= each)
+    t = t.select("item", "tier", (F.col("need") - penalty * F.coalesce("_open", F.lit(0))).alias("score"))
+    placed = cut(running(t, ["tier", F.col("score").desc(), "item"]))
+    known = seen.select("who", "item").distinct().join(placed.select("item", "place"), "item").groupBy("who").agg(F.collect_list("place").alias("_s"))
+    none = F.array().cast("array<bigint>")
+    wanted = people.select("who").join(known, "who", "left").withColumn("_s", F.coalesce("_s", none))
+    free = F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), F.size("_s") + F.lit(each).cast("long")), F.col("_s")), 1, each)
+    drawn = wanted.select("who", F.posexplode(free).alias("_k", "place"))
+    return drawn.join(placed, "place").select("who", "item", "tier", "score", (F.col("_k") + 1).alias("rank"))
 
 
 def labelling_state(answers: DataFrame, gold: DataFrame, needed: int = 10) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import answers as N
-from quillon.operators import screen
+from quillon.operators import relations, screen, segment
 from quillon.plans.agreement_queries import EV, r6
 from quillon.plans.registry import query
+from quillon.sources import sinks
+from quillon.sources.shared import scratch
 from quillon.sources.tables import events, table
 from quillon.streaming import jobs
 
@@ -211,3 +213,51 @@ def stream_devices(spark, d):
 
     e = event_stream(spark, d).select(F.col("user_id").alias("who"), (F.get_json_object("props", "$.k").cast("int") % 4).alias("device"), "at")
     return jobs.collected(jobs.device_slots(e)).drop("_batch")
+
+
+@query("vocabulary", "WITH t AS (SELECT unnest(['soft', lower(p_type), lower(p_brand)]) AS name FROM part) SELECT name, CASE WHEN name = 'soft' THEN 'intensity' ELSE 'trigger' END AS kind, count(*) AS n FROM t GROUP BY 1, 2")
+def vocabulary(spark, d):
+    t = F.concat(F.lit("[ Soft][ "), "p_type", F.lit("] some speech ["), "p_brand", F.lit("] [ ] more"))
+    return segment.vocabulary(table(spark, d, "part").select(t.alias("transcript")))
+
+
+@query("captions_by_name", "SELECT p_partkey AS id, coalesce(CASE WHEN p_partkey % 3 > 0 THEN p_name END, 'a recording') AS caption FROM part")
+def captions_by_name(spark, d):
+    k = F.col("p_partkey")
+    files = table(spark, d, "part").select(k.alias("id"), F.concat(F.lit("some/folder/"), k, F.lit(".flac")).alias("relpath"))
+    named = table(spark, d, "part").filter(k % 3 > 0).select(F.concat(F.lit("other/"), k, F.lit(".flac")).alias("file_name"), F.col("p_name").alias("caption"))
+    return relations.captions_by_name(files, named).select("id", "caption")
+
+
+@query("expired", "SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= DATE '1998-07-01' - 180")
+def expired(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    return sinks.expire(o, "at", 180, F.lit("1998-07-01").cast("date")).select("id")
+
+
+@query("export_delta", "SELECT p_partkey AS id FROM part WHERE p_size % 4 > 0")
+def export_delta(spark, d):
+    """Rows that an index doesn't list, written and read again."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    out = scratch(spark, "delta")
+    sinks.export_delta(p, p.filter("p_size % 4 = 0"), "id", out)
+    return spark.read.schema("id long").json(out)
+
+
+@query("stream_sliding", "WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts - INTERVAL 12 HOUR) + INTERVAL 12 HOUR]) AS \"start\", event_type, value FROM events) SELECT \"start\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2")
+def stream_sliding(spark, d):
+    """Windows of a day every twelve hours. The files hold a month each in no order of time, so nothing may be late before that."""
+    from quillon.plans.curation_queries import event_stream
+
+    w = jobs.windowed(event_stream(spark, d), "at", "1 day", ["event_type"], "value", slide="12 hours", late="40 days")
+    return jobs.latest(jobs.collected(w, "update"), ["start", "end", "event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_sessions", "WITH l AS (SELECT user_id AS who, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT who, ts, sum(new) OVER (PARTITION BY who ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM l) SELECT who, min(ts) AS \"start\", max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM s GROUP BY who, s")
+def stream_sessions(spark, d):
+    """Sessions of each labeller, six hours apart, as the last batch leaves them."""
+    from quillon.plans.curation_queries import event_stream
+
+    out = jobs.collected(jobs.sessions(event_stream(spark, d).withColumnRenamed("user_id", "who"), "at", "6 hours", "who", late="40 days"), "complete")
+    last = out.filter(F.col("_batch") == out.agg(F.max("_batch")).first()[0])
+    return last.select("who", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from quillon.functions import columns as X
 from quillon.operators import board, relations, screen
+from quillon.operators.order import running
 from quillon.plans.agreement_queries import EV, r6
 from quillon.plans.registry import query
 from quillon.sources import readers
@@ -82,8 +83,8 @@ def referral_funnel(spark, d):
 @query("profile_ranks", f"WITH {PEOPLE}, c AS (SELECT o_custkey AS who, count(*) AS labelled FROM orders GROUP BY 1) SELECT who, name, labelled, CASE WHEN NOT guest THEN row_number() OVER (PARTITION BY guest ORDER BY labelled DESC, who) END AS rank FROM p JOIN c USING (who)")
 def profile_ranks(spark, d):
     c = orders(spark, d).groupBy("who").agg(F.count(F.lit(1)).alias("labelled"))
-    rank = F.row_number().over(W.partitionBy("guest").orderBy(F.col("labelled").desc(), "who"))
-    return people(spark, d).join(c, "who").select("who", "name", "labelled", F.when(~F.col("guest"), rank).alias("rank"))
+    ranked = running(people(spark, d).join(c, "who"), [F.col("labelled").desc(), "who"], "guest", {"rank": F.lit(1)})
+    return ranked.select("who", "name", "labelled", F.when(~F.col("guest"), F.col("rank")).alias("rank"))
 
 
 @query("latest_devices", "WITH r AS (SELECT o_custkey AS who, o_orderkey AS device, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) SELECT who, device, r FROM r WHERE r <= 2")
@@ -192,7 +193,10 @@ def cell_precision(spark, d):
     return screen.cell_precision(j, j.select("source", "label", "uid"), 0.2).select("source", "label", "uid", r6("w", "w"))
 
 
-@query("looped_text")
+LOOPED = "WITH w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g'), '\\s+'), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), lambda x: x <> '') AS ws FROM documents), u AS (SELECT rid, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w), g AS (SELECT rid, x, i - row_number() OVER (PARTITION BY rid, x ORDER BY i) AS g FROM u), r AS (SELECT DISTINCT rid FROM (SELECT rid, x, g FROM g GROUP BY rid, x, g HAVING count(*) > 3)) SELECT doc_id FROM w WHERE rid NOT IN (SELECT rid FROM r)"
+
+
+@query("looped_text", LOOPED)
 def looped_text(spark, d):
     """Documents without a word four times in a row."""
     return screen.looped(table(spark, d, "documents")).select("doc_id")

@@ -60,7 +60,7 @@ def learnability(spark, d):
 
 
 CLIPS = "c AS (SELECT p_partkey AS item, p_partkey % 9 > 0 AS active, p_partkey % 8 AS votes, 5 AS target, p_partkey % 50 = 0 AS gold, p_partkey % 7 = 0 AS boosted, p_retailprice / 2000 AS need FROM part)"
-NEXT = f"WITH {CLIPS}, t AS (SELECT *, CASE WHEN gold AND votes < 12 THEN 0 WHEN boosted AND votes > 0 AND votes < 3 THEN 1 WHEN boosted THEN 2 WHEN votes > 0 AND votes < 3 THEN 3 ELSE 4 END AS tier FROM c WHERE active), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY need DESC, item) AS r FROM t) WHERE r <= 20), l AS (SELECT s_suppkey AS who, item, tier, need FROM supplier CROSS JOIN b WHERE (s_suppkey + item) % 3 > 0), k AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY tier, need DESC, item) AS rank FROM l) SELECT who, item, tier, round(need, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 2"
+NEXT = f"WITH {CLIPS}, t AS (SELECT *, CASE WHEN gold AND votes < 12 THEN 0 WHEN boosted AND votes > 0 AND votes < 3 THEN 1 WHEN boosted THEN 2 WHEN votes > 0 AND votes < 3 THEN 3 ELSE 4 END AS tier FROM c WHERE active), l AS (SELECT s_suppkey AS who, item, tier, need FROM supplier CROSS JOIN t WHERE (s_suppkey + item) % 3 > 0), k AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY tier, need DESC, item) AS rank FROM l) SELECT who, item, tier, round(need, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 2"
 
 
 @query("next_items", NEXT)
@@ -71,7 +71,7 @@ def next_items(spark, d):
     who = table(spark, d, "supplier").select(F.col("s_suppkey").alias("who"))
     # what a labeller has seen: a third of all items, by residue, so that the join below has an equality
     seen = who.withColumn("m", (3 - F.col("who") % 3) % 3).join(c.select("item", (F.col("item") % 3).alias("m")), "m").select("who", "item")
-    return serving.next_items(c, who, seen, candidates=20, each=2).select("who", "item", "tier", r6("score", "score"), "rank")
+    return serving.next_items(c, who, seen, each=2).select("who", "item", "tier", r6("score", "score"), "rank")
 
 
 @query("labelling_state", f"WITH {EV}, g AS (SELECT who, count(*) FILTER (WHERE item < 20) AS gold_done FROM ev GROUP BY who) SELECT who, gold_done, greatest(0, 15 - gold_done) AS gold_left, CASE WHEN gold_done >= 15 THEN 'labelling' ELSE 'training' END AS mode FROM g")

@@ -89,3 +89,54 @@ def setting(settings: DataFrame, key: str, default: float) -> float:
     """A numeric setting, or the default."""
     row = settings.filter(F.col("key") == key).select("value").head()
     return float(row.value) if row is not None and row.value is not None else default
+
+
+def embedded_clips(pages: DataFrame, html: str = "html", kind: str = "audio/mpeg") -> DataFrame:
+    """(page columns but html, id, seconds, clip binary): clips that a page carries as base64 in {"id", "dur", "src"} objects."""
+    pattern = rf'\{{"id": "(\w+)", "dur": ([\d.]+), "src": "data:{kind};base64,([A-Za-z0-9+/=]+)"\}}'
+    part = lambda n: F.regexp_extract_all(html, F.lit(pattern), F.lit(n))
+    rest = [c for c in pages.columns if c != html]
+    rows = pages.select(*rest, F.explode(F.arrays_zip(part(1).alias("id"), part(2).alias("dur"), part(3).alias("src"))).alias("_c"))
+    return rows.select(*rest, F.col("_c.id").alias("id"), F.col("_c.dur").cast("double").alias("seconds"), F.unbase64("_c.src").alias("clip"))
+
+
+def id_list(spark: SparkSession, path: str | list[str], columns: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Lines of tab-separated keys, each once; blank lines go, missing fields are null."""
+    parts = F.split(F.trim("value"), "\t")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(*(F.trim(F.get(parts, F.lit(i))).alias(c) for i, c in enumerate(columns))).distinct()
+
+
+def labelled_csv(spark: SparkSession, path: str | list[str], labels: str = "labels") -> DataFrame:
+    """CSV with a header, its comma-separated label column as an array of trimmed labels."""
+    rows = spark.read.csv(path, header=True)
+    return rows.withColumn(labels, F.filter(F.transform(F.split(F.coalesce(F.col(f"`{labels}`"), F.lit("")), ","), F.trim), lambda x: x != ""))
+
+
+def half_matrix(spark: SparkSession, path: str, index: str, size: int, schema: str) -> DataFrame:
+    """Rows of a file of half-precision vectors beside their JSON lines: the index's columns and embedding array<float>.
+
+    The file is read as records of fixed length, so it may have any size; the n-th
+    record goes with the n-th line.
+    """
+    import numpy as np
+    import pandas as pd
+
+    sc = spark.sparkContext
+    numbered = lambda rdd: rdd.zipWithIndex().map(lambda x: (x[1], x[0]))
+    vectors = spark.createDataFrame(numbered(sc.binaryRecords(path, 2 * size)), "_row long, _raw binary")
+    lines = spark.createDataFrame(numbered(sc.textFile(index)), "_row long, _line string")
+
+    @F.pandas_udf("array<float>")
+    def single(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: np.frombuffer(b, np.float16).astype(np.float32))
+
+    return lines.join(vectors, "_row").select(F.from_json("_line", schema).alias("_j"), single("_raw").alias("embedding")).select("_j.*", "embedding")
+
+
+def sql_table(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options) -> DataFrame:
+    """A table of a database by JDBC; with a key its range is read in parts at a time."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if key:
+        reader = reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.load()

@@ -36,3 +36,8 @@ def tombstone(rows: DataFrame, gone: DataFrame, key: str, erase: list[str]) -> D
     j = rows.join(gone.select(key).distinct().withColumn("_gone", F.lit(True)), key, "left")
     lost = F.coalesce("_gone", F.lit(False))
     return j.select(*(F.when(~lost, F.col(c)).alias(c) if c in erase else F.col(c) for c in rows.columns), lost.alias("deleted"))
+
+
+def rate_table(rates: DataFrame, path: str, keys: list[str]) -> None:
+    """Write a short table of rates (bounded by labels and labellers) as one sorted JSON file."""
+    rates.orderBy(*keys).coalesce(1).write.mode("overwrite").json(path)

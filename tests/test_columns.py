@@ -45,7 +45,7 @@ def test_hashes(spark):
 def test_labels_and_answers(spark):
     got = one(spark, X.normalise_labels(strings(" Tap ", "BRUSH", "tapping", "x"), {"tap": "tapping", "brush": "brushing"}, ["tapping", "brushing"]), X.parse_answer(F.lit("It is page turning, soft"), ["page", "page turning"]), X.parse_answer(F.lit("a keyboard"), ["page"], [("key", "typing")]))
     assert got == (["tapping", "brushing"], "page turning", "typing")
-    t = X.tags(F.lit("Slow Whisper ASMR"), [("whisper", r"\bwhisper\b"), ("mouth", "mouth")])
+    t = X.tags(F.lit("Slow Whisper at night"), [("whisper", r"\bwhisper\b"), ("mouth", "mouth")])
     assert one(spark, t, X.override_classes(strings("a", "b"), {"a": ["b"]})) == (["whisper"], ["a"])
 
 
@@ -116,7 +116,11 @@ def test_split_entries():
     assert len(split([entry("silence", 0, 13)])) == 1
     long = [entry("word", i * 0.5, i * 0.5 + 0.5, "w") for i in range(60)]
     assert all(e - s <= 20 for s, e, *_ in split(long)) and len(split(long)) == 2
-    assert split([entry("word", 2, 1, "bad"), entry("word", None, 1, "bad"), entry("other", 0, 9)]) == []
+    assert split([entry("word", 2, 1, "bad"), entry("word", None, 1, "bad"), entry("other", 0, 9)]) == [(0, 9, "trigger_candidate", None)]
+    # a phrase ends with its last word, blank ones are none, and white space is collapsed
+    assert split([entry("word", 0, 3, "long"), entry("word", 1, 2, " short \n one ")]) == [(0, 2, "speech", "long short one")]
+    assert split([entry("word", 0, 2, " "), entry("word", 2, 4, None)]) == []
+    assert split([entry("word", 0, 2, "a"), entry("noise", 2, 4), entry("word", 4, 6, "b")]) == [(0, 2, "speech", "a"), (2, 4, "trigger_candidate", None), (4, 6, "speech", "b")]
     assert [s[2] for s in split([entry("silence", 0, 5), entry("word", 5, 6.5, "go"), entry("silence", 6.5, 9)])] == ["speech", "trigger_candidate"]
 
 
