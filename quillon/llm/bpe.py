@@ -360,6 +360,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     every = ids.tolist()
                     out.append(pa.array([bpe.decode(every[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "ids", "decoded"][: len(out)])
+        bpe.reset()  # the worker process may serve other stages next
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = map_arrow(rows, run, "id long, n_tokens long, ids binary" + ", decoded string" * decode)

@@ -21,8 +21,11 @@ from .common import PLACE, at_places, cut, delete, located, scratch, table
 WHITE_SPACE = "\t\n\x0b\x0c\r "
 #: Micro-batches of a call, whatever the size of the table; the rows are dealt to them by a hash of their places.
 MICRO_BATCHES = 3
-#: State on disk; without preallocation, which takes megabytes for each of many small stores.
+#: State on disk: without preallocation, which takes megabytes for each of many small stores; closed when a micro-batch
+#: has committed, so that an executor's memory doesn't hold the stores of batches that are over.
 STATE_STORE = {
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",

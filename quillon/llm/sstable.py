@@ -250,6 +250,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             if out is not None:
                 out.drop()
             raise
+        bpe.reset()
         columns = list(zip(*rows)) or [()] * len(_MANIFEST)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _MANIFEST.values())], names=list(_MANIFEST))
 

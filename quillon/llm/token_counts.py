@@ -183,6 +183,7 @@ def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for keys, texts in slices(batch, ["id", "text"], 4 << 20):
                 yield pa.RecordBatch.from_arrays([keys, *_of_trees(build([t or "" for t in texts.to_pylist()], bpe))], names=["id", *TREE])
+        bpe.reset()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return map_arrow(rows, run, "id long, leaves array<string>, chars array<int>, tokens array<int>").withColumnRenamed("id", id_col)
@@ -217,6 +218,7 @@ def edit_trees(trees: DataFrame, edits_col: str = "edits", keep: list[str] | Non
                     for k, n in enumerate(edit_together(some, now, bpe)):
                         encoded[k] += n
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in (before, [t.total for t in some], encoded)), *_of_trees(some)], names=schema.names)
+        bpe.reset()
 
     return map_arrow(rows, run, schema)
 
