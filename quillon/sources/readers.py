@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,7 +112,7 @@ def id_list(spark: SparkSession, path: str | list[str], columns: tuple[str, ...]
 def labelled_csv(spark: SparkSession, path: str | list[str], labels: str = "labels") -> DataFrame:
     """CSV with a header, its comma-separated label column as an array of trimmed labels."""
     rows = spark.read.csv(path, header=True)
-    return rows.withColumn(labels, F.filter(F.transform(F.split(F.coalesce(F.col(f"`{labels}`"), F.lit("")), ","), F.trim), lambda x: x != ""))
+    return rows.withColumn(labels, F.filter(F.transform(F.split(F.coalesce(F.col(f"`{labels}`"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def half_matrix(spark: SparkSession, path: str, index: str, size: int, schema: str) -> DataFrame:
@@ -119,9 +121,6 @@ def half_matrix(spark: SparkSession, path: str, index: str, size: int, schema: s
     The file is read as records of fixed length, so it may have any size; the n-th
     record goes with the n-th line.
     """
-    import numpy as np
-    import pandas as pd
-
     sc = spark.sparkContext
     numbered = lambda rdd: rdd.zipWithIndex().map(lambda x: (x[1], x[0]))
     vectors = spark.createDataFrame(numbered(sc.binaryRecords(path, 2 * size)), "_row long, _raw binary")
