@@ -11,7 +11,9 @@ kept it apart; then only the sums above these segments change.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +23,13 @@ from .bpe import _SPACE, coder, default_vocabulary
 from .common import BROADCAST_ROWS, cut, delete, kept_columns, map_arrow, scratch, slices, table
 
 #: Characters after which a segment ends at the next white space.
-SEGMENT = 128
+SEGMENT = 192
 #: A segment that edits have grown beyond this is cut anew, with the whole tree.
 LARGEST = 8 * SEGMENT
 EDITS = "array<struct<at:int,remove:int,insert:string>>"
-#: A kept tree: segments, and the sums of characters and tokens as heaps (the root at place 1).
-TREE = ["leaves", "chars", "tokens"]
-_KINDS = {"leaves": pa.list_(pa.string()), "chars": pa.list_(pa.int32()), "tokens": pa.list_(pa.int32())}
+#: A kept tree: the text of all segments, and the sums of characters and tokens as heaps (the root at place 1, the segments in the last half).
+TREE = ["text", "chars", "tokens"]
+_KINDS = {"text": pa.string(), "chars": pa.list_(pa.int32()), "tokens": pa.list_(pa.int32())}
 
 
 def segments(text: str, size: int = SEGMENT) -> list[str]:
@@ -57,10 +59,13 @@ class SegmentTree:
             self._sum(i)
 
     @classmethod
-    def kept(cls, leaves: list[str], chars: list[int], tokens: list[int]) -> SegmentTree:
+    def kept(cls, text: str, chars: list[int], tokens: list[int]) -> SegmentTree:
         """A tree as the store has it; nothing is counted."""
         tree = cls.__new__(cls)
-        tree.leaves, tree.chars, tree.tokens, tree.size = leaves, chars, tokens, len(chars) // 2
+        tree.chars, tree.tokens, tree.size = chars, tokens, len(chars) // 2
+        ends = list(accumulate(chars[tree.size :]))
+        ends = ends[: max(1, bisect_left(ends, len(text)) + 1)]  # empty segments at the end are none
+        tree.leaves = [text[a:b] for a, b in zip([0, *ends], ends)]
         return tree
 
     def _sum(self, i: int) -> None:
@@ -98,6 +103,7 @@ class SegmentTree:
             i //= 2
             self._sum(i)
 
+    @property
     def text(self) -> str:
         return "".join(self.leaves)
 
@@ -171,7 +177,7 @@ def _of_trees(trees: list[SegmentTree]) -> list[pa.Array]:
 
 
 def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id, leaves, chars, tokens) per row of docs: whole texts, counted once.
+    """(id, text, chars, tokens) per row of docs: whole texts, counted once.
 
     Null texts count as empty. Rows that repeat have a tree each. Other columns are
     not read; an empty table gives an empty result.
@@ -186,7 +192,7 @@ def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bpe.reset()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, "id long, leaves array<string>, chars array<int>, tokens array<int>").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, "id long, text string, chars array<int>, tokens array<int>").withColumnRenamed("id", id_col)
 
 
 def edit_trees(trees: DataFrame, edits_col: str = "edits", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
@@ -208,8 +214,8 @@ def edit_trees(trees: DataFrame, edits_col: str = "edits", keep: list[str] | Non
         bpe = coder(path)
         for batch in batches:
             for columns in slices(batch, batch.schema.names, 4 << 20):
-                *kept, edits, leaves, chars, tokens = columns
-                some = [SegmentTree.kept(*t) for t in zip(leaves.to_pylist(), chars.to_pylist(), tokens.to_pylist())]
+                *kept, edits, texts, chars, tokens = columns
+                some = [SegmentTree.kept(*t) for t in zip(texts.to_pylist(), chars.to_pylist(), tokens.to_pylist())]
                 before, encoded = [t.total for t in some], [0] * len(some)
                 wanted = [w or [] for w in edits.to_pylist()]
                 # edits of a text come one after another; the n-th of all texts are taken together
@@ -236,7 +242,7 @@ def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
 
 
 def latest_trees(spark: SparkSession, folder: str, versions: int, id_col: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
-    """(id, leaves, chars, tokens): of each identifier the rows of its last version of those before ``versions``.
+    """(id, text, chars, tokens): of each identifier the rows of its last version of those before ``versions``.
 
     With ``only`` (a table with the identifier), other documents' trees are not read
     further than their identifiers.

@@ -656,10 +656,11 @@ def test_edits_equal_a_full_count(spark, docs, library):
     for i, t, *_ in rows():
         u = edited(t or "", SCRIPT)
         want.append((i, count(t or ""), count(u), u))
-    assert sorted([(r.doc_id, r.n_before, r.n_after, "".join(r.leaves)) for r in got], key=repr) == sorted(want, key=repr)
+    assert sorted([(r.doc_id, r.n_before, r.n_after, r.text) for r in got], key=repr) == sorted(want, key=repr)
     for r in got:  # all sums, not the root's alone
-        tree = token_counts.SegmentTree(r.leaves, [count(x) for x in r.leaves])
-        assert (tree.chars, tree.tokens) == (r.chars, r.tokens)
+        leaves = token_counts.SegmentTree.kept(r.text, r.chars, r.tokens).leaves
+        tree = token_counts.SegmentTree(leaves + [""] * (len(r.chars) // 2 - len(leaves)), [count(x) for x in leaves] + [0] * (len(r.chars) // 2 - len(leaves)))
+        assert "".join(leaves) == r.text and (tree.chars, tree.tokens) == (r.chars, r.tokens)
 
 
 def test_kept_trees_are_edited_batch_by_batch(spark, docs, nothing, library):
@@ -679,7 +680,7 @@ def test_kept_trees_are_edited_batch_by_batch(spark, docs, nothing, library):
         assert got[8].n_chars_encoded < 0.02 * len(texts[8])
         assert token_counts.read_version(spark, folder, version).count() == len(got)
     now = token_counts.latest_trees(spark, folder, 3).collect()
-    assert sorted([(r.doc_id, "".join(r.leaves), r.tokens[1]) for r in now], key=repr) == sorted([(i, texts[i], count(texts[i])) for i, *_ in rows()], key=repr)
+    assert sorted([(r.doc_id, r.text, r.tokens[1]) for r in now], key=repr) == sorted([(i, texts[i], count(texts[i])) for i, *_ in rows()], key=repr)
     empty = scratch(spark, "test-trees")
     token_counts.write_version(token_counts.build_trees(nothing), empty, 0)
     assert token_counts.edit_batch(spark, empty, 1, spark.createDataFrame(batches[0], kinds)).count() == 0
