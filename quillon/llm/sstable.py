@@ -267,14 +267,14 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return docs.sparkSession.read.parquet(f"{folder}/_manifest")
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start long, n_tokens long, ids binary, ids_crc32 long) of every document, read from the shards.
+def read_shards(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start long, n_tokens long, ids_crc32 long[, ids binary]) of every document, read from the shards.
 
     start: number of identifiers of all documents before it. The driver holds one
     number per range partition, nothing per shard or document. Without shards the
     result is empty.
     """
-    schema = "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long"
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     manifest = spark.read.parquet(f"{folder}/_manifest")
     parts, start = [], 0
     for p in sorted(manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect(), key=lambda p: p.part):
@@ -288,10 +288,10 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
-        names = ["doc_id", "start", "n_tokens", "ids", "ids_crc32"]
+        names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
 
         def batch_of(rows: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
         for batch in batches:
@@ -299,9 +299,9 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 reader, rows, size = ShardReader(fs, f"{base}/{shard}"), [], 0
                 for doc_id, ids in reader:
                     raw = ids.astype("<u4").tobytes()
-                    rows.append((doc_id, at, len(ids), raw, zlib.crc32(raw)))
+                    rows.append((doc_id, at, len(ids), zlib.crc32(raw), raw)[: 4 + with_ids])
                     at += len(ids)
-                    size += len(raw)
+                    size += len(raw) * with_ids + 64
                     if size > 4 << 20:
                         yield batch_of(rows)
                         rows, size = [], 0
@@ -333,4 +333,4 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     folder = scratch(spark, "token-shards")
     write_shards(table(spark, sf_dir, "documents"), folder)
-    return read_shards(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_shards(spark, folder, with_ids=False)
