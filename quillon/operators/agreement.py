@@ -237,6 +237,15 @@ def class_gate(judged: DataFrame, admit: float = 0.5, doubt: float = 0.3, wrong:
     return mean.withColumn("verdict", verdict).join(tops, "label", "left")
 
 
+def judge_agreement(judged: DataFrame) -> DataFrame:
+    """judged(label, item, judge, pred), a row for each judge and item -> (label, pairs, agree): mean over pairs of judges of
+    how often they give the same answer on the items of a class that both have judged. Judges are few."""
+    other = judged.select("label", "item", F.col("judge").alias("_j"), F.col("pred").alias("_p"))
+    both = judged.join(other, ["label", "item"]).filter("judge < _j")
+    rates = both.groupBy("label", "judge", "_j").agg(F.avg((F.col("pred") == F.col("_p")).cast("int")).alias("a"))
+    return rates.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.avg("a").alias("agree"))
+
+
 def average_precision(scored: DataFrame, label: str = "label", score: str = "score", positive: str = "positive", key: str = "id") -> DataFrame:
     """(label, positives, ap): mean over positives of precision at their rank, best score first, ties by key; a class may span many tasks."""
     hit = F.coalesce(F.col(positive).cast("int"), F.lit(0))

@@ -16,12 +16,15 @@ from quillon.sources.shared import cut
 PEOPLE_SENS, PEOPLE_SPEC = 0.8, 0.95
 
 
-def vote_cells(votes: DataFrame, menu: list[str], uid: str = "item", labeller: str = "who", labels: str = "labels", offered: str | None = None) -> DataFrame:
+def vote_cells(votes: DataFrame, menu: list[str], uid: str = "item", labeller: str = "who", labels: str = "labels", offered: str | None = None, covers: dict[str, list[str]] | None = None) -> DataFrame:
     """(uid, labeller, label, yes): one row for each label a vote covers; unlisted labels of its menu are abstentions.
 
     ``offered`` names an array column with the vote's own menu; without it, all of ``menu``.
+    ``covers`` lists the labels that a labeller can tell; those it doesn't name can tell all.
     """
     covered = F.array_intersect(F.col(offered), F.array(*map(F.lit, menu))) if offered else F.array(*map(F.lit, menu))
+    for name, known in (covers or {}).items():
+        covered = F.when(F.col(labeller) == name, F.array_intersect(covered, F.array(*map(F.lit, known)).cast("array<string>"))).otherwise(covered)
     return votes.select(F.col(uid).alias("uid"), F.col(labeller).alias("labeller"), labels, F.explode(covered).alias("label")).select("uid", "labeller", "label", F.array_contains(labels, F.col("label")).cast("int").alias("yes"))
 
 
@@ -126,6 +129,17 @@ def anchored_em(judged: DataFrame, calibration: DataFrame, classes: list[str], a
     return done.select("uid", "label", "pred", "fused", "conf", ((F.col("conf") >= 0.8) & (F.col("fused") != other)).alias("confident"), (F.col("weak") <= 0.1).alias("hard_negative"))
 
 
+def chapter_vote(label, title, menu: list[str], same: dict[str, str] | None = None, words: dict[str, str] | None = None, background: str = "__bg__"):
+    """A chapter's vote: labels by a word of its title, else its own label if on the menu, none for background, null (no vote) otherwise."""
+    named = label
+    for a, b in (same or {}).items():
+        named = F.when(label == a, b).otherwise(named)
+    out = F.when(named.isin(*menu), F.array(named)).when(label == background, F.array().cast("array<string>"))
+    for word, found in (words or {}).items():
+        out = F.when(F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(word)), F.array(F.lit(found))).otherwise(out)
+    return out
+
+
 def merge_votes(ledgers: list[DataFrame], uid: str = "uid", labeller: str = "labeller") -> DataFrame:
     """Union of vote ledgers, one row per labeller and item: the last ledger wins, and in it the last row by ``at``."""
     parts = [d.withColumn("_order", F.lit(i)) for i, d in enumerate(ledgers)]

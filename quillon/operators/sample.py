@@ -151,11 +151,26 @@ def preference_pairs(takes: DataFrame, uid: str = "uid", take: str = "take", sco
     return j.filter(margin >= gap).select(uid, F.col("b.t").alias("chosen"), F.col(take).alias("rejected"), margin.alias("margin"))
 
 
-def bag_scores(windows: DataFrame, bag: str, score: str, k: int = 3) -> DataFrame:
-    """(bag, n, score): mean of the bag's k best windows; ranks are cut before anything is collected."""
+def held_out(pairs: DataFrame, share: float, uid: str = "uid", name: str = "split") -> DataFrame:
+    """Adds split: ``held`` for the pairs of the first int(share * n) of the n identifiers in order, else ``train``."""
+    placed = running(pairs.select(uid).distinct(), [uid])
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    side = F.when(F.col("place") <= F.floor(F.col("_n") * share), "held").otherwise("train")
+    return pairs.join(placed.join(F.broadcast(n)).select(uid, side.alias(name)), uid)
+
+
+def bag_scores(windows: DataFrame, bag: str, score: str, k: int = 3, background: Column | None = None) -> DataFrame:
+    """(bag, n, score): mean of the bag's k best windows, of all its windows where ``background`` holds; ranks are cut before anything is collected."""
     r = F.row_number().over(W.partitionBy(bag).orderBy(F.col(score).desc()))
     n = F.count(F.lit(1)).over(W.partitionBy(bag))
-    return windows.withColumns({"_r": r, "n": n}).filter(F.col("_r") <= k).groupBy(bag).agg(F.first("n").alias("n"), F.avg(score).alias("score"))
+    whole = F.coalesce(background, F.lit(False)) if background is not None else F.lit(False)
+    return windows.withColumns({"_r": r, "n": n}).filter((F.col("_r") <= k) | whole).groupBy(bag).agg(F.first("n").alias("n"), F.avg(score).alias("score"))
+
+
+def overlap_slice(picked: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """Adds annotators: 2 for n rows in hash order, which measure how far two people agree, else 1."""
+    twice = picked.select(key).orderBy(hash_order(seed, F.col(key)), key).limit(n).withColumn("_two", F.lit(2))
+    return picked.join(twice, key, "left").withColumn("annotators", F.coalesce("_two", F.lit(1))).drop("_two")
 
 
 def shards(rows: DataFrame, key: str, n: int) -> DataFrame:

@@ -371,6 +371,20 @@ def gap_plan(words: Column, tags: dict[str, float], sentence: float = 0.6, comma
     )
 
 
+#: Of a script's length in seconds: words a second, and of a tag that isn't a pause with its own length.
+WORDS_A_SECOND, EVENT_SECONDS = 2.6, 1.5
+#: A tag with an optional length in seconds.
+TIMED_TAG = r"\[([a-z ]+?)(?: ([\d.]+)s)?\]"
+
+
+def predicted_seconds(text: Column) -> Column:
+    """How long a script will take: its pauses as long as they say, other tags as events, and its words."""
+    part = lambda n: F.regexp_extract_all(text, F.lit(TIMED_TAG), F.lit(n))
+    lengths = F.zip_with(part(1), part(2), lambda name, s: F.when((name == "pause") & (s != ""), s.try_cast("double")).otherwise(F.lit(EVENT_SECONDS)))
+    words = F.size(F.filter(F.split(F.regexp_replace(text, TIMED_TAG, " "), r"\s+"), lambda w: w != ""))
+    return F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) + words / F.lit(WORDS_A_SECOND)
+
+
 def retag(windows: DataFrame, verdicts: DataFrame, least: float = 0.5) -> DataFrame:
     """windows(uid, tag) and verdicts(uid, label, conf) -> uid, tag as judged and why: confirmed, changed, pause or dropped."""
     j = windows.join(verdicts, "uid", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import answers as N
-from quillon.operators import relations, screen, segment
+from quillon.operators import agreement, fusion, relations, sample, screen, segment
 from quillon.plans.agreement_queries import EV, r6
 from quillon.plans.registry import query
 from quillon.sources import sinks
@@ -261,3 +261,40 @@ def stream_sessions(spark, d):
     out = jobs.collected(jobs.sessions(event_stream(spark, d).withColumnRenamed("user_id", "who"), "at", "6 hours", "who", late="40 days"), "complete")
     last = out.filter(F.col("_batch") == out.agg(F.max("_batch")).first()[0])
     return last.select("who", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("held_out_pairs", "WITH t AS (SELECT l_orderkey AS uid, l_linenumber AS take, l_quantity AS score FROM lineitem), b AS (SELECT uid, min((score, take)) AS b FROM t GROUP BY uid), p AS (SELECT uid, b[2] AS chosen, take AS rejected FROM t JOIN b USING (uid) WHERE score - b[1] >= 20), u AS (SELECT uid, row_number() OVER (ORDER BY uid) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT uid FROM p)) SELECT uid, chosen, rejected, CASE WHEN r <= floor(n * 0.1) THEN 'held' ELSE 'train' END AS split FROM p JOIN u USING (uid)")
+def held_out_pairs(spark, d):
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("uid"), F.col("l_linenumber").alias("take"), F.col("l_quantity").alias("score"))
+    return sample.held_out(sample.preference_pairs(t, gap=20.0), 0.1).select("uid", "chosen", "rejected", "split")
+
+
+@query("background_bags", "WITH r AS (SELECT l_orderkey AS bag, l_quantity AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) SELECT bag, any_value(n) AS n, round(avg(s), 6) AS score FROM r WHERE r <= 2 OR bag % 5 = 0 GROUP BY bag")
+def background_bags(spark, d):
+    return sample.bag_scores(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", 2, F.col("l_orderkey") % 5 == 0).select(F.col("l_orderkey").alias("bag"), "n", r6("score", "score"))
+
+
+@query("judge_agreement", f"WITH {EV}, g AS (SELECT item % 5 AS label, item, who % 3 AS judge, max(label) AS pred FROM ev WHERE value > 96 GROUP BY 1, 2, 3), r AS (SELECT a.label, a.judge, b.judge AS j, avg((a.pred = b.pred)::INT) AS a FROM g a JOIN g b ON a.item = b.item AND a.judge < b.judge GROUP BY 1, 2, 3) SELECT label, count(*) AS pairs, round(avg(a), 6) AS agree FROM r GROUP BY label")
+def judge_agreement(spark, d):
+    g = events(spark, d).filter("value > 96").groupBy((F.col("item") % 5).alias("label"), "item", (F.col("who") % 3).alias("judge")).agg(F.max("label").alias("pred"))
+    return agreement.judge_agreement(g).select("label", "pairs", r6("agree", "agree"))
+
+
+@query("covered_cells", f"WITH {EV}, v AS (SELECT item, who % 4 AS w, list(DISTINCT label) AS labels FROM ev WHERE value > 90 GROUP BY 1, 2), c AS (SELECT item, w, labels, unnest(CASE WHEN w = 0 THEN ['click', 'view'] WHEN w = 1 THEN ['error'] ELSE ['click', 'error', 'view'] END) AS label FROM v) SELECT item, w AS labeller, label, list_contains(labels, label)::INT AS yes FROM c")
+def covered_cells(spark, d):
+    """Cells of votes where two of the labellers can tell some labels only."""
+    v = events(spark, d).filter("value > 90").groupBy("item", (F.col("who") % 4).cast("string").alias("who")).agg(F.collect_set("label").alias("labels"))
+    cells = fusion.vote_cells(v, ["click", "error", "view"], covers={"0": ["view", "click"], "1": ["error", "signup"]})
+    return cells.select(F.col("uid").alias("item"), F.col("labeller").cast("int").alias("labeller"), "label", "yes")
+
+
+@query("chapter_votes", "SELECT p_partkey AS id, array_to_string(CASE WHEN contains(lower(p_name), 'ring') THEN ['spraying'] WHEN CASE p_type WHEN 'STEEL' THEN 'TIN' ELSE p_type END IN ('TIN', 'BRASS') THEN [CASE p_type WHEN 'STEEL' THEN 'TIN' ELSE p_type END] WHEN p_type = 'ECONOMY' THEN [] END, ',') AS vote FROM part")
+def chapter_votes(spark, d):
+    v = fusion.chapter_vote(F.col("p_type"), F.col("p_name"), ["TIN", "BRASS"], {"STEEL": "TIN"}, {"ring": "spraying"}, "ECONOMY")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(v, ",").alias("vote"))
+
+
+@query("predicted_seconds", "WITH t AS (SELECT p_partkey AS id, p_name || ' [pause ' || (p_size / 10.0)::DECIMAL(5, 1) || 's] and more [soft][pause] ' || p_name AS t, p_size, p_name FROM part) SELECT id, round((p_size / 10.0)::DECIMAL(5, 1)::DOUBLE + 3.0 + (2 * len(string_split(p_name, ' ')) + 2) / 2.6, 6) AS seconds FROM t")
+def predicted_seconds(spark, d):
+    t = F.concat("p_name", F.lit(" [pause "), (F.col("p_size") / 10.0).cast("decimal(5,1)").cast("string"), F.lit("s] and more [soft][pause] "), "p_name")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), r6(segment.predicted_seconds(t), "seconds"))
