@@ -10,7 +10,8 @@ from quillon.operators.order import running
 
 
 def hash_order(seed: int, *keys) -> Column:
-    return F.xxhash64(F.lit(seed), *keys)
+    """A pseudo-random order of keys: MD5 of seed and keys, the same in every language that has it."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)))
 
 
 def interleave(rows: DataFrame, group: str, order: list, group_order: str | None = None) -> DataFrame:
@@ -92,7 +93,7 @@ def creator_split(rows: DataFrame, creator: str, evals: int, seed: int = 0, pinn
 
 def folds(rows: DataFrame, group: str, k: int = 5, seed: int = 0) -> DataFrame:
     """Adds fold: rows of a group share it."""
-    return rows.withColumn("fold", F.pmod(hash_order(seed, F.col(group)), F.lit(k)).cast("int"))
+    return rows.withColumn("fold", (F.conv(F.substring(hash_order(seed, F.col(group)), 1, 8), 16, 10).cast("long") % k).cast("int"))
 
 
 def capped_top(rows: DataFrame, score: str, key: str, group: str, per_group: int, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from quillon.functions import columns as X
 from quillon.operators import board, relations, screen
 from quillon.operators.order import running
 from quillon.plans.agreement_queries import EV, r6
-from quillon.plans.registry import query
+from quillon.plans.registry import CRC, CRC_TABLE, query
 from quillon.sources import readers
 from quillon.sources.tables import events, table
 
@@ -144,7 +144,7 @@ def half_even(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 2, 0).alias("rounded"), (F.col("l_extendedprice") / 7 * 1000).cast("bigint").alias("truncated"))
 
 
-@query("hash_buckets")
+@query("hash_buckets", f"WITH {CRC_TABLE}, k AS (SELECT source || '/' || doc_id AS key FROM documents), h AS (SELECT key, {CRC.format(k='key')} AS crc, list_transform(string_split(sha1(key), ''), lambda x: ('0x0' || x)::INT) AS d FROM k, crc_table) SELECT key, crc % 1000 AS crc, CAST((6 * list_sum(d[1:39]) + d[40]) % 10 AS INT) AS sha FROM h")
 def hash_buckets(spark, d):
     """crc32 and SHA-1 buckets of the file names; tests compare with zlib and hashlib."""
     k = F.concat("source", F.lit("/"), "doc_id")

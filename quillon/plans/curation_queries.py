@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import relations, sample, segment
 from quillon.plans.agreement_queries import EV, r6
-from quillon.plans.registry import query
+from quillon.plans.registry import CRC, CRC_TABLE, query
 from quillon.sources.shared import scratch
 from quillon.sources.tables import events, table
 from quillon.streaming import jobs
@@ -78,13 +78,15 @@ def longest_quiet(spark, d):
     return segment.longest_quiet(f, F.col("value") < 50, "who")
 
 
-@query("announcements")
+@query("announcements", f"WITH {WORDS}, {LAST}, x AS (SELECT source, 'word' AS type, s, e, word FROM l UNION ALL SELECT source, 'silence', p, s, NULL FROM l WHERE s - p > 0.7), n AS (SELECT *, lead(type) OVER w AS t, lead(s) OVER w AS s1, lead(e) OVER w AS e1 FROM x WINDOW w AS (PARTITION BY source ORDER BY s, e)) SELECT source, CASE word WHEN 'click' THEN 'tapping' ELSE 'brushing' END AS label, round(s1, 4) AS \"start\", round(least(8.0, e1 - s1), 4) AS seconds FROM n WHERE word IN ('click', 'view') AND t = 'silence' AND least(8.0, e1 - s1) >= 0.6")
 def announcements(spark, d):
     """Label words right before a silence."""
-    return segment.announcements(segment.words_to_alignment(words(spark, d)), {"click": "tapping", "view": "brushing"})
+    a = segment.announcements(segment.words_to_alignment(words(spark, d)), {"click": "tapping", "view": "brushing"})
+    return a.select("source", "label", F.round("start", 4).alias("start"), F.round("seconds", 4).alias("seconds"))
 
 
-@query("script_tags")
+#: The documents hold no brackets, so the script's pieces are known.
+@query("script_tags", "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, 'trigger' AS kind, NULL AS text, 'brushing' AS name, 0.5::DOUBLE AS intensity, 'soft' AS modifier FROM t UNION ALL SELECT doc_id, 'speech', t, NULL, NULL, NULL FROM t WHERE t <> '' UNION ALL SELECT doc_id, 'speech', 'ok', NULL, NULL, NULL FROM t UNION ALL SELECT doc_id, 'trigger', NULL, 'tapping', 0.65, NULL FROM t")
 def script_tags(spark, d):
     """Speech and triggers of scripts made from documents; golden cases are in the tests."""
     t = F.concat(F.lit("[soft][brushing] "), "text", F.lit(" [vigorous] ok [tapping]"))
@@ -202,23 +204,23 @@ def bag_scores(spark, d):
     return sample.bag_scores(table(spark, d, "lineitem"), "l_orderkey", "l_quantity").select(F.col("l_orderkey").alias("bag"), "n", r6("score", "score"))
 
 
-@query("round_robin_quota")
+@query("round_robin_quota", "WITH s AS (SELECT p_partkey AS key, p_type AS creator, p_brand AS label, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY md5('0|' || p_partkey), p_partkey) AS s FROM part), t AS (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY s, md5('0|' || label), label) AS t FROM s) SELECT key, creator, label FROM t WHERE t <= 10 ORDER BY t, md5('0|' || creator), creator LIMIT 200")
 def round_robin_quota(spark, d):
     return sample.round_robin_quota(parts(spark, d), 200, 0.05, "creator", "label", "key").select("key", "creator", "label")
 
 
-@query("tempered_sample")
+@query("tempered_sample", f"WITH {EV}, n AS (SELECT label, count(*) AS n FROM ev GROUP BY 1), t AS (SELECT label, least(n, floor(3000 * sqrt(n) / (SELECT sum(sqrt(n)) FROM n))) AS t FROM n), r AS (SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('0|' || event_id), event_id) AS r FROM ev) SELECT event_id, label FROM r JOIN t USING (label) WHERE r <= t")
 def tempered_sample(spark, d):
     e = events(spark, d)
     return sample.tempered_sample(e, "label", "event_id", 3000).select("event_id", "label")
 
 
-@query("creator_split")
+@query("creator_split", "WITH p AS (SELECT DISTINCT p_type AS creator FROM part), e AS (SELECT creator FROM p ORDER BY creator <> 'ECONOMY BRASS', md5('0|' || creator), creator LIMIT 5) SELECT p_partkey AS key, p_type AS creator, CASE WHEN p_type IN (SELECT creator FROM e) THEN 'eval' ELSE 'train' END AS split FROM part")
 def creator_split(spark, d):
     return sample.creator_split(parts(spark, d), "creator", 5, pinned=["ECONOMY BRASS"]).select("key", "creator", "split")
 
 
-@query("hash_split_folds")
+@query("hash_split_folds", f"WITH {CRC_TABLE}, c AS (SELECT p_partkey AS key, {CRC.format(k='p_type')} AS crc, md5('0|' || p_type) AS h FROM part, crc_table) SELECT key, CASE WHEN crc % 1000 < 100 THEN 'eval' ELSE 'train' END AS split, CAST(('0x' || h[1:8])::BIGINT % 5 AS INT) AS fold FROM c")
 def hash_split_folds(spark, d):
     return sample.folds(sample.hash_split(parts(spark, d), "creator", 0.1), "creator").select("key", "split", "fold")
 

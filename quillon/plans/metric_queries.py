@@ -95,7 +95,7 @@ def retag(spark, d):
     return segment.retag(e.select(F.col("event_id").alias("uid"), F.col("label").alias("tag")), v)
 
 
-@query("stratified_sample")
+@query("stratified_sample", "WITH a AS (SELECT p_partkey AS key, p_brand AS label, p_type AS creator, md5('0|' || p_partkey) AS h FROM part), b AS (SELECT *, row_number() OVER (PARTITION BY label, creator ORDER BY h, key) AS a FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, key) AS b FROM b WHERE a <= 2), s AS (SELECT key, label, creator, 'stratum' AS slice FROM c WHERE b <= 6) SELECT * FROM s UNION ALL (SELECT key, label, creator, 'uniform' FROM a WHERE key NOT IN (SELECT key FROM s) ORDER BY md5('1|' || key), key LIMIT 20)")
 def stratified_sample(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("label"), F.col("p_type").alias("creator"))
     return sample.stratified_sample(p, "label", "creator", "key", 6, 2, 20)

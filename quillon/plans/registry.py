@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: CRC-32 of ASCII text in SQL: a table of the 256 bytes, and the fold of a text ``k`` over it.
+CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({k}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
