@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLACE, at_places, cut, delete, located, scratch, table
+from .common import BROADCAST_ROWS, PLACE, at_places, cut, delete, located, scratch, table
 
 WHITE_SPACE = "\t\n\x0b\x0c\r "
 #: Micro-batches of a call, whatever the size of the table; the rows are dealt to them by a hash of their places.
@@ -128,7 +128,9 @@ def _groups(rows: DataFrame, id_col: str, digest: Callable[[Column], Column] = s
     clash = cut(spark.read.schema("digest binary").parquet(clashes).distinct())
     for folder in (staged, ledger, checkpoint, changes, clashes):
         delete(spark, folder)
-    if not clash.isEmpty():
+    n_clash = clash.count()
+    if n_clash:
+        clash = F.broadcast(clash) if n_clash <= BROADCAST_ROWS else clash
         again = rows.select(*entry, norm.alias("norm")).join(clash, "digest", "left_semi")
         groups = again.groupBy("norm").agg(F.min(_best()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         joined = joined.join(clash, "digest", "left_anti").unionByName(again.join(groups, "norm").select(*out))

@@ -212,7 +212,8 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float] =
 
     A domain that no document can be in keeps a target that cannot be met; targets
     of domains the classifier doesn't know are left out and the others rescaled. With
-    ``rest``, domains without a target share what the targets leave, as the corpus has them.
+    ``rest``, targets are upper limits (a domain that has less keeps what it has), and domains
+    without one share what is left as the corpus has them.
     Documents without tokens keep rate 1. With ``cap``, no rate is larger; budget None
     is then the largest at which each domain's target is at most cap times what the
     corpus has of it. Raises RuntimeError if the projected gradient doesn't come below
@@ -226,9 +227,10 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float] =
     own = scored.filter("tokens > 0").select((F.col("tokens") / F.lit(total)).alias("w"), *(F.col("posterior")[i].alias(f"p{i}") for i in range(k)))
     wanted = np.array([known.get(d, 0.0) / share for d in domains])
     has = np.array(own.agg(*(F.sum(F.col("w") * F.col(f"p{i}")) for i in range(k))).first(), float)
-    if rest and share < 1:
+    if rest:
         others = np.array([0.0 if d in known else x for d, x in zip(domains, has)])
-        wanted = np.array([known.get(d, 0.0) for d in domains]) + (1 - share) * others / max(others.sum(), 1e-12)
+        named = np.minimum([known.get(d, 0.0) for d in domains], has)
+        wanted = named + max(0.0, 1 - named.sum()) * others / max(others.sum(), 1e-12)
         wanted /= wanted.sum()
     if budget is None:
         budget = float((cap or 1.0) * (has[wanted > 0] / wanted[wanted > 0]).min())

@@ -734,6 +734,22 @@ def test_mixing_without_repeats(spark):
         assert abs(kept[k] / sum(kept) - mixing.TARGETS[d]) < 0.005
 
 
+def test_mixing_limits_thin_only_what_is_over(spark):
+    """As upper limits, targets leave a corpus alone that keeps to them, and thin nothing but the domain that doesn't."""
+    names = ["good", "poor", "toxic"]
+    for counts in ((600, 399, 1), (500, 300, 200), (0, 10, 990)):
+        rows = [(50, [0.998 if k == d else 0.001 for k in range(3)]) for d, n in enumerate(counts) for _ in range(n)]
+        scored = spark.createDataFrame(rows, "tokens long, posterior array<double>")
+        fit = mixing.fit_rates(scored, names, mixing.STAGE_TARGETS, budget=None, cap=1.0, rest=True)
+        out = scored.withColumn("rate", fit.rate()).collect()
+        kept = [sum(r.tokens * r.posterior[k] * r.rate for r in out) for k in range(3)]
+        assert all(r.rate > 0.97 for r in out if r.posterior[2] < 0.5), counts
+        if counts[2] > 100 and counts[0]:
+            assert kept[2] / sum(kept) < 0.025, counts
+        if counts[2] == 1:
+            assert all(r.rate > 0.97 for r in out)
+
+
 @pytest.mark.parametrize("shares", [(0.33, 0.33, 0.34), (0.5, 0.17, 0.33), (0.2, 0.1, 0.7)])
 def test_mixing_converges_on_skewed_corpora(spark, shares):
     """Targets that can be met are, whatever share of the tokens a domain holds."""
