@@ -30,8 +30,8 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Every rule's matches hold one of these, and so does every base phrase but "cc by".
 GATE = (
-    "licen", "gpl", "apache", "cc0", "commons", "domain", "reserved", "rail", "0bsd", "attribution", "copyright", "llama", "gemma", "beer", "fuck",
-    "perl", "mpl", "commercial", "research", "secret", "wtfpl", "tivoization", "government", "confidential", "procurement", "negligence", "copyleft",
+    "licen", "gpl", "apache", "cc0", "commons", "domain", "reserved", "rail", "0bsd", "attribution", "copyright", "llama", "gemma", "fuck",
+    "perl", "mozilla", "merchantab", "commercial", "research", "secret", "wtfpl", "tivoization", "government", "confidential", "procurement", "negligence", "copyleft",
     "invariant", "exception", "redistribut", "eclipse", "notices", "scripts", "endorse", "software", "definitions", "derivative", "odc",
     "additional", "unauthorized", "reproduced", "material", "consortium",
 )

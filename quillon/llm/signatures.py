@@ -101,7 +101,6 @@ TEXTS: tuple[tuple[str, str, str], ...] = (
     ("gpl-dual", "dual licensed", r"dual licensed under (?:the )?(?:mit|bsd|apache|mpl) and gpl"),
     # Mozilla, Eclipse and other corporate ones
     ("mpl-2.0", "source code form is subject", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"),
-    ("mpl-2.0", "mpl was not distributed", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("mpl-1.1", "subject to the mozilla public license version 1 1", r"the contents of this file are subject to the mozilla public license version 1 1"),
     ("mpl-1.1", "rights and limitations", r"see the licen[sc]e for the specific language governing rights and limitations under the licen[sc]e"),
     ("mpl-2.0", "incompatible with secondary", r"this source code form is incompatible with secondary licen[sc]es as defined by the mozilla public licen[sc]e"),
@@ -155,7 +154,6 @@ TEXTS: tuple[tuple[str, str, str], ...] = (
     ("cc0-1.0", "waived all copyright", r"has waived all copyright and related or neighboring rights"),
     ("cc0-1.0", "public domain dedication", r"(?:cc0|creative commons zero) (?:1 0 )?(?:universal )?public domain dedication"),
     ("beerware", "beer", r"beer ?ware licen[sc]e(?: revision 42)?"),
-    ("beerware", "buy me a beer", r"you can buy me a beer in return"),
     ("json", "used for good not evil", r"the software shall be used for good not evil"),
     ("artistic-1.0", "artistic control", r"the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
     ("artistic-2.0", "artistic", r"this (?:package|program|software) is free software you can redistribute it and or modify it under the terms of the artistic licen[sc]e 2 0"),
