@@ -28,23 +28,26 @@ RULES = rules()
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-#: Every rule's matches hold one of these, and so does every base phrase but "cc by".
+#: Every rule's matches and every base phrase hold one of these, or one of GATE_PHRASES.
 GATE = (
     "licen", "gpl", "apache", "cc0", "commons", "domain", "reserved", "rail", "0bsd", "attribution", "copyright", "llama", "gemma", "fuck",
     "perl", "mozilla", "merchantab", "commercial", "research", "secret", "wtfpl", "tivoization", "government", "confidential", "procurement", "negligence", "copyleft",
     "invariant", "exception", "redistribut", "eclipse", "notices", "scripts", "endorse", "software", "definitions", "derivative", "odc",
     "additional", "unauthorized", "reproduced", "material", "consortium",
 )
+#: A substring that common words hold by chance, and the phrase, with any gaps, that must follow it up.
+GATE_PHRASES = {"cc": "cc by", "mpl": "the mpl was not", "beer": "me a beer"}
 
 
 def gate(text: Column) -> Column:
-    """Whether a raw text can hold a base phrase or a rule's match: plain substring searches, and "cc by" with any gap.
+    """Whether a raw text can hold a base phrase or a rule's match: plain substring searches, and phrases with any gaps behind such searches.
 
     Lower-casing beyond ASCII can only add candidates.
     """
     low = F.lower(text)
-    plain = reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in GATE])
-    return plain | (F.contains(low, F.lit("cc")) & text.rlike(f"(?i)cc{_GAP}by"))
+    plain = [F.contains(low, F.lit(w)) for w in GATE]
+    phrases = [F.contains(low, F.lit(w)) & text.rlike("(?i)" + p.replace(" ", _GAP)) for w, p in GATE_PHRASES.items()]
+    return reduce(lambda x, y: x | y, plain + phrases)
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
