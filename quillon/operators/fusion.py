@@ -1,13 +1,16 @@
 """Fusing noisy labellers: two Dawid-Skene estimators and vote merging.
 
-An iteration is two grouped sums over the votes, which are laid out once by item
-and label; rates (one row per label and labeller) and posteriors are joined by key.
-Lineage is cut with reliable checkpoints every few rounds.
+Items with the same votes have the same posterior: rounds run over the distinct patterns
+of votes with their counts, and posteriors are joined back to the items by pattern.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,55 +31,163 @@ def vote_cells(votes: DataFrame, menu: list[str], uid: str = "item", labeller: s
     return votes.select(F.col(uid).alias("uid"), F.col(labeller).alias("labeller"), labels, F.explode(covered).alias("label")).select("uid", "labeller", "label", F.array_contains(labels, F.col("label")).cast("int").alias("yes"))
 
 
-def binary_em(cells: DataFrame, people: DataFrame | None = None, rounds: int = 30, unlabelled_weight: float = 0.0, shrink: float = 0.0, pooled: tuple[float, float] | None = None, every: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Binary Dawid-Skene for each label: (uid, label, p) and rates (label, prior, labeller, sens, spec).
+#: Cells (a labeller's answer in a distinct pattern) up to which the rounds run on the driver; with more, each round is Spark jobs over the patterns.
+DRIVER_CELLS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Patterns:
+    """Votes of items on labels, each distinct pattern of (labeller, yes) once.
+
+    ``every`` (uid, label, id) names the pattern of each item and label; ``patterns`` (id,
+    label, w, n, p) has the items' weight, their number and the first posterior;
+    ``cells`` (id, label, labeller, yes, k) the answers of a pattern. Items that nobody was asked
+    about have patterns without cells.
+    """
 
-    cells(uid, labeller, label, yes); people(labeller, k): labellers that are
-    persons, with the strength of their prior counts. Items without a person's
-    vote weigh ``unlabelled_weight`` (1 if there are no people at all).
+    every: DataFrame
+    patterns: DataFrame
+    cells: DataFrame
+
+
+def vote_patterns(cells: DataFrame, people: DataFrame | None = None, unlabelled_weight: float = 0.0, items: DataFrame | None = None, menu: list[str] | None = None) -> Patterns:
+    """The patterns of cells(uid, labeller, label, yes).
+
+    people(labeller, k): labellers that are persons, with the strength of their prior
+    counts; items without a person's vote weigh ``unlabelled_weight`` (1 if there are no
+    people at all). ``items`` (uid) adds items without any cell, ``menu`` labels without any.
+    A pattern is told by the sums of two 64-bit hashes of its answers, so that no
+    item's votes are gathered in one row.
     """
-    cells = cells.join(people.select("labeller", "k"), "labeller", "left") if people is not None else cells.withColumn("k", F.lit(None).cast("double"))
-    weights = cells.groupBy("uid").agg(F.max(F.col("k").isNotNull().cast("int")).alias("person")).select("uid", (F.when(F.col("person") == 1, 1.0).otherwise(unlabelled_weight if people is not None else 1.0)).alias("w"))
-    cells = cut(cells.join(weights, "uid").repartition("uid", "label"))
-    human = F.col("k").isNotNull()
-    sums = cells.groupBy("uid", "label").agg(
-        F.first("w").alias("w"), F.count_if(human).alias("hc"), F.sum(F.when(human, F.col("yes")).otherwise(0)).alias("hy"), F.count_if(~human).alias("mc"), F.sum(F.when(~human, F.col("yes")).otherwise(0)).alias("my")
-    )
-    post = cut(sums.select("uid", "label", "w", F.when(F.col("hc") > 0, (F.col("hy") + 0.5) / (F.col("hc") + 1)).when(F.col("mc") > 0, (F.col("my") + 0.5) / (F.col("mc") + 1)).otherwise(0.1).alias("p")))
-    rates = None
+    given = people.select("labeller", F.col("k").cast("double").alias("k")) if people is not None else None
+    c = cells.join(given, "labeller", "left") if given is not None else cells.withColumn("k", F.lit(None).cast("double"))
+    c = cut(c.select("uid", "label", "labeller", F.col("yes").cast("int").alias("yes"), "k"))
+    human, yes = F.col("k").isNotNull(), F.col("yes")
+    asked = c.groupBy("uid").agg(F.max(human).alias("person"))
+    whole = items.select("uid").distinct().join(asked, "uid", "full") if items is not None else asked
+    weight = F.lit(1.0) if people is None else F.when(F.coalesce("person", F.lit(False)), 1.0).otherwise(float(unlabelled_weight))
+    uids = cut(whole.select("uid", weight.alias("w")))
+    code = [F.sum(F.xxhash64(F.lit(seed), "labeller", "yes").cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    counts = [F.count_if(human).alias("hc"), F.sum(F.when(human, yes).otherwise(0)).alias("hy"), F.count_if(~human).alias("mc"), F.sum(F.when(~human, yes).otherwise(0)).alias("my")]
+    voted = cut(c.groupBy("uid", "label").agg(*code, *counts).join(uids, "uid"))
+    key = ["label", "w", "h1", "h2"]
+    first = F.when(F.col("hc") > 0, (F.col("hy") + 0.5) / (F.col("hc") + 1)).otherwise((F.col("my") + 0.5) / (F.col("mc") + 1))
+    told = cut(voted.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("one"), F.first(first).alias("p")).withColumn("id", F.monotonically_increasing_id()))
+    labels = menu or sorted(r.label for r in c.select("label").distinct().collect())
+    # nobody was asked: one pattern for each label and weight, with all items that are in none of the others
+    total = {r.w: r.n for r in uids.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    covered = {(r.label, r.w): r.n for r in told.groupBy("label", "w").agg(F.sum("n").alias("n")).collect()}
+    blank = [(-1 - i, l, w, n - covered.get((l, w), 0), 0.1) for i, (l, w, n) in enumerate((l, w, n) for l in labels for w, n in sorted(total.items()))]
+    unasked = cells.sparkSession.createDataFrame(blank, "id long, label string, w double, n long, p double")
+    all_pairs = uids.select("uid", "w", F.explode(F.array(*map(F.lit, labels)).cast("array<string>")).alias("label"))
+    named = voted.join(told.select(*key, "id"), key).select("uid", "label", "id")
+    every = all_pairs.join(named, ["uid", "label"], "left").join(F.broadcast(unasked.select("label", "w", F.col("id").alias("none"))), ["label", "w"]).select("uid", "label", F.coalesce("id", "none").alias("id"))
+    own = c.join(told.select("label", F.col("one").alias("uid"), "id"), ["uid", "label"]).select("id", "label", "labeller", "yes", "k")
+    return Patterns(every, cut(told.select("id", "label", "w", "n", "p").unionByName(unasked)), cut(own))
+
+
+def _rounds_here(v: Patterns, pat: pd.DataFrame, cell: pd.DataFrame, rounds: int, shrink: float, pooled: dict[str, tuple[float, float]] | None) -> tuple[DataFrame, DataFrame]:
+    """The rounds over all patterns in numpy."""
+    spark = v.cells.sparkSession
+    label, labels = pd.factorize(pat.label)
+    at = pd.Series(np.arange(len(pat)), index=pat.id).reindex(cell.id).to_numpy()
+    labellers, whos = pd.factorize(cell.labeller)
+    both, pair = np.unique(label[at] * max(1, len(whos)) + labellers, return_inverse=True)
+    of, who = np.divmod(both, max(1, len(whos)))  # of each pair that occurs its label and labeller
+    k = np.full(len(both), np.nan)
+    k[pair] = cell.k.to_numpy(float)
+    yes, w, p = cell.yes.to_numpy(float), (pat.w * pat.n).to_numpy(float), pat.p.to_numpy(float)
+    own = [(labels[a], whos[b].item() if isinstance(whos[b], np.generic) else whos[b]) for a, b in zip(of, who)]
+    rate = [(pooled or {}).get(b) for _, b in own]
+    s = np.array([shrink if r and np.isnan(kk) else 0.0 for r, kk in zip(rate, k)])
+    se0, sp0 = (np.array([r[i] if r else 0.0 for r in rate]) for i in (0, 1))
+    people = np.nan_to_num(k)
+    summed = lambda x: np.bincount(pair, x, len(own))
+    prior = sens = spec = None
+    for _ in range(rounds):
+        prior = (np.bincount(label, w * p, len(labels)) + 1) / (np.bincount(label, w, len(labels)) + 2)
+        a, b = (w * p)[at], (w * (1 - p))[at]
+        tp, fn = summed(a * yes) + people * PEOPLE_SENS + s * se0, summed(a * (1 - yes)) + people * (1 - PEOPLE_SENS) + s * (1 - se0)
+        tn, fp = summed(b * (1 - yes)) + people * PEOPLE_SPEC + s * sp0, summed(b * yes) + people * (1 - PEOPLE_SPEC) + s * (1 - sp0)
+        sens, spec = (tp + 1) / (tp + fn + 2), (tn + 1) / (tn + fp + 2)
+        said = np.where(yes == 1, np.log(sens / (1 - spec))[pair], np.log((1 - sens) / spec)[pair])
+        odds = np.log(prior / (1 - prior))[label] + np.bincount(at, said, len(pat))
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    post = spark.createDataFrame(pd.DataFrame({"id": pat.id.astype("int64"), "p": p}), "id long, p double")
+    rows = [(l, float(prior[o]), who, float(a), float(b)) for (l, who), o, a, b in zip(own, of, sens, spec)] if len(own) else []
+    kind = v.cells.schema["labeller"].dataType.simpleString()
+    return post, spark.createDataFrame(rows, f"label string, prior double, labeller {kind}, sens double, spec double")
+
+
+def _rounds_in_spark(v: Patterns, rounds: int, shrink: float, pooled: DataFrame | None, every: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The same rounds as grouped sums over the patterns; lineage is cut reliably every few rounds."""
+    cells = v.cells
+    if pooled is not None:
+        cells = cells.join(pooled.select("labeller", F.col("sens").alias("se0"), F.col("spec").alias("sp0"), F.lit(float(shrink)).alias("s")), "labeller", "left")
+    else:
+        cells = cells.withColumns({c: F.lit(None).cast("double") for c in ("se0", "sp0", "s")})
+    cells = cut(cells.fillna(0.0, ["se0", "sp0", "s"]).withColumn("s", F.when(F.col("k").isNull(), F.col("s")).otherwise(0.0)).repartition("id"))
+    post, rates = v.patterns.withColumn("w", F.col("w") * F.col("n")).drop("n"), None
+    y, w, p, k, s = (F.col(x) for x in ("yes", "w", "p", "k", "s"))
     for number in range(rounds):
-        prior = post.groupBy("label").agg(((F.sum(F.col("w") * F.col("p")) + 1) / (F.sum("w") + 2)).alias("prior"))
-        joined = cells.drop("w").join(post, ["uid", "label"])
-        y, w, p = F.col("yes"), F.col("w"), F.col("p")
-        counts = joined.groupBy("label", "labeller").agg(F.first("k").alias("k"), F.sum(w * p * y).alias("tp"), F.sum(w * (1 - p) * y).alias("fp"), F.sum(w * p * (1 - y)).alias("fn"), F.sum(w * (1 - p) * (1 - y)).alias("tn"))
-        k = F.col("k")
-        se0, sp0 = pooled or (0.0, 0.0)
-        s = shrink if pooled else 0.0
-        add = {"tp": (PEOPLE_SENS, se0), "fn": (1 - PEOPLE_SENS, 1 - se0), "tn": (PEOPLE_SPEC, sp0), "fp": (1 - PEOPLE_SPEC, 1 - sp0)}
-        filled = counts.withColumns({n: F.col(n) + F.when(k.isNotNull(), k * a).otherwise(s * b) for n, (a, b) in add.items()})
-        rates = filled.join(prior, "label").select("label", "prior", "labeller", ((F.col("tp") + 1) / (F.col("tp") + F.col("fn") + 2)).alias("sens"), ((F.col("tn") + 1) / (F.col("tn") + F.col("fp") + 2)).alias("spec"))
-        rates = cut(rates)
+        prior = post.groupBy("label").agg(((F.sum(w * p) + 1) / (F.sum("w") + 2)).alias("prior"))
+        joined = cells.join(post.select("id", "w", "p"), "id")
+        sums = [F.sum(w * p * y).alias("tp"), F.sum(w * (1 - p) * y).alias("fp"), F.sum(w * p * (1 - y)).alias("fn"), F.sum(w * (1 - p) * (1 - y)).alias("tn")]
+        counts = joined.groupBy("label", "labeller").agg(*(F.first(c).alias(c) for c in ("k", "s", "se0", "sp0")), *sums)
+        add = {"tp": (PEOPLE_SENS, F.col("se0")), "fn": (1 - PEOPLE_SENS, 1 - F.col("se0")), "tn": (PEOPLE_SPEC, F.col("sp0")), "fp": (1 - PEOPLE_SPEC, 1 - F.col("sp0"))}
+        filled = counts.withColumns({c: F.col(c) + F.coalesce(k * a, F.lit(0.0)) + s * b for c, (a, b) in add.items()})
+        rates = cut(filled.join(prior, "label").select("label", "prior", "labeller", ((F.col("tp") + 1) / (F.col("tp") + F.col("fn") + 2)).alias("sens"), ((F.col("tn") + 1) / (F.col("tn") + F.col("fp") + 2)).alias("spec")))
         ratio = F.when(y == 1, F.log(F.col("sens") / (1 - F.col("spec")))).otherwise(F.log((1 - F.col("sens")) / F.col("spec")))
-        evidence = cells.select("uid", "label", "labeller", "yes").join(rates, ["label", "labeller"]).groupBy("uid", "label").agg(F.sum(ratio).alias("e"), F.first("prior").alias("prior"))
-        odds = F.log(F.col("prior") / (1 - F.col("prior"))) + F.col("e")
-        post = post.drop("p").join(evidence, ["uid", "label"]).select("uid", "label", "w", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))).alias("p"))
+        evidence = cells.select("id", "label", "labeller", "yes").join(rates.drop("prior"), ["label", "labeller"]).groupBy("id").agg(F.sum(ratio).alias("e"))
+        odds = F.log(F.col("prior") / (1 - F.col("prior"))) + F.coalesce("e", F.lit(0.0))
+        post = post.drop("p").join(prior, "label").join(evidence, "id", "left").select("id", "label", "w", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))).alias("p"))
         if number % every == every - 1 or number == rounds - 1:
             post = cut(post)
-    return post.select("uid", "label", "p"), rates
+    return post.select("id", "p"), rates
+
 
+def _em(v: Patterns, driver_cells: int) -> Callable[..., tuple[DataFrame, DataFrame]]:
+    """What runs (rounds, shrink, pooled rates) over the patterns."""
+    if v.cells.count() + v.patterns.count() > driver_cells:
+        return lambda rounds, shrink=0.0, pooled=None: _rounds_in_spark(v, rounds, shrink, pooled)
+    pat, cell = v.patterns.toArrow().to_pandas(), v.cells.toArrow().to_pandas()
+    # a machine occurs in the cells, so there are no more of them than cells
+    rates = lambda pooled: {r.labeller: (r.sens, r.spec) for r in pooled.collect()} if pooled is not None else None
+    return lambda rounds, shrink=0.0, pooled=None: _rounds_here(v, pat, cell, rounds, shrink, rates(pooled))
+
+
+def binary_em(cells: DataFrame, people: DataFrame | None = None, rounds: int = 30, unlabelled_weight: float = 0.0, shrink: float = 0.0, pooled: DataFrame | None = None, items: DataFrame | None = None, menu: list[str] | None = None, driver_cells: int = DRIVER_CELLS) -> tuple[DataFrame, DataFrame]:
+    """Binary Dawid-Skene for each label: (uid, label, p) and rates (label, prior, labeller, sens, spec).
 
-def pooled_rates(rates: DataFrame, people: DataFrame | None = None) -> tuple[float, float]:
-    """Prior-weighted mean sensitivity and specificity of the machines."""
+    Items with the same votes on a label have the same posterior, so the rounds run over
+    the distinct patterns of votes (see ``vote_patterns`` for the arguments). A label that
+    nobody was asked about on an item keeps the label's prior there. ``pooled``
+    (labeller, sens, spec): each machine's rates over all labels, towards which its rates on
+    a label are pulled with ``shrink`` pseudo-counts.
+    """
+    v = vote_patterns(cells, people, unlabelled_weight, items, menu)
+    post, rates = _em(v, driver_cells)(rounds, shrink, pooled)
+    return v.every.join(post, "id").select("uid", "label", "p"), rates
+
+
+def pooled_rates(rates: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """Of each machine its prior-weighted mean sensitivity and specificity over its labels: (labeller, sens, spec)."""
     machines = rates.join(people, "labeller", "left_anti") if people is not None else rates
-    r = machines.agg((F.sum(F.col("prior") * F.col("sens")) / F.sum("prior")).alias("se"), (F.sum((1 - F.col("prior")) * F.col("spec")) / F.sum(1 - F.col("prior"))).alias("sp")).first()
-    return float(r.se), float(r.sp)
+    negative = 1 - F.col("prior")
+    return machines.groupBy("labeller").agg((F.sum(F.col("prior") * F.col("sens")) / F.sum("prior")).alias("sens"), (F.sum(negative * F.col("spec")) / F.sum(negative)).alias("spec"))
 
 
-def fuse(cells: DataFrame, people: DataFrame | None = None, rounds: int = 30, shrink: float = 20.0, unlabelled_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Two passes: plain rates, then machines shrunk towards the pooled ones. (uid, probs map, labels), rates."""
-    _, first = binary_em(cells, people, rounds, unlabelled_weight)
-    post, rates = binary_em(cells, people, rounds, unlabelled_weight, shrink, pooled_rates(first, people))
-    rounded = post.withColumn("p", F.bround("p", 3))
+def fuse(cells: DataFrame, people: DataFrame | None = None, rounds: int = 30, shrink: float = 20.0, unlabelled_weight: float = 0.0, items: DataFrame | None = None, menu: list[str] | None = None, driver_cells: int = DRIVER_CELLS) -> tuple[DataFrame, DataFrame]:
+    """Two passes: plain rates, then each machine's shrunk towards its own over all labels. (uid, probs map, labels), rates.
+
+    Probabilities have three digits; labels are those over one half. Every item has every label.
+    """
+    v = vote_patterns(cells, people, unlabelled_weight, items, menu)
+    em = _em(v, driver_cells)
+    post, rates = em(rounds)
+    if shrink:
+        post, rates = em(rounds, shrink, pooled_rates(rates, people))
+    rounded = v.every.join(post.select("id", F.bround("p", 3).alias("p")), "id")
     out = rounded.groupBy("uid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "p")))).alias("probs"))
     return out.withColumn("labels", F.map_keys(F.map_filter("probs", lambda k, v: v > 0.5))), rates
 

@@ -189,18 +189,48 @@ def vote_share(spark, d):
     return relations.vote_share(v, list(LABELS)).select("item", "label", r6("share", "share"))
 
 
-@query("fuse_labels")
+CREW = "CASE WHEN who % 10 = 0 THEN CASE WHEN who % 20 = 0 THEN 10.0 ELSE 3.0 END END"
+#: Both passes of 30 rounds: a round's posteriors are one list, by label and item; rates and evidence are sums over the cells.
+FUSED = f"""WITH RECURSIVE {EV}, menu AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS label),
+ v AS (SELECT item, who, list(DISTINCT label) AS labels, who % 3 AS part FROM ev GROUP BY item, who),
+ c AS (SELECT item, who, label, list_contains(labels, label)::INT AS yes, {CREW} AS k FROM v CROSS JOIN menu WHERE (part <> 1 OR label IN ('click', 'error', 'purchase')) AND (item % 7 > 0 OR label <> 'view')),
+ u AS (SELECT item, max((who % 10 = 0)::INT)::DOUBLE AS w FROM c GROUP BY item),
+ cells AS MATERIALIZED (SELECT c.*, w FROM c JOIN u USING (item)),
+ start AS (SELECT u.item, label, w, CASE WHEN count(k) > 0 THEN (sum(yes) FILTER (k IS NOT NULL) + 0.5) / (count(k) + 1) WHEN count(yes) > 0 THEN (sum(yes) + 0.5) / (count(yes) + 1) ELSE 0.1 END AS p
+  FROM u CROSS JOIN menu LEFT JOIN (SELECT item, label, yes, k FROM c) x USING (item, label) GROUP BY ALL),
+ em(r, item, label, w, p, pooled) AS (
+  SELECT 0, item, label, w, p, NULL::STRUCT(who BIGINT, se DOUBLE, sp DOUBLE)[] FROM start
+  UNION ALL (
+  WITH now AS (SELECT r, item, label, w, CASE WHEN r = 30 THEN s.p ELSE em.p END AS p, pooled FROM em JOIN start s USING (item, label, w) WHERE r < 60),
+   prior AS (SELECT label, (sum(w * p) + 1) / (sum(w) + 2) AS prior FROM now GROUP BY label),
+   turn AS (SELECT max(r) AS r FROM now),
+   pool AS (SELECT unnest(pooled, recursive := true) FROM (SELECT any_value(pooled) AS pooled FROM now)),
+   n AS (SELECT label, who, any_value(k) AS k, sum(w * p * yes) AS tp, sum(w * (1 - p) * yes) AS fp, sum(w * p * (1 - yes)) AS fn, sum(w * (1 - p) * (1 - yes)) AS tn FROM cells JOIN now USING (item, label, w) GROUP BY label, who),
+   f AS (SELECT label, who, k, tp + coalesce(0.8 * k, 20 * se, 0) AS tp, fn + coalesce(0.2 * k, 20 * (1 - se), 0) AS fn, tn + coalesce(0.95 * k, 20 * sp, 0) AS tn, fp + coalesce(0.05 * k, 20 * (1 - sp), 0) AS fp FROM n LEFT JOIN pool USING (who)),
+   rates AS (SELECT label, who, k, prior, (tp + 1) / (tp + fn + 2) AS sens, (tn + 1) / (tn + fp + 2) AS spec FROM f JOIN prior USING (label)),
+   means AS (SELECT list({{'who': who, 'se': se, 'sp': sp}}) AS pooled FROM (SELECT who, sum(prior * sens) / sum(prior) AS se, sum((1 - prior) * spec) / sum(1 - prior) AS sp FROM rates WHERE k IS NULL GROUP BY who)),
+   said AS (SELECT item, label, sum(CASE yes WHEN 1 THEN ln(sens / (1 - spec)) ELSE ln((1 - sens) / spec) END) AS e FROM cells JOIN rates USING (label, who) GROUP BY item, label)
+  SELECT turn.r + 1, item, label, w, 1 / (1 + exp(-greatest(-30.0, least(30.0, ln(prior / (1 - prior)) + coalesce(e, 0))))), CASE WHEN turn.r = 29 THEN means.pooled ELSE now.pooled END
+  FROM now JOIN prior USING (label) LEFT JOIN said USING (item, label) CROSS JOIN turn CROSS JOIN means))
+ SELECT item, label, round(p, 3) AS p, round(p, 3) > 0.5 AS chosen FROM em WHERE r = 60"""
+
+
+@query("fuse_labels", FUSED)
 def fuse_labels(spark, d):
-    """Binary Dawid-Skene over groups of labellers; two of the eight count as persons."""
-    v = events(spark, d).groupBy("item", (F.col("who") % 8).cast("string").alias("who")).agg(F.collect_set("label").alias("labels"))
-    people = spark.createDataFrame([("0", 10.0), ("1", 3.0)], "labeller string, k double")
-    post, _ = fusion.fuse(fusion.vote_cells(v, list(LABELS)), people, rounds=30)
-    return post.select(F.col("uid").alias("item"), F.to_json("probs").alias("probs"), F.array_join("labels", ",").alias("labels"))
+    """Binary Dawid-Skene over all labellers; a tenth are persons, a third were asked about three labels, and on a seventh of the items nobody was asked about one."""
+    e = events(spark, d)
+    v = e.groupBy("item", "who").agg(F.collect_set("label").alias("labels"))
+    few = F.array(*map(F.lit, LABELS[:3]))
+    asked = F.when(F.col("who") % 3 == 1, few).otherwise(F.array(*map(F.lit, LABELS)))
+    v = v.withColumn("menu", F.when(F.col("item") % 7 == 0, F.array_remove(asked, "view")).otherwise(asked))
+    people = e.select("who").distinct().filter("who % 10 = 0").select(F.col("who").alias("labeller"), F.when(F.col("who") % 20 == 0, 10.0).otherwise(3.0).alias("k"))
+    post, _ = fusion.fuse(fusion.vote_cells(v, list(LABELS), offered="menu"), people, rounds=30, menu=list(LABELS))
+    return post.select(F.col("uid").alias("item"), F.explode("probs").alias("label", "p")).select("item", "label", "p", (F.col("p") > 0.5).alias("chosen"))
 
 
 @query("fuse_judges")
 def fuse_judges(spark, d):
-    """K-class Dawid-Skene with the calibrated judge; documents' language against their source's habit."""
+    """K-class Dawid-Skene with the calibrated judge: the events' labels against their items' habit."""
     e = events(spark, d)
     j = e.select(F.col("event_id").alias("uid"), F.element_at(F.array(*map(F.lit, LABELS)), F.col("item") % 5 + 1).alias("label"), F.col("label").alias("pred"))
     calibration = j.filter(F.col("uid") % 10 == 0).groupBy(F.col("label").alias("truth"), "pred").agg(F.count(F.lit(1)).alias("n"))
