@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,37 +92,59 @@ def licence_filter(rows: DataFrame, licence: str = "licence", evals: DataFrame |
     return free.join(evals.select(key).distinct(), key, "left_anti") if evals is not None else free
 
 
-#: Anchors of passages: so many words in a row, the first number that fits within a passage's inner words.
-ANCHORS = (8, 3, 1)
-#: Anchors and candidates up to this number may be broadcast; beyond it the planner chooses.
+#: Items (rows of a few words' keys) that may be broadcast; with more, keys are shuffled and texts joined to the candidates.
 BROADCAST_ROWS = 200_000
+#: Items of fewer than three words that are tried on every text as they are; with more, they have keys of characters.
+SHORT_ITEMS = 1_000
+#: Characters of a short item's key.
+KEY = 3
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS, short_items: int = SHORT_ITEMS) -> DataFrame:
     """Documents that hold a benchmark text in full, line breaks included: (doc_id, item_id), each pair once.
 
-    An item's anchor is a run of its inner words (all but the first and last, which may be
-    cut out of longer words of a document). Documents' word windows are joined to the
-    anchors by hash, without their texts; then the candidates' whole texts are compared.
-    Items of fewer than three words, and null texts, match nothing.
+    An item of three words or more has the rarest of its inner words as anchor (all but the
+    first and last, which may be cut out of longer words of a document): that of fewest
+    documents. Documents' words are joined to the anchors, and the whole texts of those that
+    hold one are compared. Shorter items are compared with every text, or, if there are many,
+    with those that hold their first characters. Null texts hold nothing and are held by
+    nothing; an empty item is in every text that isn't null.
     """
-    words = lambda t: F.array_remove(F.split(F.coalesce(t, F.lit("")), r"\s+"), "")
-    items = benchmark.select("item_id", F.col(item_text).alias("_item")).filter(F.size(words(F.col("_item"))) >= 3)
-    inner = F.slice(words(F.col("_item")), 2, F.size(words(F.col("_item"))) - 2)
-    size = F.coalesce(*(F.when(F.size(inner) >= k, F.lit(k)) for k in ANCHORS))
-    anchors = cut(items.select("item_id", F.xxhash64(F.array_join(F.slice(inner, F.lit(1), size), " ")).alias("_h"), size.alias("_k")))
-    sizes = [r._k for r in anchors.select("_k").distinct().collect()]  # at most as many as ANCHORS
-    own = docs.select("doc_id", words(F.col(doc_text)).alias("_w"))
-    window = lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(k)), " "))))
-    if not sizes:
-        return docs.select("doc_id").join(items.select("item_id"), F.lit(False)).distinct()
-    hashes = F.array_distinct(F.concat(*(F.coalesce(window(k), F.array().cast("array<bigint>")) for k in sizes)))
-    found = own.select("doc_id", F.explode(hashes).alias("_h")).join(_small(anchors.select("item_id", "_h")), "_h").select("doc_id", "item_id").distinct()
-    candidates = cut(found)
-    texts = docs.select("doc_id", F.col(doc_text).alias("_text")).join(_small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
-    pairs = texts.join(candidates, "doc_id").join(items, "item_id")
-    return pairs.filter(F.contains("_text", "_item")).select("doc_id", "item_id").distinct()
+    words = lambda t: F.array_remove(F.split(t, r"\s+"), "")
+    own = docs.select("doc_id", F.col(doc_text).alias("_text")).filter("_text IS NOT NULL")
+    items = cut(benchmark.select("item_id", F.col(item_text).alias("_item")).filter("_item IS NOT NULL").withColumn("_n", F.size(words(F.col("_item")))))
+    n = {r.short: r.n for r in items.groupBy((F.col("_n") < 3).alias("short")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = F.contains("_text", "_item")
+    found = []
+
+    def by_key(keys, keyed: DataFrame, small: bool) -> None:
+        """Pairs by the keys of a text (an array) and the items' ``_key``."""
+        if small:  # texts stay where they are
+            found.append(own.select("doc_id", "_text", F.explode(keys).alias("_key")).join(F.broadcast(keyed), "_key").filter(held).select("doc_id", "item_id"))
+            return
+        pairs = cut(own.select("doc_id", F.explode(keys).alias("_key")).join(keyed.select("_key", "item_id"), "_key").select("doc_id", "item_id").distinct())
+        texts = own.alias("d").join(pairs.alias("p"), F.expr("d.doc_id <=> p.doc_id")).select("p.doc_id", "p.item_id", "_text")
+        found.append(texts.join(items, "item_id").filter(held).select("doc_id", "item_id"))
+
+    if n.get(False):
+        long = items.filter("_n >= 3")
+        inner = F.array_distinct(F.slice(words(F.col("_item")), 2, F.col("_n") - 2))
+        each = cut(long.select("item_id", "_item", F.explode(inner).alias("_key")))
+        vocabulary = each.select("_key").distinct()
+        small = each.count() <= broadcast_rows
+        of_text = F.array_distinct(words(F.col("_text")))
+        spread = own.select(F.explode(of_text).alias("_key")).join(F.broadcast(vocabulary) if small else vocabulary, "_key").groupBy("_key").agg(F.count(F.lit(1)).alias("_in"))
+        rarest = each.join(spread, "_key", "left").groupBy("item_id", "_item").agg(F.min(F.struct(F.coalesce("_in", F.lit(0)).alias("_in"), "_key")).alias("_a"))
+        # an anchor in no document: nor is the item
+        by_key(of_text, cut(rarest.filter("_a._in > 0").select("item_id", "_item", F.col("_a._key").alias("_key"))), small)
+    if n.get(True):
+        short = items.filter("_n < 3").select("item_id", "_item")
+        if n[True] <= short_items:
+            found.append(own.join(F.broadcast(short), held).select("doc_id", "item_id"))
+        else:
+            keyed = short.withColumn("_key", F.substring("_item", 1, KEY))
+            pieces = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - k + 1)), lambda i: F.substring(F.col("_text"), i, F.lit(k)))
+            by_key(F.array_distinct(F.concat(F.array(F.lit("")), *(pieces(k) for k in range(1, KEY + 1)))), keyed, n[True] <= broadcast_rows)
+    if not found:
+        return docs.select("doc_id").join(items.select("item_id"), F.lit(False))
+    return reduce(DataFrame.unionByName, found).distinct()

@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import columns as X
@@ -84,13 +85,14 @@ def test_anchored_em_item_by_item(spark):
         assert got[i].hard_negative == (q[named(w)] <= 0.1)
 
 
-def test_passages_over_lines(spark):
-    docs = [(1, "before\none two three four five\nsix seven eight nine ten eleven twelve after"), (2, "one two three four five six"), (3, None), (4, ""), (5, "xalpha beta gammax"), (5, "xalpha beta gammax"), (6, "alpha beta\tgamma")]
-    items = [(10, "one two three four five\nsix seven eight nine ten eleven twelve"), (11, "alpha beta gamma"), (12, "short one"), (13, None), (14, "two three four five")]
-    got = screen.contaminated(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
-    assert sorted(map(tuple, got)) == sorted({(d, i) for d, t in docs for i, p in items if t and p and len(p.split()) > 2 and p in t})
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}, {"short_items": 0}, {"broadcast_rows": 0, "short_items": 0}])
+def test_passages_over_lines(spark, limits):
+    docs = [(1, "before\none two three four five\nsix seven eight nine ten eleven twelve after"), (2, "one two three four five six"), (3, None), (4, ""), (5, "xalpha beta gammax"), (5, "xalpha beta gammax"), (6, "alpha beta\tgamma"), (7, "beta"), (8, " a\u00e9 b ")]
+    items = [(10, "one two three four five\nsix seven eight nine ten eleven twelve"), (11, "alpha beta gamma"), (12, "short one"), (13, None), (14, "two three four five"), (15, "beta"), (16, "beta gamma"), (17, "alpha beta gammax"), (18, ""), (19, " "), (20, "\u00e9 b"), (21, "one"), (22, "five six"), (23, "e"), (24, "\t"), (25, "one  two three")]
+    got = screen.contaminated(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"), **limits).collect()
+    assert sorted(map(tuple, got)) == sorted({(d, i) for d, t in docs for i, p in items if t is not None and p is not None and p in t})
     nothing = spark.createDataFrame([], "item_id int, text string")
-    assert screen.contaminated(spark.createDataFrame(docs, "doc_id int, text string"), nothing).count() == 0
+    assert screen.contaminated(spark.createDataFrame(docs, "doc_id int, text string"), nothing, **limits).count() == 0
 
 
 def test_answers_of_models(spark):
