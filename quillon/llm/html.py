@@ -13,6 +13,7 @@ The trees are fitted on pages generated here, whose elements' classes are known.
 from __future__ import annotations
 
 import html as _html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -53,8 +54,11 @@ GROUPS: dict[str, tuple[str, ...]] = {
     "notice": ("cookie", "notice", "consent", "popup", "modal", "alert", "newsletter", "subscribe", "paywall", "gdpr"),
     "advert": ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promoted", "adsense"),
     "comment": ("comment", "comments", "disqus", "reply", "replies", "discussion", "respond"),
-    "share": ("share", "social", "follow", "login", "signup", "search", "form", "print", "tools"),
+    "share": ("share", "sharing", "social", "follow", "login", "signup", "search", "form", "print", "tools"),
+    "about": ("author", "bio", "byline", "avatar", "tags", "tagged", "categories", "meta"),
 }
+#: Groups that name boilerplate: an inline element that bears one has a verdict of its own.
+_OFF = frozenset(g for g in GROUPS if g != "content")
 _ROLE = {"navigation": "menu", "banner": "edge", "contentinfo": "edge", "complementary": "side", "search": "share", "main": "content", "article": "content", "dialog": "notice", "alert": "notice"}
 
 
@@ -154,7 +158,7 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-FEATURES = ["depth", "log_chars", "log_words", "link_share", "markup", "stops", "own_share", "children", "position", "siblings", "share_of_page", "share_of_parent", "same_tag_siblings", "paragraphs", "inline", *(f"tag_{t}" for t in TAGS), *(f"own_{g}" for g in GROUPS), *(f"above_{g}" for g in GROUPS), "hidden"]
+FEATURES = ["depth", "log_chars", "log_words", "link_share", "markup", "stops", "own_text", "children", "position", "siblings", "share_of_page", "share_of_parent", "same_tag_siblings", "paragraphs", "paragraphs_beside", "inline", *(f"tag_{t}" for t in TAGS), *(f"own_{g}" for g in GROUPS), *(f"above_{g}" for g in GROUPS), "hidden"]
 _AT = {n: i for i, n in enumerate(FEATURES)}
 _TAG_AT = {t: _AT[f"tag_{t}"] for t in TAGS}
 _GROUP_NAMES = tuple(GROUPS)
@@ -224,12 +228,13 @@ def features(nodes: list[Node]) -> np.ndarray:
         row[_AT["link_share"]] = links[i] / max(1, c)
         row[_AT["markup"]] = tags[i] / max(1, words[i])
         row[_AT["stops"]] = stops[i] / max(1, words[i])
-        row[_AT["own_share"]] = own[i] / max(1, c)
+        row[_AT["own_text"]] = own[i] / max(1, c)
         row[_AT["children"]] = len(v.children)
         row[_AT["share_of_page"]] = c / page
         row[_AT["paragraphs"]] = np.log1p(paragraphs[i])
         if i:
             row[_AT["share_of_parent"]] = c / max(1, chars[v.parent])
+            row[_AT["paragraphs_beside"]] = np.log1p(paragraphs[v.parent] - paragraphs[i])
         alike: dict[str, int] = {}
         for k in v.children:
             alike[nodes[k].tag] = alike.get(nodes[k].tag, 0) + 1
@@ -264,66 +269,75 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Trees:
-    """Gradient boosting of logistic loss with histogram splits and Newton leaves."""
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-    code = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Trees:
+    """Gradient boosting of logistic loss with histogram splits and Newton leaves, a level of nodes at a time.
+
+    Features of two values are summed by a matrix product, the others by histograms.
+    """
+    n, count = x.shape
+    two = np.array([np.isin(x[:, j], (0, 1)).all() for j in range(count)])
+    flags, rest = np.flatnonzero(two), np.flatnonzero(~two)
+    flag = np.ascontiguousarray(x[:, flags], np.float64)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in rest]
+    code = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in zip(rest, cuts)], axis=1)
+    usable = np.stack([np.arange(bins - 1) < len(c) for c in cuts])  # cuts of a feature
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
-    score = np.full(len(y), base)
+    score = np.full(n, base)
     inner = 2**depth - 1
     feature, cut, leaf = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf, np.float32), np.zeros((trees, inner + 1), np.float32)
     for t in range(trees):
         p = 1 / (1 + np.exp(-score))
         grad, hess = y - p, p * (1 - p)
-        at = np.zeros(len(y), np.int64)
-        for node in range(inner):
-            rows = np.flatnonzero(at == node)
-            best, gain = None, 1e-6
-            if len(rows) > 1:
-                g, h = grad[rows], hess[rows]
-                whole = g.sum() ** 2 / (h.sum() + ridge)
-                for j in range(x.shape[1]):
-                    if not len(cuts[j]):
-                        continue
-                    gs = np.bincount(code[rows, j], g, len(cuts[j]) + 1).cumsum()
-                    hs = np.bincount(code[rows, j], h, len(cuts[j]) + 1).cumsum()
-                    left, right = gs[:-1], gs[-1] - gs[:-1]
-                    value = left**2 / (hs[:-1] + ridge) + right**2 / (hs[-1] - hs[:-1] + ridge) - whole
-                    k = int(value.argmax())
-                    if value[k] > gain:
-                        best, gain = (j, k), value[k]
-            if best:
-                j, k = best
-                feature[t, node], cut[t, node] = j, cuts[j][k]
-                at[rows] = 2 * node + 1 + (code[rows, j] > k)
-            else:
-                at[rows] = 2 * node + 1
-        for k in range(inner + 1):
-            rows = np.flatnonzero(at == inner + k)
-            if len(rows):
-                leaf[t, k] = rate * grad[rows].sum() / (hess[rows].sum() + ridge)
-                score[rows] += leaf[t, k]
+        at = np.zeros(n, np.int64)
+        for level in range(depth):
+            first, width = 2**level - 1, 2**level
+            own = at - first
+            whole = [np.bincount(own, v, width) for v in (grad, hess)]
+            on = [np.stack([(v * (own == k)) @ flag for k in range(width)]) for v in (grad, hess)]  # sums where the flag is set
+            place = ((own[:, None] * len(rest) + np.arange(len(rest))) * bins + code).ravel()
+            low = [np.bincount(place, np.repeat(v, len(rest)), width * len(rest) * bins).reshape(width, len(rest), bins).cumsum(axis=2)[:, :, :-1] for v in (grad, hess)]
+            # left sums: flags that are not set, bins up to a cut
+            left = [np.concatenate([w[:, None] - o, l.reshape(width, -1)], axis=1) for w, o, l in zip(whole, on, low)]
+            right = [w[:, None] - l for w, l in zip(whole, left)]
+            value = left[0] ** 2 / (left[1] + ridge) + right[0] ** 2 / (right[1] + ridge) - (whole[0] ** 2 / (whole[1] + ridge))[:, None]
+            value[:, len(flags) :][:, ~usable.ravel()] = 0.0
+            best = value.argmax(axis=1)
+            for k in range(width):
+                node, rows = first + k, np.flatnonzero(own == k)
+                if value[k, best[k]] <= 1e-6:
+                    at[rows] = 2 * node + 1
+                elif best[k] < len(flags):
+                    feature[t, node], cut[t, node] = flags[best[k]], 0.0
+                    at[rows] = 2 * node + 1 + (flag[rows, best[k]] > 0)
+                else:
+                    j, c = divmod(int(best[k]) - len(flags), bins - 1)
+                    feature[t, node], cut[t, node] = rest[j], cuts[j][c]
+                    at[rows] = 2 * node + 1 + (code[rows, j] > c)
+        sums = [np.bincount(at - inner, v, inner + 1) for v in (grad, hess)]
+        leaf[t] = rate * sums[0] / (sums[1] + ridge)
+        score += leaf[t][at - inner]
     return Trees(base, feature, cut, leaf)
 
 
 # -- training pages
 
 
-def training_pages(pages: int = 500, seed: int = 11) -> list[str]:
+def training_pages(pages: int = 900, seed: int = 11) -> list[str]:
     """Generated pages whose elements of the main text carry the attribute ``k="1"``, all others ``k="0"``.
 
     Layouts, tags and class names vary; some boilerplate is long prose and some
     main text is short, so that length alone doesn't tell.
     """
-    rng = np.random.default_rng(seed)
-    pick = lambda *x: x[rng.integers(len(x))]
+    rng = random.Random(seed)
+    pick = lambda *x: x[int(rng.random() * len(x))]
+    some = lambda lo, hi: lo + int(rng.random() * (hi - lo))
 
     def word() -> str:
-        return "".join(pick("b", "k", "d", "f", "gl", "m", "p", "st", "v", "w") + pick("a", "e", "i", "o", "u", "ea", "ö") for _ in range(rng.integers(1, 4)))
+        return "".join(pick("b", "k", "d", "f", "gl", "m", "p", "st", "v", "w") + pick("a", "e", "i", "o", "u", "ea", "ö") for _ in range(some(1, 4)))
 
     def words(lo: int, hi: int) -> str:
-        return " ".join(word() + pick("", "", "", "", "", "", ",", ".", "?", "&nbsp;") for _ in range(rng.integers(lo, hi)))
+        return " ".join(word() + pick("", "", "", "", "", "", ",", ".", "?", "&nbsp;") for _ in range(some(lo, hi)))
 
     def element(tag: str, inner: str, keep: int, attributes: str = "") -> str:
         return f'<{tag} k="{keep}"{attributes}>{inner}</{tag}>'
@@ -331,24 +345,34 @@ def training_pages(pages: int = 500, seed: int = 11) -> list[str]:
     def named(*names: str) -> str:
         return f' {pick("class", "id")}="{pick("", "box ", "wrap-")}{pick(*names)}{pick("", "", "-1", " clear")}"'
 
+    def unseen() -> str:
+        return pick(" hidden", ' style="display:none"', ' aria-hidden="true"')
+
     def links(keep: int = 0) -> str:
-        return element(pick("ul", "ul", "div"), "".join(element("li", element("a", words(1, 4), keep, ' href="/x"'), keep) for _ in range(rng.integers(2, 9))), keep)
+        return element(pick("ul", "ul", "div"), "".join(element("li", element("a", words(1, 4), keep, ' href="/x"'), keep) for _ in range(some(2, 9))), keep)
 
     def prose(keep: int) -> str:
         out = []
-        for _ in range(rng.integers(1, 9) if keep else rng.integers(1, 4)):
+        for _ in range(some(1, 9) if keep else some(1, 4)):
             inner = pick(words(1, 6), words(3, 25), words(1, 120 if keep else 60))
             if rng.random() < 0.3:
-                inner = element(pick("b", "em", "a", "span"), inner, keep) + " " + words(1, 20)
+                inner = element(pick("b", "em", "a", "span"), inner, keep, named("highlight", "x", "post-link", "term") * int(rng.random() < 0.2)) + " " + words(1, 20)
+            elif rng.random() < 0.15:  # all of it in one inline element
+                inner = element(pick("b", "strong", "em", "i"), inner + "<br>" * int(rng.random() < 0.5), keep)
+            if keep and rng.random() < 0.08:  # an advert in the middle of a sentence
+                inner = words(1, 12) + element(pick("span", "a", "em", "small"), words(1, 8), 0, unseen() if rng.random() < 0.2 else named("ad", "ads", "sponsored", "promo", "advert", "share", "newsletter-signup", "related")) + words(1, 12)
+            if keep and rng.random() < 0.14:  # a line or a box that is none of the post's text
+                line = pick("share", "social", "sharing", "ad", "sponsored", "newsletter", "related", "tags", "byline", "author-box", "print-tools", "comment-count")
+                out.append(element(pick("p", "p", "div", "aside"), pick(words(1, 9), element("p", words(3, 30), 0), links()), 0, unseen() if rng.random() < 0.1 else named(line)))
             out.append(element(pick("p", "p", "p", "p", "blockquote", "pre", "h2", "h3"), inner, keep))
         if keep and rng.random() < 0.25:
-            out.append(element(pick("ul", "ol"), "".join(element("li", words(2, 30), keep) for _ in range(rng.integers(2, 6))), keep))
+            out.append(element(pick("ul", "ol"), "".join(element("li", words(2, 30), keep) for _ in range(some(2, 6))), keep))
         if keep and rng.random() < 0.1:
-            out.append(element("table", "".join(element("tr", element("td", words(1, 8), keep) * 2, keep) for _ in range(rng.integers(1, 5))), keep))
+            out.append(element("table", "".join(element("tr", element("td", words(1, 8), keep) * 2, keep) for _ in range(some(1, 5))), keep))
         return "".join(out)
 
     def boilerplate() -> str:
-        kind = rng.integers(8)
+        kind = some(0, 8)
         if kind == 0:
             return element("nav", links(), 0) if rng.random() < 0.6 else element("div", links(), 0, named("nav", "menu", "main-menu", "breadcrumbs", "site-nav"))
         if kind == 1:
@@ -360,7 +384,7 @@ def training_pages(pages: int = 500, seed: int = 11) -> list[str]:
         if kind == 4:
             return element("form", words(1, 10) + '<input name="q">' + element("button", words(1, 2), 0), 0, named("search", "login", "signup-form"))
         if kind == 5:
-            return element(pick("div", "section"), element("h3", words(1, 4), 0) + "".join(element("div", prose(0), 0, named("comment", "reply")) for _ in range(rng.integers(1, 5))), 0, named("comments", "discussion", "disqus-thread", "respond"))
+            return element(pick("div", "section"), element("h3", words(1, 4), 0) + "".join(element("div", prose(0), 0, named("comment", "reply")) for _ in range(some(1, 5))), 0, named("comments", "discussion", "disqus-thread", "respond"))
         if kind == 6:
             return element("div", links(), 0, named("share", "social", "follow-us", "tools"))
         return element(pick("script", "style", "noscript"), words(3, 40), 0)
@@ -370,8 +394,20 @@ def training_pages(pages: int = 500, seed: int = 11) -> list[str]:
         body = element("h1", words(1, 12), 1) * int(rng.random() < 0.8) + prose(1)
         if rng.random() < 0.35:
             body += boilerplate() + (prose(1) if rng.random() < 0.5 else "")
-        wrapper = rng.integers(4)
-        if wrapper == 0:
+        wrapper = some(0, 8)
+        if rng.random() < 0.15:  # a short one
+            body = element(pick("p", "p", "div"), words(1, 6), 1)
+        if wrapper >= 5:  # the text in a plain block, or beside a menu in a table that makes the layout
+            if rng.random() < 0.5:
+                main = element("div", body, 1, named("x1", "c2", "block", "inner") * int(rng.random() < 0.7))
+            else:
+                side = pick(links, lambda: words(1, 3), lambda: element("br", "", 0).join(element("a", words(1, 3), 0, ' href="/y"') for _ in range(some(1, 6))), boilerplate)
+                menu = element("td", side(), 0, named("leftnav", "menu", "x", "side") * int(rng.random() < 0.5) + pick("", ' width="120"', ' valign="top"'))
+                text = element("td", pick(body, element("font", body, 1)), 1, named("story-text", "content", "x") * int(rng.random() < 0.4))
+                row = element("tr", pick(menu + text, text + menu, menu + text + menu), 1)
+                banner = element("tr", element("td", words(1, 5), 0, ' colspan="2"'), 0) * int(rng.random() < 0.5)
+                main = element("table", banner + row, 1, pick("", ' border="0"', ' width="100%"'))
+        elif wrapper == 0:
             main = element("article", body, 1)
         elif wrapper == 1:
             main = element("main", element("article", body, 1), 1)
@@ -380,10 +416,10 @@ def training_pages(pages: int = 500, seed: int = 11) -> list[str]:
         else:
             main = element("main", element("div", body, 1, named("content", "post-body", "x")), 1)
         if rng.random() < 0.3:
-            main = element("div", main + boilerplate() * int(rng.random() < 0.5), 1, named("wrapper", "container", "page", "row"))
+            main = element("div", pick(boilerplate() + main, main + boilerplate(), main), 1, named("wrapper", "container", "page", "row"))
         bare = rng.random() < 0.15  # nothing but the article
-        before = "" if bare else "".join(boilerplate() for _ in range(rng.integers(0, 4)))
-        after = "" if bare else "".join(boilerplate() for _ in range(rng.integers(0, 4)))
+        before = "" if bare else "".join(boilerplate() for _ in range(some(0, 4)))
+        after = "" if bare else "".join(boilerplate() for _ in range(some(0, 4)))
         top = element(pick("header", "div"), words(1, 12) + links() * int(rng.random() < 0.5), 0, named("header", "masthead", "site-header", "banner")) * int(rng.random() < 0.5)
         low = (element("footer", words(2, 40), 0) if rng.random() < 0.6 else element("div", words(2, 40), 0, named("footer", "copyright", "legal"))) * int(rng.random() < 0.8)
         head = element("head", element("title", words(1, 12), 0) + element("style", f".{word()} {{ color: {word()} }}", 0) * int(rng.random() < 0.7) + element("script", f'var {word()} = "{words(1, 9)}"', 0) * int(rng.random() < 0.7), 0)
@@ -427,6 +463,15 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
     return kept
 
 
+def follow_block(nodes: list[Node], odds: np.ndarray) -> None:
+    """Inline elements have the odds of what they stand in, unless their own attributes name boilerplate or hide them."""
+    for i, v in enumerate(nodes):
+        if v.tag in _INLINE and v.parent > 0:
+            found, hidden = _groups(v.attributes) if v.attributes else ((), False)
+            if not hidden and not any(_GROUP_NAMES[g] in _OFF for g in found):
+                odds[i] = odds[v.parent]
+
+
 def blocks(nodes: list[Node], kept: np.ndarray) -> list[str]:
     """Texts of the kept blocks in page order: white space to one space, empty ones left out."""
     out: list[str] = []
@@ -474,10 +519,7 @@ def extract(pages: list[str | None], trees: Trees | None = None) -> list[str]:
         if nodes:
             own = odds[at : at + len(nodes)].astype(np.float64)
             at += len(nodes)
-            # inline elements follow their block
-            for i, v in enumerate(nodes):
-                if v.tag in _INLINE:
-                    own[i] = own[v.parent] if v.parent > 0 else own[i]
+            follow_block(nodes, own)
             own[0] = 50.0
             out.append("\n".join(blocks(nodes, decode(nodes, own))))
         else:

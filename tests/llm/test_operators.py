@@ -628,6 +628,70 @@ def test_html_decoding_is_consistent():
         assert all(kept[v.parent] for i, v in enumerate(nodes) if i and kept[i])
 
 
+#: Pages by hand, none of them from the generator: what is said beside, within and around the text, and the text.
+HAND_PAGES = [
+    ('<p>Buy now <span class="ad">SPONSORED SPAN</span> rest of text here.</p>', "Buy now rest of text here."),
+    ('<article><p>One <em class="sponsored">paid</em> two <b>three</b> <i hidden>four</i> <a href="/x" class="promo-link">five</a>.</p></article>', "One two three ."),
+    ('<html><body><div class="newsletter">Sign up to our newsletter and get news every day of the week.</div><div id="x1"><p>Short.</p></div></body></html>', "Short."),
+    ('<html><body><table><tr><td><a href="/">Menu</a></td><td><p>The council met on Tuesday to discuss the new bridge.</p><p>After three hours, members voted.</p></td></tr></table></body></html>', "The council met on Tuesday to discuss the new bridge.\nAfter three hours, members voted."),
+    ('<html><body><table width="100%"><tr><td>Menu</td><td><p>The council met on Tuesday to discuss the new bridge.</p><p>After three hours, members voted.</p></td></tr></table></body></html>', "The council met on Tuesday to discuss the new bridge.\nAfter three hours, members voted."),
+    ('<html><body><article><h1>Title</h1><p>The council met on Tuesday to discuss the new bridge.</p><p class="share">Share this on social</p><p>After three hours, members voted.</p><div class="author-box"><p>Jane writes about bridges and lives by the river.</p></div></article></body></html>', "Title\nThe council met on Tuesday to discuss the new bridge.\nAfter three hours, members voted."),
+    ('<html><body><div><p>The council met on Tuesday, <a href="/b">see the bridge</a>, and <span class="highlight">voted</span> on it.</p></div><footer>Imprint</footer></body></html>', "The council met on Tuesday, see the bridge, and voted on it."),
+    ("<body><noscript>Please enable scripts</noscript><figure><img src=x><figcaption>A caption of the picture.</figcaption></figure><p>Text of the article goes here, with several words.</p></body>", None),
+    ("just raw text without tags", "just raw text without tags"),
+]
+
+
+@pytest.mark.parametrize("page,text", HAND_PAGES)
+def test_html_on_pages_by_hand(page, text):
+    got = html.extract([page])[0]
+    assert got == text if text is not None else "Text of the article goes here" in got and "scripts" not in got
+
+
+def test_html_features_have_names_of_their_own():
+    assert len(set(html.FEATURES)) == len(html.FEATURES) == html.features(html.parse("<p>x</p>")).shape[1]
+
+
+def test_html_decoding_equals_trying_every_choice():
+    """Over small trees: of all choices without a kept element in a dropped one, that of the greatest likelihood."""
+    from itertools import product
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n = int(rng.integers(2, 9))
+        nodes = [html.Node("#root")] + [html.Node("div", "", int(rng.integers(0, i))) for i in range(1, n)]
+        odds = rng.normal(0, 2, n)
+        yes, no = -np.log1p(np.exp(-odds)), -np.log1p(np.exp(odds))
+        best = max(((sum(yes[i] if k else no[i] for i, k in enumerate(c)), c) for c in product((True, False), repeat=n) if c[0] and all(c[v.parent] or not c[i] for i, v in enumerate(nodes) if i)))
+        assert html.decode(nodes, odds).tolist() == list(best[1])
+
+
+def test_html_trees_equal_plain_boosting():
+    """Levels of histograms and matrix products against a loop over all features and cuts."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.random(400), rng.integers(0, 2, 400), rng.normal(0, 1, 400).round(1), rng.integers(0, 2, 400)]).astype(np.float32)
+    y = ((x[:, 0] > 0.4) & (x[:, 1] > 0) | (x[:, 2] > 1)).astype(float)
+    got = html.fit_trees(x, y, trees=5, depth=2, bins=8).log_odds(x)
+    base = np.log(y.mean() / (1 - y.mean()))
+    score, cuts = np.full(400, base), [[0.0] if j in (1, 3) else np.unique(np.quantile(x[:, j], np.linspace(0, 1, 9)[1:-1])) for j in range(4)]
+    for _ in range(5):
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, p * (1 - p)
+
+        def grow(rows, depth):
+            if depth == 2:
+                score[rows] += 0.3 * g[rows].sum() / (h[rows].sum() + 1)
+                return
+            worth = lambda r: g[r].sum() ** 2 / (h[r].sum() + 1)
+            options = [(worth(rows[x[rows, j] <= c]) + worth(rows[x[rows, j] > c]) - worth(rows), j, c) for j in range(4) for c in cuts[j]]
+            gain, j, c = max(options, key=lambda o: o[0])
+            grow(rows[x[rows, j] <= c] if gain > 1e-6 else rows, depth + 1)
+            grow(rows[x[rows, j] > c] if gain > 1e-6 else rows[:0], depth + 1)
+
+        grow(np.arange(400), 0)
+    assert np.abs(got - score).max() < 1e-4
+
+
 def test_html_column(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "<article><p>Some text of a page.</p></article>", 3), (1, "u", None, 4), (2, None, "", 5)], "page_id long, url string, html string, text int")
     got = sorted(map(tuple, html.extract_main_text(pages).collect()), key=repr)
