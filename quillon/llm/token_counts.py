@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _SPACE, coder, default_vocabulary
-from .common import BROADCAST_ROWS, cut, delete, kept_columns, map_arrow, scratch, slices, table
+from .common import BROADCAST_ROWS, cut, kept_columns, map_arrow, scratch, slices, table
 
 #: Characters after which a segment ends at the next white space.
 SEGMENT = 192
@@ -241,8 +241,8 @@ def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{folder}/version={version}")
 
 
-def latest_trees(spark: SparkSession, folder: str, versions: int, id_col: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
-    """(id, text, chars, tokens): of each identifier the rows of its last version of those before ``versions``.
+def latest_trees(spark: SparkSession, folder: str, versions: int, id_col: str = "doc_id", only: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(id, the columns ``keep``, text, chars, tokens): of each identifier the rows of its last version of those before ``versions``.
 
     With ``only`` (a table with the identifier), other documents' trees are not read
     further than their identifiers.
@@ -251,7 +251,7 @@ def latest_trees(spark: SparkSession, folder: str, versions: int, id_col: str =
     few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     wanted = None if only is None else few(cut(only.select(id_col).distinct()))
     for version in reversed(range(versions)):
-        rows = read_version(spark, folder, version).select(id_col, *TREE)
+        rows = read_version(spark, folder, version).select(id_col, *(keep or []), *TREE)
         own = rows.select(id_col)
         if wanted is not None:
             rows = rows.join(wanted, id_col, "left_semi")
@@ -262,14 +262,24 @@ def latest_trees(spark: SparkSession, folder: str, versions: int, id_col: str =
     return out
 
 
-def edit_batch(spark: SparkSession, folder: str, versions: int, edits: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
+#: The column in which a store that keeps a history counts, by version, the characters that its batches had encoded.
+HISTORY = "encoded"
+
+
+def edit_batch(spark: SparkSession, folder: str, versions: int, edits: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Apply a table of edits (id, seq, at, remove, insert) to the store as its version number ``versions``; (id, n_before, n_after, n_chars_encoded) of the documents it changed.
 
-    Only trees of documents with edits are read and written. Edits of identifiers that
-    the store doesn't have, and of null ones, change nothing.
+    Only trees of documents with edits are read and written; of the others the
+    identifiers. Edits of identifiers that the store doesn't have, and of null ones, change
+    nothing. Columns ``keep`` of the store's versions are carried on, and if HISTORY is one of
+    them, this batch's count is added to it.
     """
-    trees = with_edits(latest_trees(spark, folder, versions, id_col, only=edits), edits, id_col)
-    write_version(edit_trees(trees, keep=[id_col], vocabulary=vocabulary), folder, versions)
+    keep = keep or []
+    trees = with_edits(latest_trees(spark, folder, versions, id_col, only=edits, keep=keep), edits, id_col)
+    done = edit_trees(trees, keep=[id_col, *keep], vocabulary=vocabulary)
+    if HISTORY in keep:
+        done = done.withColumn(HISTORY, F.map_concat(HISTORY, F.create_map(F.lit(versions), "n_chars_encoded")))
+    write_version(done, folder, versions)
     return read_version(spark, folder, versions).select(id_col, "n_before", "n_after", "n_chars_encoded")
 
 
@@ -279,28 +289,39 @@ def with_edits(trees: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> Da
     return trees.join(grouped.select(id_col, F.transform("_e", lambda e: F.struct(e["at"].alias("at"), e["remove"].alias("remove"), e["insert"].alias("insert"))).alias("edits")), id_col, "left")
 
 
-def scripted_edits(n_chars, doc_id, first: bool):
-    """The query's edits: a replacement, an insertion and a deletion, then (a second batch) an insertion, at places drawn from the id's hash."""
-    place = lambda k: F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), F.lit(k)), n_chars + 1).cast("int")
-    step = lambda k, remove, insert: F.struct(place(k).alias("at"), F.lit(remove).alias("remove"), F.lit(insert).alias("insert"))
-    return F.array(step(1, 12, "revised text"), step(2, 0, " an inserted passage, with punctuation."), step(3, 40, "")) if first else F.array(step(4, 0, " and again,"))
+#: The query's batches: what each does, in order, to the documents it touches (characters to remove, what to insert).
+BATCHES = (((12, "revised text"), (0, " an inserted passage, with punctuation."), (40, "")), ((0, " and again,"),))
+#: A batch touches one document of so many, drawn by a hash of the identifier.
+TOUCHED = 3
+
+
+def scripted_edits(sizes: DataFrame, batch: int) -> DataFrame:
+    """The query's edits (doc_id, seq, at, remove, insert) of a batch, at places drawn by hashes; sizes(doc_id, n): the documents and their characters."""
+    drawn = lambda *seed: F.xxhash64(*map(F.lit, seed), "doc_id")
+    chosen = sizes.filter(F.col("doc_id").isNotNull() & (F.pmod(drawn(batch), F.lit(TOUCHED)) == 0))
+    place = lambda k: F.pmod(drawn(batch, k), F.col("n") + 1).cast("int")
+    steps = [F.struct(F.lit(k).alias("seq"), place(k).alias("at"), F.lit(remove).alias("remove"), F.lit(insert).alias("insert")) for k, (remove, insert) in enumerate(BATCHES[batch - 1])]
+    return chosen.select("doc_id", F.explode(F.array(*steps)).alias("e")).select("doc_id", "e.*")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_chars_encoded, n_chars_encoded_again (long).
 
-    The trees of all documents are built and kept; two batches of edits follow, each
-    of which reads the trees that the one before has kept. n_tokens counts the text
-    itself, the edited columns what the batches have made of it, and the last two the
-    characters that each batch had encoded anew. Null texts count as empty; repeated
-    rows are edited alike; an empty table gives an empty result; columns other than
-    doc_id and text are not read.
+    The trees of all documents are built and kept as the store's first version; two
+    batches of edits follow, each of which reads and writes the trees of the documents
+    that it touches. n_tokens counts the text itself, the edited columns what the batches
+    have made of it, and the last two the characters that each batch had encoded anew: 0 for
+    documents left alone. Null texts count as empty; documents without an identifier are
+    never edited, repeated ones alike; an empty table gives an empty result; columns other
+    than doc_id and text are not read.
     """
-    store = scratch(spark, "token-trees")
-    size = F.get("chars", F.lit(1))
-    write_version(build_trees(table(spark, sf_dir, "documents")), store, 0)
-    write_version(edit_trees(read_version(spark, store, 0).withColumn("edits", scripted_edits(size, F.col("doc_id"), True))), store, 1)
-    delete(spark, f"{store}/version=0")  # every tree has a later version
-    again = read_version(spark, store, 1).withColumn("edits", scripted_edits(size, F.col("doc_id"), False)).withColumnsRenamed({"n_before": "n_tokens", "n_chars_encoded": "encoded"})
-    out = edit_trees(again, keep=["doc_id", "n_tokens", "encoded"])
-    return out.select("doc_id", "n_tokens", F.col("n_after").alias("n_tokens_edited"), size.cast("long").alias("n_chars_edited"), F.col("encoded").alias("n_chars_encoded"), F.col("n_chars_encoded").alias("n_chars_encoded_again"))
+    store, keep = scratch(spark, "token-trees"), ["n_tokens", HISTORY]
+    size = F.get("chars", F.lit(1)).cast("long")
+    built = build_trees(table(spark, sf_dir, "documents"))
+    write_version(built.withColumns({"n_tokens": F.get("tokens", F.lit(1)).cast("long"), HISTORY: F.create_map().cast("map<int,bigint>")}), store, 0)
+    for batch in range(1, len(BATCHES) + 1):
+        sizes = latest_trees(spark, store, batch).groupBy("doc_id").agg(F.max(size).alias("n"))
+        edit_batch(spark, store, batch, scripted_edits(sizes, batch), keep=keep)
+    now = latest_trees(spark, store, len(BATCHES) + 1, keep=keep)
+    again = [F.coalesce(F.try_element_at(HISTORY, F.lit(b)), F.lit(0)).alias(c) for b, c in enumerate(("n_chars_encoded", "n_chars_encoded_again"), 1)]
+    return now.select("doc_id", "n_tokens", F.get("tokens", F.lit(1)).cast("long").alias("n_tokens_edited"), size.alias("n_chars_edited"), *again)

@@ -753,6 +753,34 @@ def test_kept_trees_are_edited_batch_by_batch(spark, docs, nothing, library):
     assert token_counts.edit_batch(spark, empty, 1, spark.createDataFrame(batches[0], kinds)).count() == 0
 
 
+def test_the_query_edits_part_of_the_store(spark, tmp_path, library, monkeypatch):
+    """Counts equal the library's after each batch; a batch's version holds the trees it touched and no others, in few bytes."""
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    texts = {i: f"text number {i}, with some words. " * (i % 40) for i in range(120)} | {500: ""}
+    table = [*texts.items(), (7, texts[7]), (None, "without an identifier"), (501, None)]
+    spark.createDataFrame(table, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    store = str(tmp_path / "store")
+    monkeypatch.setattr(token_counts, "scratch", lambda *_: store)
+    got = token_counts.op3_token_counts(spark, str(tmp_path)).collect()
+    want = {i: [count(t or ""), t or "", 0, 0] for i, t in table}
+    for batch in (1, 2):
+        sizes = spark.createDataFrame([(i, len(w[1])) for i, w in want.items() if i is not None], "doc_id long, n long")
+        edits = token_counts.scripted_edits(sizes, batch).orderBy("doc_id", "seq").collect()
+        touched = {e.doc_id for e in edits}
+        assert 20 < len(touched) < 70
+        version = token_counts.read_version(spark, store, batch)
+        assert {r.doc_id for r in version.select("doc_id").collect()} == touched
+        for e in edits:
+            want[e.doc_id][1] = edited(want[e.doc_id][1], [(e.at, e.remove, e.insert)])
+        for r in version.select("doc_id", "n_chars_encoded").collect():
+            want[r.doc_id][1 + batch] = r.n_chars_encoded
+            assert r.n_chars_encoded > 0
+    assert sorted([tuple(r) for r in got], key=repr) == sorted([(i, w[0], count(w[1]), len(w[1]), w[2], w[3]) for i, w in ((i, want[i]) for i, _ in table)], key=repr)
+    assert all(r.n_tokens == r.n_tokens_edited for r in got if not r.n_chars_encoded + r.n_chars_encoded_again)
+    size = lambda v: token_counts.read_version(spark, store, v).selectExpr("sum(length(text) + size(chars) + size(tokens))").first()[0]
+    assert size(1) < 0.6 * size(0) and size(2) < 0.6 * size(0)
+
+
 # -- mixing
 
 
