@@ -131,6 +131,28 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+def write_by_file(places: DataFrame, n: int) -> tuple[str, int]:
+    """Store ``n`` rows with PLACE in the shared folder for tasks to look up: the folder and its number of parts.
+
+    A part holds a range of file hashes, in order of file and row and in small row groups, so that a
+    task that reads the rows of one file skips the others'.
+    """
+    parts = max(1, -(-n // FOLDER_ROWS))
+    folder = scratch(places.sparkSession, "places")
+    dealt = places.withColumn("part", F.pmod(F.col(PLACE[0]), F.lit(parts))).repartition("part").sortWithinPartitions("part", *PLACE)
+    dealt.write.partitionBy("part").option("parquet.block.size", 1 << 20).parquet(folder)
+    return folder, parts
+
+
+def rows_of_file(folder: str, parts: int, key: int, columns: list[str]) -> pa.Table | None:
+    """The stored rows of one file, or None if its part has no rows at all."""
+    fs, base = filesystem(folder)
+    part = f"{base}/part={key % parts}"
+    if fs.get_file_info(part).type == pafs.FileType.NotFound:
+        return None
+    return pq.read_table(part, filesystem=fs, columns=columns, filters=[(PLACE[0], "=", key)], partitioning=None)
+
+
 def at_places(rows: DataFrame, places: DataFrame, inside: bool) -> DataFrame:
     """The located rows that are (inside) or are not (otherwise) at one of the places (PLACE); no row is shuffled.
 
@@ -138,26 +160,21 @@ def at_places(rows: DataFrame, places: DataFrame, inside: bool) -> DataFrame:
     written to the shared folder, a folder for each range of file hashes, and each
     task reads those of the files that its rows come from.
     """
-    spark = rows.sparkSession
     n = places.count()
     if n <= BROADCAST_ROWS:
         return rows.join(F.broadcast(places), PLACE, "left_semi" if inside else "left_anti")
-    parts = -(-n // FOLDER_ROWS)
-    folder = scratch(spark, "places")
-    places.select(*PLACE, F.pmod("_quillon_key", F.lit(parts)).alias("part")).repartition("part").write.partitionBy("part").parquet(folder)
+    folder, parts = write_by_file(places.select(*PLACE), n)
     key_at, row_at = (rows.columns.index(c) for c in PLACE)
 
     def run(batches):
-        fs, base = filesystem(folder)
         known, own = None, np.zeros(0, np.int64)
         for batch in batches:
             keys, numbers = (batch.column(k).to_numpy(zero_copy_only=False) for k in (key_at, row_at))
             found = np.zeros(len(keys), bool)
             for key in np.unique(keys).tolist():
                 if key != known:
-                    part = f"{base}/part={key % parts}"
-                    there = fs.get_file_info(part).type != pafs.FileType.NotFound
-                    own = pq.read_table(part, filesystem=fs, columns=PLACE[1:], filters=[(PLACE[0], "=", key)], partitioning=None).column(0).to_numpy() if there else own[:0]
+                    there = rows_of_file(folder, parts, key, PLACE[1:])
+                    own = there.column(0).to_numpy() if there is not None else own[:0]
                     known = key
                 found |= (keys == key) & np.isin(numbers, own)
             yield batch.filter(pa.array(found if inside else ~found))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _SPACE, coder, default_vocabulary
-from .common import BROADCAST_ROWS, cut, kept_columns, map_arrow, scratch, slices, table
+from .common import BROADCAST_ROWS, PLACE, cut, delete, kept_columns, located, map_arrow, rows_of_file, scratch, slices, table, write_by_file
 
 #: Characters after which a segment ends at the next white space.
 SEGMENT = 192
@@ -195,24 +195,27 @@ def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_arrow(rows, run, "id long, text string, chars array<int>, tokens array<int>").withColumnRenamed("id", id_col)
 
 
-def edit_trees(trees: DataFrame, edits_col: str = "edits", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
+def edit_trees(trees: DataFrame, edits_col: str = "edits", keep: list[str] | None = None, vocabulary: str | None = None, by_file: tuple[str, int] | None = None) -> DataFrame:
     """The columns ``keep`` (default: doc_id), n_before, n_after, n_chars_encoded (long), and the tree after the edits.
 
     ``edits_col`` is an array of struct(at, remove, insert), applied in order; null
     or empty: no edit. Null parts of an edit count as 0 or empty. n_chars_encoded
     counts the characters that the edits had encoded anew; nothing else is. An empty
     table gives an empty result; of ``keep``, columns named like a result are left out.
+    With ``by_file`` (see ``write_by_file``: PLACE and edits), the rows have PLACE instead of the
+    column, each task looks up the edits of its own files, and rows without any go.
     """
     path = vocabulary or default_vocabulary()
     counts = ["n_before", "n_after", "n_chars_encoded"]
     keep = kept_columns(keep or ["doc_id"], [*counts, *TREE])
     own = [F.col(f"`{c}`") for c in keep]
-    rows = trees.select(*own, F.col(f"`{edits_col}`").cast(EDITS).alias("_quillon_edits"), *TREE)
+    told = F.struct(*PLACE) if by_file else F.col(f"`{edits_col}`").cast(EDITS)
+    rows = trees.select(*own, told.alias("_quillon_edits"), *TREE)
     schema = trees.select(*own, *(F.lit(0).cast("long").alias(c) for c in counts), *TREE).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in batches:
+        for batch in batches if by_file is None else _with_own_edits(batches, *by_file):
             for columns in slices(batch, batch.schema.names, 4 << 20):
                 *kept, edits, texts, chars, tokens = columns
                 some = [SegmentTree.kept(*t) for t in zip(texts.to_pylist(), chars.to_pylist(), tokens.to_pylist())]
@@ -229,6 +232,23 @@ def edit_trees(trees: DataFrame, edits_col: str = "edits", keep: list[str] | Non
     return map_arrow(rows, run, schema)
 
 
+def _with_own_edits(batches: Iterator[pa.RecordBatch], folder: str, parts: int) -> Iterator[pa.RecordBatch]:
+    """The rows that have edits in the folder, with these in the place of the rows' PLACE."""
+    known: dict[int, dict] = {}
+    for batch in batches:
+        at = batch.schema.get_field_index("_quillon_edits")
+        key, row = (c.to_pylist() for c in batch.column(at).flatten())
+        for k in set(key) - known.keys():
+            there = rows_of_file(folder, parts, k, [PLACE[1], "edits"])
+            known[k] = dict(zip(*(c.to_pylist() for c in there.columns))) if there is not None else {}
+        known = {k: known[k] for k in set(key)}  # of files that lie behind nothing is kept
+        found = [known[k].get(r) for k, r in zip(key, row)]
+        some = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+        columns = [pa.array([f for f in found if f]) if i == at else c.take(some) for i, c in enumerate(batch.columns)]
+        if len(some):
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 # -- the store: a folder of versions
 
 
@@ -241,20 +261,16 @@ def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{folder}/version={version}")
 
 
-def latest_trees(spark: SparkSession, folder: str, versions: int, id_col: str = "doc_id", only: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+def latest_trees(spark: SparkSession, folder: str, versions: int, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """(id, the columns ``keep``, text, chars, tokens): of each identifier the rows of its last version of those before ``versions``.
 
-    With ``only`` (a table with the identifier), other documents' trees are not read
-    further than their identifiers.
+    PLACE can be one of ``keep``.
     """
     out, later = None, None
     few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    wanted = None if only is None else few(cut(only.select(id_col).distinct()))
     for version in reversed(range(versions)):
-        rows = read_version(spark, folder, version).select(id_col, *(keep or []), *TREE)
+        rows = located(read_version(spark, folder, version)).select(id_col, *(keep or []), *TREE)
         own = rows.select(id_col)
-        if wanted is not None:
-            rows = rows.join(wanted, id_col, "left_semi")
         if later is not None:
             rows = rows.join(few(cut(later.distinct())), id_col, "left_anti")
         out = rows if out is None else out.unionByName(rows)
@@ -275,20 +291,22 @@ def edit_batch(spark: SparkSession, folder: str, versions: int, edits: DataFrame
     them, this batch's count is added to it.
     """
     keep = keep or []
-    trees = with_edits(latest_trees(spark, folder, versions, id_col, only=edits, keep=keep), edits, id_col)
-    done = edit_trees(trees, keep=[id_col, *keep], vocabulary=vocabulary)
+    trees = latest_trees(spark, folder, versions, id_col, keep=[*keep, *PLACE])
+    grouped = edits.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "remove", "insert"))).alias("_e"))
+    steps = F.transform("_e", lambda e: F.struct(e["at"].alias("at"), e["remove"].alias("remove"), e["insert"].alias("insert"))).cast(EDITS)
+    # identifiers and places are joined to the edits; trees stay where they are, and tasks look up the edits of their files
+    found = cut(trees.select(id_col, *PLACE).join(grouped.select(id_col, steps.alias("edits")), id_col).select(*PLACE, "edits"))
+    n = found.count()
+    by_file = write_by_file(found, n)
+    touched = trees.join(F.broadcast(found.select(*PLACE)), PLACE, "left_semi") if n <= BROADCAST_ROWS else trees
+    done = edit_trees(touched, keep=[id_col, *keep], vocabulary=vocabulary, by_file=by_file)
     if HISTORY in keep:
         done = done.withColumn(HISTORY, F.map_concat(HISTORY, F.create_map(F.lit(versions), "n_chars_encoded")))
     write_version(done, folder, versions)
+    delete(spark, by_file[0])
     return read_version(spark, folder, versions).select(id_col, "n_before", "n_after", "n_chars_encoded")
 
 
-def with_edits(trees: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """trees with the column ``edits``: those of a table (id, seq, at, remove, insert), in order of seq."""
-    grouped = edits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "remove", "insert"))).alias("_e"))
-    return trees.join(grouped.select(id_col, F.transform("_e", lambda e: F.struct(e["at"].alias("at"), e["remove"].alias("remove"), e["insert"].alias("insert"))).alias("edits")), id_col, "left")
-
-
 #: The query's batches: what each does, in order, to the documents it touches (characters to remove, what to insert).
 BATCHES = (((12, "revised text"), (0, " an inserted passage, with punctuation."), (40, "")), ((0, " and again,"),))
 #: A batch touches one document of so many, drawn by a hash of the identifier.
