@@ -253,8 +253,31 @@ def stream_tumbling(spark, d):
     return jobs.latest(jobs.collected(w, "update"), ["start", "end", "event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("stream_leases")
+#: A labeller's requests in order, folded one by one; what runs out at the end is told once the last request of all is a minute later.
+LEASES = """WITH RECURSIVE e AS (SELECT user_id AS who, CAST(json_extract_string(props, '$.k') AS INT) AS item, ts AS t, event_type = 'purchase' AS done, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(json_extract_string(props, '$.k') AS INT)) AS k FROM events),
+ f(who, k, out, held, until) AS (SELECT DISTINCT who, 0::BIGINT, []::STRUCT(item INT, event VARCHAR, t TIMESTAMP, until TIMESTAMP)[], NULL::INT, NULL::TIMESTAMP FROM e
+  UNION ALL SELECT f.who, e.k, list_concat(CASE WHEN e.t >= f.until THEN [{'item': f.held, 'event': 'expired', 't': f.until, 'until': f.until}] ELSE [] END,
+    CASE WHEN f.until > e.t AND e.done THEN [{'item': f.held, 'event': 'done', 't': e.t, 'until': f.until}] WHEN f.until > e.t THEN [{'item': f.held, 'event': 'kept', 't': e.t, 'until': f.until}]
+     WHEN e.done THEN [] ELSE [{'item': e.item, 'event': 'granted', 't': e.t, 'until': e.t + INTERVAL 12 HOUR}] END),
+   CASE WHEN f.until > e.t AND NOT e.done THEN f.held WHEN e.done THEN NULL ELSE e.item END, CASE WHEN f.until > e.t AND NOT e.done THEN f.until WHEN e.done THEN NULL ELSE e.t + INTERVAL 12 HOUR END
+  FROM f JOIN e ON e.who = f.who AND e.k = f.k + 1),
+ last AS (SELECT who, arg_max(held, k) AS item, arg_max(until, k) AS until FROM (SELECT who, k, coalesce(held, -1) AS held, coalesce(until, TIMESTAMP '9999-01-01') AS until FROM f) GROUP BY who),
+ told AS (SELECT who, unnest(out, recursive := true) FROM f UNION ALL SELECT who, item, 'expired', until, until FROM last WHERE until <= (SELECT max(t) FROM e) - INTERVAL 1 MINUTE)
+ SELECT who, item, event, t AS at, until AS expires_at FROM told"""
+
+
+@query("stream_leases", LEASES)
 def stream_leases(spark, d):
-    e = event_stream(spark, d)
-    s = e.select(F.col("user_id").alias("who"), F.get_json_object("props", "$.k").cast("int").alias("item"), "at")
-    return jobs.collected(jobs.leases(s)).drop("_batch")
+    """Leases of twelve hours, ended by purchases or by time; the stream stops half-way and goes on from its checkpoint."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("who"), F.get_json_object("props", "$.k").cast("int").alias("item"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "purchase").alias("done"))
+    ends = e.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    folder, check, out = (scratch(spark, f"leases-{x}") for x in ("in", "checkpoint", "out"))
+    half = F.lit(ends.a + (ends.b - ends.a) / 2) if ends.a else F.lit(None).cast("timestamp")
+    told = None
+    with jobs.own_state(spark):
+        for part in (F.col("at") <= half, F.col("at") > half):
+            e.filter(part).write.mode("append").parquet(folder)
+            told = jobs.leases(jobs.follow(spark, folder, e.schema, "parquet"), minutes=12 * 60, done="done")
+            jobs.run_available(told, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), check)
+    rows = spark.read.schema(told.schema).parquet(out)
+    return rows.select("who", "item", "event", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("at", "expires_at")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,27 +54,80 @@ def sessions(stream: DataFrame, at: str, gap: str, key: str, late: str = "10 min
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def leases(stream: DataFrame, who: str = "who", item: str = "item", at: str = "at", minutes: int = 20) -> DataFrame:
-    """Lease state by labeller: (who, item, granted_at, expires_at) of each request that gets a lease.
+#: What operators with state of their own and timers need.
+OWN_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-    A request is granted if the labeller holds none or the last one has expired.
-    The state is one row per labeller.
-    """
-    kind = stream.schema[who].dataType.simpleString()
-    thing = stream.schema[item].dataType.simpleString()
 
-    def grant(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        until = pd.Timestamp(state.get[0]) if state.exists else pd.Timestamp.min
-        rows = pd.concat(list(batches)).sort_values([at, item])
-        out = []
-        for t, x in zip(rows[at], rows[item]):
-            if t >= until:
-                until = t + pd.Timedelta(minutes=minutes)
-                out.append((key[0], x, t, until))
-        state.update((until.to_pydatetime(),))
-        yield pd.DataFrame(out, columns=["who", "item", "granted_at", "expires_at"])
-
-    return stream.groupBy(who).applyInPandasWithState(grant, f"who {kind}, item {thing}, granted_at timestamp, expires_at timestamp", "until timestamp", "append", "NoTimeout")
+@contextmanager
+def own_state(spark: SparkSession):
+    """The session with the state store that such operators need."""
+    before = {k: spark.conf.get(k, None) for k in OWN_STATE}
+    for k, v in OWN_STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def leases(stream: DataFrame, who: str = "who", item: str = "item", at: str = "at", minutes: int = 20, late: str = "1 minute", done: str | None = None) -> DataFrame:
+    """Leases by labeller, each with what happens to it: (who, item, event, at, expires_at).
+
+    A request of a labeller who holds nothing is `granted` its item for so many minutes. One
+    who holds an item gets that again (`kept`), whatever was asked for: nobody has two at a
+    time. Rows where the boolean column ``done`` holds end the lease (`done`). A lease that
+    runs out is `expired` at its end, by an event-time timer once the watermark has passed,
+    without a further request; its state is then gone, so that there is state for open
+    leases only. Rows more than ``late`` behind are not taken up. Run it under ``own_state``.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    kind, thing = stream.schema[who].dataType.simpleString(), stream.schema[item].dataType.simpleString()
+    names = ["who", "item", "event", "at", "expires_at"]
+    length = pd.Timedelta(minutes=minutes)
+    plain = int if thing in ("smallint", "int", "bigint") else lambda x: x  # a null in a batch makes its whole numbers floats
+
+    class Leases(StatefulProcessor):  # here, so that it travels to the executors by value
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.open = handle.getValueState("open", f"item {thing}, until bigint")
+
+        def close(self) -> None:
+            pass
+
+        def _end(self, key: tuple, event: str, when: pd.Timestamp) -> tuple:
+            held, until = self.open.get()
+            self.handle.deleteTimer(-(-until // 1000))
+            self.open.clear()
+            return key[0], held, event, when, pd.Timestamp(until, unit="us")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            out = []
+            for row in pd.concat(list(rows)).sort_values([at, item]).to_dict("records"):
+                t = row[at]
+                if self.open.exists() and t >= (until := pd.Timestamp(self.open.get()[1], unit="us")):
+                    out.append(self._end(key, "expired", until))
+                if done and row[done]:
+                    if self.open.exists():
+                        out.append(self._end(key, "done", t))
+                elif self.open.exists():
+                    held, until = self.open.get()
+                    out.append((key[0], held, "kept", t, pd.Timestamp(until, unit="us")))
+                else:
+                    until = int((t + length).value // 1000)
+                    asked = plain(row[item])
+                    self.open.update((asked, until))
+                    self.handle.registerTimer(-(-until // 1000))
+                    out.append((key[0], asked, "granted", t, t + length))
+            yield pd.DataFrame(out, columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.open.exists():
+                yield pd.DataFrame([self._end(key, "expired", pd.Timestamp(self.open.get()[1], unit="us"))], columns=names)
+
+    shape = f"who {kind}, item {thing}, event string, at timestamp, expires_at timestamp"
+    return stream.withWatermark(at, late).groupBy(who).transformWithStateInPandas(Leases(), shape, "append", "EventTime")
 
 
 def snapshot(stream: DataFrame, keys: list[str], value: str) -> DataFrame:

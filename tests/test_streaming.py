@@ -1,5 +1,7 @@
 """Streams over small file folders."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from quillon.streaming import jobs
@@ -23,11 +25,31 @@ def test_sessions(spark, tmp_path):
     assert emitted.columns == ["who", "start", "end", "n", "_batch"]
 
 
-def test_leases(spark, tmp_path):
-    got = jobs.collected(jobs.leases(files(spark, tmp_path, 12))).collect()
-    for who in range(4):
-        mine = sorted((r.granted_at, r.expires_at) for r in got if r.who == who)
-        assert mine and all(b[0] >= a[1] for a, b in zip(mine, mine[1:]))
+def at(minute):
+    return datetime.datetime(2026, 1, 1, 12) + datetime.timedelta(minutes=minute)
+
+
+def lease_run(spark, tmp_path, rows):
+    """The rows as one more file of the folder, through the lease stream; what all runs have told so far."""
+    schema = "who string, item int, at timestamp, done boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with jobs.own_state(spark):
+        told = jobs.leases(jobs.follow(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, "parquet"), minutes=20, done="done")
+        jobs.run_available(told, lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/b={n}")), str(tmp_path / "check"))
+    return sorted((r.who, r.item, r.event, r.at, r.expires_at) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+def test_leases_expire_by_themselves(spark, tmp_path):
+    """One open item at a time, over a stop and a start; expiry without a request; what has ended leaves no state."""
+    first = [("a", 1, at(0), False), ("a", 2, at(5), False), ("b", 7, at(1), False), ("b", None, at(2), True), ("b", 8, at(3), False), ("c", 9, at(0), False), ("c", 5, at(21), False), ("d", 4, at(30), True)]
+    got = lease_run(spark, tmp_path, first)
+    want = [("a", 1, "granted", at(0), at(20)), ("a", 1, "kept", at(5), at(20)), ("b", 7, "granted", at(1), at(21)), ("b", 7, "done", at(2), at(21)), ("b", 8, "granted", at(3), at(23)), ("c", 9, "granted", at(0), at(20)), ("c", 9, "expired", at(20), at(20)), ("c", 5, "granted", at(21), at(41))]
+    timers = [("a", 1, "expired", at(20), at(20)), ("b", 8, "expired", at(23), at(23))]  # the watermark is at 29 minutes
+    assert got == sorted(want + timers)
+    # from the checkpoint: c still holds its item, a can have one anew, and the last request of all ends nothing
+    got = lease_run(spark, tmp_path, [("c", 6, at(40), False), ("a", 3, at(60), False)])
+    more = [("c", 5, "kept", at(40), at(41)), ("c", 5, "expired", at(41), at(41)), ("a", 3, "granted", at(60), at(80))]
+    assert got == sorted(want + timers + more)
 
 
 def test_once_each_goes_on(spark, tmp_path):
