@@ -24,9 +24,11 @@ def test_stages(spark, tmp_path):
 
             assert after.count() == docs.select(normalised(F.col("text"))).distinct().count()
         if name == "near_copies":
-            from quillon.llm.simhash import simhash_components
-
-            assert sorted(r.doc_id for r in after.collect()) == sorted({r.component_id for r in simhash_components(docs).collect()})
+            shingles = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+            had, kept = {r.doc_id: shingles(r.text) for r in docs.collect()}, {r.doc_id for r in after.collect()}
+            alike = lambda a, b: len(a & b) / len(a | b)
+            assert all(any(alike(had[i], had[k]) > 0.5 for k in kept) for i in had.keys() - kept)  # what went is like something that stays
+            assert not any(alike(had[i], had[k]) > 0.9 for i in kept for k in kept if i < k)
         if name == "tokens":
             assert after.count() == docs.count()
         if name == "language":
