@@ -211,3 +211,29 @@ def allowed(voice, nsfw, content, want_voice, want_nsfw, excluded) -> Column:
     """Preference predicate; what is unknown is allowed."""
     ok = lambda c: F.coalesce(c, F.lit(True))
     return ok((want_voice == "any") | (voice == want_voice)) & ok(want_nsfw | ~nsfw) & ok(~F.array_contains(excluded, content))
+
+
+#: Results that a scan gathers before it puts them away, so that it doesn't copy all of them at each step.
+_CHUNK = 64
+
+
+def scan(items, start, step, result, kind: str, finish=None) -> Column:
+    """Of each item of an array, in order, the result by the state before it, nulls left out; ``step`` leads from state to state.
+
+    ``finish`` makes one more result of the last state. In linear time, in the JVM.
+    """
+    some = lambda k: F.array().cast(k)
+    first = F.struct(start.alias("at"), some(f"array<{kind}>").alias("now"), some(f"array<array<{kind}>>").alias("put"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        full = F.size(acc["now"]) >= _CHUNK
+        r = result(acc["at"], x).cast(kind)
+        now = F.when(full, some(f"array<{kind}>")).otherwise(acc["now"])
+        return F.struct(
+            step(acc["at"], x).alias("at"),
+            F.when(r.isNull(), now).otherwise(F.array_append(now, r)).cast(f"array<{kind}>").alias("now"),
+            F.when(full, F.array_append(acc["put"], acc["now"])).otherwise(acc["put"]).cast(f"array<array<{kind}>>").alias("put"),
+        )
+
+    last = lambda acc: F.array_compact(F.array(finish(acc["at"]).cast(kind))) if finish else some(f"array<{kind}>")
+    return F.aggregate(items, first, fold, lambda acc: F.concat(F.flatten(acc["put"]), acc["now"], last(acc)))

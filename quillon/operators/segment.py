@@ -7,7 +7,6 @@ batches of recordings; a recording is the unit that cannot be split.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -17,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from quillon.functions import columns as X
+from quillon.operators.order import running
+from quillon.sources.shared import cut
+
 ENTRIES = "array<struct<type:string,start:double,end:double,word:string>>"
 SPANS = "array<struct<start:double,end:double,kind:string,text:string>>"
 
@@ -74,61 +77,49 @@ def video_windows(spans: DataFrame, step: float = 30.0, most: int = 80) -> DataF
 # -- folds over one recording
 
 
-def split_entries(entries: list, gap: float = 0.7, longest_run: float = 20.0, shortest_phrase: float = 1.0, longest_window: float = 12.0, shortest_gap: float = 1.5) -> list[tuple]:
-    """Spans (start, end, kind, text) of one recording's entries.
+def split_spans(entries, gap: float = 0.7, longest_run: float = 20.0, shortest_phrase: float = 1.0, longest_window: float = 12.0, shortest_gap: float = 1.5) -> Column:
+    """Phrases and gap windows of a recording's entries: array<struct<start, end, kind, text>>, in order of start.
 
-    Malformed entries go, the others are sorted by start. Words merge into phrases
-    until a gap or the run's cap; a phrase ends where its last word does, and one without
-    text is none. Other entries are silences: those after the first word (from the
-    start in recordings without words) become windows.
+    Entries that aren't whole go. Of the others in order of start, every silence longer than
+    ``gap`` after the first word (any, where there are no words) gives its windows by
+    ``gap_windows``. Words make a phrase until a silence or gap of that length, or until it would be
+    longer than ``longest_run``. One scan over the words finds where phrases end; their texts
+    are cut from the array.
     """
-    good = []
-    for e in entries or []:
-        start, end = e["start"], e["end"]
-        if start is not None and end is not None and not (math.isnan(start) or math.isnan(end)) and end > start:
-            good.append(e)
-    good.sort(key=lambda e: e["start"])
-    anchored = not any(e["type"] == "word" for e in good)
-    out: list[tuple] = []
-    run: list = []
-
-    def flush() -> None:
-        if run:
-            start, end, text = run[0]["start"], run[-1]["end"], " ".join(" ".join(e["word"] or "" for e in run).split())
-            if text and shortest_phrase <= end - start <= longest_run:
-                out.append((start, end, "speech", text))
-            run.clear()
-
-    for e in good:
-        if e["type"] == "word":
-            anchored = True
-            if run and (e["start"] - run[-1]["end"] > gap or e["end"] - run[0]["start"] > longest_run):
-                flush()
-            run.append(e)
-        elif e["end"] - e["start"] > gap:
-            flush()
-            if anchored:
-                at = e["start"]
-                while e["end"] - at >= shortest_gap:
-                    out.append((at, min(at + longest_window, e["end"]), "trigger_candidate", None))
-                    at += longest_window
-    flush()
-    return sorted(out, key=lambda s: s[0])
+    right = lambda x: F.coalesce((x["start"] < x["end"]) & ~F.isnan(x["start"]) & ~F.isnan(x["end"]), F.lit(False))
+    whole = F.filter(F.coalesce(entries.cast(ENTRIES), F.array().cast(ENTRIES)), right)
+    placed = F.transform(whole, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x["end"].alias("end"), (x["type"] == "word").alias("word"), x["word"].alias("text")))
+    ordered = F.transform(F.array_sort(placed), lambda x, i: F.struct(i.alias("i"), x["start"].alias("start"), x["end"].alias("end"), F.coalesce(x["word"], F.lit(False)).alias("word"), F.coalesce(x["text"], F.lit("")).alias("text")))
+    quiet = lambda x: ~x["word"] & (x["end"] - x["start"] > gap)
+    # a phrase that is going on: where it began and ended last, by place and by time; place -1: none
+    none = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0.0).alias("begin"), F.lit(0.0).alias("end"))
+    on = lambda at: at["a"] >= 0
+    over = lambda at, x: on(at) & (quiet(x) | (x["word"] & ((x["start"] - at["end"] > gap) | (x["end"] - at["begin"] > longest_run))))
+
+    def step(at: Column, x: Column) -> Column:
+        goes_on = on(at) & ~over(at, x)
+        word = F.struct(F.when(goes_on, at["a"]).otherwise(x["i"]).alias("a"), x["i"].alias("b"), F.when(goes_on, at["begin"]).otherwise(x["start"]).alias("begin"), x["end"].alias("end"))
+        return F.when(x["word"], word).when(quiet(x), none).otherwise(at)
+
+    phrase = lambda at: F.when(on(at) & (at["end"] - at["begin"]).between(shortest_phrase, longest_run), at)
+    ends = X.scan(ordered, none, step, lambda at, x: F.when(over(at, x), phrase(at)), "struct<a:int,b:int,begin:double,end:double>", phrase)
+    said = lambda p: F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(F.slice(ordered, p["a"] + 1, p["b"] - p["a"] + 1), lambda x: x["word"]), lambda x: x["text"]), " "), "(?U)" + SPACE, " "))
+    span = lambda start, end, kind, text: F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    speech = F.filter(F.transform(ends, lambda p: span(p["begin"], p["end"], "speech", said(p))), lambda x: x["text"] != "")
+    words = F.filter(ordered, lambda x: x["word"])
+    late = F.filter(ordered, lambda x: quiet(x) & ((F.size(words) == 0) | (x["i"] > F.get(words, F.lit(0))["i"])))
+    windows = F.flatten(F.transform(late, lambda x: F.transform(gap_windows(x["start"], x["end"], longest_window, shortest_gap), lambda w: span(w["start"], w["end"], "trigger_candidate", F.lit(None)))))
+    return F.array_sort(F.concat(speech.cast(SPANS), windows.cast(SPANS)))
 
 
 def split_alignment(recordings: DataFrame, entries: str = "entries", **rules) -> DataFrame:
     """recordings(..., entries) -> spans, one row each: all columns but entries, then start, end, kind, text, uid.
 
-    uid is the source with the start in milliseconds, truncated, in nine digits.
+    uid is the source with the start in milliseconds, truncated, in nine digits. A row's
+    entries are all that a step needs, so nothing is shuffled.
     """
-
-    @F.pandas_udf(SPANS)
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([[dict(zip(("start", "end", "kind", "text"), x)) for x in split_entries(list(e) if e is not None else [], **rules)] for e in s])
-
     rest = [c for c in recordings.columns if c != entries]
-    rows = recordings.withColumn("_s", F.explode(spans(F.col(entries).cast(ENTRIES)))).select(*rest, "_s.*")
+    rows = recordings.select(*rest, F.explode(split_spans(F.col(entries), **rules)).alias("_s")).select(*rest, "_s.*")
     return rows.withColumn("uid", F.format_string("%s_%09d", F.col("source"), (F.col("start") * 1000).cast("bigint"))) if "source" in rest else rows
 
 
@@ -287,13 +278,26 @@ def longest_quiet(frames: DataFrame, quiet: Column, key: str = "source", index:
 
 
 def context_words(word_rows: DataFrame, gaps: DataFrame, n: int = 2) -> DataFrame:
-    """gaps(source, start, end) with the n words before and after: before, after. Words of a source are kept as one ordered array."""
-    words = word_rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word"))).alias("_w"))
-    text = lambda a: F.array_join(F.transform(a, lambda x: x["word"]), " ")
-    g = gaps.join(words, "source", "left").withColumn("_w", F.coalesce("_w", F.array().cast("array<struct<start:double,end:double,word:string>>")))
-    before = F.filter("_w", lambda x: x["end"] <= F.col("start"))
-    after = F.filter("_w", lambda x: x["start"] >= F.col("end"))
-    return g.withColumns({"before": text(F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), n)), "after": text(F.slice(after, 1, n))}).drop("_w")
+    """gaps(source, start, end) with the texts of the n words that end last by its start (before) and begin first from its end on (after).
+
+    An as-of join to the n nearest on either side: words and gaps are numbered together in
+    order of time, so that a gap knows the number of the word next to it, and n numbers are
+    joined to the words. Linear in words and gaps; neither a source nor its words are held in one
+    task or array. Gaps that repeat get their words each; blank words give no text.
+    """
+    g = cut(gaps.withColumn("_gap", F.monotonically_increasing_id()))
+    w = word_rows.select("source", "start", "end", F.coalesce(F.trim("word"), F.lit("")).alias("word"))
+    out = g
+    for name, at, of, sign in (("before", "end", "start", 1), ("after", "start", "end", -1)):
+        words = w.select("source", (sign * F.col(at)).alias("_t"), F.lit(0).alias("_kind"), (sign * F.col(of)).alias("_u"), "word", F.lit(None).cast("long").alias("_gap"))
+        asked = g.select("source", (sign * F.col(of)).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(words.schema["_u"].dataType).alias("_u"), F.lit(None).cast("string").alias("word"), "_gap")
+        both = cut(running(words.unionByName(asked).filter("_t IS NOT NULL"), ["_t", "_kind", "_u", "word", "_gap"], "source", {"_n": (F.col("_kind") == 0).cast("long")}))
+        near = both.filter("_kind = 1 AND _n > 0").select("source", "_gap", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_n") - n + 1), F.col("_n"))).alias("_n"))
+        found = near.join(both.filter("_kind = 0").select("source", "_n", "word"), ["source", "_n"])
+        listed = found.groupBy("_gap").agg(F.sort_array(F.collect_list(F.struct((sign * F.col("_n")).alias("o"), "word"))).alias("_l"))
+        text = F.array_join(F.filter(F.transform("_l", lambda x: x["word"]), lambda x: x != ""), " ")
+        out = out.join(listed.select("_gap", text.alias(name)), "_gap", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out.drop("_gap")
 
 
 def word_errors(reference: str, heard: str) -> tuple[int, int, int]:

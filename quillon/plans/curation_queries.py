@@ -54,9 +54,25 @@ def video_windows(spark, d):
     return segment.video_windows(s).select("id", F.round("window_start", 4).alias("window_start"))
 
 
-@query("split_alignment")
+#: A recording's entries in order: words, and silences before those after a longer gap; then a fold over them, one by one.
+SPLIT = f"""WITH RECURSIVE {WORDS}, pv AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY source ORDER BY s, e), 0) AS pe FROM wd),
+ en AS (SELECT source, s, e, TRUE AS said, word FROM pv UNION ALL SELECT source, pe, s, FALSE, NULL FROM pv WHERE s - pe > 0.7), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s, e) AS i FROM en WHERE e > s),
+ f(source, i, a, b, t, shut) AS (SELECT DISTINCT source, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE, []::VARCHAR[], NULL::STRUCT(a DOUBLE, b DOUBLE, t VARCHAR[]) FROM o UNION ALL
+  SELECT f.source, o.i, CASE WHEN NOT said AND o.e - o.s > 0.7 THEN NULL WHEN NOT said THEN f.a WHEN f.a IS NULL OR o.s - f.b > 0.7 OR o.e - f.a > 20 THEN o.s ELSE f.a END,
+   CASE WHEN said THEN o.e WHEN o.e - o.s > 0.7 THEN NULL ELSE f.b END,
+   CASE WHEN NOT said AND o.e - o.s > 0.7 THEN [] WHEN NOT said THEN f.t WHEN f.a IS NULL OR o.s - f.b > 0.7 OR o.e - f.a > 20 THEN [o.word] ELSE list_append(f.t, o.word) END,
+   CASE WHEN f.a IS NOT NULL AND ((said AND (o.s - f.b > 0.7 OR o.e - f.a > 20)) OR (NOT said AND o.e - o.s > 0.7)) THEN {{'a': f.a, 'b': f.b, 't': f.t}} END
+  FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1),
+ p AS (SELECT source, unnest(shut) FROM f WHERE shut IS NOT NULL UNION ALL SELECT source, a, b, t FROM (SELECT source, a, b, t, row_number() OVER (PARTITION BY source ORDER BY i DESC) AS z FROM f) WHERE z = 1 AND a IS NOT NULL),
+ q AS (SELECT *, min(i) FILTER (said) OVER (PARTITION BY source) AS fw FROM o),
+ x AS (SELECT source, a AS s, b AS e, 'speech' AS kind, array_to_string(t, ' ') AS text FROM p WHERE b - a BETWEEN 1 AND 20
+  UNION ALL SELECT source, s + n * 12, least(s + n * 12 + 12, e), 'trigger_candidate', NULL FROM (SELECT *, unnest(range(0, floor((e - s - 1.5) / 12)::BIGINT + 1)) AS n FROM q WHERE NOT said AND i > fw AND e - s >= 1.5))
+ SELECT source::VARCHAR AS source, s AS start, e AS \"end\", kind, text, source || '_' || lpad(floor(s * 1000)::BIGINT::VARCHAR, 9, '0') AS uid FROM x"""
+
+
+@query("split_alignment", SPLIT)
 def split_alignment(spark, d):
-    """Phrases and gap windows of each labeller's stream; the fold is tested on hand-made alignments."""
+    """Phrases and gap windows of each labeller's stream."""
     rows = segment.words_to_alignment(words(spark, d))
     rec = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type", "word"))).alias("e"))
     rec = rec.select(F.col("source").cast("string").alias("source"), F.transform("e", lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"))).alias("entries"))
@@ -281,3 +297,13 @@ def stream_leases(spark, d):
             jobs.run_available(told, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), check)
     rows = spark.read.schema(told.schema).parquet(out)
     return rows.select("who", "item", "event", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("at", "expires_at")))
+
+
+CONTEXT = f"WITH {GAPS}, b AS (SELECT g.source, g0, g1, word, row_number() OVER (PARTITION BY g.source, g0, g1 ORDER BY e DESC, s DESC, word DESC) AS r FROM gp g JOIN wd ON wd.source = g.source AND e <= g0), a AS (SELECT g.source, g0, g1, word, row_number() OVER (PARTITION BY g.source, g0, g1 ORDER BY s, e, word) AS r FROM gp g JOIN wd ON wd.source = g.source AND s >= g1), tb AS (SELECT source, g0, g1, string_agg(word, ' ' ORDER BY r DESC) AS t FROM b WHERE r <= 8 GROUP BY ALL), ta AS (SELECT source, g0, g1, string_agg(word, ' ' ORDER BY r) AS t FROM a WHERE r <= 8 GROUP BY ALL) SELECT source, g0 AS start, g1 AS \"end\", coalesce(tb.t, '') AS before, coalesce(ta.t, '') AS after FROM gp LEFT JOIN tb USING (source, g0, g1) LEFT JOIN ta USING (source, g0, g1)"
+
+
+@query("context_words", CONTEXT)
+def context_words(spark, d):
+    """The eight words on either side of each gap of a labeller's stream."""
+    w = words(spark, d)
+    return segment.context_words(w, segment.gaps_between_words(w), 8)

@@ -105,23 +105,86 @@ def entry(kind, start, end, word=None):
     return {"type": kind, "start": start, "end": end, "word": word}
 
 
-def test_split_entries():
-    split = segment.split_entries
-    assert split([entry("word", 0, 0.4, "hello"), entry("word", 0.5, 1.2, "there")]) == [(0, 1.2, "speech", "hello there")]
-    assert len(split([entry("word", 0, 1, "one"), entry("word", 3, 4.2, "two")])) == 2
-    assert split([entry("word", 0, 0.3, "hi")]) == []
-    assert split([entry("silence", 0, 5)]) == [(0, 5, "trigger_candidate", None)]
-    windows = split([entry("silence", 0, 60)])
-    assert len(windows) == 5 and all(e - s <= 12 for s, e, *_ in windows)
-    assert len(split([entry("silence", 0, 13)])) == 1
-    long = [entry("word", i * 0.5, i * 0.5 + 0.5, "w") for i in range(60)]
-    assert all(e - s <= 20 for s, e, *_ in split(long)) and len(split(long)) == 2
-    assert split([entry("word", 2, 1, "bad"), entry("word", None, 1, "bad"), entry("other", 0, 9)]) == [(0, 9, "trigger_candidate", None)]
+SPLITS = [
+    ([("word", 0, 0.4, "hello"), ("word", 0.5, 1.2, "there")], [(0, 1.2, "speech", "hello there")]),
+    ([("word", 0, 1, "one"), ("word", 3, 4.2, "two")], [(0, 1, "speech", "one"), (3, 4.2, "speech", "two")]),
+    ([("word", 0, 0.3, "hi")], []),
+    ([("silence", 0, 5, None)], [(0, 5, "trigger_candidate", None)]),
+    ([("silence", 0, 13, None)], [(0, 12, "trigger_candidate", None)]),
+    ([("silence", 0, 60, None)], [(i * 12, i * 12 + 12, "trigger_candidate", None) for i in range(5)]),
+    ([("word", i * 0.5, i * 0.5 + 0.5, "w") for i in range(60)], [(0, 20, "speech", " ".join("w" * 40)), (20, 30, "speech", " ".join("w" * 20))]),
+    ([("word", 2, 1, "bad"), ("word", None, 1, "bad"), ("word", float("nan"), 1, "bad"), ("word", 0, float("nan"), "bad"), ("other", 0, 9, None)], [(0, 9, "trigger_candidate", None)]),
     # a phrase ends with its last word, blank ones are none, and white space is collapsed
-    assert split([entry("word", 0, 3, "long"), entry("word", 1, 2, " short \n one ")]) == [(0, 2, "speech", "long short one")]
-    assert split([entry("word", 0, 2, " "), entry("word", 2, 4, None)]) == []
-    assert split([entry("word", 0, 2, "a"), entry("noise", 2, 4), entry("word", 4, 6, "b")]) == [(0, 2, "speech", "a"), (2, 4, "trigger_candidate", None), (4, 6, "speech", "b")]
-    assert [s[2] for s in split([entry("silence", 0, 5), entry("word", 5, 6.5, "go"), entry("silence", 6.5, 9)])] == ["speech", "trigger_candidate"]
+    ([("word", 0, 3, "long"), ("word", 1, 2, " short \n one ")], [(0, 2, "speech", "long short one")]),
+    ([("word", 0, 2, " "), ("word", 2, 4, None)], []),
+    ([("word", 0, 2, "a"), ("noise", 2, 4, None), ("word", 4, 6, "b")], [(0, 2, "speech", "a"), (2, 4, "trigger_candidate", None), (4, 6, "speech", "b")]),
+    ([("silence", 0, 5, None), ("word", 5, 6.5, "go"), ("silence", 6.5, 9, None)], [(5, 6.5, "speech", "go"), (6.5, 9, "trigger_candidate", None)]),
+    # a short silence within a phrase neither ends it nor is part of its text; entries come in any order
+    ([("word", 1.2, 2, "b"), ("silence", 0.8, 1.2, "x"), ("word", 0, 0.8, "a")], [(0, 2, "speech", "a b")]),
+    (None, []),
+    ([], []),
+]
+
+
+def floats(row):
+    return tuple(float(v) if isinstance(v, int) else v for v in row) if row is not None else None
+
+
+def recordings(spark, lists):
+    return spark.createDataFrame([(i, [floats(x) for x in e] if e is not None else None) for i, e in enumerate(lists)], f"i int, e {segment.ENTRIES}")
+
+
+def test_splits(spark):
+    rows = recordings(spark, [e for e, _ in SPLITS])
+    got = {r.i: [tuple(x) for x in r.s] for r in rows.select("i", segment.split_spans(F.col("e")).alias("s")).collect()}
+    for i, (_, want) in enumerate(SPLITS):
+        assert got[i] == [floats(x) for x in want], i
+
+
+def plain_split(entries):
+    """The rules in a loop: what has been said so far is a phrase until something ends it."""
+    known = sorted([e for e in entries if e[2] > e[1]], key=lambda e: e[1])
+    first = next((i for i, e in enumerate(known) if e[0] == "word"), None)
+    phrases, going = [], []
+    for e in known:
+        word, long_quiet = e[0] == "word", e[0] != "word" and e[2] - e[1] > 0.7
+        if going and (long_quiet or word and (e[1] - going[-1][2] > 0.7 or e[2] - going[0][1] > 20)):
+            phrases.append(going)
+            going = []
+        going = going + [e] if word else going
+    out = [(p[0][1], p[-1][2], "speech", " ".join(w[3] for w in p)) for p in [*phrases, going] if p and 1 <= p[-1][2] - p[0][1] <= 20]
+    for i, e in enumerate(known):
+        if e[0] != "word" and e[2] - e[1] > 0.7 and (first is None or i > first):
+            out += [(e[1] + 12 * k, min(e[1] + 12 * k + 12, e[2]), "trigger_candidate", None) for k in range(9) if e[2] - e[1] - 12 * k >= 1.5]
+    return sorted(out, key=lambda x: (x[0], x[1]))
+
+
+def test_long_splits(spark):
+    """Hundreds of entries, more than the scan puts away at once."""
+    import random
+
+    rng, lists = random.Random(9), []
+    for _ in range(20):
+        at, entries = 0.0, []
+        for k in range(rng.randrange(1, 600)):
+            size = rng.choice([0.25, 0.5, 1.0, 3.0])
+            entries.append((rng.choice(["word", "word", "word", "silence"]), at, at + size, f"w{k}"))
+            at += size + rng.choice([0.0, 0.0, 0.0, 0.5, 1.0])
+        lists.append(entries)
+    for r in recordings(spark, lists).select("i", segment.split_spans(F.col("e")).alias("s")).collect():
+        assert [tuple(x) for x in r.s] == plain_split(lists[r.i])
+
+
+def test_nearest_words(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [(s, t / 4, t / 4 + 0.25, rng.choice(["a", "b", " c ", "", None])) for s in "xy" for t in sorted(rng.sample(range(400), 150))]
+    gaps = [(s, a := rng.randrange(100), a + rng.randrange(1, 5)) for s in "xyz" for _ in range(60)] + [("x", 5, 6)] * 3
+    got = segment.context_words(spark.createDataFrame(words, "source string, start double, end double, word string"), spark.createDataFrame(gaps, "source string, start int, end int"), 3).collect()
+    text = lambda ws: " ".join(x for x in ((w[3] or "").strip() for w in ws) if x)
+    want = [(s, a, b, text([w for w in words if w[0] == s and w[2] <= a][-3:]), text([w for w in words if w[0] == s and w[1] >= b][:3])) for s, a, b in gaps]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_split_alignment(spark):
