@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import relations, sample, segment
+from quillon.operators import relations, sample, segment, windows
 from quillon.plans.agreement_queries import EV, r6
 from quillon.plans.registry import CRC, CRC_TABLE, query
 from quillon.sources.shared import scratch
@@ -307,3 +307,30 @@ def context_words(spark, d):
     """The eight words on either side of each gap of a labeller's stream."""
     w = words(spark, d)
     return segment.context_words(w, segment.gaps_between_words(w), 8)
+
+
+#: Phrases of the split, labels where views begin; a fold over the phrases, one by one.
+SPEECH_WINDOWS = SPLIT.replace(" SELECT source::VARCHAR AS source, s AS start", """, lb AS (SELECT source, floor(s * 1000)::BIGINT AS ms, CASE floor(s * 1000)::BIGINT % 7 WHEN 0 THEN 'whispering' WHEN 1 THEN 'kissing' WHEN 2 THEN 'licking' WHEN 3 THEN 'breathing' WHEN 4 THEN 'tapping' WHEN 5 THEN 'breathing' ELSE 'moaning' END AS label FROM wd WHERE word = 'view'),
+ ph AS (SELECT source, s, e, text, row_number() OVER v AS k, lag(e) OVER v AS pe, s - lag(e) OVER v AS gap FROM x WHERE kind = 'speech' WINDOW v AS (PARTITION BY source ORDER BY s, e, text)),
+ hit AS (SELECT ph.source, k, ms, label, CASE label WHEN 'kissing' THEN 'oral sounds' WHEN 'licking' THEN 'oral sounds' WHEN 'breathing' THEN 'breathing' WHEN 'moaning' THEN 'moaning' END AS name FROM ph JOIN lb ON lb.source = ph.source AND ms >= pe * 1000 - 50 AND ms < ph.s * 1000 WHERE gap >= 0.7),
+ vt AS (SELECT source, k, arg_max(name, (n, -ms)) AS name FROM (SELECT source, k, name, count(*) AS n, min(ms) AS ms FROM hit WHERE name IS NOT NULL GROUP BY ALL) GROUP BY ALL), sp AS (SELECT DISTINCT source, k FROM hit WHERE label = 'whispering'),
+ g AS (SELECT ph.*, sp.k IS NOT NULL AS spoken, CASE WHEN gap >= 0.7 THEN coalesce('[' || name || ']', printf('[pause %.1fs]', greatest(0.5, round_even(gap * 2, 0) / 2))) END AS tag, 2.0 + ('0x' || substr(md5(ph.source || '|0|' || floor(s * 1000)::BIGINT), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 18.0 AS len FROM ph LEFT JOIN vt USING (source, k) LEFT JOIN sp USING (source, k)),
+ h(source, k, a, b, len, t, shut) AS (SELECT DISTINCT source, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, []::VARCHAR[], NULL::STRUCT(a DOUBLE, b DOUBLE, t VARCHAR[], dead BOOLEAN) FROM g UNION ALL
+  SELECT h.source, g.k, CASE WHEN h.a IS NULL OR gap > 6 OR g.e - h.a > h.len OR spoken THEN g.s ELSE h.a END, g.e, CASE WHEN h.a IS NULL OR gap > 6 OR g.e - h.a > h.len OR spoken THEN g.len ELSE h.len END,
+   CASE WHEN h.a IS NULL OR gap > 6 OR g.e - h.a > h.len OR spoken THEN [g.text] WHEN g.tag IS NULL THEN list_append(h.t, g.text) ELSE list_concat(h.t, [g.tag, g.text]) END,
+   CASE WHEN h.a IS NOT NULL AND (gap > 6 OR g.e - h.a > h.len OR spoken) THEN {'a': h.a, 'b': h.b, 't': h.t, 'dead': NOT (gap > 6 OR g.e - h.a > h.len)} END FROM h JOIN g ON g.source = h.source AND g.k = h.k + 1),
+ w AS (SELECT source, unnest(shut) FROM h WHERE shut IS NOT NULL UNION ALL SELECT source, a, b, t, FALSE FROM (SELECT source, a, b, t, row_number() OVER (PARTITION BY source ORDER BY k DESC) AS z FROM h) WHERE z = 1 AND a IS NOT NULL),
+ tx AS (SELECT *, array_to_string(t, ' ') AS text FROM w), r AS (SELECT *, CASE WHEN dead THEN 'speech in a gap' WHEN b - a NOT BETWEEN 2 AND 20 THEN 'length' WHEN regexp_matches(' ' || replace(regexp_replace(text, '\\[[^ ]*', '', 'g'), '  ', ' ') || ' ', ' (click click click click|error error error error|purchase purchase purchase purchase|signup signup signup signup|view view view view) ') THEN 'looped' WHEN len(string_split(text, ' ')) > 12 THEN 'too many words' ELSE 'kept' END AS reason FROM tx)
+ SELECT source || '_' || lpad(floor(a * 1000)::BIGINT::VARCHAR, 9, '0') AS uid, text, a >= 4 AS prompted, reason FROM r --""")
+
+
+@query("speech_windows", SPEECH_WINDOWS)
+def speech_windows(spark, d):
+    """Windows of each labeller's phrases with gap verdicts, and why some go."""
+    w = words(spark, d)
+    rec = segment.words_to_alignment(w).groupBy("source").agg(F.collect_list(F.struct("type", "start", "end", "word")).alias("e"))
+    phrases = segment.split_alignment(rec, "e").filter("kind = 'speech'").select("source", "start", "end", "text")
+    ms = F.floor(F.col("start") * 1000)
+    heard = F.get(F.array(*map(F.lit, ("whispering", "kissing", "licking", "breathing", "tapping", "breathing", "moaning"))), (ms % 7).cast("int"))
+    labels = w.filter("word = 'view'").select("source", ms.alias("ms"), heard.alias("label"))
+    return windows.speech_windows(phrases, labels, most_words=12).select("uid", "text", F.col("prompt_start").isNotNull().alias("prompted"), "reason")
