@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.operators.order import running
+from quillon.operators.relations import shared_peers
 
 from quillon.functions.columns import clamp, jaccard, set_f1, smoothed_ratio
 
@@ -135,9 +136,7 @@ def labeller_quality(answers: DataFrame, truth: DataFrame | None = None, marks:
     retests = retest.groupBy("who").agg(F.count(F.lit(1)).alias("retests"), F.avg(jaccard("l1", "l2")).alias("retest_agreement"))
     out = firsts.join(follow, "who", "left").join(timing, "who", "left").join(top, "who", "left").join(retests, "who", "left")
     if marks is not None:
-        shared = marks.select("kind", "value", "who").distinct().groupBy("kind", "value").agg(F.collect_set("who").alias("members")).filter(F.size("members") > 1)
-        peers = shared.withColumn("who", F.explode("members")).groupBy("who").agg((F.size(F.array_distinct(F.flatten(F.collect_list("members")))) - 1).alias("device_peers"))
-        out = out.join(peers, "who", "left")
+        out = out.join(shared_peers(marks).select("who", F.col("peers").cast("int").alias("device_peers")), "who", "left")
     else:
         out = out.withColumn("device_peers", F.lit(0))
     out = out.fillna(0, ["refs", "retests", "device_peers", "top"]).withColumn("top_share", F.col("top") / F.col("answers"))
@@ -220,10 +219,27 @@ def fooled_percent(guesses: DataFrame, least: int = 5) -> DataFrame:
     return g.select("item", "n", F.when(F.col("n") >= least, F.round(100 * F.col("wrong") / F.col("n"))).alias("fooled_pct"))
 
 
-def shared_marks(marks: DataFrame, who: str = "who") -> DataFrame:
-    """Marks that at least two accounts share: (kind, value, accounts, members)."""
-    g = marks.select("kind", "value", who).distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("accounts"), F.array_sort(F.collect_list(F.col(who).cast("string"))).alias("members"))
-    return g.filter("accounts >= 2")
+#: Members of a mark that its summary names, the first ones in order; ``mark_members`` has all of them as rows.
+NAMED = 20
+
+
+def shared_marks(marks: DataFrame, who: str = "who", named: int = NAMED) -> DataFrame:
+    """Marks that at least two accounts share: (kind, value, accounts, members: the first ``named`` of them).
+
+    A mark that very many accounts share is counted, and no array grows with it.
+    """
+    each = marks.select("kind", "value", F.col(who).cast("string").alias("_w")).distinct()
+    counts = each.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("accounts")).filter("accounts >= 2")
+    first = each.withColumn("_r", F.row_number().over(W.partitionBy("kind", "value").orderBy("_w"))).filter(F.col("_r") <= named)
+    lists = first.groupBy("kind", "value").agg(F.array_sort(F.collect_list("_w")).alias("members"))
+    return counts.join(lists, ["kind", "value"])
+
+
+def mark_members(marks: DataFrame, who: str = "who") -> DataFrame:
+    """(kind, value, accounts, who): a row for each account of each mark that at least two share."""
+    each = marks.select("kind", "value", who).distinct()
+    counts = each.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("accounts")).filter("accounts >= 2")
+    return each.join(counts, ["kind", "value"]).select("kind", "value", "accounts", who)
 
 
 def class_gate(judged: DataFrame, admit: float = 0.5, doubt: float = 0.3, wrong: int = 3) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillon.operators.order import running
+
 from quillon.functions.columns import normalise_labels
 
 #: Status of a labeller, worst first.
@@ -88,12 +90,12 @@ def update_from_records(rows: DataFrame, patches: DataFrame, key: str, value: st
 
 
 def tied_ranks(rows: DataFrame, by: str, name: str = "rank") -> DataFrame:
-    """rows with rank() by a value, largest first, ties sharing a rank and leaving gaps.
+    """rows with rank() by a value, largest first, ties sharing a rank and leaving gaps; null has none.
 
-    The window runs over distinct values, not over rows.
+    Distinct values are numbered by ranges with running counts, so no task sorts them all.
     """
     counts = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = counts.withColumn(name, F.coalesce(F.sum("_n").over(W.orderBy(F.col(by).desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).drop("_n")
+    ranked = running(counts, [F.col(by).desc()], sums={"_upto": F.col("_n")}).select(by, (F.col("_upto") - F.col("_n") + 1).alias(name))
     return rows.join(ranked, by, "left")
 
 

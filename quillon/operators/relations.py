@@ -101,21 +101,36 @@ def merge_info(rows: DataFrame, patch: DataFrame, key: str, info: str = "info")
     return j.withColumn("changed", ~same).withColumn(info, merged).drop("_p")
 
 
-def shared_peers(marks: DataFrame, who: str = "who") -> DataFrame:
+#: Shared marks of an account up to which its peers are counted by inclusion and exclusion.
+FEW_MARKS = 6
+
+
+def shared_peers(marks: DataFrame, who: str = "who", few: int = FEW_MARKS) -> DataFrame:
     """(who, peers): how many other accounts share any mark with an account.
 
-    An account all of whose peers come from one mark has as many as that mark has other
-    members, so no pairs are formed for it. Accounts with several shared marks need
-    distinct peers: they alone are joined to the members of their marks, row by row.
+    The accounts that share some of a few marks are counted by inclusion and exclusion: those
+    that have each of the marks, less those that have two, and so on. A set of marks is counted
+    once, whoever asks, so a mark that millions have costs its rows and never pairs. Accounts with more
+    than ``few`` shared marks are joined to the members of these, row by row.
     """
-    held = marks.select(F.struct("kind", "value").alias("_m"), who).distinct()
-    shared = held.groupBy("_m").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    own = cut(held.join(shared, "_m"))
-    counts = own.groupBy(who).agg(F.count(F.lit(1)).alias("_marks"), (F.max("_n") - 1).alias("peers"))
-    one = counts.filter("_marks = 1").select(who, "peers")
-    several = own.join(counts.filter("_marks > 1").select(who), who, "left_semi").select(who, "_m")
-    pairs = several.join(own.select("_m", F.col(who).alias("_peer")), "_m").filter(F.col("_peer") != F.col(who)).select(who, "_peer").distinct()
-    return one.unionByName(pairs.groupBy(who).agg(F.count(F.lit(1)).alias("peers")))
+    held = marks.select("kind", "value", who).distinct()
+    shared = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    # marks by number, not by a hash that two could have in common
+    named = cut(shared.select("kind", "value", F.monotonically_increasing_id().alias("_k")))
+    own = cut(held.join(named, ["kind", "value"]).select(who, "_k"))
+    sets = cut(own.groupBy(who).agg(F.array_sort(F.collect_list("_k")).alias("_a")))
+    small = sets.filter(F.size("_a") <= few)
+    subsets = F.expr("transform(sequence(1, shiftleft(1, size(_a)) - 1), m -> filter(_a, (x, i) -> (shiftright(m, i) & 1) = 1))")
+    asked = cut(small.select(who, F.explode(subsets).alias("_s")))
+    counted = asked.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+    # accounts with many marks have such sets, too
+    many = own.join(sets.filter(F.size("_a") > few), who)
+    beside = counted.select("_s", F.get("_s", F.lit(0)).alias("_k")).join(many, "_k").filter(F.size(F.array_except("_s", "_a")) == 0).groupBy("_s").agg(F.count(F.lit(1)).alias("_more"))
+    total = counted.join(beside, "_s", "left").select("_s", (F.col("_n") + F.coalesce("_more", F.lit(0))).alias("_n"))
+    signed = F.when(F.size("_s") % 2 == 1, F.col("_n")).otherwise(-F.col("_n"))
+    exact = asked.join(total, "_s").groupBy(who).agg((F.sum(signed) - 1).alias("peers"))
+    pairs = many.select(who, "_k").join(own.select("_k", F.col(who).alias("_peer")), "_k").filter(F.col("_peer") != F.col(who)).select(who, "_peer").distinct()
+    return exact.unionByName(pairs.groupBy(who).agg(F.count(F.lit(1)).alias("peers")))
 
 
 def vote_share(votes: DataFrame, menu: list[str], uid: str = "item") -> DataFrame:

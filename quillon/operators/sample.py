@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillon.operators.order import running
+from quillon.sources.shared import cut
 
 
 def hash_order(seed: int, *keys) -> Column:
@@ -21,7 +22,7 @@ def interleave(rows: DataFrame, group: str, order: list, group_order: str | None
     """
     position = F.row_number().over(W.partitionBy(group).orderBy(*order))
     first = rows.groupBy(group).agg(F.min(group_order or group).alias("_first"))
-    ranks = first.withColumn("group_rank", F.row_number().over(W.orderBy("_first", group))).drop("_first")  # one row per group
+    ranks = running(first, ["_first", group], sums={"group_rank": F.lit(1).cast("long")}).select(group, F.col("group_rank").cast("int").alias("group_rank"))
     return rows.withColumn("position", position).join(ranks, group)
 
 
@@ -58,8 +59,28 @@ def tempered_sample(rows: DataFrame, label: str, key: str, total: int, alpha: fl
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     targets = tempered_targets(counts, total, alpha)
     limit = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]) if targets else F.create_map().cast("map<string,int>")
-    rank = F.row_number().over(W.partitionBy(label).orderBy(hash_order(seed, F.col(key)), key))
-    return rows.withColumn("_r", rank).filter(F.col("_r") <= F.coalesce(F.try_element_at(limit, F.col(label)), F.lit(0))).drop("_r")
+    limits = rows.select(label).distinct().withColumn("_limit", F.coalesce(F.try_element_at(limit, F.col(label)), F.lit(0)).cast("long"))
+    return first_by_hash(rows, label, key, limits, seed)
+
+
+def first_by_hash(rows: DataFrame, label: str, key: str, limits: DataFrame, seed: int = 0) -> DataFrame:
+    """Of each class the first rows in hash order, as many as limits(label, _limit) says; classes without a limit have none.
+
+    A histogram of the first four digits of the hashes tells in which of 65,536 bins a class's
+    limit falls. Rows of the bins before are in, and only those of that bin are numbered, so no task
+    sorts a class.
+    """
+    h = hash_order(seed, F.col(key))
+    binned = rows.withColumns({"_h": h, "_bin": F.conv(F.substring(h, 1, 4), 16, 10).cast("int")})
+    hist = binned.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(label).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+    summed = hist.withColumn("_upto", upto).join(limits, label).filter("_limit > 0")
+    edges = cut(summed.groupBy(label).agg(F.max("_limit").alias("_limit"), F.min(F.when(F.col("_upto") >= F.col("_limit"), F.struct("_bin", (F.col("_upto") - F.col("_n")).alias("before")))).alias("_e")))
+    placed = binned.join(edges, label)
+    sure = placed.filter(F.col("_e").isNull() | (F.col("_bin") < F.col("_e._bin")))
+    rank = F.row_number().over(W.partitionBy(label).orderBy("_h", key))
+    edge = placed.filter(F.col("_bin") == F.col("_e._bin")).withColumn("_r", rank).filter(F.col("_r") <= F.col("_limit") - F.col("_e.before")).drop("_r")
+    return sure.unionByName(edge).select(*rows.columns)
 
 
 def cap_groups(rows: DataFrame, group: str, most: int, order: list, least: int = 1) -> DataFrame:
@@ -111,9 +132,8 @@ def two_caps(rows: DataFrame, label: str, channel: str, key: str, per_channel: i
 
 def head_cap(rows: DataFrame, label: str, key: str, share: float, least: int, seed: int = 0) -> DataFrame:
     """Of each class at most max(least, int(share * n)) rows in hash order."""
-    n = F.count(F.lit(1)).over(W.partitionBy(label))
-    r = F.row_number().over(W.partitionBy(label).orderBy(hash_order(seed, F.col(key)), key))
-    return rows.withColumns({"_n": n, "_r": r}).filter(F.col("_r") <= F.greatest(F.lit(least), F.floor(F.col("_n") * share))).drop("_n", "_r")
+    limits = rows.groupBy(label).agg(F.greatest(F.lit(least), F.floor(F.count(F.lit(1)) * share)).cast("long").alias("_limit"))
+    return first_by_hash(rows, label, key, limits, seed)
 
 
 def within_budget(rows: DataFrame, size: str, order: list, budget: int, parts: str | None = None) -> DataFrame:
@@ -161,11 +181,21 @@ def held_out(pairs: DataFrame, share: float, uid: str = "uid", name: str = "spli
 
 
 def bag_scores(windows: DataFrame, bag: str, score: str, k: int = 3, background: Column | None = None) -> DataFrame:
-    """(bag, n, score): mean of the bag's k best windows, of all its windows where ``background`` holds; ranks are cut before anything is collected."""
+    """(bag, n, score): mean of the bag's k best windows, of all its windows where ``background`` holds.
+
+    Counts and means are sums; a bag's best windows are cut to k before they are shuffled.
+    """
     r = F.row_number().over(W.partitionBy(bag).orderBy(F.col(score).desc()))
-    n = F.count(F.lit(1)).over(W.partitionBy(bag))
+    best = windows.select(bag, score).withColumn("_r", r).filter(F.col("_r") <= k).groupBy(bag).agg(F.avg(score).alias("_best"))
     whole = F.coalesce(background, F.lit(False)) if background is not None else F.lit(False)
-    return windows.withColumns({"_r": r, "n": n}).filter((F.col("_r") <= k) | whole).groupBy(bag).agg(F.first("n").alias("n"), F.avg(score).alias("score"))
+    # in a bag of which some windows are background, those count beside the best
+    if background is None:
+        return windows.groupBy(bag).agg(F.count(F.lit(1)).alias("n")).join(best, bag).select(bag, "n", F.col("_best").alias("score"))
+    kept = windows.withColumn("_w", whole).withColumn("_r", r).filter((F.col("_r") <= k) & ~F.col("_w"))
+    top = kept.groupBy(bag).agg(F.sum(score).alias("_s"), F.count(score).alias("_c"))
+    sums = windows.groupBy(bag).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(whole, F.col(score))), F.lit(0.0)).alias("_bs"), F.count(F.when(whole, F.col(score))).alias("_bc"))
+    total, count = F.col("_bs") + F.coalesce("_s", F.lit(0.0)), F.col("_bc") + F.coalesce("_c", F.lit(0))
+    return sums.join(top, bag, "left").select(bag, "n", F.when(count > 0, total / count).alias("score"))
 
 
 def overlap_slice(picked: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -91,11 +91,11 @@ def labeller_trust(spark, d):
  al AS (SELECT fi.*, coalesce(refs, 0) AS refs, follow, se, rush_rate, median_listen, cv, top::DOUBLE / answers AS top_share, coalesce(retests, 0) AS retests, ra FROM fi LEFT JOIN fol USING (who) LEFT JOIN tim USING (who) LEFT JOIN tp USING (who) LEFT JOIN rt USING (who)),
  fl AS (SELECT *, coalesce(refs >= 15 AND follow + 1.645 * se < 0.1, FALSE) AS f1, coalesce(refs >= 15 AND follow < 0.1 AND NOT (follow + 1.645 * se < 0.1), FALSE) AS f2, coalesce(answers >= 20 AND rush_rate > 0.3, FALSE) AS f3, coalesce(answers >= 20 AND median_listen < 3000, FALSE) AS f4,
   coalesce(answers >= 30 AND cv < 0.15, FALSE) AS f5, coalesce(answers >= 20 AND top_share > 0.85, FALSE) AS f6, coalesce(retests >= 5 AND ra < 0.3, FALSE) AS f7, coalesce(answers >= 20 AND unsure_rate > 0.5, FALSE) AS f8 FROM al)
- SELECT who, answers, refs, round(follow, 6) AS follow, round(se, 6) AS se, round(rush_rate, 6) AS rush_rate, round(median_listen, 6) AS median_listen, round(cv, 6) AS cv, round(top_share, 6) AS top_share, retests, round(ra, 6) AS retest_agreement,
+ SELECT who, answers, refs, round(follow + 1e-9, 6) AS follow, round(se, 6) AS se, round(rush_rate, 6) AS rush_rate, round(median_listen, 6) AS median_listen, round(cv, 6) AS cv, round(top_share, 6) AS top_share, retests, round(ra, 6) AS retest_agreement,
   f1::INT + f2::INT + f3::INT + f4::INT + f5::INT + f6::INT + f7::INT + f8::INT AS n_flags, CASE WHEN f1 OR f1::INT + f2::INT + f3::INT + f4::INT + f5::INT + f6::INT + f7::INT + f8::INT >= 2 THEN 'weak' WHEN f1::INT + f2::INT + f3::INT + f4::INT + f5::INT + f6::INT + f7::INT + f8::INT = 1 THEN 'watch' WHEN refs < 15 THEN 'too early' ELSE 'ok' END AS status FROM fl""")
 def labeller_quality(spark, d):
     q = A.labeller_quality(timed_answers(spark, d), control_truth(spark, d))
-    return q.select("who", "answers", "refs", *(r6(c, c) for c in ("follow", "se", "rush_rate", "median_listen", "cv", "top_share")), "retests", r6("retest_agreement", "retest_agreement"), F.size("flags").alias("n_flags"), "status")
+    return q.select("who", "answers", "refs", r6(F.col("follow") + 1e-9, "follow"), *(r6(c, c) for c in ("se", "rush_rate", "median_listen", "cv", "top_share")), "retests", r6("retest_agreement", "retest_agreement"), F.size("flags").alias("n_flags"), "status")
 
 
 @query("multilabel_scores", f"""WITH {VOTES}, {PEERS.format(v='votes', k=2)}, p AS (SELECT len(list_intersect(labels, reference)) AS tp, len(labels) AS y, len(reference) AS r, {jac('reference', 'labels')} AS j, labels = reference AS same FROM ref)
@@ -156,11 +156,17 @@ def marks(spark, d):
     return o.select(F.when(F.col("o_orderkey") % 2 == 0, "device").otherwise("ip").alias("kind"), F.floor(F.col("o_orderkey") / 3).cast("string").alias("value"), F.col("o_custkey").alias("who"))
 
 
-@query("shared_marks", f"WITH {MARKS} SELECT kind, value, count(*) AS accounts, array_to_string(list_sort(list(CAST(who AS VARCHAR))), ',') AS members FROM mk GROUP BY kind, value HAVING count(*) >= 2")
+@query("shared_marks", f"WITH {MARKS} SELECT kind, value, count(*) AS accounts, array_to_string(list_sort(list(CAST(who AS VARCHAR)))[1:20], ',') AS members FROM mk GROUP BY kind, value HAVING count(*) >= 2")
 def shared_marks(spark, d):
     return A.shared_marks(marks(spark, d)).select("kind", "value", "accounts", F.array_join("members", ",").alias("members"))
 
 
+@query("mark_members", f"WITH {MARKS} SELECT kind, value, count(*) OVER (PARTITION BY kind, value) AS accounts, who FROM mk QUALIFY count(*) OVER (PARTITION BY kind, value) >= 2")
+def mark_members(spark, d):
+    """Every account of every shared mark."""
+    return A.mark_members(marks(spark, d))
+
+
 @query("device_peers", f"WITH {MARKS} SELECT a.who, count(DISTINCT b.who) AS peers FROM mk a JOIN mk b ON a.kind = b.kind AND a.value = b.value AND a.who <> b.who GROUP BY a.who")
 def device_peers(spark, d):
     return relations.shared_peers(marks(spark, d)).select("who", F.col("peers").cast("long").alias("peers"))
@@ -228,13 +234,29 @@ def fuse_labels(spark, d):
     return post.select(F.col("uid").alias("item"), F.explode("probs").alias("label", "p")).select("item", "label", "p", (F.col("p") > 0.5).alias("chosen"))
 
 
-@query("fuse_judges")
+#: Fifty rounds over truth, weak label and answer; a round's posteriors are 216 rows.
+JUDGES = f"""WITH RECURSIVE {EV}, names AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'other']) AS x),
+ j AS (SELECT event_id AS uid, ['click', 'error', 'purchase', 'signup', 'view'][item % 5 + 1] AS label, label AS pred FROM ev),
+ n AS (SELECT k.x AS k, a.x AS a, count(j.uid)::DOUBLE AS n FROM names k CROSS JOIN names a LEFT JOIN (SELECT * FROM j WHERE uid % 10 = 0) j ON j.label = k.x AND j.pred = a.x GROUP BY ALL),
+ flat AS (SELECT k, a, CASE WHEN k = 'other' OR sum(n) OVER (PARTITION BY k) = 0 THEN 1 ELSE n END AS n FROM n), g0 AS (SELECT k, a, n / sum(n) OVER (PARTITION BY k) * 20 + 0.5 AS g FROM flat),
+ pairs AS (SELECT l.x AS l, a.x AS a, count(j.uid)::DOUBLE AS n FROM names l CROSS JOIN names a LEFT JOIN j ON j.label = l.x AND j.pred = a.x GROUP BY ALL),
+ first AS (SELECT k, l.x AS l, a, CASE WHEN k = l.x THEN 0.6::DOUBLE ELSE 0.08::DOUBLE END * g / sum(g) OVER (PARTITION BY k, l.x) AS p FROM g0 CROSS JOIN names l),
+ em(r, k, l, a, p) AS (SELECT 1, k, l, a, p / sum(p) OVER (PARTITION BY l, a) FROM first UNION ALL (
+  WITH w AS (SELECT r, k, l, a, p * n AS w FROM em JOIN pairs USING (l, a) WHERE r < 50), prior AS (SELECT k, sum(w) AS prior FROM w GROUP BY k),
+   g1 AS (SELECT k, a, sum(w) + any_value(g) AS g FROM w JOIN g0 USING (k, a) GROUP BY k, a), g2 AS (SELECT k, a, g / sum(g) OVER (PARTITION BY k) AS g FROM g1),
+   c1 AS (SELECT k, l, sum(w) + 0.5 AS c FROM w GROUP BY k, l), c2 AS (SELECT k, l, c / sum(c) OVER (PARTITION BY k) AS c FROM c1), q AS (SELECT k, l, a, prior * c * g AS p FROM prior JOIN g2 USING (k) JOIN c2 USING (k)), turn AS (SELECT max(r) AS r FROM w)
+  SELECT turn.r + 1, k, l, a, p / sum(p) OVER (PARTITION BY l, a) FROM q CROSS JOIN turn)),
+ best AS (SELECT l, a, max((p, k)) AS b, max(CASE WHEN k = l THEN p END) AS weak FROM em WHERE r = 50 GROUP BY l, a)
+ SELECT uid, label, pred, b[2] AS fused, round(b[1], 6) AS conf, b[1] >= 0.8 AND b[2] <> 'other' AS confident, weak <= 0.1 AS hard_negative FROM j JOIN best ON l = label AND a = pred"""
+
+
+@query("fuse_judges", JUDGES)
 def fuse_judges(spark, d):
     """K-class Dawid-Skene with the calibrated judge: the events' labels against their items' habit."""
     e = events(spark, d)
     j = e.select(F.col("event_id").alias("uid"), F.element_at(F.array(*map(F.lit, LABELS)), F.col("item") % 5 + 1).alias("label"), F.col("label").alias("pred"))
     calibration = j.filter(F.col("uid") % 10 == 0).groupBy(F.col("label").alias("truth"), "pred").agg(F.count(F.lit(1)).alias("n"))
-    return fusion.anchored_em(j, calibration, list(LABELS), rounds=50)
+    return fusion.anchored_em(j, calibration, list(LABELS), rounds=50).withColumn("conf", F.round("conf", 6))
 
 
 @query("merge_votes", f"WITH {EV}, u AS (SELECT item AS uid, who % 50 AS labeller, label, tm, event_id, 0 AS o FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT item, who % 50, label, tm, event_id, 1 FROM ev WHERE event_id % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY uid, labeller ORDER BY o DESC, tm DESC, event_id DESC) AS r FROM u) SELECT uid, labeller, label FROM r WHERE r = 1")

@@ -206,13 +206,29 @@ def stream_derived(spark, d):
     return jobs.latest(kept, ["who"]).select("who", "kind", r6("need", "need"))
 
 
-@query("stream_devices")
-def stream_devices(spark, d):
-    """Requests by device that an account may make: two devices at a time, a slot free after 30 days without use."""
-    from quillon.plans.curation_queries import event_stream
+#: An account's requests in order; its slots are (device, last seen), those unseen for thirty days go when a new device comes.
+DEVICES = f"""WITH RECURSIVE {EV}, o AS (SELECT who, item % 4 AS device, tm AS t, row_number() OVER (PARTITION BY who ORDER BY tm, item % 4) AS i FROM ev),
+ f(who, i, slots, device, t, allowed) AS (SELECT DISTINCT who, 0::BIGINT, []::STRUCT(d INT, seen TIMESTAMP)[], NULL::INT, NULL::TIMESTAMP, FALSE FROM o UNION ALL
+  SELECT who, i, CASE WHEN ok THEN list_append(list_filter(s, lambda x: x.d <> device), {{'d': device, 'seen': t}}) ELSE s END, device, t, ok FROM (
+   SELECT *, list_contains(list_transform(s, lambda x: x.d), device) OR len(s) < 2 AS ok FROM (SELECT f.who, o.i, o.device, o.t, CASE WHEN list_contains(list_transform(f.slots, lambda x: x.d), o.device) THEN f.slots ELSE list_filter(f.slots, lambda x: x.seen >= o.t - INTERVAL 3 DAY) END AS s FROM f JOIN o ON o.who = f.who AND o.i = f.i + 1)))
+ SELECT who, device, t AS at, allowed FROM f WHERE i > 0"""
 
-    e = event_stream(spark, d).select(F.col("user_id").alias("who"), (F.get_json_object("props", "$.k").cast("int") % 4).alias("device"), "at")
-    return jobs.collected(jobs.device_slots(e)).drop("_batch")
+
+@query("stream_devices", DEVICES)
+def stream_devices(spark, d):
+    """Requests by device that an account may make: two devices at a time, a slot free after three days without use; in order of time, a file a week."""
+    from quillon.sources.shared import scratch
+
+    e = events(spark, d).select("who", (F.col("item") % 4).alias("device"), F.col("at").cast("timestamp").alias("at"))
+    folder, check, out = (scratch(spark, f"devices-{x}") for x in ("in", "checkpoint", "out"))
+    ends = e.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    told = None
+    for part in range(3) if ends.a else range(1):
+        third = F.floor(3 * (F.unix_micros("at") - F.unix_micros(F.lit(ends.a))) / (F.unix_micros(F.lit(ends.b)) - F.unix_micros(F.lit(ends.a)) + 1)) if ends.a else F.lit(0)
+        e.filter(third == part).write.mode("append").parquet(folder)
+        told = jobs.device_slots(jobs.follow(spark, folder, e.schema, "parquet"), days=3)
+        jobs.run_available(told, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), check)
+    return spark.read.schema(told.schema).parquet(out).select("who", "device", F.col("at").cast("timestamp_ntz").alias("at"), "allowed")
 
 
 @query("vocabulary", "WITH t AS (SELECT unnest(['soft', lower(p_type), lower(p_brand)]) AS name FROM part) SELECT name, CASE WHEN name = 'soft' THEN 'intensity' ELSE 'trigger' END AS kind, count(*) AS n FROM t GROUP BY 1, 2")

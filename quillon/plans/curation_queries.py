@@ -119,10 +119,21 @@ def word_error_rate(spark, d):
     return segment.word_error_rate(a.join(b, "conv_id")).select("conv_id", "deletions", "insertions", "substitutions", "wer")
 
 
-@query("concat_neighbours")
+#: Clips in order of start, put together one by one: what is closed before a clip, and what a clip closes.
+CONCAT = f"""WITH RECURSIVE {WORDS}, o AS (SELECT source, word || '_' || s AS file, word AS text, e - s AS d, row_number() OVER (PARTITION BY source ORDER BY s) AS i FROM wd),
+ f(source, i, g, total, out) AS (SELECT DISTINCT source, 0::BIGINT, []::STRUCT(text VARCHAR, d DOUBLE)[], 0::DOUBLE, []::STRUCT(text VARCHAR, d DOUBLE)[][] FROM o UNION ALL
+  SELECT source, i, CASE WHEN full_now THEN [] ELSE g3 END, CASE WHEN full_now THEN 0 ELSE t3 END, list_concat(CASE WHEN shut AND len(g0) >= 2 THEN [g0] ELSE [] END, CASE WHEN full_now AND len(g3) >= 2 THEN [g3] ELSE [] END) FROM (
+   SELECT *, t3 >= 5 AND NOT too_long AS full_now FROM (SELECT *, CASE WHEN too_long THEN [] ELSE list_append(g2, {{'text': text, 'd': d}}) END AS g3, CASE WHEN too_long THEN 0 ELSE t2 + d + CASE WHEN len(g2) > 0 THEN 0.1::DOUBLE ELSE 0 END END AS t3 FROM (
+    SELECT *, CASE WHEN shut THEN [] ELSE g0 END AS g2, CASE WHEN shut THEN 0 ELSE total END AS t2 FROM (
+     SELECT f.source, o.i, f.g AS g0, f.total, o.text, o.d, o.d > 8 AS too_long, o.d > 8 OR (len(f.g) > 0 AND f.total + 0.1::DOUBLE + o.d > 8) AS shut FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1))))),
+ w AS (SELECT source, unnest(out) AS g FROM f UNION ALL SELECT source, g FROM (SELECT source, g, row_number() OVER (PARTITION BY source ORDER BY i DESC) AS z FROM f) WHERE z = 1 AND len(g) >= 2)
+ SELECT source::VARCHAR AS source, len(g)::INT AS files, array_to_string(list_transform(g, lambda x: x.text), ' ') AS text, round(list_sum(list_transform(g, lambda x: x.d)) + 0.1 * (len(g) - 1), 5) AS seconds FROM w"""
+
+
+@query("concat_neighbours", CONCAT)
 def concat_neighbours(spark, d):
     s = words(spark, d).select(F.col("source").cast("string").alias("source"), F.concat("word", F.lit("_"), F.col("start").cast("string")).alias("file_name"), F.col("word").alias("text"), "start", (F.col("end") - F.col("start")).alias("duration"))
-    return segment.concat_neighbours(s)
+    return segment.concat_neighbours(s).select("source", F.size("files").alias("files"), "text", F.round("seconds", 5).alias("seconds"))
 
 
 SPANS_SQL = "sp AS (SELECT user_id AS k, value AS s, value + 4 AS e, event_id AS id FROM events WHERE event_type = 'view')"
@@ -254,7 +265,8 @@ def event_stream(spark, d):
 
 @query("stream_once_each", "SELECT DISTINCT user_id FROM events")
 def stream_once_each(spark, d):
-    return jobs.collected(jobs.once_each(event_stream(spark, d), "user_id")).select("user_id")
+    """Each labeller once within forty days, which all events span: state is bounded by the watermark."""
+    return jobs.collected(jobs.once_each(event_stream(spark, d), "user_id", "at", "40 days")).select("user_id")
 
 
 @query("stream_snapshot", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1")

@@ -147,16 +147,21 @@ def derived(changes: DataFrame, key: str, seq: str, columns: dict) -> DataFrame:
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(key, "_r.*").withColumns(columns)
 
 
-def device_slots(stream: DataFrame, who: str = "who", device: str = "device", at: str = "at", most: int = 2, days: int = 30) -> DataFrame:
+def device_slots(stream: DataFrame, who: str = "who", device: str = "device", at: str = "at", most: int = 2, days: int = 30, late: str = "1 day") -> DataFrame:
     """Requests with whether their device has a slot: (who, device, at, allowed), batch by batch in order of time.
 
     A known device is allowed and seen anew. A new one first frees the slots of devices
     not seen for ``days``, then takes a slot if one is free. The state of an account is
-    its slots, at most ``most``, however many requests it makes.
+    its slots, at most ``most``, however many requests it makes; once the watermark says that
+    none of its devices has been seen for ``days``, its state is released, which changes no answer.
     """
     kind, thing = stream.schema[who].dataType.simpleString(), stream.schema[device].dataType.simpleString()
+    names = ["who", "device", "at", "allowed"]
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         slots = dict(zip(*state.get)) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values([at, device])
         out = []
@@ -167,7 +172,26 @@ def device_slots(stream: DataFrame, who: str = "who", device: str = "device", at
             if ok:
                 slots[x] = t.to_pydatetime()
             out.append((key[0], x, t, ok))
-        state.update((list(slots), list(slots.values())))
-        yield pd.DataFrame(out, columns=["who", "device", "at", "allowed"])
+        over = int((pd.Timestamp(max(slots.values())) + pd.Timedelta(days=days)).value // 1_000_000) + 1
+        if over > state.getCurrentWatermarkMs():
+            state.update((list(slots), list(slots.values())))
+            state.setTimeoutTimestamp(over)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy(who).applyInPandasWithState(admit, f"who {kind}, device {thing}, at timestamp, allowed boolean", f"devices array<{thing}>, seen array<timestamp>", "append", "NoTimeout")
+    told = f"who {kind}, device {thing}, at timestamp, allowed boolean"
+    return stream.withWatermark(at, late).groupBy(who).applyInPandasWithState(admit, told, f"devices array<{thing}>, seen array<timestamp>", "append", "EventTimeTimeout")
+
+
+def edits_in_time(answers: DataFrame, edits: DataFrame, keys: list[str], at: str = "at", hours: int = 24, late: str = "1 hour") -> DataFrame:
+    """Edits that come within so many hours of the answer they change: the edits' columns and answered_at.
+
+    A join of two streams by key and a range of time; watermarks let both sides forget what
+    can no longer meet. An edit before its answer, or too late, changes nothing.
+    """
+    a = answers.withWatermark(at, late).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(at).alias("answered_at"))
+    e = edits.withWatermark(at, late)
+    same = [F.col(f"_{k}") == F.col(k) for k in keys]
+    near = (F.col(at) >= F.col("answered_at")) & (F.col(at) <= F.col("answered_at") + F.make_dt_interval(hours=F.lit(hours)))
+    return e.join(a, [*same, near]).drop(*(f"_{k}" for k in keys))

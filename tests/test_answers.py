@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import columns as X
 from quillon.operators import answers as N
-from quillon.operators import fusion, order, relations, screen, serving
+from quillon.operators import agreement, fusion, order, relations, sample, screen, serving
 from quillon.sources import readers, sinks
 from quillon.streaming import jobs
 
@@ -151,3 +151,38 @@ def test_loudness(spark):
     scores = F.create_map(*[F.lit(x) for x in ("tap", 0.6, "brush", 0.5, "talk", 0.45)])
     got = spark.range(1).select(X.margin_choice(scores, ["tap", "brush"], ["talk"], 0.1), X.margin_choice(scores, ["tap", "brush"], ["talk"], 0.2)).first()
     assert tuple(got) == ("tap", None)
+
+
+def test_peers_of_many_marks(spark):
+    """Inclusion and exclusion, and row by row beyond the bound, against sets."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["ip", "net"]), f"m{rng.randrange(9)}", who) for who in range(60) for _ in range(rng.choice([1, 1, 2, 3, 8]))] + [("ip", "hot", w) for w in range(40)] + [("ip", f"own{w}", w) for w in range(60)] * 2
+    members = {}
+    for k, v, w in rows:
+        members.setdefault((k, v), set()).add(w)
+    want = {}
+    for w in range(60):
+        others = set().union(*(m for m in members.values() if w in m)) - {w}
+        if others:
+            want[w] = len(others)
+    frame = spark.createDataFrame(rows, "kind string, value string, who int")
+    for few in (0, 2, 6):
+        assert {r.who: r.peers for r in relations.shared_peers(frame, few=few).collect()} == want
+    told = agreement.shared_marks(frame, named=3).collect()
+    assert {(r.kind, r.value): r.accounts for r in told} == {k: len(m) for k, m in members.items() if len(m) > 1} and all(len(r.members) == min(3, r.accounts) for r in told)
+    assert {(r.kind, r.value, r.who) for r in agreement.mark_members(frame).collect()} == {(*k, w) for k, m in members.items() if len(m) > 1 for w in m}
+
+
+def test_first_of_a_class_by_hash(spark):
+    import hashlib
+
+    rows = [(f"k{i}", "abcd"[i % 7 % 4]) for i in range(700)]
+    limits = {"a": 5, "b": 0, "c": 150, "d": 10**6}
+    rank = lambda k: (hashlib.md5(f"3|{k}".encode()).hexdigest(), k)
+    want = {k for label, n in limits.items() for k in sorted((k for k, x in rows if x == label), key=rank)[:n]}
+    frame, table = spark.createDataFrame(rows, "key string, label string"), spark.createDataFrame(list(limits.items()), "label string, _limit long")
+    got = sample.first_by_hash(frame, "label", "key", table, 3)
+    assert {r.key for r in got.collect()} == want and got.columns == ["key", "label"]
+    head = sample.head_cap(frame, "label", "key", 0.1, 30, 3)
+    sizes = {label: sum(x == label for _, x in rows) for label in "abcd"}
+    assert {r.label: r["count"] for r in head.groupBy("label").count().collect()} == {label: min(n, max(30, int(n * 0.1))) for label, n in sizes.items()}

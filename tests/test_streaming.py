@@ -59,3 +59,34 @@ def test_once_each_goes_on(spark, tmp_path):
     jobs.run_available(jobs.once_each(s, "who"), into, check)
     jobs.run_available(jobs.once_each(s, "who"), into, check)
     assert sorted(r.who for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+
+
+def test_edits_within_a_day(spark, tmp_path):
+    answers = [("a", 1, at(0)), ("a", 2, at(10)), ("b", 1, at(0))]
+    edits = [("a", 1, at(5), "x"), ("a", 1, at(24 * 60), "y"), ("a", 1, at(24 * 60 + 1), "late"), ("a", 2, at(9), "early"), ("b", 2, at(5), "other item"), ("b", 1, at(0), "z")]
+    spark.createDataFrame(answers, "who string, item int, at timestamp").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame(edits, "who string, item int, at timestamp, labels string").write.parquet(str(tmp_path / "e"))
+    stream = lambda n, kind: jobs.follow(spark, str(tmp_path / n), spark.createDataFrame([], kind).schema, "parquet")
+    joined = jobs.edits_in_time(stream("a", "who string, item int, at timestamp"), stream("e", "who string, item int, at timestamp, labels string"), ["who", "item"])
+    got = jobs.collected(joined).collect()
+    assert sorted((r.who, r.item, r.labels, r.answered_at) for r in got) == [("a", 1, "x", at(0)), ("a", 1, "y", at(0)), ("b", 1, "z", at(0))]
+
+
+def test_device_state_is_released(spark, tmp_path):
+    """Accounts without a request for the days leave the state store; answers stay as they'd be with it."""
+    schema, day = "who string, device int, at timestamp", 24 * 60
+    seen = []
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        told = jobs.device_slots(jobs.follow(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, "parquet"), days=3, late="1 minute")
+        query = told.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out/b={n}"))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        return sorted((r.who, r.device, r.at, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    run([("a", 1, at(0)), ("a", 2, at(1)), ("a", 3, at(2)), ("b", 1, at(3))])
+    run([("c", 1, at(5 * day))])
+    got = run([("a", 3, at(5 * day + 1)), ("a", 1, at(5 * day + 2)), ("a", 2, at(5 * day + 3))])
+    assert [r[3] for r in got if r[0] == "a"] == [True, True, True, False, False, True]
+    assert seen[0] == 2 and seen[1] == 1 and seen[2] == 2
