@@ -55,6 +55,13 @@ def need(votes, target, max_votes, crowd_conf, uncertain, skips) -> Column:
     return (missing + doubt) * F.when(votes >= max_votes, 0.05).otherwise(1.0) / (1 + skips)
 
 
+def need_by_agreement(votes, target, agreement, uncertain, skips) -> Column:
+    """The same where votes beyond the target count less and less, and agreement stands for the crowd's confidence."""
+    missing = 0.5 * F.greatest(F.lit(0.0), 1 - votes / target)
+    doubt = 0.3 * uncertain + 0.2 * F.coalesce(1 - agreement, uncertain)
+    return (missing + doubt) / (1 + 0.25 * F.greatest(F.lit(0), votes - target)) / (1 + skips)
+
+
 def intensity(level) -> Column:
     """Four steps of a loudness between 0 and 1."""
     return F.when(level < 0.25, "soft").when(level < 0.5, "gentle").when(level < 0.78, "firm").otherwise("vigorous")
@@ -121,6 +128,61 @@ def tags(text, patterns: Sequence[tuple[str, str]]) -> Column:
     return F.array_compact(hits)
 
 
+#: Sounds that a recording's title promises.
+TITLE_TAGS: tuple[tuple[str, str], ...] = (
+    ("sex slapping", r"slap|clap|skin on skin|pounding|fap sound"),
+    ("wet sounds", r"wet sound|squelch|wetsound|wet noise|fingering|fleshlight|\blube\b|lotion"),
+    ("squirting", r"squirt"),
+    ("spanking", r"spank"),
+    ("vibrator", r"vibrat|hitachi|\bwand\b|thruster|\btoys?\b"),
+    ("gagging", r"\bgag|deep ?throat"),
+    ("whimpering", r"whimper"),
+    ("growling", r"growl"),
+    ("grunting", r"grunt|groan"),
+    ("bed creaking", r"creak|squeak|bed sound"),
+    ("laughing", r"laugh|giggl|chuckl"),
+    ("gasping", r"gasp"),
+    ("singing", r"\bsing(s|ing)?\b|\bsong|humming"),
+)
+#: Menu labels that a free text names.
+FREE_TEXT: tuple[tuple[str, str], ...] = (
+    ("laughing", r"laugh|giggl|chuckl"),
+    ("gasping", r"gasp"),
+    ("spanking", r"spank|beating"),
+    ("clapping", r"\bclap"),
+    ("scratching", r"writing|drag"),
+    ("sticky", r"velcro|hook.and.loop|slime"),
+    ("liquid", r"\brain"),
+    ("oral sounds", r"slurp|suck"),
+    ("crying", r"\bcr(y|ies|ying)\b|sob"),
+)
+
+
+def title_of(uid) -> Column:
+    """The words of the title in a recording's identifier; empty for identifiers of other places and for names that are hashes."""
+    stem = F.element_at(F.split(F.regexp_replace(uid, r"\.(m4a|mp3)(_\d+)?\z", ""), "/"), -1)
+    none = F.contains(F.get(F.split(uid, "/"), F.lit(0)), F.lit(":")) | stem.rlike(r"\A[0-9a-f]{32,64}\z")
+    return F.when(none, "").otherwise(F.lower(F.regexp_replace(stem, r"[-_.]+", " ")))
+
+
+def title_tags(uid) -> Column:
+    """What a recording's title promises, in the fixed order."""
+    title = title_of(uid)
+    return F.when(title == "", F.array().cast("array<string>")).otherwise(tags(title, TITLE_TAGS))
+
+
+def labels_in(text, menu: Sequence[str] | None = None) -> Column:
+    """Menu labels that a free text names, of those on the menu if one is given."""
+    hits = [F.when(text.rlike(f"(?i){p}"), F.lit(t)) for t, p in FREE_TEXT if menu is None or t in menu]
+    return F.coalesce(F.array_compact(F.array(*hits)), F.array()).cast("array<string>")
+
+
+def merged_label(label, merge: dict[str, str]) -> Column:
+    """struct(label, raw_label): the label as the ontology has it now, and, if that changed it, what it was."""
+    new = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in merge.items() for x in kv]), label), label) if merge else label
+    return F.struct(new.alias("label"), F.when(new != label, label).alias("raw_label"))
+
+
 def single_class(hits, background: str) -> Column:
     """The class if exactly one matched and the background didn't; the background if it alone matched; else null."""
     return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))

@@ -21,6 +21,24 @@ def judge_calibration(judged: DataFrame, cost: str | None = None) -> DataFrame:
     return by_truth.join(by_pred, ["judge", "label"], "left")
 
 
+def judges_against_people(judged: DataFrame, people: DataFrame) -> DataFrame:
+    """judged(item, judge, labels) and people(item, who, labels) -> (judge, label, tp, fp, fn, f1): against what most people ticked.
+
+    A label is true of an item if more than half of its people ticked it. Classes that no item a judge
+    saw has have no figures.
+    """
+    n = people.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
+    ticks = people.select("item", F.explode(F.array_distinct("labels")).alias("label")).groupBy("item", "label").agg(F.count(F.lit(1)).alias("_c"))
+    most = ticks.join(n, "item").filter(2 * F.col("_c") > F.col("_n")).select("item", "label", F.lit(1).alias("_true"))
+    both = judged.join(n.select("item"), "item", "left_semi")
+    said = both.select("item", "judge", F.explode(F.array_distinct("labels")).alias("label"), F.lit(1).alias("_said"))
+    due = both.select("item", "judge").join(most, "item")
+    cells = said.join(due, ["item", "judge", "label"], "full")
+    t, s = F.col("_true").isNotNull(), F.col("_said").isNotNull()
+    sums = cells.groupBy("judge", "label").agg(F.count_if(t & s).alias("tp"), F.count_if(~t & s).alias("fp"), F.count_if(t & ~s).alias("fn"))
+    return sums.filter("tp + fn > 0").withColumn("f1", 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
+
+
 def system_comparison(rows: DataFrame, families: dict[str, str], reject: str = "reject") -> DataFrame:
     """rows(truth, first, second): one row with exact and same-family agreement of both systems, precision and recall of
     rejection, and how many items the second fixes and breaks."""

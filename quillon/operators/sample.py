@@ -204,6 +204,12 @@ def overlap_slice(picked: DataFrame, key: str, n: int, seed: int = 0) -> DataFra
     return picked.join(twice, key, "left").withColumn("annotators", F.coalesce("_two", F.lit(1))).drop("_two")
 
 
+def keep_by_weight(rows: DataFrame, weight: str, key: str, seed: int = 0) -> DataFrame:
+    """Each row with the probability of its weight (1 and more: always; null: never), by a hash of its key."""
+    draw = F.conv(F.substring(hash_order(seed, F.col(key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return rows.filter(draw < F.coalesce(F.col(weight), F.lit(0.0)))
+
+
 def shards(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.withColumn("shard", (F.crc32(F.col(key).cast("string")) % n).cast("int"))
 

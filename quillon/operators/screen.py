@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quillon.functions.columns import max_run, title_words
 from quillon.sources.shared import cut
@@ -67,11 +68,44 @@ def training_rows(fused: DataFrame, positive: float = 0.6, negative: float = 0.2
     return flat.join(enough, "label", "left_semi").select("uid", "label", "w")
 
 
-def cell_precision(judged: DataFrame, rows: DataFrame, least: float = 0.4, floor: int = 1) -> DataFrame:
-    """rows(uid, source, label) weighted by the measured precision of their (source, label) cell; poor and unjudged cells go."""
+def cell_precision(judged: DataFrame, rows: DataFrame, least: float = 0.4, floor: int = 1, thin: float = 0.0) -> DataFrame:
+    """rows(uid, source, label) weighted by the measured precision of their (source, label) cell; poor and unjudged cells go.
+
+    Then classes whose weights add up to less than ``thin`` go.
+    """
     cells = judged.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("pred") == F.col("label")).cast("int")).alias("w"))
     good = cells.filter((F.col("w") >= least) & (F.col("n") >= floor)).select("source", "label", "w")
-    return rows.join(good, ["source", "label"])
+    weighed = rows.join(good, ["source", "label"])
+    if thin <= 0:
+        return weighed
+    enough = weighed.groupBy("label").agg(F.sum("w").alias("_s")).filter(F.col("_s") >= thin).select("label")
+    return weighed.join(enough, "label", "left_semi")
+
+
+#: Seconds that a chapter must have.
+CHAPTER = 60.0
+
+
+def candidate_checks(rows: DataFrame, known: DataFrame | None = None, per_channel: int = 20, order: str = "n") -> DataFrame:
+    """rows(n: their order, id, cls, channel, kind, chapters array<struct<start, end>>) with short chapters left out, and reason: null if taken.
+
+    Reasons, the first that holds: `schema` (a field is missing, or the identifier isn't eleven
+    word characters), `kind`, `no chapters`, `dup` (known, or not the first valid row of its identifier),
+    `channel cap` (beyond ``per_channel`` of a class and channel, in order).
+    """
+    long = F.filter(F.coalesce("chapters", F.array().cast(rows.schema["chapters"].dataType)), lambda c: F.coalesce(c["end"] - c["start"] >= CHAPTER, F.lit(False)))
+    cut_down = rows.withColumn("chapters", F.when(F.col("kind") == "chapter", long).otherwise(F.col("chapters")))
+    schema = F.col("id").isNull() | F.col("cls").isNull() | F.col("kind").isNull() | ~F.col("id").rlike(r"\A[\w-]{11}\z")
+    checked = first_reason(cut_down, [("schema", schema), ("kind", ~F.col("kind").isin("single", "chapter")), ("no chapters", (F.col("kind") == "chapter") & (F.size("chapters") == 0))])
+    valid = F.col("reason").isNull()
+    if known is not None:
+        checked = checked.join(known.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
+    else:
+        checked = checked.withColumn("_known", F.lit(None).cast("boolean"))
+    turn = F.row_number().over(W.partitionBy("id", valid).orderBy(order))
+    checked = checked.withColumn("reason", F.when(valid & (F.coalesce("_known", F.lit(False)) | (turn > 1)), "dup").otherwise(F.col("reason"))).drop("_known")
+    place = F.row_number().over(W.partitionBy("cls", "channel", F.col("reason").isNull()).orderBy(order))
+    return checked.withColumn("reason", F.when(F.col("reason").isNull() & (place > per_channel), "channel cap").otherwise(F.col("reason")))
 
 
 def looped(rows: DataFrame, most: int = 3, text: str = "text") -> DataFrame:

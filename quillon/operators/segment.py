@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from quillon.functions import columns as X
 from quillon.operators.order import running
+from quillon.operators.sample import hash_order
 from quillon.sources.shared import cut
 
 ENTRIES = "array<struct<type:string,start:double,end:double,word:string>>"
@@ -333,27 +334,50 @@ def word_error_rate(pairs: DataFrame, reference: str = "reference", heard: str =
 def chapter_windows(chapters: DataFrame, size: float = 4.0, hop: float = 3.0, most: int = 20, seed: int = 0) -> DataFrame:
     """chapters(id, start, end) -> (id, window_start): windows a hop apart that fit, at most ``most`` of a chapter by hash."""
     n = F.floor((F.col("end") - F.col("start") - size) / hop)
-    w = chapters.filter(F.col("end") - F.col("start") >= size).select("id", (F.col("start") + F.explode(F.sequence(F.lit(0).cast("long"), n)) * hop).alias("window_start"))
-    r = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), "id", "window_start"), "window_start"))
+    w = chapters.filter(F.col("end") - F.col("start") >= size).select("id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n), lambda k: F.col("start") + k * hop)).alias("window_start"))
+    r = F.row_number().over(W.partitionBy("id").orderBy(hash_order(seed, F.col("id"), F.floor(F.col("window_start") * 1000)), "window_start"))
     return w.withColumn("_r", r).filter(F.col("_r") <= most).drop("_r")
 
 
-def plan_script(text: str, longest: float = 12.0, words_a_second: float = 2.2) -> list[str]:
-    """Sentences packed into chunks of at most this many predicted seconds; longer ones split at commas, then at words."""
-    limit = max(1, int(longest * words_a_second))
+def seconds_of(text: str) -> float:
+    """``predicted_seconds`` of one text."""
+    tags = re.findall(TIMED_TAG, text)
+    held = sum(float(s) if name == "pause" and s else EVENT_SECONDS for name, s in tags)
+    return held + len(re.sub(TIMED_TAG, " ", text).split()) / WORDS_A_SECOND
+
+
+def plan_script(text: str, longest: float = 12.0) -> list[str]:
+    """Sentences packed into chunks that take at most so many seconds, pauses and events included.
+
+    A longer sentence is split at commas, and a longer part at words; a tag is never
+    split, and one that alone takes longer is a chunk of its own.
+    """
+
+    def packed(pieces: list[str]) -> list[str]:
+        out: list[str] = []
+        for p in pieces:
+            if out and seconds_of(f"{out[-1]} {p}") <= longest:
+                out[-1] = f"{out[-1]} {p}"
+            else:
+                out.append(p)
+        return out
+
+    def ended(units: list[str], marks: str) -> list[str]:
+        """Runs of units up to one that ends in a mark."""
+        out: list[list[str]] = [[]]
+        for u in units:
+            out[-1].append(u)
+            if u[-1] in marks:
+                out.append([])
+        return [" ".join(r) for r in out if r]
+
+    units = lambda t: re.findall(r"(?:\[[^\]]*\]|[^\s\[]|\[)+", t)  # noqa: E731  words, and tags with their spaces
+    fits = lambda t: seconds_of(t) <= longest
     pieces: list[str] = []
-    for sentence in re.findall(r"[^.!?]+[.!?]*", text or ""):
-        parts = [sentence] if len(sentence.split()) <= limit else re.findall(r"[^,]+,?", sentence)
-        for part in parts:
-            words = part.split()
-            pieces += [" ".join(words[i : i + limit]) for i in range(0, len(words), limit)]
-    chunks: list[str] = []
-    for p in pieces:
-        if chunks and len(chunks[-1].split()) + len(p.split()) <= limit:
-            chunks[-1] += " " + p
-        else:
-            chunks.append(p)
-    return chunks
+    for sentence in ended(units(text or ""), ".!?…"):
+        for part in [sentence] if fits(sentence) else ended(units(sentence), ","):
+            pieces += [part] if fits(part) else packed(units(part))
+    return packed(pieces)
 
 
 def planned_scripts(scripts: DataFrame, text: str = "text", longest: float = 12.0) -> DataFrame:
@@ -366,13 +390,48 @@ def planned_scripts(scripts: DataFrame, text: str = "text", longest: float = 12.
     return scripts.withColumn("chunks", plan(text))
 
 
-def gap_plan(words: Column, tags: dict[str, float], sentence: float = 0.6, comma: float = 0.25) -> Column:
-    """Least silence after each word of an array: by its tag in brackets, a sentence's end or a comma, the largest of them."""
-    table = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])
-    return F.transform(
-        words,
-        lambda w: F.greatest(F.coalesce(F.try_element_at(table, F.regexp_extract(w, r"\[([^\]]+)\]", 1)), F.lit(0.0)), F.when(w.rlike(r"[.!?]$"), sentence).when(w.endswith(","), comma).otherwise(0.0)),
-    )
+#: What a clause asks the breath to do, and for how many seconds; the first that is found counts.
+BREATH_CUES = (
+    (r"(?i)\b(breathe in|breathing in|inhale|take a (deep |slow )?breath)\b", 4.0),
+    (r"(?i)^\W*((and|now|slowly|then)\s+)*in\W*$", 4.0),
+    (r"(?i)\bhold (it|that|your breath)\b|^\W*hold\W*$", 3.0),
+    (r"(?i)\b(breathe out|breathing out|exhale|let it (all )?(out|go))\b", 5.0),
+    (r"(?i)^\W*((and|now|slowly|then)\s+)*out\W*$", 5.0),
+)
+_QUOTES = "[\"')]*$"
+
+
+def gap_plan(scripts: DataFrame, key: str = "id", text: str = "text", sentence: float = 0.6, ellipsis: float = 1.2, cues: bool = True) -> DataFrame:
+    """(key, after, least, event): what the gap after a script's word (0: before the first) must hold, where it must hold anything.
+
+    ``least`` is the largest of what asks for quiet there: a pause with its length, a sentence's
+    end, an ellipsis, or a clause that is a breathing cue. ``event``: a tag that is no pause
+    stands there. Clauses end at . ! ? , ; : and ellipses. One scan over a script's tokens.
+    """
+    tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\[[^\]]*\]|[^\s\[]+"), F.lit(0))
+    tag = lambda x: x.rlike(f"^{TIMED_TAG}$")
+    word = lambda x: ~tag(x) & x.rlike("(?i)[a-z0-9]")
+    ends = lambda x: x.rlike(r"(\.\.\.|…|[.!?,;:])" + _QUOTES)
+    grown = lambda at, x: F.when(at["clause"] == "", x).otherwise(F.concat(at["clause"], F.lit(" "), x))
+    first = F.struct(F.lit(0).alias("k"), F.lit("").alias("clause"))
+
+    def step(at: Column, x: Column) -> Column:
+        return F.when(word(x), F.struct((at["k"] + 1).alias("k"), F.when(ends(x), "").otherwise(grown(at, x)).alias("clause"))).otherwise(at)
+
+    def told(at: Column, x: Column) -> Column:
+        name, length = F.regexp_extract(x, TIMED_TAG, 1), F.regexp_extract(x, TIMED_TAG, 2)
+        pause = name == "pause"
+        cue = F.lit(0.0)
+        for pattern, seconds in reversed(BREATH_CUES if cues else ()):
+            cue = F.when(grown(at, x).rlike(pattern), seconds).otherwise(cue)
+        quiet = F.greatest(cue, F.when(x.rlike(r"(\.\.\.|…)" + _QUOTES), ellipsis).when(x.rlike("[.!?]" + _QUOTES), sentence).otherwise(0.0))
+        held = F.struct(at["k"].alias("after"), F.when(pause, F.coalesce(length.try_cast("double"), F.lit(0.0))).otherwise(0.0).alias("least"), (~pause).alias("event"))
+        said = F.struct((at["k"] + 1).alias("after"), quiet.alias("least"), F.lit(False).alias("event"))
+        return F.when(tag(x), held).when(word(x) & ends(x) & (quiet > 0), said)
+
+    found = X.scan(tokens, first, step, told, "struct<after:int,least:double,event:boolean>")
+    rows = scripts.select(key, F.explode(found).alias("g")).select(key, "g.*")
+    return rows.groupBy(key, "after").agg(F.max("least").alias("least"), F.max("event").alias("event"))
 
 
 #: Of a script's length in seconds: words a second, and of a tag that isn't a pause with its own length.
@@ -397,8 +456,12 @@ def retag(windows: DataFrame, verdicts: DataFrame, least: float = 0.5) -> DataFr
     return j.withColumn("why", why).select("uid", F.when(F.col("why") == "pause", "pause").when(F.col("why") != "dropped", F.col("label")).alias("tag"), "why")
 
 
-def take_scores(takes: DataFrame, script: str = "script", heard: str = "heard") -> DataFrame:
-    """Adds word_err (indices of script words that a diff replaced or deleted) and score: errors, and thrice each laugh."""
+def take_scores(takes: DataFrame, script: str = "script", heard: str = "heard", seconds: str | None = None) -> DataFrame:
+    """Adds word_err (indices of script words that a diff replaced or deleted), laughs, len_ratio and score.
+
+    The score counts errors, thrice each laugh that the script doesn't have, and 3 if the take's
+    ``seconds`` (a column; none: not looked at) are under half or over 1.8 times what the script should take.
+    """
     import difflib
 
     @F.pandas_udf("array<int>")
@@ -410,8 +473,12 @@ def take_scores(takes: DataFrame, script: str = "script", heard: str = "heard")
 
         return pd.Series([one(x, y) for x, y in zip(a, b)])
 
-    laughs = F.regexp_count(F.lower(F.coalesce(heard, F.lit(""))), F.lit(r"\bha(?:ha)+\b"))
-    return takes.withColumn("word_err", wrong(script, heard)).withColumn("score", (F.size("word_err") + 3 * laughs).cast("double"))
+    said = F.coalesce(F.col(script), F.lit(""))
+    laughs = F.when(said.rlike(r"(?i)laugh|\bha"), 0).otherwise(F.regexp_count(F.lower(F.coalesce(heard, F.lit(""))), F.lit(r"\bha(?:ha)+\b")))
+    ratio = F.col(seconds) / F.greatest(F.lit(1.0), predicted_seconds(said)) if seconds else F.lit(None).cast("double")
+    bad = F.coalesce((ratio < 0.5) | (ratio > 1.8), F.lit(False)).cast("int")
+    out = takes.withColumns({"word_err": wrong(script, heard), "laughs": laughs, "len_ratio": ratio})
+    return out.withColumn("score", (F.size("word_err") + 3 * F.col("laughs") + 3 * bad).cast("double"))
 
 
 def balance(left: Column, right: Column, parts: int = 2) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.order import running
+from quillon.operators.sample import hash_order
 from quillon.sources.shared import cut
 
 
@@ -50,6 +51,30 @@ def labelling_state(answers: DataFrame, gold: DataFrame, needed: int = 10) -> Da
     return g.select("who", "gold_done", left.alias("gold_left"), F.when(left == 0, "labelling").otherwise("training").alias("mode"))
 
 
+def labelling_modes(clips: DataFrame, people: DataFrame, timeline_ui: int = 0, gold_votes: int = 12) -> DataFrame:
+    """people(who, beta, ...) with mode, gold_done and gold_total; clips(gold, blocked, votes).
+
+    The setting decides if it is 1 (`timeline`) or -1 (`tags`); else the timeline opens once every
+    gold clip has its votes, or to those who asked for it.
+    """
+    gold = clips.filter(F.col("gold") & ~F.coalesce("blocked", F.lit(False))).agg(F.count(F.lit(1)).alias("gold_total"), F.count_if(F.col("votes") >= gold_votes).alias("gold_done"))  # one row
+    open_now = (F.col("gold_total") > 0) & (F.col("gold_done") >= F.col("gold_total"))
+    mode = F.when(F.lit(timeline_ui == 1), "timeline").when(F.lit(timeline_ui == -1), "tags").when(open_now | F.coalesce("beta", F.lit(False)), "timeline").otherwise("tags")
+    return people.join(F.broadcast(gold)).withColumn("mode", mode)
+
+
+def neediest(clips: DataFrame, open_leases: DataFrame, first: int = 300, penalty: float = 0.15, jitter: float = 0.05, seed: int = 0) -> DataFrame:
+    """(item, need, score): the neediest clips, of which those that people hold open come later; chance breaks what is near.
+
+    clips(item, active, need); the first ones by need are taken, then ranked anew.
+    """
+    top = clips.filter("active").orderBy(F.col("need").desc(), "item").limit(first)
+    held = open_leases.groupBy("item").agg(F.count(F.lit(1)).alias("_open"))
+    draw = F.conv(F.substring(hash_order(seed, F.col("item")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    score = F.col("need") - F.lit(penalty) * F.coalesce("_open", F.lit(0)) + F.lit(jitter) * draw
+    return top.join(held, "item", "left").select("item", "need", score.alias("score")).orderBy(F.desc("score"), "item")
+
+
 def interlude_gap(key: Column, low: int = 8, high: int = 17, seed: int = 0) -> Column:
     """Answers until the next interlude: uniform between the bounds, by a seeded hash."""
     return (F.lit(low) + F.pmod(F.xxhash64(F.lit(seed), key), F.lit(high - low + 1))).cast("int")

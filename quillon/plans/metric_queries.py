@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import metrics, sample, segment, serving
+from quillon.operators import metrics, sample, screen, segment, serving
 from quillon.plans.agreement_queries import EV, VOTES, r6
 from quillon.plans.registry import query
 from quillon.sources.tables import LABELS, events, table, votes
@@ -108,6 +108,98 @@ def planned_scripts(spark, d):
 
 @query("take_scores")
 def take_scores(spark, d):
+    """Every turn of a conversation as a take of the one before it, as long as its words need."""
     c = table(spark, d, "conversations")
-    a, b = c.filter("turn = 0").select("conv_id", F.col("text").alias("script")), c.filter("turn = 1").select("conv_id", F.col("text").alias("heard"))
-    return segment.take_scores(a.join(b, "conv_id")).select("conv_id", "score")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("script"))
+    takes = before.join(c.select("conv_id", "turn", F.col("text").alias("heard")), ["conv_id", "turn"])
+    spoken = takes.withColumn("seconds", segment.predicted_seconds(F.coalesce("heard", F.lit(""))))
+    return segment.take_scores(spoken, seconds="seconds").select("conv_id", "turn", "laughs", "score")
+
+
+@query("gap_plan")
+def gap_plan(spark, d):
+    """What the gaps of each turn's words must hold."""
+    c = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return segment.gap_plan(c).select("id.conv_id", "id.turn", "after", "least", "event")
+
+
+@query("judges_against_people", f"WITH {EV}, pp AS (SELECT item, who % 12 AS who, list(DISTINCT label) AS labels FROM ev WHERE who % 4 > 0 GROUP BY 1, 2), n AS (SELECT item, count(*) AS n FROM pp GROUP BY item), dm AS (SELECT item, label FROM (SELECT item, unnest(labels) AS label FROM pp) JOIN n USING (item) GROUP BY item, label, n HAVING 2 * count(*) > n), s AS (SELECT DISTINCT item, who AS judge, label, 1 AS said FROM ev JOIN n USING (item) WHERE who % 4 = 0), due AS (SELECT j.item, judge, label, 1 AS due FROM (SELECT DISTINCT item, judge FROM s) j JOIN dm USING (item)), f AS (SELECT judge, label, count(said + due) AS tp, count(said) - count(said + due) AS fp, count(due) - count(said + due) AS fn FROM s FULL JOIN due USING (item, judge, label) GROUP BY ALL) SELECT judge, label, tp, fp, fn, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM f WHERE tp + fn > 0")
+def judges_against_people(spark, d):
+    """A quarter of the labellers as judges against what most of twelve groups of the others ticked."""
+    e = events(spark, d)
+    people = e.filter("who % 4 > 0").groupBy("item", (F.col("who") % 12).alias("who")).agg(F.collect_set("label").alias("labels"))
+    judged = votes(spark, d).filter("who % 4 = 0").select("item", F.col("who").alias("judge"), "labels")
+    return metrics.judges_against_people(judged, people).withColumn("f1", F.round("f1", 6))
+
+
+GOLD = "SELECT count(*) AS total, count(*) FILTER (p_partkey % 17 >= 12) AS done FROM part WHERE p_partkey % 31 = 0 AND p_partkey % 62 > 0"
+
+
+@query("labelling_modes", f"WITH g AS ({GOLD}) SELECT c_custkey AS who, CASE WHEN total > 0 AND done >= total OR c_custkey % 6 = 0 THEN 'timeline' ELSE 'tags' END AS mode, done AS gold_done, total AS gold_total FROM customer, g")
+def labelling_modes(spark, d):
+    k = F.col("p_partkey")
+    clips = table(spark, d, "part").select((k % 31 == 0).alias("gold"), (k % 62 == 0).alias("blocked"), (k % 17).alias("votes"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("who"), F.when(F.col("c_custkey") % 6 == 0, True).alias("beta"))
+    return serving.labelling_modes(clips, people).select("who", "mode", "gold_done", "gold_total")
+
+
+@query("neediest_again", "WITH c AS (SELECT p_partkey AS item, p_retailprice / 2000 AS need FROM part WHERE p_partkey % 9 > 0 ORDER BY need DESC, item LIMIT 300), o AS (SELECT l_partkey AS item, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT item, round(need, 6) AS need, round(need - 0.15::DOUBLE * coalesce(n, 0) + 0.05::DOUBLE * (('0x' || substr(md5('0|' || item), 1, 8))::BIGINT / 4294967296.0::DOUBLE), 6) AS score FROM c LEFT JOIN o USING (item)")
+def neediest_again(spark, d):
+    """The 300 neediest parts, those that are held open later."""
+    k = F.col("p_partkey")
+    clips = table(spark, d, "part").select(k.alias("item"), (k % 9 > 0).alias("active"), (F.col("p_retailprice") / 2000).alias("need"))
+    held = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("item"))
+    return serving.neediest(clips, held).select("item", r6("need", "need"), r6("score", "score"))
+
+
+@query("candidate_checks", """WITH r AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 13 = 0 THEN 'short' ELSE 'id-' || lpad((o_orderkey % 9000)::VARCHAR, 8, '0') END AS id, o_orderpriority AS cls, o_custkey % 40 AS channel, CASE o_orderkey % 5 WHEN 0 THEN 'chapter' WHEN 1 THEN 'playlist' ELSE 'single' END AS kind, o_totalprice / 2000 AS len FROM orders),
+ a AS (SELECT *, CASE WHEN id = 'short' THEN 'schema' WHEN kind = 'playlist' THEN 'kind' WHEN kind = 'chapter' AND len < 60 THEN 'no chapters' END AS why FROM r), b AS (SELECT *, CASE WHEN why IS NULL AND (row_number() OVER (PARTITION BY id, why IS NULL ORDER BY n) > 1 OR id IN (SELECT 'id-' || lpad((p_partkey % 9000)::VARCHAR, 8, '0') FROM part WHERE p_partkey % 50 = 0)) THEN 'dup' ELSE why END AS w2 FROM a),
+ c AS (SELECT *, CASE WHEN w2 IS NULL AND row_number() OVER (PARTITION BY cls, channel, w2 IS NULL ORDER BY n) > 20 THEN 'channel cap' ELSE w2 END AS reason FROM b) SELECT n, reason, CASE WHEN kind = 'chapter' THEN (len >= 60)::INT ELSE 1 END AS chapters FROM c""")
+def candidate_checks(spark, d):
+    """Orders as candidates of videos and chapters."""
+    k = F.col("o_orderkey")
+    code = lambda c: F.concat(F.lit("id-"), F.lpad((c % 9000).cast("string"), 8, "0"))
+    chapters = F.array(F.struct(F.lit(0.0).alias("start"), (F.col("o_totalprice") / 2000).alias("end")))
+    rows = table(spark, d, "orders").select(k.alias("n"), F.when(k % 13 == 0, "short").otherwise(code(k)).alias("id"), F.col("o_orderpriority").alias("cls"), (F.col("o_custkey") % 40).alias("channel"), F.when(k % 5 == 0, "chapter").when(k % 5 == 1, "playlist").otherwise("single").alias("kind"), chapters.alias("chapters"))
+    known = table(spark, d, "part").filter("p_partkey % 50 = 0").select(code(F.col("p_partkey")).alias("id"))
+    return screen.candidate_checks(rows, known).select("n", "reason", F.size("chapters").alias("chapters"))
+
+
+PARTS = "pt AS (SELECT p_partkey AS key, p_brand AS label, p_type AS creator, p_retailprice AS price, p_size AS size, md5('0|' || p_partkey) AS h FROM part)"
+
+
+def part_rows(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("label"), F.col("p_type").alias("creator"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+
+
+@query("biggest_first", f"WITH {PARTS}, s AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY h, key) AS p FROM pt) SELECT key, label FROM s ORDER BY p, n DESC, label LIMIT 130")
+def biggest_first(spark, d):
+    return sample.biggest_first(part_rows(spark, d), "label", "key", 130).select("key", "label")
+
+
+@query("head_cap", f"WITH {PARTS}, s AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY h, key) AS p FROM pt) SELECT key, label FROM s WHERE p <= greatest(10, floor(n * 0.15))")
+def head_cap(spark, d):
+    return sample.head_cap(part_rows(spark, d), "label", "key", 0.15, 10).select("key", "label")
+
+
+@query("tiered", f"WITH {PARTS} SELECT key, CASE WHEN size < 10 THEN 0 WHEN size < 30 THEN 1 ELSE 2 END AS tier, row_number() OVER (PARTITION BY CASE WHEN size < 10 THEN 0 WHEN size < 30 THEN 1 ELSE 2 END, label ORDER BY price DESC, key)::INT AS position FROM pt")
+def tiered(spark, d):
+    size = F.col("size")
+    return sample.tiered(part_rows(spark, d), F.when(size < 10, 0).when(size < 30, 1).otherwise(2), [F.col("price").desc(), "key"], "label").select("key", "tier", "position")
+
+
+@query("voice_bank", f"WITH {PARTS}, o AS (SELECT *, size % 7 = 0 AS std, row_number() OVER (PARTITION BY key // 3 ORDER BY (size % 7 = 0) DESC, h, key) AS o FROM pt), t AS (SELECT *, row_number() OVER (PARTITION BY creator, label ORDER BY std DESC, h, key) AS t FROM o WHERE o = 1), k AS (SELECT *, row_number() OVER (PARTITION BY creator ORDER BY std DESC, t, label, key)::INT AS rank FROM t) SELECT key, creator, rank FROM k WHERE rank <= 8")
+def voice_bank(spark, d):
+    rows = part_rows(spark, d).withColumn("owner", F.floor(F.col("key") / 3))
+    return sample.voice_bank(rows, "label", "owner", ["creator"], "key", F.col("size") % 7 == 0, 8).select("key", "creator", "rank")
+
+
+@query("keep_by_weight", f"WITH {PARTS} SELECT key FROM pt WHERE ('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE < size / 60.0")
+def keep_by_weight(spark, d):
+    return sample.keep_by_weight(part_rows(spark, d).withColumn("w", F.col("size") / 60.0), "w", "key").select("key")
+
+
+@query("chapter_windows", "WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_discount * 100 AS a, l_discount * 100 + l_quantity AS b FROM lineitem), w AS (SELECT id, a + unnest(range(0, floor((b - a - 4) / 3)::BIGINT + 1)) * 3 AS s FROM c WHERE b - a >= 4), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('0|' || id || '|' || floor(s * 1000)::BIGINT), s) AS k FROM w) SELECT id, round(s, 6) AS window_start FROM r WHERE k <= 5")
+def chapter_windows(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_discount") * 100).alias("start"), (F.col("l_discount") * 100 + F.col("l_quantity")).alias("end"))
+    return segment.chapter_windows(rows, most=5).select("id", r6("window_start", "window_start"))

@@ -89,7 +89,7 @@ def test_registered_rounds_are_the_references(spark, monkeypatch):
     def note(name, argument):
         def f(*a, **b):
             seen[name] = b[argument]
-            return (spark.createDataFrame([(1, {"a": 0.5}, ["a"])], "uid int, probs map<string,double>, labels array<string>"), None) if name == "fuse_labels" else None
+            return (spark.createDataFrame([(1, {"a": 0.5}, ["a"])], "uid int, probs map<string,double>, labels array<string>"), None) if name == "fuse_labels" else spark.createDataFrame([(0.5,)], "conf double")
 
         return f
 
