@@ -31,8 +31,8 @@ _SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 #: str.split() also cuts at these four, which aren't white space to the tokenizer.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Cached fragments and their bytes, per Python worker; then the cache starts anew.
-CACHE_ENTRIES = 250_000
-CACHE_BYTES = 16 << 20
+CACHE_ENTRIES = 120_000
+CACHE_BYTES = 8 << 20
 #: Bytes of the longest fragment that is merged in rounds with others of its length, as the cost of that grows with
 #: the square of its length; longer ones are merged one by one with a queue. Both give the same identifiers.
 LONG = 48
