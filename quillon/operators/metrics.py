@@ -94,12 +94,14 @@ def timing_errors(found: DataFrame) -> DataFrame:
 
 
 def learnability(embeddings: DataFrame, cap: int = 200, folds: int = 4, repeats: int = 2, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
-    """(repeat, n, accuracy, majority): a linear softmax probe on balanced classes, trained on all but one fold."""
+    """(repeat, n, accuracy, majority): a linear softmax probe on balanced classes, trained on all but one fold; nothing for an empty table."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     rank = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(key), key))
     rows = embeddings.withColumn("_r", rank).filter(F.col("_r") <= cap).select(F.col(key).alias("k"), F.col(label).cast("double").alias("label"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
+    if rows.isEmpty():
+        return embeddings.sparkSession.createDataFrame([], "repeat int, n long, accuracy double, majority double")
     out = None
     for repeat in range(repeats):
         fold = F.pmod(F.xxhash64(F.lit(repeat), "k"), F.lit(folds))

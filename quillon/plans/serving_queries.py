@@ -106,7 +106,7 @@ def working_set(spark, d):
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     new = lines.filter("l_returnflag = 'R'").select((-key).alias("item"), key.alias("place"), F.floor("l_extendedprice").alias("bytes"))
     files = clips.filter("item % 11 > 0").select("item", "bytes").unionByName(new.filter("place % 7 > 0").select("item", "bytes"))
-    used = clips.filter("active").agg(F.sum("bytes")).first()[0]
+    used = clips.filter("active").agg(F.sum("bytes")).first()[0] or 0
     batch = clips.filter("batch LIKE '1%'").agg(F.max("batch")).first()[0]
     held = lines.filter("l_quantity > 45").select(F.col("l_orderkey").alias("item"))
     return S.working_set(clips, held, files, used + used // 50, used, used // 200, batch, new.select("item", "place"))
