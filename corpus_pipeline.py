@@ -34,7 +34,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies (SimHash over five words, alike to 0.8): the smallest doc_id (null last), then the first place."""
+    """Keeps one document of each class of near copies (sets of five-word shingles alike to 0.8 or more, all links: SimHash, then an exact join): the smallest doc_id (null last), then the first place."""
     return near.drop_near_copies(docs)
 
 

@@ -117,3 +117,38 @@ def test_difficult_rows(spark, docs, nothing):
     assert len(rows()) > len(ids) and near.drop_near_copies(nothing).count() == 0
     same = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("one text of several words that all have").alias("text"))
     assert [r.doc_id for r in near.drop_near_copies(same).collect()] == [0]
+
+
+def classes_by_force(texts, share=0.8):
+    """The class of each text: of all pairs alike to the share, by their sets of shingles."""
+    sets, label = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    root = lambda i: i if label[i] == i else root(label[i])
+    for b in texts:
+        for a in texts:
+            if a < b and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+                label[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in texts}
+
+
+def test_no_link_is_lost_or_made_at_the_edge(spark):
+    """Pairs just above and just below 0.8, a common passage, a large group that hangs together by some of its pairs only."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    draw = lambda k: " ".join(rng.choices(words, k=k))
+    passage, texts = draw(40), {}
+    for i in range(100):
+        base = draw(rng.randrange(60, 400))
+        texts[2 * i] = f"{passage} {base}" if i % 3 == 0 else base
+        n = len(texts[2 * i].split()) - 4
+        texts[2 * i + 1] = f"{texts[2 * i]} {draw(n // 4 + i % 2)}"  # n of n + n // 4 shingles are common, or one fewer of them
+    template = draw(90)
+    for i in range(200, 260):
+        texts[i] = edited(rng, template, rng.randrange(1, 3))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = classes_by_force(texts)
+    assert sum(want[2 * i] == want[2 * i + 1] for i in range(100)) >= 50 and want[1] == 0
+    assert sum(want[2 * i] != want[2 * i + 1] for i in range(100)) >= 10 and 1 < len({want[i] for i in range(200, 260)}) < 60
+    prints, classes = near.near_classes(docs, ["doc_id"])
+    root = {r.doc_id: r.root for r in prints.join(classes, "fp").select("doc_id", "root").collect()}
+    assert len(set(root.values())) == len(set(want.values())) == len({(root[i], want[i]) for i in texts})
+    assert {r.doc_id for r in near.drop_near_copies(docs).collect()} == set(want.values())
