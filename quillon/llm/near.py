@@ -23,6 +23,10 @@ HOT rows: they come last, so a common passage is in few prefixes. In a cell, pai
 and by the parities of their hashes, of which no more can differ than shingles do; both lose no
 link. Large cells of several classes first try each row against one of the largest class, until
 that brings no more together; then all pairs of different classes follow.
+
+BITS parities tell nothing of large sets, which would all be checked. So a pair then goes by
+as many parities as its sets have hashes, up to a power of two: what is far from alike leaves
+before any set is read, and no link is lost by that.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ STRIP, STRIPS = 200_000, 64
 #: Shingles in more prefixes than this come last in the order of prefixes; it is settled in so many passes at most.
 HOT, PASSES = 1000, 4
 #: Cells of more rows and several classes are tried by single pivots first, so many times at most.
-STAR, STARS = 64, 4
+STAR, STARS = 64, 2
 #: Copies of a set, at most, among which the pairs that it is in are dealt when they are checked.
 PARTS = 16
 #: Odd factors that make a shingle's further hashes of its first one.
@@ -121,24 +125,34 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return simhash(shingles(text, shingle))
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """BITS parities of the numbers of hashes that fall to each: of two sets they differ in no more bits than the sets in hashes."""
-    odd = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def parity(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parities (a power of two) of the numbers of hashes that fall to each: of two sets they differ in no more bits than the sets in hashes."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def wide_parity(hashes: np.ndarray) -> np.ndarray:
+    """As many parities as there are hashes at least, BITS at least."""
+    return parity(hashes, max(BITS, 1 << max(0, len(hashes) - 1).bit_length()))
+
+
+def fold(parities: np.ndarray, words: int) -> np.ndarray:
+    """The fewer parities of the same set, in so many words."""
+    return np.bitwise_xor.reduce(parities.reshape(-1, words), axis=0)
+
+
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The columns ``keep``, and of each row's set of shingles fp (its identity), size, bits (SimHash) and parity; whole texts."""
+    """The columns ``keep``, and of each row's set of shingles fp (its identity), size, bits (SimHash), parity and wide (parities by its size); whole texts."""
     own = [F.col(f"`{c}`") for c in keep]
-    schema = docs.select(*own).schema.add("fp", "long").add("size", "integer").add("bits", "binary").add("parity", "binary")
+    schema = docs.select(*own).schema.add("fp", "long").add("size", "integer").add("bits", "binary").add("parity", "binary").add("wide", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for *kept, texts in slices(batch, batch.schema.names):
                 sets = [shingles(t, shingle) for t in texts.to_pylist()]
                 ids, sizes = pa.array([identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
-                bits, odd = (pa.array([of(s).tobytes() for s in sets], pa.binary()) for of in (simhash, parity))
-                yield pa.RecordBatch.from_arrays([*kept, ids, sizes, bits, odd], names=schema.names)
+                prints = [pa.array([of(s).tobytes() for s in sets], pa.binary()) for of in (simhash, parity, wide_parity)]
+                yield pa.RecordBatch.from_arrays([*kept, ids, sizes, *prints], names=schema.names)
 
     return map_arrow(docs.select(*own, F.col(text_col).alias("_near_text")), run, schema)
 
@@ -221,10 +235,9 @@ def cell_links(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def by_cells(rows: DataFrame, strip: int, *columns: str) -> DataFrame:
-    """rows(key, ...) cell by cell, in order of the first column: (key, lo, hi, columns...). Large cells are dealt by pairs of strips."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > strip)
-    large = cut(sizes.select("key", F.least(F.ceil(F.col("n") / strip), F.lit(STRIPS)).cast("int").alias("strips")))
+def by_cells(rows: DataFrame, sizes: DataFrame, strip: int, *columns: str) -> DataFrame:
+    """rows(key, ...) of cells of sizes(key, n), cell by cell, in order of the first column: (key, lo, hi, columns...). Large cells are dealt by pairs of strips."""
+    large = cut(sizes.filter(F.col("n") > strip).select("key", F.least(F.ceil(F.col("n") / strip), F.lit(STRIPS)).cast("int").alias("strips")))
     rows = rows.join(large, "key", "left") if large.count() else rows.withColumn("strips", F.lit(None).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("strips")).cast("int")
     partners = F.when(F.col("strips").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("strips") - 1))
@@ -267,7 +280,8 @@ def each_cell(ordered: DataFrame, compare: Callable[..., tuple[np.ndarray, np.nd
 
 def links(unique: DataFrame, width: int, tables: int, most: int, strip: int = STRIP) -> DataFrame:
     """unique(id, fp) -> (u, v): ids that hang together, cell by cell."""
-    ordered = by_cells(cut(cells(unique, width, tables)), strip, "pop", "id", "fp")
+    dealt = cells(unique, width, tables)  # twice, as that costs less than to store it
+    ordered = by_cells(dealt, dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")), strip, "pop", "id", "fp")
     return each_cell(ordered, lambda pops, ids, fp: cell_links(fp, most))
 
 
@@ -333,7 +347,7 @@ def cell_candidates(sizes: np.ndarray, parities: np.ndarray, roots: np.ndarray,
 def candidates(index: DataFrame, unique: DataFrame, roots: DataFrame, share: Fraction, strip: int, step: int | None) -> DataFrame | None:
     """(u, v), or None: pairs of the cells that may be alike and are of different classes; at a ``step``, of large cells and with one pivot each."""
     mixed = index.join(roots, "id").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"))
-    mixed = cut(mixed.filter(F.col("a") < F.col("b")).filter(F.col("n") > (1 if step is None else STAR)).select("key"))
+    mixed = cut(mixed.filter(F.col("a") < F.col("b")).filter(F.col("n") > (1 if step is None else STAR)).select("key", "n"))
     if not mixed.count():
         return None
     rows = index.join(mixed, "key", "left_semi").join(unique.select("id", "size", "parity"), "id").join(roots, "id")
@@ -349,12 +363,30 @@ def candidates(index: DataFrame, unique: DataFrame, roots: DataFrame, share: Fra
         left, right = cell_candidates(sizes[at], parities[at], at == pivot, share)
         return at[left], at[right]
 
-    return each_cell(by_cells(rows, strip, "size", "id", "parity", "root"), compare)
+    return each_cell(by_cells(rows, mixed, strip, "size", "id", "parity", "root"), compare)
+
+
+def possible(pairs: DataFrame, unique: DataFrame, share: Fraction) -> DataFrame:
+    """The pairs (u, v) that sizes and the parities by size don't rule out: all that are alike to the share, few others."""
+    p, q = share.numerator, share.denominator
+    u, v = (unique.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "uv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            apart = np.zeros(len(x), np.int64)
+            for i, (a, b) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                words = min(len(a), len(b)) // 8
+                apart[i] = np.bitwise_count(fold(np.frombuffer(a, np.uint64), words) ^ fold(np.frombuffer(b, np.uint64), words)).sum(dtype=np.int64)
+            fit = (q * np.minimum(x, y) >= p * np.maximum(x, y)) & ((p + q) * apart <= (q - p) * (x + y))
+            yield batch.select([0, 1]).filter(pa.array(fit))
+
+    return map_arrow(pairs.join(u, "u").join(v, "v").select("u", "v", "size_u", "size_v", "wide_u", "wide_v"), run, "u long, v long")
 
 
 def alike(pairs: DataFrame, docs: DataFrame, text_col: str, unique: DataFrame, share: Fraction, shingle: int) -> DataFrame:
     """The pairs (u, v) whose sets of shingles are alike to the share, by the sets themselves."""
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("u", "v"), F.lit(PARTS)))
+    dealt = cut(possible(pairs, unique, share)).withColumn("part", F.pmod(F.xxhash64("u", "v"), F.lit(PARTS)))
     wanted = cut(dealt.select(F.col("u").alias("id"), "part").union(dealt.select("v", "part")).distinct())
     places = cut(unique.join(wanted.select("id").distinct(), "id", "left_semi").select("place.*"))
 
@@ -381,9 +413,9 @@ def near_classes(docs: DataFrame, keep: list[str], text_col: str = "text", shing
     share = Fraction(str(similarity))
     docs = docs if set(PLACE) <= set(docs.columns) else located(docs)
     prints = cut(fingerprints(docs, list(dict.fromkeys([*keep, *PLACE])), text_col, shingle))
-    unique = cut(prints.groupBy(F.col("fp").alias("id")).agg(F.min(F.struct(*PLACE)).alias("place"), *(F.first(c).alias(c) for c in ("size", "bits", "parity"))))
+    unique = cut(prints.groupBy(F.col("fp").alias("id")).agg(F.min(F.struct(*PLACE)).alias("place"), *(F.first(c).alias(c) for c in ("size", "bits", "parity", "wide"))))
     width = key_bits(unique.count())
-    found = cut(links(unique.select("id", F.col("bits").alias("fp")), width, table_count(width, similarity, recall), radius(similarity), strip))
+    found = links(unique.select("id", F.col("bits").alias("fp")), width, table_count(width, similarity, recall), radius(similarity), strip)
     edges = alike(found, docs, text_col, unique, share, shingle)
 
     def classes() -> DataFrame:
@@ -395,7 +427,7 @@ def near_classes(docs: DataFrame, keep: list[str], text_col: str = "text", shing
         if step and not more:  # the pivots before brought nothing together
             continue
         some = candidates(index, unique, roots, share, strip, step)
-        joined = alike(cut(some), docs, text_col, unique, share, shingle) if some else None
+        joined = alike(some, docs, text_col, unique, share, shingle) if some else None
         more = joined.count() if joined else 0
         if more:
             edges = cut(edges.union(joined))

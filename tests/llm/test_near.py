@@ -1,6 +1,7 @@
 """Long fingerprints and near copies against plain sets of shingles."""
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -152,3 +153,26 @@ def test_no_link_is_lost_or_made_at_the_edge(spark):
     root = {r.doc_id: r.root for r in prints.join(classes, "fp").select("doc_id", "root").collect()}
     assert len(set(root.values())) == len(set(want.values())) == len({(root[i], want[i]) for i in texts})
     assert {r.doc_id for r in near.drop_near_copies(docs).collect()} == set(want.values())
+
+
+def test_large_sets_are_ruled_out_unread(spark):
+    """Of large texts with a passage in common BITS parities rule out nothing; those by size leave the pairs that are alike, or nearly so."""
+    rng = random.Random(13)
+    draw = lambda k: " ".join(f"w{rng.randrange(3000)}" for _ in range(k))
+    passage, texts = draw(60), []
+    for size in (700, 2500, 2900, 9000):
+        for _ in range(6):
+            base = f"{passage} {draw(size)}"
+            texts += [base, f"{base} {draw(size // 4)}", edited(rng, base, size // 200)]
+    sets = [near.shingles(t) for t in texts]
+    for s in sets:
+        wide = near.wide_parity(s)
+        assert len(s) <= 64 * len(wide) < 2 * max(near.BITS, len(s)) and (near.fold(wide, near.WORDS) == near.parity(s)).all()
+    held = [(i, len(s), near.wide_parity(s).tobytes()) for i, s in enumerate(sets)]
+    unique = spark.createDataFrame(held, "id long, size int, wide binary")
+    every = [(a, b) for b in range(len(sets)) for a in range(b)]
+    share = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in every}
+    left = {tuple(r) for r in near.possible(spark.createDataFrame(every, "u long, v long"), unique, Fraction("0.8")).collect()}
+    assert {p for p in every if share[p] >= 0.8} <= left <= {p for p in every if share[p] >= 0.6} and len(left) >= 24
+    narrow = [(a, b) for a, b in every if 9 * int(np.bitwise_count(near.parity(sets[a]) ^ near.parity(sets[b])).sum()) <= len(sets[a]) + len(sets[b])]
+    assert len(narrow) > 10 * len(left)
