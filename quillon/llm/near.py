@@ -63,8 +63,8 @@ TILE, OTHERS = 64, 2048
 STRIP, STRIPS = 200_000, 64
 #: Shingles in more prefixes than this come last in the order of prefixes; it is settled in so many passes at most.
 HOT, PASSES = 1000, 4
-#: Cells of more rows and several classes are tried by single pivots first, so many times at most.
-STAR, STARS = 64, 2
+#: Cells of more rows and several classes are tried by single pivots first, so many times at most; smaller ones take fewer jobs without.
+STAR, STARS = 4096, 4
 #: Copies of a set, at most, among which the pairs that it is in are dealt when they are checked.
 PARTS = 16
 #: Odd factors that make a shingle's further hashes of its first one.
