@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, exact, langid, mixing, near
-from quillon.llm.common import delete, scratch, table
+from quillon.llm.common import delete, scratch, shrink_heaps, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,6 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of identifiers and decoded text, one row for each row that came."""
+    shrink_heaps(spark)
     coded = bpe.encode_column(docs, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

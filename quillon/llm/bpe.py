@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import give_back, map_arrow, slices, table
 
 #: Characters that separate words: the property White_Space of Unicode.
 _SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -36,6 +36,9 @@ CACHE_BYTES = 8 << 20
 #: Bytes of the longest fragment that is merged in rounds with others of its length, as the cost of that grows with
 #: the square of its length; longer ones are merged one by one with a queue. Both give the same identifiers.
 LONG = 48
+#: Bytes of text that ``encode_column`` encodes at once: identifiers and fragments of a slice, as Python's objects, take
+#: many times its size.
+SLICE_BYTES = 256 << 10
 
 
 def default_vocabulary() -> str:
@@ -352,7 +355,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            for keys, texts in slices(batch, ["id", "text"], 4 << 20):
+            for keys, texts in slices(batch, ["id", "text"], SLICE_BYTES):
                 ids, at = bpe.encode(texts.to_pylist())
                 blobs = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(at * 4)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
                 out = [keys, pa.array(np.diff(at)), blobs.cast(pa.binary())]
@@ -360,6 +363,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     every = ids.tolist()
                     out.append(pa.array([bpe.decode(every[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "ids", "decoded"][: len(out)])
+            give_back()
         bpe.reset()  # the worker process may serve other stages next
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
