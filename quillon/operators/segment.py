@@ -149,7 +149,7 @@ def group_neighbours(segments: list[tuple], target: float = 5.0, longest: float
             continue
         if group and total + join + d > longest:
             flush()
-        total += d + (join if group else 0.0)
+        total = total + d + (join if group else 0.0)  # from left to right, as the SQL adds: which side of the target a sum falls on hangs on it
         group = [*group, i]
         if total >= target:
             flush()

@@ -4,6 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from quillon.operators import segment
 from quillon.operators import segment
 from quillon.plans import catalogue  # noqa: F401
 from quillon.plans.registry import ORACLES, QUERIES
@@ -26,3 +27,9 @@ def test_gold_pick_orders_by_the_plain_average(spark, tmp_path):
     got, want = both(spark, tmp_path, "gold_pick", lineitem={"l_partkey": clips, "l_returnflag": ["A"] * len(clips), "l_discount": [0.1] * len(clips)})
     assert got == want
     assert [r[0] for r in got] == [*range(1, 12), 50]
+
+
+def test_concat_neighbours_adds_up_as_the_sql():
+    """1.6863 + 3.2137 + 0.1 from left to right is under five, so a third clip still comes in."""
+    assert segment.group_neighbours([(0, 1.6863), (1, 3.2137), (2, 2.0)]) == [[0, 1, 2]]
+    assert segment.group_neighbours([(0, 1.7), (1, 3.2), (2, 2.0)]) == [[0, 1]]
