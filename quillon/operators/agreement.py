@@ -95,6 +95,8 @@ def trust(first: DataFrame, retests: DataFrame, truth: DataFrame, prior: float =
 
 
 FLAGS = ("follows others by chance", "follows others little", "rushing", "short listening", "steady pace", "same label every time", "disagrees with own retests", "unsure often", "shares a device")
+#: Sums of at most a window's doubles are off by less; a figure that lies so near a limit stands at it, not under it.
+ROUNDING = 1e-12
 
 
 def labeller_quality(answers: DataFrame, truth: DataFrame | None = None, marks: DataFrame | None = None, weak: DataFrame | None = None, window: int = 400, shifts: int = 20, weak_follow: float = 0.1, watch_follow: float = 0.1) -> DataFrame:
@@ -141,10 +143,11 @@ def labeller_quality(answers: DataFrame, truth: DataFrame | None = None, marks:
         out = out.withColumn("device_peers", F.lit(0))
     out = out.fillna(0, ["refs", "retests", "device_peers", "top"]).withColumn("top_share", F.col("top") / F.col("answers"))
     c = F.col
-    chance = (c("refs") >= 15) & (c("follow") + 1.645 * c("se") < weak_follow)
+    under = lambda x, limit: x < limit - ROUNDING
+    chance = (c("refs") >= 15) & under(c("follow") + 1.645 * c("se"), weak_follow)
     tests = (
         chance,
-        (c("refs") >= 15) & (c("follow") < watch_follow) & ~chance,
+        (c("refs") >= 15) & under(c("follow"), watch_follow) & ~chance,
         (c("answers") >= 20) & (c("rush_rate") > 0.3),
         (c("answers") >= 20) & (c("median_listen") < 3000),
         (c("answers") >= 30) & (c("cv") < 0.15),

@@ -42,3 +42,15 @@ def test_kappa(spark):
     rows = [(i, "a", x) for i, x in enumerate("ppnn")] + [(i, "b", x) for i, x in enumerate("pnnn")]
     r = A.cohen_kappa(spark.createDataFrame(rows, "item int, judge string, answer string")).first()
     assert r.n == 4 and abs(r.agreement - 0.75) < 1e-9 and abs(r.kappa - 0.5) < 1e-9
+
+
+def test_a_figure_at_the_limit_is_not_under_it(spark):
+    """In fractions all three follow others by one tenth exactly, in doubles by 0.09999999999999999, ...95 and ...98."""
+    for truth, said in (("adeeceeedbeddeaa", "eeaeeaeeaaedcedb"), ("dcabcbdadacaabcabd", "cadbbadadbddacbaab"), ("abbcacacdabcdaacab", "adacccdbacbadabdcc")):
+        n = len(truth)
+        # the newest answer comes first, and of equal times the highest item
+        rows = [(n - i, "x", [a], [b]) for i, (a, b) in enumerate(zip(truth, said))]
+        a = spark.createDataFrame(rows, "item int, who string, truth array<string>, labels array<string>")
+        a = a.withColumns({"attempt": F.lit(1), "unsure": F.lit(False), "listen_ms": F.lit(6000.0), "answer_s": F.lit(9.0), "at": F.lit(0)})
+        r = A.labeller_quality(a, a.select("item", F.col("truth").alias("labels"))).first()
+        assert r.refs == n and abs(r.follow - 0.1) < 1e-12 and r.flags == []
