@@ -20,13 +20,16 @@ def tier(votes: Column, target: Column, gold: Column, boosted: Column, gold_vote
     return F.when(gold & (votes < gold_votes), 0).when(boosted & started, 1).when(boosted, 2).when(started, 3).otherwise(4)
 
 
-def next_items(clips: DataFrame, people: DataFrame, seen: DataFrame, open_leases: DataFrame | None = None, each: int = 1, penalty: float = 0.15) -> DataFrame:
+def next_items(clips: DataFrame, people: DataFrame, seen: DataFrame, open_leases: DataFrame | None = None, each: int = 1, penalty: float = 0.15, by: str = "who") -> DataFrame:
     """(who, item, tier, score, rank): the best unseen active clips of every labeller, as long as there are any.
 
     clips(item, active, votes, target, gold, boosted, need); people(who);
-    seen(who, item); open_leases(item). All active clips are numbered in serving order
-    once. A labeller who has seen n of them finds the best unseen ones among the first
-    n + each numbers, so the work is that of ``seen``, not of people times clips.
+    seen(who, item); open_leases(item). ``by`` names a column of people and seen: people
+    alike in it have seen the same items, which then stand in seen once for all of them.
+    All active clips are numbered in serving order once. The seen ones among them are
+    numbered too: one with the number r at place p has p - r unseen before it, so the
+    j-th unseen clip stands at j and as many as have fewer than j unseen before them. The work is that
+    of ``seen``, not of people times clips, and no one's seen items are gathered.
     """
     t = clips.filter("active").withColumn("tier", tier(F.col("votes"), F.col("target"), F.col("gold"), F.col("boosted")))
     if open_leases is not None:
@@ -35,12 +38,16 @@ def next_items(clips: DataFrame, people: DataFrame, seen: DataFrame, open_leases
         t = t.withColumn("_open", F.lit(0))
     t = t.select("item", "tier", (F.col("need") - penalty * F.coalesce("_open", F.lit(0))).alias("score"))
     placed = cut(running(t, ["tier", F.col("score").desc(), "item"]))
-    known = seen.select("who", "item").distinct().join(placed.select("item", "place"), "item").groupBy("who").agg(F.collect_list("place").alias("_s"))
-    none = F.array().cast("array<bigint>")
-    wanted = people.select("who").join(known, "who", "left").withColumn("_s", F.coalesce("_s", none))
-    free = F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), F.size("_s") + F.lit(each).cast("long")), F.col("_s")), 1, each)
-    drawn = wanted.select("who", F.posexplode(free).alias("_k", "place"))
-    return drawn.join(placed, "place").select("who", "item", "tier", "score", (F.col("_k") + 1).alias("rank"))
+    groups = people.select(F.col(by).alias("_by")).distinct()
+    known = seen.select(F.col(by).alias("_by"), "item").distinct().join(placed.select("item", F.col("place").alias("at")), "item").select("_by", "at")
+    passed = running(known, ["at"], "_by").withColumn("_d", F.col("at") - F.col("place")).filter(F.col("_d") < each)
+    # at most ``each`` counts of a group
+    before = passed.groupBy("_by", "_d").agg(F.count(F.lit(1)).alias("_n")).groupBy("_by").agg(F.collect_list(F.struct("_d", "_n")).alias("_s"))
+    number = groups.join(before, "_by", "left").withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(each)))).filter(F.col("_k") <= each)
+    place = F.col("_k") + F.aggregate(F.filter(F.coalesce("_s", F.array().cast("array<struct<_d:bigint,_n:bigint>>")), lambda x: x["_d"] < F.col("_k")), F.lit(0).cast("long"), lambda n, x: n + x["_n"])
+    free = number.select("_by", "_k", place.alias("place")).join(placed, "place").select("_by", "_k", "item", "tier", "score")
+    crew = people.select("who", F.col(by).alias("_of"))
+    return crew.join(free, F.col("_of").eqNullSafe(F.col("_by"))).select("who", "item", "tier", "score", F.col("_k").alias("rank"))
 
 
 def labelling_state(answers: DataFrame, gold: DataFrame, needed: int = 10) -> DataFrame:

@@ -44,6 +44,17 @@ def test_next_items_never_starve(spark):
         assert [r.item for r in sorted(got, key=lambda r: r.rank) if r.who == who] == left
 
 
+def test_next_items_of_crews(spark):
+    """What a crew has seen stands in seen once; the rows are those of seen by labeller."""
+    rng = random.Random(8)
+    clips = spark.createDataFrame([(i, i % 5 > 0, i % 4, 5, i % 11 == 0, i % 7 == 0, rng.randrange(9) / 10) for i in range(80)], "item int, active boolean, votes int, target int, gold boolean, boosted boolean, need double")
+    people = spark.createDataFrame([(f"w{i}", "abcd"[i % 4]) for i in range(10)], "who string, crew string")
+    seen = spark.createDataFrame([(c, i) for c, n in zip("abc", (40, 79, 80)) for i in rng.sample(range(80), n)], "crew string, item int")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    got = rows(serving.next_items(clips, people, seen, each=4, by="crew"))
+    assert got == rows(serving.next_items(clips, people, people.join(seen, "crew"), each=4)) and got
+
+
 def test_shared_peers(spark):
     rng = random.Random(2)
     marks = [(k, rng.randrange(12), rng.randrange(30)) for k in ("net", "device") for _ in range(60)]
