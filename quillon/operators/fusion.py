@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,11 @@ def vote_cells(votes: DataFrame, menu: list[str], uid: str = "item", labeller: s
     return votes.select(F.col(uid).alias("uid"), F.col(labeller).alias("labeller"), labels, F.explode(covered).alias("label")).select("uid", "labeller", "label", F.array_contains(labels, F.col("label")).cast("int").alias("yes"))
 
 
-#: Cells (a labeller's answer in a distinct pattern) up to which the rounds run on the driver; with more, each round is Spark jobs over the patterns.
+#: Cells (a labeller's answer in a distinct pattern) up to which the rounds run on the driver. With more cells but no more patterns, tasks
+#: hold the cells of their labellers and the driver the posteriors; beyond that each round is Spark jobs over the patterns.
 DRIVER_CELLS = 1_000_000
+#: Cells in a task, about; a labeller's lie in one and are no more than the patterns.
+BLOCK_CELLS = 500_000
 
 
 @dataclass(frozen=True)
@@ -119,14 +123,94 @@ def _rounds_here(v: Patterns, pat: pd.DataFrame, cell: pd.DataFrame, rounds: int
     return post, spark.createDataFrame(rows, f"label string, prior double, labeller {kind}, sens double, spec double")
 
 
-def _rounds_in_spark(v: Patterns, rounds: int, shrink: float, pooled: DataFrame | None, every: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The same rounds as grouped sums over the patterns; lineage is cut reliably every few rounds."""
+def _with_pooled(v: Patterns, shrink: float, pooled: DataFrame | None) -> DataFrame:
+    """The cells with se0, sp0 and s: the rates that a machine's are pulled towards, and by how much."""
     cells = v.cells
     if pooled is not None:
         cells = cells.join(pooled.select("labeller", F.col("sens").alias("se0"), F.col("spec").alias("sp0"), F.lit(float(shrink)).alias("s")), "labeller", "left")
     else:
         cells = cells.withColumns({c: F.lit(None).cast("double") for c in ("se0", "sp0", "s")})
-    cells = cut(cells.fillna(0.0, ["se0", "sp0", "s"]).withColumn("s", F.when(F.col("k").isNull(), F.col("s")).otherwise(0.0)).repartition("id"))
+    return cells.fillna(0.0, ["se0", "sp0", "s"]).withColumn("s", F.when(F.col("k").isNull(), F.col("s")).otherwise(0.0))
+
+
+def _rounds_in_blocks(v: Patterns, pat: pd.DataFrame, blocks: int, rounds: int, shrink: float, pooled: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The same rounds with the posteriors on the driver and the cells dealt by labeller.
+
+    All cells of a labeller lie in one block, so its rates need no shuffle; a round is one
+    pass over the blocks, which gives the evidence by pattern.
+    """
+    spark = v.cells.sparkSession
+    label, labels = pd.factorize(pat.label)
+    count, many = len(labels), len(pat)
+    names = spark.createDataFrame(pa.table({"id": pa.array(pat.id, pa.int64()), "at": pa.array(np.arange(many), pa.int32()), "of": pa.array(label, pa.int32())}))
+    cells = _with_pooled(v, shrink, pooled).select("id", "labeller", "yes", "k", "se0", "sp0", "s").filter("labeller IS NOT NULL")
+    kind = v.cells.schema["labeller"].dataType.simpleString()
+    rates = ("k", "se0", "sp0", "s")
+
+    def pack(batches):
+        rows = list(batches)
+        if not sum(b.num_rows for b in rows):
+            return
+        t = pa.Table.from_batches(rows).combine_chunks()
+        who = t["labeller"].combine_chunks().dictionary_encode()
+        both, pair = np.unique(who.indices.to_numpy().astype(np.int64) * count + t["of"].to_numpy(), return_inverse=True)
+        own = {}
+        for c in rates:
+            own[c] = np.zeros(len(both))
+            own[c][pair] = t[c].fill_null(0.0).to_numpy()
+        whos = who.dictionary.take(pa.array(both // count))
+        given = {"at": t["at"].to_numpy().astype(np.int32), "yes": t["yes"].to_numpy().astype(np.int8), "pair": pair.astype(np.int32), "of": (both % count).astype(np.int32), **own}
+        lists = pa.ListArray.from_arrays(pa.array([0, len(whos)], pa.int32()), whos)
+        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in given.values()), lists], names=[*given, "who"])
+
+    dealt = cells.join(F.broadcast(names), "id").drop("id").repartition(blocks, "labeller")
+    packed = cut(dealt.mapInArrow(pack, "at binary, yes binary, pair binary, of binary, k binary, se0 binary, sp0 binary, s binary, who array<" + kind + ">"))
+    w = (pat.w * pat.n).to_numpy(float)
+
+    def fitted(batches, p):
+        """Of each block its row, its arrays, and the rates of its pairs."""
+        for b in batches:
+            for r in range(b.num_rows):
+                x = {c: np.frombuffer(b[c][r].as_buffer(), t) for c, t in {"at": np.int32, "yes": np.int8, "pair": np.int32, "of": np.int32, **dict.fromkeys(rates, float)}.items()}
+                at, yes, k, s = x["at"], x["yes"], x["k"], x["s"]
+                summed = lambda v, pair=x["pair"], n=len(x["of"]): np.bincount(pair, v, n)
+                a, z = (w * p)[at], (w * (1 - p))[at]
+                tp, fn = summed(a * yes) + k * PEOPLE_SENS + s * x["se0"], summed(a * (1 - yes)) + k * (1 - PEOPLE_SENS) + s * (1 - x["se0"])
+                tn, fp = summed(z * (1 - yes)) + k * PEOPLE_SPEC + s * x["sp0"], summed(z * yes) + k * (1 - PEOPLE_SPEC) + s * (1 - x["sp0"])
+                yield b["who"][r].values, x, (tp + 1) / (tp + fn + 2), (tn + 1) / (tn + fp + 2)
+
+    def evidence(p):
+        def run(batches):
+            for _, x, sens, spec in fitted(batches, p):
+                pair, at = x["pair"], x["at"]
+                said = np.where(x["yes"] == 1, np.log(sens / (1 - spec))[pair], np.log((1 - sens) / spec)[pair])
+                found = np.flatnonzero(np.bincount(at, minlength=many))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.bincount(at, said, many)[found])], names=["at", "e"])
+
+        return run
+
+    def told(p, prior):
+        def run(batches):
+            for who, x, sens, spec in fitted(batches, p):
+                yield pa.RecordBatch.from_arrays([pa.array(labels[x["of"]].tolist(), pa.string()), pa.array(prior[x["of"]]), who, pa.array(sens), pa.array(spec)], names=["label", "prior", "labeller", "sens", "spec"])
+
+        return run
+
+    p = pat.p.to_numpy(float)
+    prior = last = None
+    for _ in range(rounds):
+        last, prior = p, (np.bincount(label, w * p, count) + 1) / (np.bincount(label, w, count) + 2)
+        e = packed.mapInArrow(evidence(p), "at long, e double").groupBy("at").agg(F.sum("e").alias("e")).toArrow()
+        odds = np.log(prior / (1 - prior))[label]
+        odds[e["at"].to_numpy()] += e["e"].to_numpy()
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    post = spark.createDataFrame(pa.table({"id": pa.array(pat.id, pa.int64()), "p": pa.array(p)}))
+    return post, packed.mapInArrow(told(last, prior), f"label string, prior double, labeller {kind}, sens double, spec double")
+
+
+def _rounds_in_spark(v: Patterns, rounds: int, shrink: float, pooled: DataFrame | None, every: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The same rounds as grouped sums over the patterns; lineage is cut reliably every few rounds."""
+    cells = cut(_with_pooled(v, shrink, pooled).repartition("id"))
     post, rates = v.patterns.withColumn("w", F.col("w") * F.col("n")).drop("n"), None
     y, w, p, k, s = (F.col(x) for x in ("yes", "w", "p", "k", "s"))
     for number in range(rounds):
@@ -148,8 +232,13 @@ def _rounds_in_spark(v: Patterns, rounds: int, shrink: float, pooled: DataFrame
 
 def _em(v: Patterns, driver_cells: int) -> Callable[..., tuple[DataFrame, DataFrame]]:
     """What runs (rounds, shrink, pooled rates) over the patterns."""
-    if v.cells.count() + v.patterns.count() > driver_cells:
+    cells, patterns = v.cells.count(), v.patterns.count()
+    if patterns > driver_cells:
         return lambda rounds, shrink=0.0, pooled=None: _rounds_in_spark(v, rounds, shrink, pooled)
+    if cells + patterns > driver_cells:
+        every = v.patterns.toArrow().to_pandas()
+        blocks = max(v.cells.sparkSession.sparkContext.defaultParallelism, -(-cells // BLOCK_CELLS))
+        return lambda rounds, shrink=0.0, pooled=None: _rounds_in_blocks(v, every, blocks, rounds, shrink, pooled)
     pat, cell = v.patterns.toArrow().to_pandas(), v.cells.toArrow().to_pandas()
     # a machine occurs in the cells, so there are no more of them than cells
     rates = lambda pooled: {r.labeller: (r.sens, r.spec) for r in pooled.collect()} if pooled is not None else None
