@@ -279,6 +279,11 @@ def allowed(voice, nsfw, content, want_voice, want_nsfw, excluded) -> Column:
 _CHUNK = 64
 
 
+def let(value, body) -> Column:
+    """body(value), with the value found once however often the body names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scan(items, start, step, result, kind: str, finish=None) -> Column:
     """Of each item of an array, in order, the result by the state before it, nulls left out; ``step`` leads from state to state.
 

@@ -103,14 +103,18 @@ def split_spans(entries, gap: float = 0.7, longest_run: float = 20.0, shortest_p
         return F.when(x["word"], word).when(quiet(x), none).otherwise(at)
 
     phrase = lambda at: F.when(on(at) & (at["end"] - at["begin"]).between(shortest_phrase, longest_run), at)
-    ends = X.scan(ordered, none, step, lambda at, x: F.when(over(at, x), phrase(at)), "struct<a:int,b:int,begin:double,end:double>", phrase)
-    said = lambda p: F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(F.slice(ordered, p["a"] + 1, p["b"] - p["a"] + 1), lambda x: x["word"]), lambda x: x["text"]), " "), "(?U)" + SPACE, " "))
     span = lambda start, end, kind, text: F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
-    speech = F.filter(F.transform(ends, lambda p: span(p["begin"], p["end"], "speech", said(p))), lambda x: x["text"] != "")
-    words = F.filter(ordered, lambda x: x["word"])
-    late = F.filter(ordered, lambda x: quiet(x) & ((F.size(words) == 0) | (x["i"] > F.get(words, F.lit(0))["i"])))
-    windows = F.flatten(F.transform(late, lambda x: F.transform(gap_windows(x["start"], x["end"], longest_window, shortest_gap), lambda w: span(w["start"], w["end"], "trigger_candidate", F.lit(None)))))
-    return F.array_sort(F.concat(speech.cast(SPANS), windows.cast(SPANS)))
+
+    def spans(rows: Column) -> Column:
+        ends = X.scan(rows, none, step, lambda at, x: F.when(over(at, x), phrase(at)), "struct<a:int,b:int,begin:double,end:double>", phrase)
+        said = lambda p: F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(F.slice(rows, p["a"] + 1, p["b"] - p["a"] + 1), lambda x: x["word"]), lambda x: x["text"]), " "), "(?U)" + SPACE, " "))
+        speech = F.filter(F.transform(ends, lambda p: span(p["begin"], p["end"], "speech", said(p))), lambda x: x["text"] != "")
+        word = F.coalesce(F.get(F.filter(rows, lambda x: x["word"]), F.lit(0))["i"], F.lit(-1))  # the first one's place
+        late = X.let(word, lambda first: F.filter(rows, lambda x: quiet(x) & (x["i"] > first)))
+        windows = F.flatten(F.transform(late, lambda x: F.transform(gap_windows(x["start"], x["end"], longest_window, shortest_gap), lambda w: span(w["start"], w["end"], "trigger_candidate", F.lit(None)))))
+        return F.array_sort(F.concat(speech.cast(SPANS), windows.cast(SPANS)))
+
+    return X.let(ordered, spans)
 
 
 def split_alignment(recordings: DataFrame, entries: str = "entries", **rules) -> DataFrame:

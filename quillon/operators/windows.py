@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from quillon.functions import columns as X
 from quillon.operators.segment import SPACE
+from quillon.sources.shared import cut
 
 #: Labels that are speech, and what the others are called in a text.
 SPEECH = ("whispering", "normal speech")
@@ -72,7 +73,7 @@ def speech_windows(phrases: DataFrame, labels: DataFrame, shortest: float = 2.0,
     a length out of bounds, a word more than ``most_repeats`` times in a row, too many words. A
     window has a prompt if there are ``prompt`` seconds before it.
     """
-    told = gap_verdicts(phrases, labels, least)
+    told = gap_verdicts(cut(phrases.select("source", "start", "end", "text")), labels, least)  # read twice
     entry = F.struct("k", "start", "end", F.trim(F.coalesce("text", F.lit(""))).alias("text"), "gap", "tag", "spoken", drawn_length(F.col("source"), F.col("start"), shortest, longest, seed).alias("length"))
     rows = told.groupBy("source").agg(F.array_sort(F.collect_list(entry)).alias("_p"))
     none = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit(0.0).alias("length"), F.lit(False).alias("dead"))
@@ -87,11 +88,14 @@ def speech_windows(phrases: DataFrame, labels: DataFrame, shortest: float = 2.0,
     closed = lambda at, dead: F.when(at["a"] > 0, F.struct(at["a"].alias("a"), at["b"].alias("b"), at["start"].alias("start"), at["end"].alias("end"), at["length"].alias("length"), dead.alias("dead")))
     kind = "struct<a:int,b:int,start:double,end:double,length:double,dead:boolean>"
     found = X.scan(F.col("_p"), none, step, lambda at, x: F.when(ends(at, x), closed(at, x["spoken"] & ~too_far(at, x))), kind, lambda at: closed(at, F.lit(False)))
-    each = rows.select("source", "_p", F.explode(found).alias("w"))
-    inside = F.slice("_p", F.col("w.a"), F.col("w.b") - F.col("w.a") + 1)
-    parts = F.flatten(F.transform(inside, lambda x: F.array(F.when(x["k"] > F.col("w.a"), F.coalesce(x["tag"], F.lit(""))).otherwise(F.lit("")), x["text"])))
-    text = F.array_join(F.filter(parts, lambda p: p != ""), " ")
-    out = each.select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.dead").alias("dead"), text.alias("text"))
+
+    def text(w: Column) -> Column:
+        inside = F.slice("_p", w["a"], w["b"] - w["a"] + 1)
+        parts = F.flatten(F.transform(inside, lambda x: F.array(F.when(x["k"] > w["a"], F.coalesce(x["tag"], F.lit(""))).otherwise(F.lit("")), x["text"])))
+        return F.array_join(F.filter(parts, lambda p: p != ""), " ")
+
+    # texts are put together before windows become rows, which would each carry all phrases
+    out = rows.select("source", F.explode(F.transform(found, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["dead"].alias("dead"), text(w).alias("text")))).alias("w")).select("source", "w.*")
     said = F.filter(F.split("text", "(?U)" + SPACE), lambda w: w != "")
     plain = F.transform(F.filter(said, lambda w: ~F.startswith(w, F.lit("["))), lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
     size = F.col("end") - F.col("start")

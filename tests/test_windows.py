@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quillon.operators import windows
+from quillon.operators import segment, windows
 
 
 def length(source, start, shortest=2.0, longest=20.0, seed=0):
@@ -91,3 +92,13 @@ def test_runs(spark):
     texts = ["a a a b", "a b a b", "a  a", "x x x x", ""]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(windows.longest_run(F.split("t", " ")).alias("n"))
     assert [r.n for r in rows.collect()] == [3, 1, 1, 4, 1]
+
+
+def test_a_long_recording_is_split_in_linear_time(spark):
+    """4,000 words with silences between: 102 s when the entries were sorted anew for every phrase and silence."""
+    rows = [x for i in range(4000) for x in (("word", 2.0 * i, 2 * i + 1.2, f"w{i}"), ("silence", 2 * i + 1.2, 2.0 * i + 2, None))]
+    df = spark.createDataFrame([(rows,)], "e array<struct<type:string,start:double,end:double,word:string>>")
+    at = time.monotonic()
+    got = df.select(segment.split_spans(F.col("e")).alias("s")).first().s
+    assert time.monotonic() - at < 30
+    assert [(s.start, s.kind, s.text) for s in got] == [(2.0 * i, "speech", f"w{i}") for i in range(4000)]
