@@ -166,11 +166,10 @@ def concat_neighbours(segments: DataFrame, target: float = 5.0, longest: float =
     schema = "source string, files array<string>, text string, seconds double"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        rows = list(zip(pdf.start, pdf.duration))
+        source, files, texts, seconds = pdf.source.iloc[0], pdf.file_name.tolist(), pdf.text.tolist(), pdf.duration.tolist()
         out = []
-        for g in group_neighbours(rows, target, longest, least, join):
-            out.append((pdf.source[0], [pdf.file_name[i] for i in g], " ".join(t for t in pdf.text[g] if t), float(pdf.duration[g].sum() + join * (len(g) - 1))))
+        for g in group_neighbours(list(zip(pdf.start.tolist(), seconds)), target, longest, least, join):
+            out.append((source, [files[i] for i in g], " ".join(texts[i] for i in g if texts[i]), sum(seconds[i] for i in g) + join * (len(g) - 1)))
         return pd.DataFrame(out, columns=["source", "files", "text", "seconds"])
 
     return segments.select("source", "file_name", "text", F.col("start").cast("double").alias("start"), F.col("duration").cast("double").alias("duration")).groupBy("source").applyInPandas(fold, schema)
